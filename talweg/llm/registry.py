@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("mixing", "chat", "pii", "ngram_join")
+MODULES = ("mixing", "chat", "pii", "ngram_join", "decontam")
 
 
 def _gathered(what: str) -> dict:
