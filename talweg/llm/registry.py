@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("mixing", "chat", "pii", "ngram_join", "decontam", "quality")
+MODULES = ("mixing", "chat", "pii", "ngram_join", "decontam", "quality", "toxicity")
 
 
 def _gathered(what: str) -> dict:
