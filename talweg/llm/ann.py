@@ -234,9 +234,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, *, key: str = "vec_id", colu
     keyed = classes.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)) * 100_003 + F.col("dim"))
     graph_rows = "shard long, dim int, x binary, edges binary, start int, ids binary, held binary"
     index = stored(keyed.groupBy("shard").applyInArrow(_graph_of, graph_rows), "ann-index")
-    index = index.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).cast("long"))
+    index = index.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
     asked = asked.select(F.col("id").alias("query_id"), "v", "dim", F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part"))
-    asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).cast("long") * 100_003 + F.col("dim"))
+    asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
+    asked = asked.withColumn("shard", F.col("shard") * 100_003 + F.col("dim"))
     found = asked.groupBy("shard", "part").cogroup(index.groupBy("shard", "part"))
     found = found.applyInArrow(_answers(k, beam), "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
