@@ -114,7 +114,7 @@ def _neighbours(names: list[str], passed: bool):
 
     Rows with a negative place are passed on as they are, if wanted.  One row and the state of its
     group are held between batches; rows of a group before its second text are held back, and these
-    are the rows of one text under one key.
+    are the places of one text under one key, copies counted once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,10 +122,15 @@ def _neighbours(names: list[str], passed: bool):
         shared = None  # the key at the end of what was given out, known to be in two texts
         for batch in batches:
             columns = [np.append(h, batch.column(c).to_numpy(zero_copy_only=False)) for h, c in zip(held, names, strict=True)]
+            if not len(columns[0]):
+                continue
+            again = np.ones(len(columns[0]) - 1, dtype=bool)  # the same place of a text, from a copy
+            for c in columns[:3]:
+                again &= c[1:] == c[:-1]
+            once = np.concatenate(([True], ~again | (columns[2][1:] < 0)))
+            columns = [c[once] for c in columns]
             key, text = columns[0], columns[1]
             n = len(key)
-            if not n:
-                continue
             new = np.concatenate(([True], key[1:] != key[:-1]))
             group = np.cumsum(new) - 1
             other = np.concatenate(([False], (text[1:] != text[:-1]) & ~new[1:]))
