@@ -19,12 +19,16 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of similar ones: the one with the smallest doc_id.
 
-    Rows with a null doc_id stay; repeated rows of the document that stays leave one.
+    Rows with a null doc_id stay; repeated rows of the document that stays leave one, and rows of its id
+    with another text stay as well.
     """
-    classes = ngram_join.near_duplicates(docs)
-    gone = classes.where("component_id <> doc_id").select("doc_id").distinct()
-    known = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-    return known.join(gone, "doc_id", "left_anti").select(*docs.columns).unionByName(docs.where("doc_id IS NULL"))
+    classes = ngram_join.near_duplicates(docs).groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("component_id").alias("first"))
+    odd = stored(classes.where("first <> doc_id OR rows > 1"), "stage-near-odd")
+    ids = odd.select("doc_id")
+    side = F.broadcast(ids) if ids.count() <= ngram_join.BROADCAST_IDS else ids
+    once = docs.join(side, "doc_id", "left_anti").select(*docs.columns)
+    again = docs.join(odd.where("first = doc_id").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    return once.unionByName(again.dropDuplicates(["doc_id", "text"]))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
