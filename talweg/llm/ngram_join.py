@@ -14,7 +14,7 @@ own H asks for.  Allocation by cost:
 * a signature with many holders is dear: each document gives up its dearest ones as long as H + 1
   units are left, and a bucket in which nobody still probes is left out.
 
-Buckets are not expanded into pairs.  In each bucket the first members (1, then 2, 4, ...) are
+Buckets are not expanded into pairs.  In each bucket the first members (1, then 16, 256, ...) are
 compared with the rest, members already in one component with them excepted, until no bucket holds
 an untried pair from two components: components are exact, and a group of n copies costs about n
 comparisons.  Comparisons first bound the difference by counts per hash bin and then intersect the
@@ -38,12 +38,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from talweg.llm.words import Words, blocks, mixed, runs, whole
+from talweg.llm.words import mixed, runs, whole, word_blocks
 from talweg.operators.components import connected_components
 from talweg.storage import stored
 
 WORDS = 5
 DEAR = 64
+LEADERS = 16
 BROADCAST_IDS = 1_000_000
 _U = np.uint64
 
@@ -140,11 +141,8 @@ def similar(x: np.ndarray, y: np.ndarray) -> bool:
 
 
 def _sets(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
-    texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
-    for begin, end in blocks(texts):
-        words = Words(texts[begin:end])
-        for i in range(begin, end):
-            yield i, shingle_set(words.of(i - begin))
+    for i, hashes in word_blocks(batch.column("text")):
+        yield i, shingle_set(hashes)
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,11 +184,20 @@ def _index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        node, data = [], []
+        node, data, size = [], [], 0
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(data, pa.binary())], ["node", "items"])
+
         for _, s in _sets(batch):
             node.append(node_id(s))
             data.append(s.tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(data, pa.binary())], ["node", "items"])
+            size += len(s) * 8
+            if size > 4_000_000:
+                yield out()
+                node, data, size = [], [], 0
+        if node:
+            yield out()
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -253,14 +260,15 @@ def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n = zip(*(batch.column(c).to_pylist() for c in ("n_a", "n_b", "s_a", "s_b")), strict=True)
         ok = [9 * least_difference(x, y) <= p + q for p, q, x, y in n]
-        yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b", "shared"])
+        yield batch.select(["a", "b", "shared"]).filter(pa.array(ok, pa.bool_()))
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True)
-        ok = [similar(np.frombuffer(x, dtype=_U), np.frombuffer(y, dtype=_U)) for x, y in sets]
-        yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
+        # buffers of the batch are read in place: its sets may be large
+        sets = zip(batch.column("x"), batch.column("y"), strict=True)
+        ok = [similar(np.frombuffer(x.as_buffer(), dtype=_U), np.frombuffer(y.as_buffer(), dtype=_U)) for x, y in sets]
+        yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
 class _Join:
@@ -326,18 +334,20 @@ class _Join:
                 here = here.join(left, "sig", "left_semi")
             order = here.repartition("sig").sortWithinPartitions("sig", F.desc("probes"), "node")
             found = stored(self.plausible(order.mapInArrow(_compare(lo, hi), "a bigint, b bigint")), "ngram-pairs")
-            # First, for each node, the partner with which it shares most; then what is left between components.
-            best = found.select("a", "b", "shared", F.explode(F.array("a", "b")).alias("end"))
-            best = best.groupBy("end").agg(F.max(F.struct("shared", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
-            edges = stored(edges.union(self.check(best)), "ngram-edges")
-            parts = stored(connected_components(edges), "ngram-parts")
-            p, q = (parts.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}")) for c in "ab")
-            rest = found.join(p, "a", "left").join(q, "b", "left").where("coalesce(c_a, a) <> coalesce(c_b, b)").select("a", "b")
-            rest = stored(rest.join(best, ["a", "b"], "left_anti"), "ngram-rest")
-            if not rest.isEmpty():
-                edges = stored(edges.union(self.check(rest)), "ngram-edges")
+            if not lo:
+                # For each node the partner with which it shares most; then what is left between components.
+                best = found.select("a", "b", "shared", F.explode(F.array("a", "b")).alias("end"))
+                best = best.groupBy("end").agg(F.max(F.struct("shared", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
+                edges = stored(self.check(best), "ngram-edges")
+                parts = stored(connected_components(edges), "ngram-parts")
+                p, q = (parts.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}")) for c in "ab")
+                found = found.join(p, "a", "left").join(q, "b", "left").where("coalesce(c_a, a) <> coalesce(c_b, b)")
+                found = stored(found.select("a", "b").join(best, ["a", "b"], "left_anti"), "ngram-rest")
+            new = stored(self.check(found), "ngram-new")
+            if not new.isEmpty():
+                edges = edges.union(new)
                 parts = stored(connected_components(edges), "ngram-parts")
-            lo, hi = hi, 2 * hi + 1
+            lo, hi = hi, LEADERS * hi + 1
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:

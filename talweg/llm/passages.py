@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from talweg.llm.words import Words, blocks, mixed, runs, whole
+from talweg.llm.words import mixed, runs, whole, word_blocks
 from talweg.storage import stored
 
 LENGTH = 50
@@ -78,14 +78,6 @@ def stretches(hashes: np.ndarray, length: int) -> np.ndarray:
     return mixed((total[first + length] - total[first]) * _powers(n, _K_INVERSE)[first])
 
 
-def _word_blocks(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
-    texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
-    for begin, end in blocks(texts):
-        words = Words(texts[begin:end])
-        for i in range(begin, end):
-            yield i, words.of(i - begin)
-
-
 def _retained(length: int, prefix: int):
     """Rows (key, text, place, id): retained suffixes by prefix, and one row per document (place < 0)."""
 
@@ -93,7 +85,7 @@ def _retained(length: int, prefix: int):
         for batch in batches:
             ids = batch.column("id").to_pylist()
             key, text, place, doc = [], [], [], []
-            for i, h in _word_blocks(batch):
+            for i, h in word_blocks(batch.column("text")):
                 if len(h) < length:
                     continue
                 t = text_id(h)
@@ -163,7 +155,7 @@ def _extended(length: int, prefix: int):
         for batch in batches:
             key, text, place, size = [], [], [], 0
             places, ids = batch.column("places"), batch.column("text_id").to_pylist()
-            for i, h in _word_blocks(batch):
+            for i, h in word_blocks(batch.column("text")):
                 if len(h) < length or text_id(h) != ids[i]:
                     continue  # another text under the same id
                 own = owners(runs(h, prefix), length - prefix + 1)

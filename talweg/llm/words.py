@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 MASK = (1 << 64) - 1
 # Odd multipliers of the polynomial and of the finaliser.
@@ -87,13 +91,20 @@ def whole(hashes: np.ndarray) -> np.uint64:
     return mixed(np.array([np.sum(hashes * _powers(len(hashes) + 1, 0xA0761D6478BD642F)[1:], dtype=np.uint64)], dtype=np.uint64))[0]
 
 
-def blocks(texts: list, limit: int = 2_000_000):
-    """Consecutive slices (begin, end) of a list of bytes, each of about ``limit`` bytes."""
-    begin = size = 0
-    for i, t in enumerate(texts):
-        size += len(t) + 1
-        if size >= limit:
-            yield begin, i + 1
-            begin, size = i + 1, 0
-    if begin < len(texts):
-        yield begin, len(texts)
+def text_blocks(column: pa.Array, limit: int = 500_000) -> Iterator[tuple[int, list[bytes]]]:
+    """Consecutive slices (number of the first row, texts as bytes) of about ``limit`` bytes each."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    begin, n = 0, len(column)
+    while begin < n:
+        before = size[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(size, before + limit, side="right")))
+        yield begin, [t.encode("utf-8", "surrogatepass") if t else b"" for t in column.slice(begin, end - begin).to_pylist()]
+        begin = end
+
+
+def word_blocks(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
+    """(row number, word hashes) of every text."""
+    for begin, texts in text_blocks(column):
+        words = Words(texts)
+        for i in range(len(texts)):
+            yield begin + i, words.of(i)
