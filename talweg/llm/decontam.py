@@ -103,13 +103,15 @@ def _scan(groups, n: int):
         items_by_group = groups.value
         only = Matcher(items_by_group[0], n) if len(items_by_group) == 1 else None
         for batch in batches:
-            texts = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column("text").to_pylist()]
-            words = [t.translate(TABLE).split() for t in texts]
-            spans: list[list] = [[] for _ in texts]
-            found: list[set] = [set() for _ in texts]
+            column = batch.column("text")
+            spans: list[list] = [[] for _ in range(len(column))]
+            found: list[set] = [set() for _ in spans]
+            count = [0] * len(spans)
             for items in items_by_group:
                 m = only or Matcher(items, n)
-                for i, w in enumerate(words):
+                for i, text in enumerate(column):
+                    w = words_of(text.as_py())
+                    count[i] = len(w)
                     s, ids = m.hits(w)
                     spans[i] += s
                     found[i] |= ids
@@ -118,12 +120,12 @@ def _scan(groups, n: int):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("id"),
-                    pa.array([len(w) for w in words], pa.int64()),
+                    pa.array(count, pa.int64()),
                     pa.array([sum(b - a for a, b in m) for m in merged], pa.int64()),
                     pa.array([len(x) for x in ids], pa.int64()),
                     pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in ids]),
                     pa.array(ids, pa.list_(pa.string())),
-                    pa.array([_offsets(t, m) if m else [] for t, m in zip(texts, merged, strict=True)], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
+                    pa.array([_offsets((t.as_py() or "").encode("utf-8", "surrogatepass"), m) if m else [] for t, m in zip(column, merged, strict=True)], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
                 ],
                 ["id", "n_words", "n_hit", "n_items", "items_sha256", "items", "spans"],
             )
@@ -168,10 +170,9 @@ def decontaminated(docs: DataFrame, items: DataFrame, *, text: str = "text") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         built = [Matcher(g) for g in groups.value] if len(groups.value) == 1 else None
         for batch in batches:
-            words = [words_of(t) for t in batch.column(at).to_pylist()]
-            clean = np.ones(len(words), dtype=bool)
+            clean = np.ones(batch.num_rows, dtype=bool)
             for m in built or (Matcher(g) for g in groups.value):
-                clean &= np.array([not m.hits(w)[0] for w in words], dtype=bool)
+                clean &= np.array([not m.hits(words_of(t.as_py()))[0] for t in batch.column(at)], dtype=bool)
             yield batch.filter(pa.array(clean))
 
     return docs.mapInArrow(run, docs.schema)

@@ -192,7 +192,7 @@ def _style_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(host, page, path, parent, kind, value): what each page says and shows at each node, outside main."""
     for batch in batches:
         rows: list[tuple] = []
-        for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
+        for host, html in zip(batch.column("host").to_pylist(), (h.as_py() for h in batch.column("html")), strict=True):
             found, shapes = blocks(html)
             page = _hash("\n".join(t for _, t, _ in found))
             seen = {(p, "text", _hash(t)) for p, t, main in found if not main}
@@ -244,7 +244,7 @@ def style_trees(pages: DataFrame) -> DataFrame:
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, n, removed = [], [], []
-        for html, low in zip(batch.column("html").to_pylist(), batch.column("low").to_pylist(), strict=True):
+        for html, low in zip((h.as_py() for h in batch.column("html")), batch.column("low").to_pylist(), strict=True):
             found, _ = blocks(html)
             keep, gone = [], 0
             for path, text, main in found:

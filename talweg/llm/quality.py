@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from talweg.llm.words import text_blocks
+
 SAMPLE = 2500
 FIT_CHARS = 20_000
 THRESHOLD = 0.3
@@ -199,7 +201,8 @@ def fitted(docs: DataFrame, labels: DataFrame, *, label: str = "quality", allowe
 
 
 def _score_column(batch: pa.RecordBatch, at: int, net: Net) -> np.ndarray:
-    return net.scores([(t or "").encode("utf-8", "surrogatepass") for t in batch.column(at).to_pylist()])
+    parts = [net.scores(texts) for _, texts in text_blocks(batch.column(at), 4_000_000)]
+    return np.concatenate(parts) if parts else np.empty(0)
 
 
 def scored(docs: DataFrame, net: Net, *, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -178,7 +178,7 @@ def _evidence(rows: DataFrame, model: Lexicon, kind: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            found = [m.passages(t) for t in batch.column(1).to_pylist()]
+            found = [m.passages(t) for t in (x.as_py() for x in batch.column(1))]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
