@@ -9,6 +9,16 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+NORMALISED = T.StructType(
+    [
+        T.StructField("normalized", T.StringType()),
+        T.StructField("sha256", T.StringType()),
+        T.StructField("operations", T.ArrayType(T.StringType())),
+        T.StructField("error", T.StringType()),
+    ]
+)
 
 
 def collapsed(s: Column) -> Column:
@@ -28,7 +38,7 @@ def double_binding(s: Column) -> Column:
     return F.struct(F.sha2(s, 256).alias("literal_sha256"), text_hash(s).alias("collapsed_sha256"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """NFKC form; Spark has no built-in for it."""
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFKC", x))
@@ -155,7 +165,7 @@ def normalised_with_log(text: str, language: str) -> dict:
     return {"normalized": None if error else now, "sha256": None if error else hashlib.sha256(now.encode()).hexdigest(), "operations": ops, "error": error}
 
 
-@F.pandas_udf("normalized string, sha256 string, operations array<string>, error string")
+@F.pandas_udf(NORMALISED)
 def normalised_text(text: pd.Series, language: pd.Series) -> pd.DataFrame:
     rows = [normalised_with_log(t or "", lang) for t, lang in zip(text, language, strict=True)]
     return pd.DataFrame(rows, columns=["normalized", "sha256", "operations", "error"])

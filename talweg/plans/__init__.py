@@ -1 +1,6 @@
-"""Plans of the engine."""
+"""Registered queries over the given tables."""
+
+from talweg.plans import evaluation, governance
+from talweg.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "evaluation", "governance"]
