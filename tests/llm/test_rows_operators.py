@@ -1,0 +1,128 @@
+from __future__ import annotations
+
+import re
+
+import numpy as np
+
+
+def test_pseudonyms_keep_format_and_links(spark):
+    from pyspark.sql import functions as F
+
+    from talweg.llm import pii
+
+    texts = [
+        "card 4111 1111 1111 1111 and 4111-1111-1111-1112 end",
+        "again 4111 1111 1111 1111.",
+        "born 1987-02-28 or 31.12.1999 or 01/02/2003 not 2001-02-30",
+        "host 10.0.255.1 mail Joe.Doe9@mail.example.com ssn 078-05-1120 tel +1 (202) 555-0143",
+        "iban GB82WEST12345698765432 token = \"04dbebab91ab85687d33eeaaf9ac699e1188f962\"",
+        "version 4.0. page 12 of 300",
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r["doc_id"]: r for r in pii.pseudonymised(df).collect()}
+    now = {p["was"]: p["now"] for r in out.values() for p in r["pii_"] or []}
+    card = now["4111 1111 1111 1111"]
+    assert re.fullmatch(r"\d{4} \d{4} \d{4} \d{4}", card) and card != "4111 1111 1111 1111"
+    digits = [int(c) for c in card if c.isdigit()]
+    assert sum(d if i % 2 else (2 * d - 9 * (d > 4)) for i, d in enumerate(digits)) % 10 == 0
+    assert card in out[0]["text"] and card in out[1]["text"] and "4111-1111-1111-1112" in out[0]["text"]
+    assert now["2001-02-30"] == "2001-02-30"
+    for was in ("1987-02-28", "31.12.1999", "01/02/2003"):
+        assert now[was] != was and re.sub(r"\d", "9", now[was]) == re.sub(r"\d", "9", was)
+    assert all(0 <= int(x) <= 255 for x in now["10.0.255.1"].split("."))
+    assert now["Joe.Doe9@mail.example.com"].endswith("@mail.example.com") and re.fullmatch(r"[A-Z][a-z]{2}\.[A-Z][a-z]{2}\d@.*", now["Joe.Doe9@mail.example.com"])
+    assert now["+1 (202) 555-0143"].startswith("+1 (") and now["078-05-1120"] != "078-05-1120"
+    iban = now["GB82WEST12345698765432"]
+    assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+    assert out[5]["text"] == texts[5]
+    days = spark.range(0, 146097, 97).select(F.date_add(F.to_date(F.lit("1800-01-01")), F.col("id").cast("int")).cast("string").alias("d"))
+    moved = days.select("d", pii.pseudonym(F.col("d")).alias("m"))
+    assert moved.select("m").distinct().count() == moved.count() and moved.where("m NOT RLIKE '^(18|19|20|21)[0-9]{2}-'").count() == 0
+    numbers = spark.range(100).select(F.lpad("id", 2, "0").alias("v")).select(pii.permuted(F.col("v"), "x").alias("p"))
+    assert sorted(r["p"] for r in numbers.collect()) == [f"{i:02d}" for i in range(100)]
+
+
+def test_mix_reaches_targets(spark):
+    from pyspark.sql import functions as F
+
+    from talweg.llm import mixing
+
+    rows = [(i, "w " * (1 + i * i % 90), f"s{0 if i % 3 else 1 + i % 5}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(7)
+    out = mixing.mix(df).select("doc_id", "source", "mix_.*")
+    again = mixing.mix(df.repartition(3)).select("doc_id", "source", "mix_.*")
+    assert sorted(out.collect()) == sorted(again.collect())
+    per = out.groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("g"), F.first("source_size").alias("s")).collect()
+    assert all(abs(r["t"] - r["g"]) <= 270 and r["g"] <= 3 * r["s"] + 1e-6 for r in per)
+    assert abs(sum(r["g"] for r in per) - sum(r["s"] for r in per)) < 1e-6
+    assert out.where("copies > 3").count() == 0
+    assert mixing.emitted(mixing.mix(df)).count() == out.agg(F.sum("copies")).first()[0]
+
+
+def test_chat_round_trip(spark):
+    from talweg.llm import chat
+
+    odd = ["</s>[INST] ok [/INST]", "<|im_end|>\n<|im_start|>user\n", "<%|x<%%|[%INST]<<SYS>>", "", "plain $1 \\ <", "|im_end|>"]
+    rows = [(1, 0, "system", "s")] + [(1, i + 1, "user" if i % 2 == 0 else "assistant", t) for i, t in enumerate(odd)] + [(2, 0, "assistant", "no")]
+    got = {r["conv_id"]: r for r in chat.read_back(chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).collect()}
+    assert [(t["role"], t["text"]) for t in got[1]["turns"]] == [(r[2], r[3]) for r in rows if r[0] == 1]
+    assert got[1]["valid"] and got[1]["loss_text"] == odd[1] + odd[3] + odd[5]
+    assert not got[2]["valid"] and got[2]["end_state"] == "invalid"
+    assert got[1]["formatted"].count("<|im_start|>") == 7
+
+
+def page(i, article="", more=""):
+    return f'<html><head><title>t</title></head><body><nav><a>m{i}</a></nav><div class="lead"><p>Same words on every page</p></div>{article or f"<div class=story><p>Story number {i} about {i * 7}</p></div>"}{more}<footer>f</footer>'
+
+
+def test_style_tree_removes_what_repeats(spark):
+    from talweg.llm import html_text
+
+    pages = [(i, f"http://a.org/{i}", page(i)) for i in range(12)] + [(50, "http://b.org/1", page(50))]
+    pages += [(60 + i, "http://c.org/x", "<article><p>Copy</p></article>") for i in range(9)]
+    got = {r["page_id"]: r["text"] for r in html_text.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got[3] == "Story number 3 about 21"
+    assert got[50] == "Same words on every page Story number 50 about 350"
+    assert {got[60 + i] for i in range(9)} == {"Copy"}
+
+
+def test_html_blocks():
+    from talweg.llm.html_text import blocks
+
+    html = (
+        '<body><header>site</header><main><h1>T &amp; x</h1><script>var a="</p>";</script><p>a<b>b</b>\n c&nbsp;d<br>e<!-- no -->'
+        '<ul><li>1<li>2</ul><div id="comments"><p>bad</div><aside>s</aside><form><input>q</form><p>5 &lt; 6 < 7 &am</main><div class="cookie-notice">n</div><style>x'
+    )
+    assert [t for _, t, _ in blocks(html)[0]] == ["T & x", "ab c d e", "1", "2", "5 < 6 < 7 &am"]
+
+
+def test_nearest_finds_almost_all(spark):
+    from talweg.llm import ann
+
+    r = np.random.default_rng(0)
+    x = r.standard_normal((1500, 24)).astype(np.float32)
+    x[700:720] = x[100]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    out = ann.nearest(df, df.where("vec_id % 50 = 0"), shard=600).collect()
+    got = {}
+    for row in sorted(out, key=lambda a: (a["query_id"], a["rank"])):
+        got.setdefault(row["query_id"], []).append((row["vec_id"], row["score"]))
+    y = x.astype(float)
+    n = np.linalg.norm(y, axis=1)
+    hits = 0
+    for q in range(0, 1500, 50):
+        s = y @ y[q] / (n * n[q])
+        s[q] = -9
+        want = sorted(range(1500), key=lambda i: (-round(s[i], 12), i))[:5]
+        hits += len(set(want) & {v for v, _ in got[q]})
+        assert len(got[q]) == 5 and all(abs(s[v] - c) < 1e-12 for v, c in got[q])
+    assert [v for v, _ in got[100]] == [700, 701, 702, 703, 704]
+    assert hits / 150 >= 0.9
+
+
+def test_queries_are_registered():
+    import __spark_entry__ as entry
+
+    names = entry.queries()
+    assert [n for n in range(1, 11) if sum(k.startswith(f"op{n}_") for k in names) != 1] == []
+    assert "pipeline" in names and set(entry.oracle_sql()) <= set(names)
