@@ -90,11 +90,11 @@ def _retained(length: int, prefix: int):
                     continue
                 t = text_id(h)
                 p = runs(h, prefix)
-                at = np.unique(owners(p, length - prefix + 1))
-                key += [np.array([t], dtype=np.int64), p[at].view(np.int64)]
-                place += [np.array([-len(h)], dtype=np.int64), at]
-                text.append(np.full(len(at) + 1, t, dtype=np.int64))
-                doc.append(np.full(len(at) + 1, ids[i], dtype=np.int64))
+                kept = np.unique(p[np.unique(owners(p, length - prefix + 1))])  # one for all places of equal words
+                key += [np.array([t], dtype=np.int64), kept.view(np.int64)]
+                place += [np.array([-len(h)], dtype=np.int64), np.zeros(len(kept), dtype=np.int64)]
+                text.append(np.full(len(kept) + 1, t, dtype=np.int64))
+                doc.append(np.full(len(kept) + 1, ids[i], dtype=np.int64))
             if key:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (key, text, place, doc)], ["key", "text", "place", "id"])
 
@@ -154,12 +154,13 @@ def _extended(length: int, prefix: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             key, text, place, size = [], [], [], 0
-            places, ids = batch.column("places"), batch.column("text_id").to_pylist()
+            prefixes, ids = batch.column("prefixes"), batch.column("text_id").to_pylist()
             for i, h in word_blocks(batch.column("text")):
                 if len(h) < length or text_id(h) != ids[i]:
                     continue  # another text under the same id
-                own = owners(runs(h, prefix), length - prefix + 1)
-                start = np.flatnonzero(np.isin(own, places[i].values.to_numpy(zero_copy_only=False)))
+                p = runs(h, prefix)
+                own = p[owners(p, length - prefix + 1)].view(np.int64)
+                start = np.flatnonzero(np.isin(own, prefixes[i].values.to_numpy(zero_copy_only=False)))
                 key.append(stretches(h, length)[start].view(np.int64))
                 text.append(np.full(len(start), ids[i], dtype=np.int64))
                 place.append(start)
@@ -199,9 +200,9 @@ def repeated_passages(docs: DataFrame, *, key: str = "doc_id", text: str = "text
     documents = shared.where("place < 0").groupBy("id", "text").agg((-F.min("place")).alias("n_words"))
     documents = stored(documents, "suffix-docs")
     texts = documents.groupBy("text").agg(F.min("id").alias("first"), F.count("*").alias("copies"), F.first("n_words").alias("n_words"))
-    places = shared.where("place >= 0").groupBy("text").agg(F.collect_set("place").alias("places"))
-    asked = places.join(texts.select("text", "first"), "text").select(F.col("text").alias("text_id"), F.col("first").alias("id"), "places")
-    found = rows.join(asked, "id").select("text", "text_id", "places")
+    prefixes = shared.where("place >= 0").groupBy("text").agg(F.collect_set("key").alias("prefixes"))
+    asked = prefixes.join(texts.select("text", "first"), "text").select(F.col("text").alias("text_id"), F.col("first").alias("id"), "prefixes")
+    found = rows.join(asked, "id").select("text", "text_id", "prefixes")
     stretch = found.mapInArrow(_extended(length, prefix), "key bigint, text bigint, place bigint")
     order = stretch.repartition("key").sortWithinPartitions("key", "text", "place")
     repeated = order.mapInArrow(_neighbours(["key", "text", "place"], False), "key bigint, text bigint, place bigint")
