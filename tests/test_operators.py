@@ -169,10 +169,14 @@ def test_metric_vectors(spark):
     assert abs(1 / (1 + 2.718281828459045 ** (-8 / t)) - 2 / 3) < 1e-6
 
 
-def test_components_and_splits(spark):
+@pytest.mark.parametrize("bound", [0, 200_000])
+def test_components_and_splits(spark, monkeypatch, bound):
+    from talweg.operators import components
     from talweg.operators import graph as G
     from talweg.operators.components import connected_components
 
+    monkeypatch.setattr(components, "ONE_TASK", bound)
+
     r = random.Random(3)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(400, 480)] + [(7, 7)]
     parent = {x: x for e in edges for x in e}
