@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from talweg.functions.keys import rank_hex
-from talweg.operators import graph, overlap, pairing, sampling, validation
+from talweg.operators import graph, overlap, pairing, protocols, sampling, validation
 from talweg.plans.registry import query
 from talweg.plans.tables import SEED, assets, table
+from talweg.sources import projection
 
 FIELDS = ("parent_group_id", "speaker_pseudo_id", "text_hash")
 S = SparkSession
@@ -547,3 +548,60 @@ def greedy_two_key_distinct(spark: S, sf_dir: str) -> DataFrame:
 def bipartite_matching(spark: S, sf_dir: str) -> DataFrame:
     a = assets(spark, sf_dir).select("text_hash", "speaker_pseudo_id", rank_hex(SEED, F.col("sample_id"), sep=":").alias("rank"))
     return graph.matched(a, "text_hash", "speaker_pseudo_id", "rank")
+
+
+@query(
+    """WITH r AS (SELECT source AS source_name, CASE WHEN source IN ('src1', 'src2', 'src3') THEN 'dev' ELSE 'train' END AS role, CASE WHEN quality = 1 THEN 'bonafide' ELSE 'spoof' END AS label
+  FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL AND (source <> 'src3' OR quality = 1)
+  UNION ALL SELECT 'src1', 'train', 'spoof'),
+p AS (SELECT 'dev' AS role, 'src' || i AS source_name FROM range(1, 5) t(i) UNION ALL SELECT 'train', 'src' || i FROM range(5, 20) t(i) UNION ALL SELECT 'train', 'src0'),
+l AS (SELECT 'src' || i AS source, CASE WHEN i % 3 = 0 THEN 'pending' ELSE 'approved' END AS status FROM range(14) t(i)),
+h AS (SELECT DISTINCT role, source_name FROM r)
+SELECT 'sources' AS rule, coalesce(h.role, p.role) AS key, coalesce(h.source_name, p.source_name) || CASE WHEN h.role IS NULL THEN ': absent' ELSE ': not planned' END AS detail FROM h FULL JOIN p ON h.role = p.role AND h.source_name = p.source_name WHERE h.role IS NULL OR p.role IS NULL
+UNION ALL SELECT 'labels', role, string_agg(DISTINCT label, ',' ORDER BY label) FROM r GROUP BY role HAVING count(DISTINCT label) < 2
+UNION ALL SELECT 'source in several roles', source_name, string_agg(DISTINCT role, ',' ORDER BY role) FROM r GROUP BY source_name HAVING count(DISTINCT role) > 1
+UNION ALL SELECT 'licence', u.source_name, CASE WHEN status IS NULL THEN 'missing' ELSE 'not_approved' END FROM (SELECT DISTINCT source_name FROM r) u LEFT JOIN l ON l.source = u.source_name WHERE status IS NULL OR status <> 'approved'"""
+)
+def source_matrix_protocol(spark: S, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").where("quality IS NOT NULL"), "doc_id").where("source <> 'src3' OR quality = 1")
+    role = F.when(F.col("source").isin("src1", "src2", "src3"), "dev").otherwise("train")
+    rows = d.select(F.col("source").alias("source_name"), role.alias("role"), F.when(F.col("quality") == 1, "bonafide").otherwise("spoof").alias("label"))
+    rows = rows.union(spark.createDataFrame([("src1", "train", "spoof")], "source_name string, role string, label string"))
+    plan = [("dev", f"src{i}") for i in range(1, 5)] + [("train", f"src{i}") for i in range(5, 20)] + [("train", "src0")]
+    return protocols.source_matrix_issues(rows, _ledger(spark), spark.createDataFrame(plan, "role string, source_name string"))
+
+
+@query(
+    """WITH p AS (SELECT parent, 'train' AS part FROM (SELECT DISTINCT doc_id // 4 AS parent FROM documents WHERE doc_id % 3 <> 0)), q AS (SELECT DISTINCT doc_id // 4 AS parent FROM documents WHERE doc_id % 3 = 0),
+s AS (SELECT source FROM documents WHERE doc_id % 3 <> 0 INTERSECT SELECT source FROM documents WHERE doc_id % 3 = 0),
+c AS (SELECT lang || '/' || CASE WHEN doc_id % 2 = 0 THEN 'spoof' ELSE 'bonafide' END AS cell, count(*) AS n FROM documents GROUP BY 1)
+SELECT 'not disjoint' AS rule, 'parent' AS key, min('g' || parent) AS detail FROM p WHERE parent IN (SELECT parent FROM q) HAVING count(*) > 0
+UNION ALL SELECT 'pinned overlap', 'source', n::VARCHAR FROM (SELECT count(*) AS n FROM s) WHERE n <> 3
+UNION ALL SELECT 'cell', coalesce(c.cell, e.cell), coalesce(n, 0) || '/' || coalesce(want, 0) FROM c FULL JOIN (SELECT 'en/spoof' AS cell, 10 AS want) e ON c.cell = e.cell WHERE coalesce(n, 0) <> coalesce(want, 0)"""
+)
+def combined_train_protocol(spark: S, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select(
+        "doc_id", F.col("lang").alias("language"), "source", F.concat(F.lit("g"), F.floor(F.col("doc_id") / 4)).alias("parent"), F.when(F.col("doc_id") % 2 == 0, "spoof").otherwise("bonafide").alias("label")
+    )
+    cells = spark.createDataFrame([("en/spoof", 10)], "cell string, n_expected long")
+    return protocols.combined_train_issues({"a": d.where("doc_id % 3 <> 0"), "b": d.where("doc_id % 3 = 0")}, cells, ["parent"], {"source": 3})
+
+
+@query(
+    """WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) + CASE WHEN source = 'src2' THEN 1 ELSE 0 END AS rank, CASE WHEN doc_id % 50 = 0 THEN 'xx' ELSE lang END AS lang FROM documents)
+SELECT 'binding' AS rule, r.doc_id::VARCHAR AS key, 'lang' AS detail FROM r JOIN documents d USING (doc_id) WHERE r.lang <> d.lang
+UNION ALL SELECT 'ranks', source, 'gap' FROM r GROUP BY source HAVING min(rank) <> 1"""
+)
+def selection_binding(spark: S, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
+    s = sampling.ranked(d, ["source"], ["doc_id"]).withColumn("rank", F.col("rank") + F.when(F.col("source") == "src2", 1).otherwise(0))
+    s = s.withColumn("lang", F.when(F.col("doc_id") % 50 == 0, "xx").otherwise(F.col("lang")))
+    return protocols.selection_binding_issues(s, d, "doc_id", ["lang"], ["source"], "rank")
+
+
+@query(
+    """SELECT l_returnflag, count(*)::BIGINT AS n_files, count(DISTINCT l_partkey)::BIGINT AS n_digests, sum(l_quantity::DECIMAL(18,6))::DOUBLE AS total, min(l_quantity)::DOUBLE AS least, quantile_cont(l_quantity, 0.5)::DOUBLE AS median, max(l_quantity)::DOUBLE AS most FROM lineitem GROUP BY 1"""
+)
+def duration_audit(spark: S, sf_dir: str) -> DataFrame:
+    out = projection.duration_audit(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_quantity", "l_partkey")
+    return out.withColumns({c: F.col(c).cast("double") for c in ("total", "least", "median", "most")})
