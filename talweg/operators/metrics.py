@@ -8,6 +8,8 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from talweg.operators.prefix import running_sums
+
 BINS = 15
 
 
@@ -53,9 +55,8 @@ def calibration(df: DataFrame, by: Sequence[str], probability: str, label: Colum
 def eer(df: DataFrame, by: Sequence[str], score: str, spoof: Column) -> DataFrame:
     """(by..., eer): thresholds at +inf, each score downwards and -inf; least gap, the highest threshold of equal ones."""
     scores = df.groupBy(*by, F.col(score).alias("_t")).agg(F.count_if(spoof).alias("_p"), F.count_if(~spoof).alias("_n"))
-    w = Window.partitionBy(*by)
-    down = w.orderBy(F.desc("_t"))
-    cum = scores.select(*by, "_t", F.sum("_p").over(down).alias("tp"), F.sum("_n").over(down).alias("fp"), F.sum("_p").over(w).alias("all_p"), F.sum("_n").over(w).alias("all_n"))
+    cum = running_sums(scores, by, [F.desc("_t")], {"tp": F.col("_p"), "fp": F.col("_n")}, {"all_p": F.col("_p"), "all_n": F.col("_n")})
+    cum = cum.select(*by, "_t", "tp", "fp", "all_p", "all_n")
     start = cum.groupBy(*by).agg(F.max("all_p").alias("all_p"), F.max("all_n").alias("all_n"))
     start = start.select(*by, F.lit(float("inf")).alias("_t"), F.lit(0).cast("long").alias("tp"), F.lit(0).cast("long").alias("fp"), "all_p", "all_n")
     rows = cum.unionByName(start).where("all_p > 0 AND all_n > 0")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from talweg.operators.prefix import numbered
+
 
 def ranked(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], name: str = "rank") -> DataFrame:
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
@@ -83,21 +85,25 @@ def quota_slots(quotas: DataFrame, name: str, quota: str, order: str) -> DataFra
 
 
 def round_robin(df: DataFrame, order: Sequence[Column | str], profiles: Sequence[str], by: Sequence[str] = (), name: str = "profile") -> DataFrame:
-    """Profiles dealt in turn along an order, within each group of ``by``."""
-    i = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1
+    """Profiles dealt in turn along an order, within each group of ``by``, whatever the size of a group."""
     names = F.array(*[F.lit(p) for p in profiles])
-    return df.withColumn(name, F.element_at(names, (i % len(profiles) + 1).cast("int")))
+    out = numbered(df, by, order, "_i")
+    return out.withColumn(name, F.element_at(names, ((F.col("_i") - 1) % len(profiles) + 1).cast("int"))).drop("_i")
 
 
 def two_level_round_robin(df: DataFrame, order: Sequence[Column | str], families: dict[str, Sequence[str]], by: Sequence[str] = ()) -> DataFrame:
-    """Family by index, then voice by index within the family."""
-    out = round_robin(df, order, list(families), by, "family")
-    i = F.row_number().over(Window.partitionBy(*by, "family").orderBy(*order)) - 1
+    """Family by index, then voice by index within the family.
+
+    Families take turns, so row i of a group is number i // families of its family."""
+    n = len(families)
+    out = numbered(df, by, order, "_i").withColumn("_i", F.col("_i") - 1)
+    out = out.withColumn("family", F.element_at(F.array(*[F.lit(f) for f in families]), (F.col("_i") % n + 1).cast("int")))
     voice = F.lit(None).cast("string")
     for f, voices in families.items():
         names = F.array(*[F.lit(v) for v in voices])
-        voice = F.when(F.col("family") == f, F.element_at(names, (i % len(voices) + 1).cast("int"))).otherwise(voice)
-    return out.withColumn("voice", voice)
+        turn = F.floor(F.col("_i") / n) % len(voices) + 1
+        voice = F.when(F.col("family") == f, F.element_at(names, turn.cast("int"))).otherwise(voice)
+    return out.withColumn("voice", voice).drop("_i")
 
 
 def target_reserve(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], target: int, reserve: int) -> DataFrame:
@@ -115,7 +121,7 @@ def cover_then_fill(df: DataFrame, component: str, order: Sequence[str], n: int)
 
 def balanced_batches(df: DataFrame, cell: Sequence[str], order: Sequence[Column | str], per_cell: int) -> DataFrame:
     """``batch`` numbers such that every full batch holds ``per_cell`` rows of each cell."""
-    return ranked(df, cell, order, "_i").withColumn("batch", F.floor((F.col("_i") - 1) / per_cell).cast("long")).drop("_i")
+    return numbered(df, cell, order, "_i").withColumn("batch", F.floor((F.col("_i") - 1) / per_cell).cast("long")).drop("_i")
 
 
 def first_reason(rules: Sequence[tuple[Column, str]]) -> Column:

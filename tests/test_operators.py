@@ -320,3 +320,17 @@ def test_review_gate_and_reconciliation(spark):
     got = {r["id"]: r["state"] for r in P.review_gate(packet, reviews, "id", ("sha",), ("q",)).collect()}
     assert got == {0: "eligible", 1: "not_eligible", 2: "rejected", 3: "mismatch", 4: "not_eligible", 9: "foreign"}
     assert {tuple(r) for r in P.set_equality(rows(spark, "k int", (1,), (2,)), rows(spark, "k int", (2,), (3,)), "k").collect()} == {(1, "left"), (3, "right")}
+
+
+def test_running_sums_equal_windows(spark):
+    from talweg.operators import prefix
+
+    r = random.Random(9)
+    data = [(None if i % 50 == 0 else r.choice("aab"), r.randrange(40), r.randrange(9), i) for i in range(900)]
+    df = rows(spark, "g string, x int, v int, i int", *data).repartition(5)
+    got = {x["i"]: (x["s"], x["all"]) for x in prefix.running_sums(df, ["g"], [F.desc("x")], {"s": F.col("v")}, {"all": F.col("v")}).collect()}
+    assert got == {i: (sum(v for h, y, v, _ in data if h == g and y >= x), sum(v for h, _, v, _ in data if h == g)) for g, x, _, i in data}
+    got = {x["i"]: x["rank"] for x in prefix.numbered(df, ["g"], ["x", "i"]).collect()}
+    for g in ("a", "b", None):
+        mine = sorted((x, i) for h, x, _, i in data if h == g)
+        assert [got[i] for _, i in mine] == list(range(1, len(mine) + 1))
