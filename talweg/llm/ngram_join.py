@@ -12,7 +12,8 @@ own H asks for.  Allocation by cost:
   and only where that is not enough (class 2) the empty segments as well.  Of two documents the one
   of the lower class has units enough among what both emit, so no pair is lost;
 * a signature with many holders is dear: each document gives up its dearest ones as long as H + 1
-  units are left, and a bucket in which nobody still probes is left out.
+  units are left; of a pair the one that comes later in a fixed order must still probe, and a bucket in which
+  nobody does is left out.
 
 Buckets are not expanded into pairs.  In each bucket the first members (1, then 16, 256, ...) are
 compared with the rest, members already in one component with them excepted, until no bucket holds
@@ -227,9 +228,11 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _compare(lo: int, hi: int):
-    """Pairs (leader, member) of each bucket: leaders have rank lo to hi - 1, members a later rank.
+    """Pairs (leader, member) of each bucket: leaders have rank lo to hi - 1, members probe and come later.
 
-    Rows come sorted by (sig, probes first, node).  Held between batches: the bucket's leaders.
+    Rows come sorted by sig, then the order of nodes that holds in all buckets; of two similar nodes
+    the later one has a bucket in which it probes and finds the other.  Held between batches: the
+    bucket's leaders.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,12 +243,12 @@ def _compare(lo: int, hi: int):
             for sig, node, comp, probes in rows:
                 if sig != now:
                     now, rank, leaders = sig, 0, []
-                for other, its in leaders:
-                    if its != comp:
-                        a.append(other)
-                        b.append(node)
-                        size += 1
-                if probes and lo <= rank < hi:
+                if probes:
+                    mine = [other for other, its in leaders if its != comp]
+                    a += mine
+                    b += [node] * len(mine)
+                    size += len(mine)
+                if lo <= rank < hi:
                     leaders.append((node, comp))
                 rank += 1
                 if size > 100_000:
@@ -281,17 +284,21 @@ class _Join:
         self.nodes = stored(self.nodes.select("node", F.col("f.id").alias("id"), F.col("f.n").alias("n"), F.col("f.sketch").alias("sketch")), "ngram-nodes")
 
     def buckets(self) -> DataFrame:
-        """Rows (sig, node, probes) of signatures that two nodes share, dear ones given up."""
+        """Rows (sig, node, probes, popular) of signatures that two nodes share, dear ones given up.
+
+        ``popular`` counts the holders of a node's signatures: what many near copies come from is first."""
         rows = self.docs.select("text").mapInArrow(_index, "sig bigint, node bigint, spare int")
         dealt = rows.repartition("sig").sortWithinPartitions("sig", "node")
         held = stored(dealt.mapInArrow(_shared, "sig bigint, node bigint, spare int"), "ngram-held")
-        dear = held.groupBy("sig").agg(F.count("*").alias("holders")).where(f"holders >= {DEAR}")
+        counted = stored(held.groupBy("sig").agg(F.count("*").alias("holders")), "ngram-counts")
+        popular = held.join(counted, "sig").groupBy("node").agg(F.sum("holders").alias("popular"))
+        dear = counted.where(f"holders >= {DEAR}")
         costly = held.where("spare > 0").join(dear, "sig")
         order = Window.partitionBy("node", "spare").orderBy(F.desc("holders"), "sig")
         given = costly.withColumn("i", F.row_number().over(order)).where("i <= spare").select("sig", "node", F.lit(True).alias("given"))
         marked = held.join(given, ["sig", "node"], "left").select("sig", "node", F.col("given").isNull().alias("probes"))
         live = marked.groupBy("sig").agg(F.bool_or("probes").alias("live")).where("live").select("sig")
-        return stored(marked.join(live, "sig", "left_semi"), "ngram-buckets")
+        return stored(marked.join(live, "sig", "left_semi").join(popular, "node"), "ngram-buckets")
 
     def sets_of(self, pairs: DataFrame) -> DataFrame:
         """Sets of the nodes in ``pairs``, made from the text of one document each."""
@@ -325,14 +332,14 @@ class _Join:
         parts = self.spark.createDataFrame([], "node bigint, component bigint")
         lo, hi = 0, 1
         while True:
-            here = buckets.join(parts, "node", "left").select("sig", "node", "probes", F.coalesce("component", "node").alias("comp"))
+            here = buckets.join(parts, "node", "left").select("sig", "node", "probes", "popular", F.coalesce("component", "node").alias("comp"))
             if lo:
-                per = here.groupBy("sig").agg(F.count_if("probes").alias("p"), F.min("comp").alias("c"), F.max("comp").alias("d"))
-                left = stored(per.where(f"p > {lo} AND c <> d").select("sig"), "ngram-left")
+                per = here.groupBy("sig").agg(F.count("*").alias("n"), F.min("comp").alias("c"), F.max("comp").alias("d"))
+                left = stored(per.where(f"n > {lo + 1} AND c <> d").select("sig"), "ngram-left")
                 if left.isEmpty():
                     return edges
                 here = here.join(left, "sig", "left_semi")
-            order = here.repartition("sig").sortWithinPartitions("sig", F.desc("probes"), "node")
+            order = here.repartition("sig").sortWithinPartitions("sig", F.desc("popular"), "node")
             found = stored(self.plausible(order.mapInArrow(_compare(lo, hi), "a bigint, b bigint")), "ngram-pairs")
             if not lo:
                 # For each node the partner with which it shares most; then what is left between components.
