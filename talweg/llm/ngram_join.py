@@ -3,17 +3,17 @@
 A document's set holds the hashes of its distinct shingles of five words.  Sets of a Jaccard
 similarity of 0.8 differ in at most H = (|r| + |s|) / 9 elements.  The universe of hashes is cut
 into m > H ranges (segments), m fixed per size band [2^b, 2^(b+1)); two such sets then agree on some
-segment.  Each document indexes a signature per segment that is not empty, in its own band; one
-whose partners may reach into the next band also emits there, as many of its largest segments as its
-own H asks for.  Allocation by cost:
+segment.  Each document indexes a signature per segment that is not empty, in its own band and, if
+its partners may reach into the next band, there too.  Allocation by cost:
 
 * empty segments say nothing and get no unit; where a document is then short of H + 1 units
   (class 1), it adds the one-deletion neighbourhood of its larger segments, worth two units each,
   and only where that is not enough (class 2) the empty segments as well.  Of two documents the one
   of the lower class has units enough among what both emit, so no pair is lost;
-* a signature with many holders is dear: each document gives up its dearest ones as long as H + 1
-  units are left; of a pair the one that comes later in a fixed order must still probe, and a bucket in which
-  nobody does is left out.
+* a signature with many holders is dear: each document gives up its dearest ones of a band as long as
+  H + 1 units are left there.  Giving up is not to probe; the signature stays indexed, so that of a
+  pair the one that comes later in a fixed order finds the other by the H + 1 it still probes.  A
+  bucket in which nobody probes is left out.
 
 Buckets are not expanded into pairs.  In each bucket the first members (1, then 16, 256, ...) are
 compared with the rest, members already in one component with them excepted, until no bucket holds
@@ -85,16 +85,13 @@ def _signed(sums: np.ndarray, seg: np.ndarray, b: int) -> np.ndarray:
     return mixed(sums + (seg.astype(_U) + _U(b << 40)) * _U(0xD1342543DE82EF95))
 
 
-def _emitted(s: np.ndarray, b: int, need: int, subset: bool) -> tuple[np.ndarray, int]:
+def _emitted(s: np.ndarray, b: int, need: int) -> tuple[np.ndarray, int]:
     """Signatures in the segments of band ``b``, and units to spare."""
     m = segments_of_band(b)
     seg, sums, count = _sums(s, m)
     held = np.flatnonzero(count)
     spare = len(held) - need
     if spare >= 0:
-        if subset and spare > 0:
-            held = held[np.argsort(-count[held], kind="stable")[:need]]
-            spare = 0
         return _signed(sums[held], held, b), spare
     out = [_signed(sums[held], held, b)]
     large = count[seg] > 1
@@ -110,11 +107,11 @@ def signatures(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     n = len(s)
     b = n.bit_length() - 1
     top, most = 2 ** (b + 1) - 1, 5 * n // 4
-    own, spare = _emitted(s, b, (n + min(most, top)) // 9 + 1, False)
+    own, spare = _emitted(s, b, (n + min(most, top)) // 9 + 1)
     if most <= top:
         return own, np.full(len(own), spare, dtype=np.int32)
-    up, _ = _emitted(s, b + 1, (n + most) // 9 + 1, True)
-    return np.concatenate((own, up)), np.repeat(np.array([spare, 0], dtype=np.int32), [len(own), len(up)])
+    up, more = _emitted(s, b + 1, (n + most) // 9 + 1)
+    return np.concatenate((own, up)), np.repeat(np.array([spare, more], dtype=np.int32), [len(own), len(up)])
 
 
 def sketch(s: np.ndarray) -> bytes:

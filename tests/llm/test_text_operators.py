@@ -76,6 +76,42 @@ def test_signatures_agree_for_every_similar_pair():
             assert 9 * J.least_difference(J.sketch(s), J.sketch(t)) <= len(s) + len(t)
 
 
+def test_ngram_join_keeps_links_across_size_bands(spark, monkeypatch):
+    """Hot groups with sizes on both sides of a border: the later of every similar pair probes where the other is."""
+    import pyarrow as pa
+
+    from talweg.llm import ngram_join as J
+    from talweg.llm.words import word_blocks
+
+    monkeypatch.setattr(J, "DEAR", 8)
+    r = random.Random(17)
+    rows = []
+    for border in (32, 64, 128):
+        base = [f"b{border}w{i}" for i in range(border + 4)]
+        for k in range(120):
+            now = base[: border + 4 - r.randint(1, border // 10)] if k % 2 else base + [f"x{border}k{k}e{i}" for i in range(r.randint(0, border // 10))]
+            at = r.randrange(len(now))
+            rows.append(" ".join([*now[:at], f"y{border}k{k}", *now[at + 1 :]]))
+    r.shuffle(rows)
+    sets = {J.node_id(s): s for s in (J.shingle_set(h) for _, h in word_blocks(pa.array(rows)))}
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").repartition(3)
+    probing, held, popular = defaultdict(set), defaultdict(set), {}
+    for x in J._Join(df, "doc_id", "text").buckets().collect():
+        held[x["node"]].add(x["sig"])
+        popular[x["node"]] = x["popular"]
+        if x["probes"]:
+            probing[x["node"]].add(x["sig"])
+    order = sorted(popular, key=lambda n: (-popular[n], n))
+    crossing = lost = 0
+    for a, b in combinations(order, 2):
+        if J.similar(sets[a], sets[b]):
+            crossing += len(sets[a]).bit_length() != len(sets[b]).bit_length()
+            lost += not probing[b] & held[a]
+    assert crossing > 1000 and not lost
+    got = {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in J.near_duplicates(df).collect()}
+    assert got == brute_components(rows)
+
+
 def test_passages_match_brute_force(spark):
     from talweg.llm import passages
 
