@@ -1,8 +1,10 @@
 """Toxic passages by maximum-scoring segments over token log-odds.
 
 Log-odds of a token between toxic and clean documents come from document counts with an informative
-Dirichlet prior (``PRIOR`` documents' worth of the pooled frequencies); tokens whose log-odds exceed
-``Z`` standard deviations form the lexicon, every other token costs ``DRIFT``.  A linear-time scan
+Dirichlet prior (``PRIOR`` documents' worth of the pooled frequencies); tokens that toxic documents
+hold more often by ``Z`` standard deviations, as the signed root of the likelihood ratio of the counts
+has it, form the lexicon, every other token costs ``DRIFT``.  The ratio needs no more documents of a
+rare token when the sample grows.  A linear-time scan
 finds all maximal segments of a text.  A segment of score S in a text of n tokens is expected
 K n exp(-lambda S) times by chance, with lambda and K from the clean documents' token frequencies
 (extreme-value statistics); segments expected less than ``EXPECTED`` times are significant passages.
@@ -150,6 +152,18 @@ def _chosen(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, key
     return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(parts[0].union(parts[1])), "k")
 
 
+def deviations(toxic: Column, clean: Column, n_t: int, n_c: int) -> Column:
+    """Signed root of the likelihood ratio of a token's document counts against equal shares in both classes."""
+
+    def part(seen: Column, row: Column, size: int) -> Column:
+        return F.when(seen > 0, seen * F.log(seen * (n_t + n_c) / (row * size))).otherwise(0.0)
+
+    held = toxic + clean
+    rest = F.lit(n_t + n_c) - held
+    ratio = part(toxic, held, n_t) + part(clean, held, n_c) + part(n_t - toxic, rest, n_t) + part(n_c - clean, rest, n_c)
+    return F.signum(toxic * n_c - clean * n_t) * F.sqrt(F.greatest(F.lit(0.0), 2 * ratio))
+
+
 def fitted(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", allowed: Column | None = None, key: str = "doc_id", text: str = "text", per_class: int = SAMPLE) -> Lexicon:
     rows = _chosen(docs, labels, label, F.lit(True) if allowed is None else allowed, key, text, per_class)
     n = {r["y"]: (r["n"], r["size"]) for r in rows.groupBy("y").agg(F.count("*").alias("n"), F.sum(F.length("t")).alias("size")).collect()}
@@ -161,7 +175,7 @@ def fitted(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", allowed:
     prior = (F.col("toxic") + F.col("clean")) * (PRIOR / (n_t + n_c))
     t, c = F.col("toxic") + prior, F.col("clean") + prior
     odds = F.log(t / (n_t + PRIOR - t)) - F.log(c / (n_c + PRIOR - c))
-    scored = counted.select("word", odds.alias("odds"), (odds / F.sqrt(1 / t + 1 / c)).alias("z"), (c / (n_c + PRIOR)).alias("clean_share"))
+    scored = counted.select("word", odds.alias("odds"), deviations(F.col("toxic"), F.col("clean"), n_t, n_c).alias("z"), (c / (n_c + PRIOR)).alias("clean_share"))
     lexicon = scored.where(F.col("z") >= Z).orderBy(F.desc("z"), "word").limit(LEXICON).collect()
     tokens_per_text = max(1.0, n[0][1] / n_c / 6)
     model = Lexicon({r["word"]: float(r["odds"]) for r in lexicon}, {r["word"]: float(r["clean_share"]) / tokens_per_text for r in lexicon})

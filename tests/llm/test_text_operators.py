@@ -228,6 +228,26 @@ def test_classifiers_hold_out(spark):
     assert out.agg(F.avg(((F.col("score") >= 0.3).cast("int") == F.col("toxic")).cast("double"))).first()[0] > 0.97
 
 
+def test_toxic_words_of_a_small_language_enter_the_lexicon(spark):
+    from talweg.llm import toxicity
+
+    r = random.Random(6)
+    rows, labels = [], []
+    for i in range(1200):
+        toxic, small = i % 6 == 0, i % 100 == 0 or i % 100 == 6
+        words = r.choices([f"{'s' if small else 'b'}{k}" for k in range(80)], k=60)
+        if toxic:
+            words[20:20] = ["malo", "feo", "vil"] if small else ["vile", "nasty", "awful"]
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fitted(docs, known)
+    few = sum(y for (i, y), (_, t) in zip(labels, rows, strict=True) if "malo" in t)
+    assert 4 <= few <= 20 and {"malo", "feo", "vil", "vile"} <= set(model.scores)
+    got = {x["doc_id"]: x["score"] for x in toxicity.scored(docs, model).collect()}
+    assert all((got[i] >= toxicity.THRESHOLD) == bool(y) for i, y in labels)
+
+
 def test_scores_do_not_depend_on_pieces(monkeypatch):
     from talweg.llm import quality
 
