@@ -9,8 +9,9 @@ class and id words, digits left out).  Over the host's different pages each node
 and a branch's importance is ``OWN`` of its own plus the rest of the mean of its children.  What says
 the same on every page scores near 0 and is removed as a branch below ``LOW``.  Presentation also
 has a part that is fixed by rule, since menus or adverts may change from page to page: elements made
-for navigation, headers, footers, sidebars, forms, scripts, and elements whose class, id or role
-names such a purpose have importance 0 everywhere; ``article`` and ``main`` are never removed by
+for navigation, headers, footers, sidebars, forms, scripts, and elements with a class, id or role made
+of such purposes' names alone have importance 0 everywhere, the latter only where they hold no
+``article`` or ``main`` and, on pages without those, at most half of the text; ``article`` and ``main`` are never removed by
 entropy.  A host with fewer than ``PAGES`` different pages is judged by rule alone.
 
 Statistics are aggregated in Spark by (host, node, value), with copies of a page counted once, so a
@@ -68,6 +69,7 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?=[\s=]|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*(?:\"[^\"]*|'[^']*)display\s*:\s*none)", re.I)
 WORD = re.compile(r"[a-z]+")
+NAME = re.compile(r"[a-z]+(?:[-_]+[a-z]+)*")
 
 
 def _hash(x: str) -> int:
@@ -75,49 +77,59 @@ def _hash(x: str) -> int:
 
 
 class _Element:
-    __slots__ = ("children", "dropped", "main", "path", "tag")
+    """``purpose``: the elements from the root to this one whose names tell a purpose, in force unless they hold the content."""
 
-    def __init__(self, tag: str, path: str, dropped: bool, main: bool):
-        self.tag, self.path, self.dropped, self.main, self.children = tag, path, dropped, main, []
+    __slots__ = ("children", "dropped", "holds", "main", "path", "purpose", "size", "tag")
+
+    def __init__(self, tag: str, path: str, dropped: bool, main: bool, purpose: tuple[_Element, ...] = ()):
+        self.tag, self.path, self.dropped, self.main, self.purpose, self.children = tag, path, dropped, main, purpose, []
+        self.holds, self.size = False, 0
 
 
 def _described(tag: str, attributes: str, parent: _Element) -> _Element:
     words: list[str] = []
-    role = ""
+    role, named = "", False
     if attributes and ("=" in attributes or "hidden" in attributes):
         for name, *values in ATTRIBUTE.findall(attributes):
             value = entities.unescape("".join(values)).lower()
             words += WORD.findall(value)
+            named = named or any(NAME.fullmatch(x) and PURPOSE.issuperset(WORD.findall(x)) for x in value.split())
             if name.lower() == "role":
                 role = value
-    main = parent.main or tag in MAIN or role == "main"
+    begins = tag in MAIN or role == "main"
+    main = parent.main or begins
     dropped = parent.dropped or tag in DROP or (tag == "header" and not parent.main)
     if not dropped and tag not in ("html", "body"):
-        dropped = (tag not in MAIN and not PURPOSE.isdisjoint(words)) or bool(attributes and HIDDEN.search(attributes))
+        dropped = bool(attributes and HIDDEN.search(attributes))
     style = ".".join([tag, *words])
-    return _Element(tag, f"{parent.path}/{style}", dropped, main)
+    e = _Element(tag, f"{parent.path}/{style}", dropped, main, parent.purpose)
+    if begins and not dropped:
+        for x in e.purpose:
+            x.holds = True
+    elif named and tag not in ("html", "body"):
+        e.purpose = (*e.purpose, e)
+    return e
 
 
 def blocks(html: str | None) -> tuple[list[tuple[str, str, bool]], list[tuple[str, str]]]:
     """Blocks (path, text, within main) that no rule drops, in page order, and (path, children) of elements."""
     root = _Element("", "", False, False)
     stack = [root]
-    out: list[tuple[str, str, bool]] = []
-    shapes: list[tuple[str, str]] = []
-    held: list[str] = []
+    found: list[tuple[_Element, list[tuple[str, _Element]]]] = []
+    shapes: list[tuple[_Element, str]] = []
+    held: list[tuple[str, _Element]] = []
     home = root
 
     def close_block() -> None:
         if held:
-            text = " ".join(entities.unescape("".join(held)).split())
+            if not home.dropped:
+                found.append((home, held.copy()))
             held.clear()
-            if text and not home.dropped:
-                out.append((home.path, text, home.main))
 
     def pop(n: int) -> None:
         for e in stack[n:]:
             if e.children and not e.dropped and e.tag not in INLINE:
-                shapes.append((e.path, " ".join(e.children)))
+                shapes.append((e, " ".join(e.children)))
         del stack[n:]
 
     html = html or ""
@@ -135,7 +147,7 @@ def blocks(html: str | None) -> tuple[list[tuple[str, str, bool]], list[tuple[st
                 if not held:
                     block = next(e for e in reversed(stack) if e.tag not in INLINE)
                     home = block
-                held.append(text)
+                held.append((text, top))
             continue
         tag = tag.lower()
         if slash:
@@ -154,7 +166,7 @@ def blocks(html: str | None) -> tuple[list[tuple[str, str, bool]], list[tuple[st
             at = end.end() if end else size
             continue
         if tag == "br":
-            held.append(" ") if held else None
+            held.append((" ", stack[-1])) if held else None
             continue
         if tag not in INLINE:
             close_block()
@@ -180,7 +192,24 @@ def blocks(html: str | None) -> tuple[list[tuple[str, str, bool]], list[tuple[st
         stack.append(e)
     close_block()
     pop(1)
-    return out, shapes
+    total, within_main = 0, False
+    for home, pieces in found:
+        within_main = within_main or (home.main and any(t.strip() for t, _ in pieces))
+        for text, e in pieces:
+            n = len(text.strip())
+            total += n
+            for x in e.purpose:
+                x.size += n
+
+    def in_force(e: _Element) -> bool:
+        return any(not x.holds and (within_main or 2 * x.size <= total) for x in e.purpose)
+
+    out: list[tuple[str, str, bool]] = []
+    for home, pieces in found:
+        text = " ".join(entities.unescape("".join(t for t, e in pieces if not in_force(e))).split())
+        if text:
+            out.append((home.path, text, home.main))
+    return out, [(e.path, children) for e, children in shapes if not in_force(e)]
 
 
 def host_column(url: Column) -> Column:

@@ -96,6 +96,17 @@ def test_html_blocks():
     assert [t for _, t, _ in blocks(html)[0]] == ["T & x", "ab c d e", "1", "2", "5 < 6 < 7 &am"]
 
 
+def test_html_names_of_a_purpose_do_not_take_the_content():
+    from talweg.llm.html_text import blocks
+
+    story = "a story that is told at length in these words"
+    for names in ("content has-sidebar", "no-sidebar", "search-results", "page-with-banner", "post widget", "social-post"):
+        html = f'<body><div class="{names}"><article><p>{story}</article></div><div class="widget">w</div>'
+        assert [t for _, t, _ in blocks(html)[0]] == [story], names
+        html = f'<body><div class="{names}"><p>{story}</p></div><div class="ad">buy</div><p id="notice-1">n</p>'
+        assert [t for _, t, _ in blocks(html)[0]] == [story, "n"], names
+
+
 def test_nearest_finds_almost_all(spark):
     from talweg.llm import ann
 
