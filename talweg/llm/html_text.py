@@ -7,7 +7,9 @@ class and id words, digits left out).  Over the host's different pages each node
 * content importance: the normalised entropy of the texts of its blocks;
 
 and a branch's importance is ``OWN`` of its own plus the rest of the mean of its children.  What says
-the same on every page scores near 0 and is removed as a branch below ``LOW``.  Presentation also
+the same on every page scores near 0 and is removed as a branch below ``LOW``.  A node with several
+constant lines a page never gets there, so a text is removed as well, within article and main too,
+where at least ``SHARE`` of the host's different pages say it at the same node.  Presentation also
 has a part that is fixed by rule, since menus or adverts may change from page to page: elements made
 for navigation, headers, footers, sidebars, forms, scripts, and elements with a class, id or role made
 of such purposes' names alone have importance 0 everywhere, the latter only where they hold no
@@ -39,6 +41,7 @@ from talweg.storage import stored
 OWN = 0.5
 LOW = 0.05
 PAGES = 5
+SHARE = 0.5
 BROADCAST_HOSTS = 50_000
 
 # Elements and words by purpose.
@@ -218,13 +221,13 @@ def host_column(url: Column) -> Column:
 
 
 def _style_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, page, path, parent, kind, value): what each page says and shows at each node, outside main."""
+    """(host, page, path, kind, value): what each page says and shows at each node (in main: "body"), and a row "page"."""
     for batch in batches:
         rows: list[tuple] = []
         for host, html in zip(batch.column("host").to_pylist(), (h.as_py() for h in batch.column("html")), strict=True):
             found, shapes = blocks(html)
             page = _hash("\n".join(t for _, t, _ in found))
-            seen = {(p, "text", _hash(t)) for p, t, main in found if not main}
+            seen = {(p, "body" if main else "text", _hash(t)) for p, t, main in found} | {("", "page", 0)}
             seen |= {(p, "shape", _hash(c)) for p, c in shapes if "/article" not in p and "/main" not in p}
             rows += [(host, page, p, k, v) for p, k, v in seen]
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
@@ -255,29 +258,38 @@ def low_branches(nodes: list[tuple[str, str, float]]) -> list[str]:
 
 def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        low = [low_branches([(n["path"], n["kind"], n["entropy"]) for n in nodes]) for nodes in batch.column("nodes").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(low, pa.list_(pa.string()))], ["host", "low"])
+        low, common = [], []
+        for nodes in batch.column("nodes").to_pylist():
+            low.append(low_branches([(n["path"], n["kind"], n["entropy"]) for n in nodes if n["value"] is None]))
+            common.append([{"path": n["path"], "value": n["value"]} for n in nodes if n["value"] is not None])
+        kind = pa.list_(pa.struct([("path", pa.string()), ("value", pa.int64())]))
+        yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(low, pa.list_(pa.string())), pa.array(common, kind)], ["host", "low", "common"])
 
 
 def style_trees(pages: DataFrame) -> DataFrame:
-    """(host, low): the branches to remove, for hosts that have any."""
+    """(host, low, common): the branches and the texts at a node to remove, for hosts that have any."""
     seen = pages.select(host_column(F.col("url")).alias("host"), "html").mapInArrow(_style_nodes, "host string, page bigint, path string, kind string, value bigint").distinct()
     counted = seen.groupBy("host", "path", "kind", "value").agg(F.count("*").alias("c"))
-    spread = counted.groupBy("host", "path", "kind").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log("c")).alias("s"))
+    spread = counted.where("kind IN ('text', 'shape')").groupBy("host", "path", "kind").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log("c")).alias("s"))
     entropy = (F.log("m") - F.col("s") / F.col("m")) / F.log("m")
-    spread = spread.where(F.col("m") >= PAGES).select("host", F.struct("path", "kind", entropy.alias("entropy")).alias("node"))
-    hosts = spread.groupBy("host").agg(F.collect_list("node").alias("nodes"))
-    return hosts.mapInArrow(_trees, "host string, low array<string>").where(F.size("low") > 0)
+    spread = spread.where(F.col("m") >= PAGES).select("host", F.struct("path", "kind", entropy.alias("entropy"), F.lit(None).cast("long").alias("value")).alias("node"))
+    pages_of = counted.where(f"kind = 'page' AND c >= {PAGES}").select("host", F.col("c").alias("pages"))
+    often = counted.where(f"kind IN ('text', 'body') AND c >= {PAGES * SHARE}").join(pages_of, "host").where(f"c >= {SHARE} * pages")
+    often = often.select("host", F.struct("path", "kind", F.lit(0.0).alias("entropy"), "value").alias("node"))
+    hosts = spread.union(often).groupBy("host").agg(F.collect_list("node").alias("nodes"))
+    return hosts.mapInArrow(_trees, "host string, low array<string>, common array<struct<path:string,value:bigint>>").where("size(low) > 0 OR size(common) > 0")
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, n, removed = [], [], []
-        for html, low in zip((h.as_py() for h in batch.column("html")), batch.column("low").to_pylist(), strict=True):
+        sides = (batch.column(c).to_pylist() for c in ("low", "common"))
+        for html, low, common in zip((h.as_py() for h in batch.column("html")), *sides, strict=True):
             found, _ = blocks(html)
+            often = {(x["path"], x["value"]) for x in common or ()}
             keep, gone = [], 0
             for path, text, main in found:
-                if low and not main and any(path == p or path.startswith(p + "/") for p in low):
+                if (low and not main and any(path == p or path.startswith(p + "/") for p in low)) or (often and (path, _hash(text)) in often):
                     gone += 1
                 else:
                     keep.append(text)
@@ -296,7 +308,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     side = F.broadcast(trees) if trees.count() <= BROADCAST_HOSTS else trees
     rows = pages.select("page_id", "url", "html").withColumn("host", host_column(F.col("url"))).join(side, "host", "left")
     kind = dict(pages.dtypes)["page_id"]
-    return rows.select("page_id", "url", "html", "low").mapInArrow(_extracted, f"page_id {kind}, url string, text string, n_chars bigint, n_removed bigint")
+    return rows.select("page_id", "url", "html", "low", "common").mapInArrow(_extracted, f"page_id {kind}, url string, text string, n_chars bigint, n_removed bigint")
 
 
 def op6_html(spark, sf_dir: str) -> DataFrame:

@@ -96,6 +96,15 @@ def test_html_blocks():
     assert [t for _, t, _ in blocks(html)[0]] == ["T & x", "ab c d e", "1", "2", "5 < 6 < 7 &am"]
 
 
+def test_lines_that_most_pages_say_are_removed(spark):
+    from talweg.llm import html_text
+
+    menu = "<div><ul>" + "".join(f"<li>Item {x}</li>" for x in "abcdef") + "</ul></div>"
+    pages = [(i, f"http://a.org/{i}", f"<body>{menu}<article><p>Story {i} of {i * 7}</p><p>Read this first</p><p>All rights kept</p></article>") for i in range(12)]
+    got = {r["page_id"]: r["text"] for r in html_text.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Story {i} of {i * 7}" for i in range(12)}
+
+
 def test_html_names_of_a_purpose_do_not_take_the_content():
     from talweg.llm.html_text import blocks
 
