@@ -15,11 +15,17 @@ its partners may reach into the next band, there too.  Allocation by cost:
   pair the one that comes later in a fixed order finds the other by the H + 1 it still probes.  A
   bucket in which nobody probes is left out.
 
-Buckets are not expanded into pairs.  In each bucket the first members (1, then 16, 256, ...) are
-compared with the rest, members already in one component with them excepted, until no bucket holds
-an untried pair from two components: components are exact, and a group of n copies costs about n
-comparisons.  Comparisons first bound the difference by counts per hash bin and then intersect the
-sets.
+Buckets are not expanded into pairs.  In each bucket the first member leads and is compared with the
+rest; members of one component need no comparison among themselves, so a group of n copies costs
+about n.  What is left of buckets with up to ``LEADERS`` + 1 members is compared member by member.
+In a larger one most members come from one text and differ from the leader L by little: what counts
+between two of them is D, their symmetric difference with L, as |t ^ u| = |D_t ^ D_u|.  Two similar
+members share (|D_t| + |D_u| - (|t| + |u|) / 9) / 2 elements of D, so they meet on one of the rarest
+elements of either, and since one of them at least is not similar to L, more than four ninths of the
+other's D must be shared: the elements that a copy merely lost are met by few.  The buckets of these
+elements are compared by leaders in turn (1, 16, 256, ...), with the exact overlap that a pair needs
+at its places in both orders, until none holds an untried pair from two components.  Components are
+exact.  Comparisons of whole sets first bound the difference by counts per hash bin.
 
 Copies are one node from the start: equal sets have equal 64-bit ids (collisions need about 2^32
 different documents; shingles and sets are compared by hashes of 64 bits too).
@@ -271,11 +277,104 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
+def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Symmetric difference of each member's set ``y`` with its leader's set ``x``."""
+    for batch in batches:
+        lead, node, n, of_lead, items, size = [], [], [], [], [], 0
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array(lead, pa.int64()), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(of_lead, pa.int64()), pa.array(items, pa.list_(pa.int64()))],
+                ["lead", "node", "n", "n_lead", "items"],
+            )
+
+        for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
+            x, y = np.frombuffer(x.as_buffer(), dtype=_U), np.frombuffer(y.as_buffer(), dtype=_U)
+            d = np.setxor1d(x, y, assume_unique=True).view(np.int64)
+            lead.append(batch.column("lead")[i].as_py())
+            node.append(batch.column("node")[i].as_py())
+            n.append(len(y))
+            of_lead.append(len(x))
+            items.append(d)
+            size += len(d)
+            if size > 500_000:
+                yield out()
+                lead, node, n, of_lead, items, size = [], [], [], [], [], 0
+        if lead:
+            yield out()
+
+
+_PART = ("node", "comp", "n", "d", "pos", "probes", "holds")
+
+
+def _compare_parts(lo: int, hi: int):
+    """Like ``_compare`` for buckets of difference elements: rows (lead, a, b).
+
+    ``pos`` is the element's place in the order of the row's own difference of ``d`` elements; of a
+    pair one must probe and the other hold, and the element must stand early enough in both for the
+    overlap that the pair needs.  Held between batches: the bucket's leaders, ``hi - lo`` at most.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rank, leaders = None, 0, None
+        for batch in batches:
+            key = np.stack([batch.column(c).to_numpy() for c in ("lead", "e")])
+            rows = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in _PART}
+            n = key.shape[1]
+            if not n:
+                continue
+            cuts = np.concatenate(([0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1, [n]))
+            lead, a, b, size = [], [], [], 0
+            for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
+                here = (int(key[0, begin]), int(key[1, begin]))
+                if here != now:
+                    now, rank, leaders = here, 0, None
+                part = {c: x[begin:end] for c, x in rows.items()}
+                ranks = np.arange(rank, rank + end - begin)
+                mine = (ranks >= lo) & (ranks < hi)
+                if mine.any():
+                    add = {c: x[mine] for c, x in part.items()} | {"rank": ranks[mine]}
+                    leaders = add if leaders is None else {c: np.concatenate((leaders[c], x)) for c, x in add.items()}
+                rank += end - begin
+                if leaders is None:
+                    continue
+                step = max(1, 1_000_000 // len(leaders["rank"]))
+                for at in range(0, end - begin, step):
+                    x = {c: v[None, :] for c, v in leaders.items()}
+                    y = {c: v[at : at + step, None] for c, v in part.items()}
+                    need = np.maximum(1, -((x["n"] + y["n"] - 9 * (x["d"] + y["d"])) // 18))
+                    ok = (x["rank"] < ranks[at : at + step, None]) & (x["comp"] != y["comp"])
+                    ok &= (x["probes"] & y["holds"]) | (x["holds"] & y["probes"])
+                    ok &= (x["pos"] + need <= x["d"] + 1) & (y["pos"] + need <= y["d"] + 1)
+                    ok &= 5 * np.minimum(x["n"], y["n"]) >= 4 * np.maximum(x["n"], y["n"])
+                    j, i = np.nonzero(ok)
+                    a.append(leaders["node"][i])
+                    b.append(part["node"][at + j])
+                    lead.append(np.full(len(i), now[0], dtype=np.int64))
+                    size += len(i)
+                    if size > 100_000:
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (lead, a, b)], ["lead", "a", "b"])
+                        lead, a, b, size = [], [], [], 0
+            if size:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (lead, a, b)], ["lead", "a", "b"])
+
+    return run
+
+
+def _verified_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sizes = [int(x) for x in np.add(batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy())]
+        sides = zip(batch.column("x"), batch.column("y"), sizes, strict=True)
+        ok = [9 * len(np.setxor1d(x.values.to_numpy(), y.values.to_numpy(), assume_unique=True)) <= n for x, y, n in sides]
+        yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+
 class _Join:
     def __init__(self, docs: DataFrame, key: str, text: str):
         self.spark = docs.sparkSession
         self.docs = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).where("id IS NOT NULL")
-        self.known = stored(self.docs.mapInArrow(_describe, "id bigint, node bigint, n bigint, sketch binary"), "ngram-docs")
+        kind = self.docs.schema["id"].dataType.simpleString()
+        self.known = stored(self.docs.mapInArrow(_describe, f"id {kind}, node bigint, n bigint, sketch binary"), "ngram-docs")
         first = F.min(F.struct("id", "n", "sketch")).alias("f")
         self.nodes = self.known.where("n > 0").groupBy("node").agg(first)
         self.nodes = stored(self.nodes.select("node", F.col("f.id").alias("id"), F.col("f.n").alias("n"), F.col("f.sketch").alias("sketch")), "ngram-nodes")
@@ -322,43 +421,92 @@ class _Join:
         both = pairs.join(left, "a").join(right, "b").where("5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)")
         return both.select("a", "b", "shared", "n_a", "n_b", "s_a", "s_b").mapInArrow(_bounded, "a bigint, b bigint, shared bigint")
 
+    def joined(self, edges: DataFrame, new: DataFrame) -> DataFrame:
+        """``edges`` with new ones, and the components of all in ``self.parts``."""
+        edges = edges.union(new.select("a", "b"))
+        self.parts = stored(connected_components(edges), "ngram-parts")
+        return edges
+
+    def with_component(self, rows: DataFrame, node: str = "node", name: str = "comp") -> DataFrame:
+        p = self.parts.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
+        return rows.join(p, rows[node] == p["_n"], "left").withColumn(name, F.coalesce("_c", node)).drop("_n", "_c")
+
     def links(self) -> DataFrame:
         """Verified links enough to connect every component; rows (a, b) of nodes."""
         buckets = self.buckets()
+        self.parts = self.spark.createDataFrame([], "node bigint, component bigint")
         edges = self.spark.createDataFrame([], "a bigint, b bigint")
-        parts = self.spark.createDataFrame([], "node bigint, component bigint")
+        first = buckets.withColumn("comp", F.col("node")).repartition("sig").sortWithinPartitions("sig", F.desc("popular"), "node")
+        found = stored(self.plausible(first.mapInArrow(_compare(0, 1), "a bigint, b bigint")), "ngram-pairs")
+        # For each node the partner with which it shares most; then what is left between components.
+        best = found.select("a", "b", "shared", F.explode(F.array("a", "b")).alias("end"))
+        best = best.groupBy("end").agg(F.max(F.struct("shared", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
+        edges = self.joined(edges, stored(self.check(best), "ngram-edges"))
+        rest = self.with_component(self.with_component(found, "a", "c_a"), "b", "c_b").where("c_a <> c_b")
+        rest = stored(rest.select("a", "b").join(best, ["a", "b"], "left_anti"), "ngram-rest")
+        edges = self.joined(edges, stored(self.check(rest), "ngram-new"))
+        open_ = self.with_component(buckets)
+        per = open_.groupBy("sig").agg(
+            F.count("*").alias("n"), F.min("comp").alias("c"), F.max("comp").alias("d"), F.max_by("node", F.struct("popular", -F.col("node"))).alias("lead")
+        )
+        left = stored(per.where("n > 2 AND c <> d").select("sig", "n", "lead"), "ngram-left")
+        few = open_.join(left.where(F.col("n") <= LEADERS + 1).select("sig"), "sig", "left_semi")
+        few = few.repartition("sig").sortWithinPartitions("sig", F.desc("popular"), "node")
+        found = stored(self.plausible(few.mapInArrow(_compare(1, LEADERS), "a bigint, b bigint")), "ngram-pairs")
+        edges = self.joined(edges, stored(self.check(found), "ngram-new"))
+        many = left.where(F.col("n") > LEADERS + 1)
+        members = buckets.join(many.select("sig", "lead"), "sig").where("node <> lead").groupBy("lead", "node").agg(F.max("popular").alias("popular"))
+        return self.links_by_difference(edges, stored(members, "ngram-members"))
+
+    def links_by_difference(self, edges: DataFrame, members: DataFrame) -> DataFrame:
+        """``edges`` and those between members (lead, node, popular) of one leader in different components."""
+        if members.isEmpty():
+            return edges
+        ends = members.select(F.col("lead").alias("a"), F.col("node").alias("b"))
+        sets = stored(self.sets_of(ends), "ngram-sets")
+        both = members.select("lead", "node").join(sets.select("node", F.col("items").alias("y")), "node")
+        both = both.join(sets.select(F.col("node").alias("lead"), F.col("items").alias("x")), "lead")
+        parts = both.select("lead", "node", "x", "y").mapInArrow(_differences, "lead bigint, node bigint, n bigint, n_lead bigint, items array<bigint>")
+        parts = stored(parts.withColumn("d", F.size("items").cast("long")), "ngram-differences")
+        edges = self.joined(edges, stored(parts.where("9 * d <= n + n_lead").select(F.col("lead").alias("a"), F.col("node").alias("b")), "ngram-new"))
+        # Of two members in different components one at least is outside the leader's: that one probes.
+        tagged = self.with_component(self.with_component(parts.select("lead", "node", "n", "n_lead", "d"), "lead", "of_lead"))
+        tagged = stored(tagged.withColumn("probes", F.col("comp") != F.col("of_lead")).drop("comp", "of_lead"), "ngram-tagged")
+        spread = tagged.join(parts.select("lead", "node", "items"), ["lead", "node"])
+        spread = spread.select("lead", "node", "n", "n_lead", "d", "probes", F.explode("items").alias("e"))
+        counted = spread.groupBy("lead", "e").agg(F.count("*").alias("held"), F.max("probes").alias("asked")).where("held > 1 AND asked")
+        shared = spread.join(counted.select("lead", "e", "held"), ["lead", "e"])
+        # Elements that meet nobody come first in each order, then the others, rare ones first.
+        own = Window.partitionBy("lead", "node")
+        shared = shared.withColumn("pos", F.col("d") - F.count("*").over(own) + F.row_number().over(own.orderBy("held", "e")))
+        least = F.floor((9 * F.col("d") + F.col("n_lead") - F.col("n")) / 18)
+        shared = shared.withColumn("holds", F.col("pos") <= F.col("d") - least)
+        reach = F.col("d") - F.greatest(F.lit(1), F.ceil(F.col("d") - F.col("n") / 4)) + 1
+        shared = shared.withColumn("probes", F.col("probes") & (F.col("pos") <= reach)).where("holds OR probes")
+        shared = shared.join(members, ["lead", "node"]).select("lead", "e", "node", "n", "d", "pos", "probes", "holds", "popular")
+        shared = stored(shared, "ngram-shared")
+        x = parts.select("lead", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("items").alias("x"))
+        y = parts.select("lead", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("items").alias("y"))
         lo, hi = 0, 1
         while True:
-            here = buckets.join(parts, "node", "left").select("sig", "node", "probes", "popular", F.coalesce("component", "node").alias("comp"))
-            if lo:
-                per = here.groupBy("sig").agg(F.count("*").alias("n"), F.min("comp").alias("c"), F.max("comp").alias("d"))
-                left = stored(per.where(f"n > {lo + 1} AND c <> d").select("sig"), "ngram-left")
-                if left.isEmpty():
-                    return edges
-                here = here.join(left, "sig", "left_semi")
-            order = here.repartition("sig").sortWithinPartitions("sig", F.desc("popular"), "node")
-            found = stored(self.plausible(order.mapInArrow(_compare(lo, hi), "a bigint, b bigint")), "ngram-pairs")
-            if not lo:
-                # For each node the partner with which it shares most; then what is left between components.
-                best = found.select("a", "b", "shared", F.explode(F.array("a", "b")).alias("end"))
-                best = best.groupBy("end").agg(F.max(F.struct("shared", "a", "b")).alias("m")).select("m.a", "m.b").distinct()
-                edges = stored(self.check(best), "ngram-edges")
-                parts = stored(connected_components(edges), "ngram-parts")
-                p, q = (parts.select(F.col("node").alias(c), F.col("component").alias(f"c_{c}")) for c in "ab")
-                found = found.join(p, "a", "left").join(q, "b", "left").where("coalesce(c_a, a) <> coalesce(c_b, b)")
-                found = stored(found.select("a", "b").join(best, ["a", "b"], "left_anti"), "ngram-rest")
-            new = stored(self.check(found), "ngram-new")
-            if not new.isEmpty():
-                edges = edges.union(new)
-                parts = stored(connected_components(edges), "ngram-parts")
+            here = self.with_component(shared)
+            per = here.groupBy("lead", "e").agg(F.count("*").alias("m"), F.min("comp").alias("c"), F.max("comp").alias("z"))
+            left = stored(per.where(f"m > {lo + 1} AND c <> z").select("lead", "e"), "ngram-left")
+            if left.isEmpty():
+                return edges
+            here = here.join(left, ["lead", "e"], "left_semi").select("lead", "e", "popular", *_PART)
+            order = here.repartition("lead", "e").sortWithinPartitions("lead", "e", F.desc("popular"), "node")
+            pairs = order.mapInArrow(_compare_parts(lo, hi), "lead bigint, a bigint, b bigint").distinct()
+            tried = pairs.join(x, ["lead", "a"]).join(y, ["lead", "b"]).select("a", "b", "n_a", "n_b", "x", "y")
+            edges = self.joined(edges, stored(tried.mapInArrow(_verified_parts, "a bigint, b bigint"), "ngram-new"))
             lo, hi = hi, LEADERS * hi + 1
 
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per row of ``docs`` with an id: key, n_shingles, component_id (smallest linked key)."""
     join = _Join(docs, key, text)
-    parts = stored(connected_components(join.links()), "ngram-parts")
-    named = join.nodes.join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("class"), "id")
+    join.links()
+    named = join.nodes.join(join.parts, "node", "left").select("node", F.coalesce("component", "node").alias("class"), "id")
     smallest = named.groupBy("class").agg(F.min("id").alias("component_id"))
     named = named.join(smallest, "class").select("node", "component_id")
     out = join.known.where("n > 0").join(named, "node").select("id", "n", "component_id")
