@@ -18,14 +18,22 @@ its partners may reach into the next band, there too.  Allocation by cost:
 Buckets are not expanded into pairs.  In each bucket the first member leads and is compared with the
 rest; members of one component need no comparison among themselves, so a group of n copies costs
 about n.  What is left of buckets with up to ``LEADERS`` + 1 members is compared member by member.
-In a larger one most members come from one text and differ from the leader L by little: what counts
-between two of them is D, their symmetric difference with L, as |t ^ u| = |D_t ^ D_u|.  Two similar
-members share (|D_t| + |D_u| - (|t| + |u|) / 9) / 2 elements of D, so they meet on one of the rarest
-elements of either, and since one of them at least is not similar to L, more than four ninths of the
-other's D must be shared: the elements that a copy merely lost are met by few.  The buckets of these
-elements are compared by leaders in turn (1, 16, 256, ...), with the exact overlap that a pair needs
-at its places in both orders, until none holds an untried pair from two components.  Components are
-exact.  Comparisons of whole sets first bound the difference by counts per hash bin.
+In a larger one the members are compared by rare elements, of two kinds:
+
+* members that differ from the leader L by at most three quarters of their size mostly come from one
+  text.  What counts between two of them is D, their symmetric difference with L, as
+  |t ^ u| = |D_t ^ D_u|.  Two similar ones share (|D_t| + |D_u| - (|t| + |u|) / 9) / 2 elements of D,
+  and since one of them at least is not similar to L, more than four ninths of the other's D: they
+  meet on the rarest elements of D, not on those that copies merely lost;
+* members that differ from L by more than two fifths share a passage with it and no more.  They meet on
+  the rarest fifth of their own elements; from ``WIDE`` shingles on a fixed quarter of the universe is
+  enough, as two similar sets cannot differ on all of it (a set with too little there is compared
+  with all of its group).
+
+Two similar sets are both of the first kind or both of the second.  The buckets of rare elements are
+compared by leaders in turn (1, 16, 256, ...), with the overlap that a pair needs at its places in
+both orders, until none holds an untried pair from two components.  Components are exact.
+Comparisons of whole sets first bound the difference by counts per hash bin.
 
 Copies are one node from the start: equal sets have equal 64-bit ids (collisions need about 2^32
 different documents; shingles and sets are compared by hashes of 64 bits too).
@@ -52,6 +60,7 @@ from talweg.storage import stored
 WORDS = 5
 DEAR = 64
 LEADERS = 16
+WIDE = 256
 BROADCAST_IDS = 1_000_000
 _U = np.uint64
 
@@ -277,56 +286,64 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
-def _differences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Symmetric difference of each member's set ``y`` with its leader's set ``x``."""
-    for batch in batches:
-        lead, node, n, of_lead, items, size = [], [], [], [], [], 0
+NEAR, WHOLE, QUARTER = 0, 1, 2
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array(lead, pa.int64()), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(of_lead, pa.int64()), pa.array(items, pa.list_(pa.int64()))],
-                ["lead", "node", "n", "n_lead", "items"],
-            )
 
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What each member's set ``y`` is compared by, given its leader's set ``x``: rows of the kinds above.
+
+    ``far`` is the size of the symmetric difference of the two sets.
+    """
+    names = ["lead", "node", "kind", "n", "n_lead", "far", "items"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+    for batch in batches:
+        rows: list[tuple] = []
+        size = 0
         for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
             x, y = np.frombuffer(x.as_buffer(), dtype=_U), np.frombuffer(y.as_buffer(), dtype=_U)
-            d = np.setxor1d(x, y, assume_unique=True).view(np.int64)
-            lead.append(batch.column("lead")[i].as_py())
-            node.append(batch.column("node")[i].as_py())
-            n.append(len(y))
-            of_lead.append(len(x))
-            items.append(d)
-            size += len(d)
+            d = np.setxor1d(x, y, assume_unique=True)
+            n = len(y)
+            kept = []
+            if 4 * len(d) <= 3 * n:
+                kept.append((NEAR, d))
+            if 5 * len(d) > 2 * n:
+                if n < WIDE:
+                    kept.append((WHOLE, y))
+                if 5 * n >= 4 * WIDE:
+                    kept.append((QUARTER, y[y < _U(1 << 62)]))
+            for kind, items in kept:
+                rows.append((batch.column("lead")[i].as_py(), batch.column("node")[i].as_py(), kind, n, len(x), len(d), items.view(np.int64)))
+                size += len(items)
             if size > 500_000:
-                yield out()
-                lead, node, n, of_lead, items, size = [], [], [], [], [], 0
-        if lead:
-            yield out()
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
-_PART = ("node", "comp", "n", "d", "pos", "probes", "holds")
+_PART = ("node", "comp", "n", "size", "pos", "probes", "holds")
 
 
 def _compare_parts(lo: int, hi: int):
-    """Like ``_compare`` for buckets of difference elements: rows (lead, a, b).
+    """Like ``_compare`` for buckets of rare elements: pairs (a, b).
 
-    ``pos`` is the element's place in the order of the row's own difference of ``d`` elements; of a
-    pair one must probe and the other hold, and the element must stand early enough in both for the
-    overlap that the pair needs.  Held between batches: the bucket's leaders, ``hi - lo`` at most.
+    ``pos`` is the element's place in the order of the row's own ``size`` elements; of a pair one
+    must probe and the other hold, and the element must stand early enough in both for the overlap
+    that the pair needs.  Held between batches: the bucket's leaders, ``hi - lo`` at most.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rank, leaders = None, 0, None
         for batch in batches:
-            key = np.stack([batch.column(c).to_numpy() for c in ("lead", "e")])
+            key = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("lead", "kind", "e")])
             rows = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in _PART}
             n = key.shape[1]
             if not n:
                 continue
             cuts = np.concatenate(([0], np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1, [n]))
-            lead, a, b, size = [], [], [], 0
+            a, b, size = [], [], 0
             for begin, end in zip(cuts[:-1], cuts[1:], strict=True):
-                here = (int(key[0, begin]), int(key[1, begin]))
+                here = tuple(key[:, begin].tolist())
                 if here != now:
                     now, rank, leaders = here, 0, None
                 part = {c: x[begin:end] for c, x in rows.items()}
@@ -342,33 +359,24 @@ def _compare_parts(lo: int, hi: int):
                 for at in range(0, end - begin, step):
                     x = {c: v[None, :] for c, v in leaders.items()}
                     y = {c: v[at : at + step, None] for c, v in part.items()}
-                    need = np.maximum(1, -((x["n"] + y["n"] - 9 * (x["d"] + y["d"])) // 18))
+                    need = np.maximum(1, -((x["n"] + y["n"] - 9 * (x["size"] + y["size"])) // 18))
                     ok = (x["rank"] < ranks[at : at + step, None]) & (x["comp"] != y["comp"])
                     ok &= (x["probes"] & y["holds"]) | (x["holds"] & y["probes"])
-                    ok &= (x["pos"] + need <= x["d"] + 1) & (y["pos"] + need <= y["d"] + 1)
+                    ok &= (x["pos"] + need <= x["size"] + 1) & (y["pos"] + need <= y["size"] + 1)
                     ok &= 5 * np.minimum(x["n"], y["n"]) >= 4 * np.maximum(x["n"], y["n"])
                     j, i = np.nonzero(ok)
                     a.append(leaders["node"][i])
                     b.append(part["node"][at + j])
-                    lead.append(np.full(len(i), now[0], dtype=np.int64))
                     size += len(i)
                     if size > 100_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (lead, a, b)], ["lead", "a", "b"])
-                        lead, a, b, size = [], [], [], 0
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (a, b)], ["a", "b"])
+                        a, b, size = [], [], 0
             if size:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (lead, a, b)], ["lead", "a", "b"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (a, b)], ["a", "b"])
 
     return run
 
 
-def _verified_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sizes = [int(x) for x in np.add(batch.column("n_a").to_numpy(), batch.column("n_b").to_numpy())]
-        sides = zip(batch.column("x"), batch.column("y"), sizes, strict=True)
-        ok = [9 * len(np.setxor1d(x.values.to_numpy(), y.values.to_numpy(), assume_unique=True)) <= n for x, y, n in sides]
-        yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-
 class _Join:
     def __init__(self, docs: DataFrame, key: str, text: str):
         self.spark = docs.sparkSession
@@ -405,9 +413,9 @@ class _Join:
         made = texts.mapInArrow(_whole_sets, "node bigint, items binary")
         return made.groupBy("node").agg(F.first("items").alias("items"))
 
-    def check(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that are similar."""
-        sets = stored(self.sets_of(pairs), "ngram-sets")
+    def check(self, pairs: DataFrame, sets: DataFrame | None = None) -> DataFrame:
+        """The pairs (a, b) that are similar; ``sets`` (node, items) are made where they are not given."""
+        sets = stored(self.sets_of(pairs), "ngram-sets") if sets is None else sets
         x = sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
         y = sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
         return pairs.select("a", "b").join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verified, "a bigint, b bigint")
@@ -456,9 +464,9 @@ class _Join:
         edges = self.joined(edges, stored(self.check(found), "ngram-new"))
         many = left.where(F.col("n") > LEADERS + 1)
         members = buckets.join(many.select("sig", "lead"), "sig").where("node <> lead").groupBy("lead", "node").agg(F.max("popular").alias("popular"))
-        return self.links_by_difference(edges, stored(members, "ngram-members"))
+        return self.links_by_rare_elements(edges, stored(members, "ngram-members"))
 
-    def links_by_difference(self, edges: DataFrame, members: DataFrame) -> DataFrame:
+    def links_by_rare_elements(self, edges: DataFrame, members: DataFrame) -> DataFrame:
         """``edges`` and those between members (lead, node, popular) of one leader in different components."""
         if members.isEmpty():
             return edges
@@ -466,39 +474,41 @@ class _Join:
         sets = stored(self.sets_of(ends), "ngram-sets")
         both = members.select("lead", "node").join(sets.select("node", F.col("items").alias("y")), "node")
         both = both.join(sets.select(F.col("node").alias("lead"), F.col("items").alias("x")), "lead")
-        parts = both.select("lead", "node", "x", "y").mapInArrow(_differences, "lead bigint, node bigint, n bigint, n_lead bigint, items array<bigint>")
-        parts = stored(parts.withColumn("d", F.size("items").cast("long")), "ngram-differences")
-        edges = self.joined(edges, stored(parts.where("9 * d <= n + n_lead").select(F.col("lead").alias("a"), F.col("node").alias("b")), "ngram-new"))
-        # Of two members in different components one at least is outside the leader's: that one probes.
-        tagged = self.with_component(self.with_component(parts.select("lead", "node", "n", "n_lead", "d"), "lead", "of_lead"))
-        tagged = stored(tagged.withColumn("probes", F.col("comp") != F.col("of_lead")).drop("comp", "of_lead"), "ngram-tagged")
-        spread = tagged.join(parts.select("lead", "node", "items"), ["lead", "node"])
-        spread = spread.select("lead", "node", "n", "n_lead", "d", "probes", F.explode("items").alias("e"))
-        counted = spread.groupBy("lead", "e").agg(F.count("*").alias("held"), F.max("probes").alias("asked")).where("held > 1 AND asked")
-        shared = spread.join(counted.select("lead", "e", "held"), ["lead", "e"])
+        fields = "lead bigint, node bigint, kind int, n bigint, n_lead bigint, far bigint, items array<bigint>"
+        parts = stored(both.select("lead", "node", "x", "y").mapInArrow(_elements, fields), "ngram-elements")
+        near = parts.where(f"kind = {NEAR}")
+        edges = self.joined(edges, stored(near.where("9 * far <= n + n_lead").select(F.col("lead").alias("a"), F.col("node").alias("b")), "ngram-new"))
+        # Of two near members in different components one at least is outside the leader's: that one probes.
+        tagged = self.with_component(self.with_component(parts, "lead", "of_lead")).withColumn("size", F.size("items").cast("long"))
+        outside = (F.col("comp") != F.col("of_lead")) | (F.col("kind") != NEAR)
+        spread = tagged.select("lead", "kind", "node", "n", "n_lead", "size", outside.alias("probes"), F.explode("items").alias("e"))
+        counted = spread.groupBy("lead", "kind", "e").agg(F.count("*").alias("held"), F.max("probes").alias("asked")).where("held > 1 AND asked")
+        shared = spread.join(counted.select("lead", "kind", "e", "held"), ["lead", "kind", "e"])
         # Elements that meet nobody come first in each order, then the others, rare ones first.
-        own = Window.partitionBy("lead", "node")
-        shared = shared.withColumn("pos", F.col("d") - F.count("*").over(own) + F.row_number().over(own.orderBy("held", "e")))
-        least = F.floor((9 * F.col("d") + F.col("n_lead") - F.col("n")) / 18)
-        shared = shared.withColumn("holds", F.col("pos") <= F.col("d") - least)
-        reach = F.col("d") - F.greatest(F.lit(1), F.ceil(F.col("d") - F.col("n") / 4)) + 1
-        shared = shared.withColumn("probes", F.col("probes") & (F.col("pos") <= reach)).where("holds OR probes")
-        shared = shared.join(members, ["lead", "node"]).select("lead", "e", "node", "n", "d", "pos", "probes", "holds", "popular")
+        own = Window.partitionBy("lead", "kind", "node")
+        shared = shared.withColumn("pos", F.col("size") - F.count("*").over(own) + F.row_number().over(own.orderBy("held", "e")))
+        fifth = F.floor(F.col("n") / 5) + 1
+        least = F.floor((9 * F.col("size") + F.col("n_lead") - F.col("n")) / 18)
+        holds = F.col("pos") <= F.when(F.col("kind") == NEAR, F.col("size") - least).otherwise(fifth)
+        reach = F.when(F.col("kind") == NEAR, F.col("size") - F.greatest(F.lit(1), F.ceil(F.col("size") - F.col("n") / 4)) + 1).otherwise(fifth)
+        shared = shared.withColumn("holds", holds).withColumn("probes", F.col("probes") & (F.col("pos") <= reach)).where("holds OR probes")
+        shared = shared.join(members, ["lead", "node"]).select("lead", "kind", "e", "node", "n", "size", "pos", "probes", "holds", "popular")
         shared = stored(shared, "ngram-shared")
-        x = parts.select("lead", F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("items").alias("x"))
-        y = parts.select("lead", F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("items").alias("y"))
+        quarters = parts.where(f"kind = {QUARTER}").select("lead", "node", "n", F.size("items").alias("size"))
+        scant = quarters.where("9 * size <= n").select("lead", F.col("node").alias("a"), F.col("n").alias("n_scant"))
+        pairs = scant.join(quarters, "lead").where("node <> a AND 5 * least(n, n_scant) >= 4 * greatest(n, n_scant)").select("a", F.col("node").alias("b"))
+        edges = self.joined(edges, stored(self.check(self.plausible(pairs), sets), "ngram-new"))
         lo, hi = 0, 1
         while True:
             here = self.with_component(shared)
-            per = here.groupBy("lead", "e").agg(F.count("*").alias("m"), F.min("comp").alias("c"), F.max("comp").alias("z"))
-            left = stored(per.where(f"m > {lo + 1} AND c <> z").select("lead", "e"), "ngram-left")
+            per = here.groupBy("lead", "kind", "e").agg(F.count("*").alias("m"), F.min("comp").alias("c"), F.max("comp").alias("z"))
+            left = stored(per.where(f"m > {lo + 1} AND c <> z").select("lead", "kind", "e"), "ngram-left")
             if left.isEmpty():
                 return edges
-            here = here.join(left, ["lead", "e"], "left_semi").select("lead", "e", "popular", *_PART)
-            order = here.repartition("lead", "e").sortWithinPartitions("lead", "e", F.desc("popular"), "node")
-            pairs = order.mapInArrow(_compare_parts(lo, hi), "lead bigint, a bigint, b bigint").distinct()
-            tried = pairs.join(x, ["lead", "a"]).join(y, ["lead", "b"]).select("a", "b", "n_a", "n_b", "x", "y")
-            edges = self.joined(edges, stored(tried.mapInArrow(_verified_parts, "a bigint, b bigint"), "ngram-new"))
+            here = here.join(left, ["lead", "kind", "e"], "left_semi").select("lead", "kind", "e", "popular", *_PART)
+            order = here.repartition("lead", "kind", "e").sortWithinPartitions("lead", "kind", "e", F.desc("popular"), "node")
+            pairs = order.mapInArrow(_compare_parts(lo, hi), "a bigint, b bigint")
+            edges = self.joined(edges, stored(self.check(self.plausible(pairs), sets), "ngram-new"))
             lo, hi = hi, LEADERS * hi + 1
 
 

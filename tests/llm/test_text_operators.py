@@ -112,6 +112,39 @@ def test_ngram_join_keeps_links_across_size_bands(spark, monkeypatch):
     assert got == brute_components(rows)
 
 
+@pytest.mark.parametrize("wide", [8, 10_000])
+def test_ngram_join_matches_brute_force_in_large_buckets(spark, monkeypatch, wide):
+    """Copies of one text at distances round the threshold, families among them, and texts that share a passage with it."""
+    from talweg.llm import ngram_join as J
+
+    monkeypatch.setattr(J, "LEADERS", 2)
+    monkeypatch.setattr(J, "DEAR", 1_000_000)
+    monkeypatch.setattr(J, "WIDE", wide)
+    r = random.Random(23)
+    vocabulary = [f"v{i}" for i in range(4000)]
+    base = r.choices(vocabulary, k=130)
+    rows = [" ".join(base)]
+    for k in range(110):
+        now = list(base)
+        for at in r.sample(range(130), r.randint(1, 6)):
+            now[at] = r.choice(vocabulary)
+        rows.append(" ".join(now))
+        if k % 5 == 0:  # a family of its own
+            for _ in range(3):
+                near = list(now)
+                near[r.randrange(130)] = r.choice(vocabulary)
+                rows.append(" ".join(near))
+    for k in range(60):
+        rows.append(" ".join(r.choices(vocabulary, k=60) + base[20:90] + r.choices(vocabulary, k=r.randint(50, 70))))
+        if k % 4 == 0:
+            rows.append(rows[-1] + " " + r.choice(vocabulary))
+    r.shuffle(rows)
+    df = spark.createDataFrame([(str(i).zfill(4), t) for i, t in enumerate(rows)], "doc_id string, text string").repartition(3)
+    got = {int(x["doc_id"]): (x["n_shingles"], int(x["component_id"])) for x in J.near_duplicates(df).collect()}
+    want = brute_components(rows)
+    assert got == want and len({c for _, c in want.values()}) > 40
+
+
 def test_passages_match_brute_force(spark):
     from talweg.llm import passages
 
