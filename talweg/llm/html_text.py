@@ -1,24 +1,33 @@
 """Main text of web pages by site style trees.
 
 The DOMs of a host's pages are merged into one style tree: a node is a path of elements (tag with
-class and id words, digits left out).  Over the host's different pages each node has
-
-* presentation importance: the normalised entropy of the sequences of child elements seen at it;
-* content importance: the normalised entropy of the texts of its blocks;
-
-and a branch's importance is ``OWN`` of its own plus the rest of the mean of its children.  What says
-the same on every page scores near 0 and is removed as a branch below ``LOW``.  A node with several
-constant lines a page never gets there, so a text is removed as well, within article and main too,
-where at least ``SHARE`` of the host's different pages say it at the same node.  Presentation also
-has a part that is fixed by rule, since menus or adverts may change from page to page: elements made
-for navigation, headers, footers, sidebars, forms, scripts, and elements with a class, id or role made
-of such purposes' names alone have importance 0 everywhere, the latter only where they hold no
-``article`` or ``main`` and, on pages without those, at most half of the text; ``article`` and ``main`` are never removed by
-entropy.  A host with fewer than ``PAGES`` different pages is judged by rule alone.
+class and id words, digits left out), navigation, advert and article nodes alike.  With P different
+pages of the host and a value (text of a block, or sequence of child elements) seen on c of them, the
+value tells log c / log P of what could be told by chance, so
+
+* presentation importance of a node is 1 less the mean of that over the child sequences seen there;
+* content importance is 1 less the mean of it over the texts of its blocks, whatever their number a
+  page: a menu of six lines that every page repeats has 0, lines of one page only have 1;
+* composite importance, from the leaves up, is ``OWN`` of a node's own (the mean of both) plus the
+  rest of the mean of its children, weighted by what was seen there.
+
+A host's figures are blended with those of the same nodes in the tree merged over all hosts, as if
+the host had ``SHARED`` pages more like these, so that small hosts borrow templates and none is judged
+by its size.  Rules of purpose set priors only: an element made for navigation, footers, sidebars,
+forms or scripts, or named for such a purpose, has prior 0, ``article`` and ``main`` have 1, the rest
+1/2.  A branch goes where (2 prior + importance) / 3 is below ``LOW`` at its node and at all below it: in
+open ground the tree decides (importance below 0.5), ``article`` stands whatever the tree says, and menus that change from page to
+page go by their prior.  Names do not count as a purpose where the element holds an ``article`` or
+``main`` or, on pages without those, more than half of the text; inside ``article`` only names of
+adverts and reader comments do, any other merely opens its branch to the tree's decision.  A single
+text goes as well where at least ``SHARE`` of the host's different pages say it at the same node.
+
+Every block that goes is counted by cause: ``by_tree`` (its branch has low importance by itself, or
+its text is the host's) and ``by_prior`` (only the purpose of an element speaks against it).
 
 Statistics are aggregated in Spark by (host, node, value), with copies of a page counted once, so a
 host with a third of all pages is many small partial sums; only a host's tree (its templates'
-nodes, not its pages) meets in one task.
+nodes, not its pages; nodes of a single page anywhere are left out) meets in one task.
 
 Defined results: null or empty html gives an empty text; a null or odd url is the host ""; broken
 markup is read as far as it goes, an element cut off at the end is dropped; repeated pages are rows
@@ -39,15 +48,16 @@ from pyspark.sql import functions as F
 from talweg.storage import stored
 
 OWN = 0.5
-LOW = 0.05
-PAGES = 5
+LOW = 0.5
+UNIMPORTANT = 3 * LOW - 1  # importance below which a branch of prior 1/2 goes
+SHARED = 5
 SHARE = 0.5
-BROADCAST_HOSTS = 50_000
+BROADCAST_BYTES = 8_000_000
 
 # Elements and words by purpose.
 RAW = {"script", "style", "title", "textarea", "noscript", "template", "iframe", "xmp", "noframes", "noembed"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-DROP = {"nav", "footer", "aside", "form", "button", "select", "option", "label", "fieldset", "svg", "canvas", "object", "audio", "video", "menu", "dialog", "map", "math"}
+DROP = {"nav", "footer", "aside", "form", "button", "select", "option", "svg", "canvas", "object", "audio", "video", "menu", "dialog"}
 INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q",
     "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr", "img", "nobr",
@@ -65,6 +75,11 @@ PURPOSE = {
     "alert", "popup", "modal", "overlay", "newsletter", "subscribe", "subscription", "signup", "login", "search", "share", "sharing", "social",
     "related", "recommended", "recommendations", "widget", "contentinfo", "complementary", "hidden", "skip", "copyright", "disclaimer",
 }
+# Names that keep their meaning inside an article.
+FOREIGN = {
+    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "adsbygoogle", "sponsor", "sponsored",
+    "comment", "comments", "commentlist", "disqus", "respond", "replies", "reply",
+}
 MAIN = {"article", "main"}
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|</?[a-zA-Z][^>]*\Z|[^<]+|<", re.S
@@ -80,59 +95,85 @@ def _hash(x: str) -> int:
 
 
 class _Element:
-    """``purpose``: the elements from the root to this one whose names tell a purpose, in force unless they hold the content."""
+    """``gone``: an element from the root to this one has prior 0 by its tag; ``purpose``: those whose
+    names tell a purpose, in force unless they hold the content; ``soft``: the path of such a one in an article."""
 
-    __slots__ = ("children", "dropped", "holds", "main", "path", "purpose", "size", "tag")
+    __slots__ = ("article", "children", "gone", "holds", "main", "path", "purpose", "size", "soft", "tag")
 
-    def __init__(self, tag: str, path: str, dropped: bool, main: bool, purpose: tuple[_Element, ...] = ()):
-        self.tag, self.path, self.dropped, self.main, self.purpose, self.children = tag, path, dropped, main, purpose, []
+    def __init__(self, tag: str, path: str, gone: bool = False, main: bool = False, purpose: tuple[_Element, ...] = (), soft: str = "", article: bool = False):
+        self.tag, self.path, self.gone, self.main, self.article = tag, path, gone, main, article
+        self.purpose, self.soft, self.children = purpose, soft, []
         self.holds, self.size = False, 0
 
 
 def _described(tag: str, attributes: str, parent: _Element) -> _Element:
     words: list[str] = []
-    role, named = "", False
+    role, named, foreign = "", False, False
     if attributes and ("=" in attributes or "hidden" in attributes):
         for name, *values in ATTRIBUTE.findall(attributes):
             value = entities.unescape("".join(values)).lower()
             words += WORD.findall(value)
-            named = named or any(NAME.fullmatch(x) and PURPOSE.issuperset(WORD.findall(x)) for x in value.split())
+            names = [set(WORD.findall(x)) for x in value.split() if NAME.fullmatch(x)]
+            named = named or any(PURPOSE.issuperset(x) for x in names)
+            foreign = foreign or any(PURPOSE.issuperset(x) and x & FOREIGN for x in names)
             if name.lower() == "role":
                 role = value
-    begins = tag in MAIN or role == "main"
-    main = parent.main or begins
-    dropped = parent.dropped or tag in DROP or (tag == "header" and not parent.main)
-    if not dropped and tag not in ("html", "body"):
-        dropped = bool(attributes and HIDDEN.search(attributes))
-    style = ".".join([tag, *words])
-    e = _Element(tag, f"{parent.path}/{style}", dropped, main, parent.purpose)
-    if begins and not dropped:
+    begins = (tag in MAIN or role == "main") and not foreign
+    gone = parent.gone or tag in DROP or (tag == "header" and not parent.main)
+    if not gone and tag not in ("html", "body"):
+        gone = bool(attributes and HIDDEN.search(attributes))
+    e = _Element(tag, f"{parent.path}/{'.'.join([tag, *words])}", gone, parent.main or begins, parent.purpose, parent.soft, parent.article or (begins and tag == "article"))
+    if begins and not gone:
         for x in e.purpose:
             x.holds = True
+        e.purpose, e.soft = (), ""
     elif named and tag not in ("html", "body"):
-        e.purpose = (*e.purpose, e)
+        if parent.article and not foreign:
+            e.soft = e.soft or e.path
+        else:
+            e.purpose = (*e.purpose, e)
     return e
 
 
-def blocks(html: str | None) -> tuple[list[tuple[str, str, bool]], list[tuple[str, str]]]:
-    """Blocks (path, text, within main) that no rule drops, in page order, and (path, children) of elements."""
-    root = _Element("", "", False, False)
+class Block:
+    """Text of one block: ``kept`` says what no prior of 0 takes, of ``text``, which says all."""
+
+    __slots__ = ("kept", "main", "path", "soft", "text")
+
+    def __init__(self, path: str, text: str, kept: str, main: bool, soft: str):
+        self.path, self.text, self.kept, self.main, self.soft = path, text, kept, main, soft
+
+    def removed(self, low: list[str], often: set[tuple[str, int]]) -> str:
+        """Why the block goes: "tree", "prior" or "" for a block that stays."""
+        scope = self.soft if self.main else "/"
+        if (self.path, _hash(self.text)) in often:
+            return "tree"
+        if self.kept and self.main and not scope:
+            return ""
+        for p in low:
+            if (self.path == p or self.path.startswith(p + "/")) and (not self.kept or scope == "/" or p == scope or p.startswith(scope + "/")):
+                return "tree"
+        return "" if self.kept else "prior"
+
+
+def blocks(html: str | None) -> tuple[list[Block], list[tuple[str, str]]]:
+    """All blocks in page order, and (path, children) of elements."""
+    root = _Element("", "")
     stack = [root]
     found: list[tuple[_Element, list[tuple[str, _Element]]]] = []
-    shapes: list[tuple[_Element, str]] = []
+    shapes: list[tuple[str, str]] = []
     held: list[tuple[str, _Element]] = []
     home = root
 
     def close_block() -> None:
         if held:
-            if not home.dropped:
-                found.append((home, held.copy()))
+            found.append((home, held.copy()))
             held.clear()
 
     def pop(n: int) -> None:
         for e in stack[n:]:
-            if e.children and not e.dropped and e.tag not in INLINE:
-                shapes.append((e, " ".join(e.children)))
+            if e.children and e.tag not in INLINE:
+                shapes.append((e.path, " ".join(e.children)))
         del stack[n:]
 
     html = html or ""
@@ -144,13 +185,9 @@ def blocks(html: str | None) -> tuple[list[tuple[str, str, bool]], list[tuple[st
         slash, tag, attributes = (m[1], m[2], m[3]) if m[2] else (m[4], m[5], m[6])
         if tag is None:
             if text[0] != "<" or text == "<":
-                top = stack[-1]
-                if top.dropped:
-                    continue
                 if not held:
-                    block = next(e for e in reversed(stack) if e.tag not in INLINE)
-                    home = block
-                held.append((text, top))
+                    home = next(e for e in reversed(stack) if e.tag not in INLINE)
+                held.append((text, stack[-1]))
             continue
         tag = tag.lower()
         if slash:
@@ -195,24 +232,28 @@ def blocks(html: str | None) -> tuple[list[tuple[str, str, bool]], list[tuple[st
         stack.append(e)
     close_block()
     pop(1)
-    total, within_main = 0, False
+    total, within_main, within_article = 0, False, False
     for home, pieces in found:
-        within_main = within_main or (home.main and any(t.strip() for t, _ in pieces))
+        if home.main and any(t.strip() and not e.gone for t, e in pieces):
+            within_main, within_article = True, within_article or home.article
         for text, e in pieces:
-            n = len(text.strip())
+            n = 0 if e.gone else len(text.strip())
             total += n
             for x in e.purpose:
                 x.size += n
 
-    def in_force(e: _Element) -> bool:
-        return any(not x.holds and (within_main or 2 * x.size <= total) for x in e.purpose)
+    def gone(e: _Element) -> bool:
+        return e.gone or any(not x.holds and (within_article or (within_main and not x.main) or 2 * x.size <= total) for x in e.purpose)
 
-    out: list[tuple[str, str, bool]] = []
+    def said(pieces: list[str]) -> str:
+        return " ".join(entities.unescape("".join(pieces)).split())
+
+    out: list[Block] = []
     for home, pieces in found:
-        text = " ".join(entities.unescape("".join(t for t, e in pieces if not in_force(e))).split())
+        text = said([t for t, _ in pieces])
         if text:
-            out.append((home.path, text, home.main))
-    return out, [(e.path, children) for e, children in shapes if not in_force(e)]
+            out.append(Block(home.path, text, said([t for t, e in pieces if not gone(e)]), home.main, home.soft))
+    return out, shapes
 
 
 def host_column(url: Column) -> Column:
@@ -221,14 +262,13 @@ def host_column(url: Column) -> Column:
 
 
 def _style_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, page, path, kind, value): what each page says and shows at each node (in main: "body"), and a row "page"."""
+    """(host, page, path, kind, value): what each page says and shows at each node, and a row "page"."""
     for batch in batches:
         rows: list[tuple] = []
         for host, html in zip(batch.column("host").to_pylist(), (h.as_py() for h in batch.column("html")), strict=True):
             found, shapes = blocks(html)
-            page = _hash("\n".join(t for _, t, _ in found))
-            seen = {(p, "body" if main else "text", _hash(t)) for p, t, main in found} | {("", "page", 0)}
-            seen |= {(p, "shape", _hash(c)) for p, c in shapes if "/article" not in p and "/main" not in p}
+            page = _hash("\n".join(b.text for b in found))
+            seen = {(b.path, "text", _hash(b.text)) for b in found} | {(p, "shape", _hash(c)) for p, c in shapes} | {("", "page", 0)}
             rows += [(host, page, p, k, v) for p, k, v in seen]
         columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
         yield pa.RecordBatch.from_arrays(
@@ -237,78 +277,112 @@ def _style_nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def low_branches(nodes: list[tuple[str, str, float]]) -> list[str]:
-    """Paths of a host's branches whose importance is low; ``nodes`` has (path, kind, entropy)."""
+def importances(nodes: list[tuple[str, str, float, int]]) -> dict[str, float]:
+    """Composite importance by path; ``nodes`` has (path, kind, importance of that kind, values seen)."""
     own: dict[str, list[float]] = {}
+    weight: dict[str, int] = {}
     children: dict[str, list[str]] = {}
-    for path, _, entropy in nodes:
-        own.setdefault(path, []).append(entropy)
-    for path in list(own):
+    for path, _, importance, seen in nodes:
+        own.setdefault(path, []).append(importance)
+        weight[path] = weight.get(path, 0) + seen
+    for path in own:
         parent = path.rpartition("/")[0]
         while parent and parent not in own:
             parent = parent.rpartition("/")[0]
         children.setdefault(parent, []).append(path)
-    importance: dict[str, float] = {}
+    out: dict[str, float] = {}
     for path in sorted(own, key=lambda p: -p.count("/")):
-        mine = max(own[path])
-        below = [importance[c] for c in children.get(path, [])]
-        importance[path] = OWN * mine + (1 - OWN) * sum(below) / len(below) if below else mine
-    return sorted(p for p, x in importance.items() if x < LOW)
+        mine = sum(own[path]) / len(own[path])
+        below = children.get(path, [])
+        all_ = sum(weight[c] for c in below)
+        out[path] = OWN * mine + (1 - OWN) * sum(out[c] * weight[c] for c in below) / all_ if below else mine
+    return out
+
+
+def unimportant(tree: dict[str, float]) -> list[str]:
+    """Highest nodes of ``tree`` that are of low importance with everything below them."""
+    held = {p for p, x in tree.items() if x >= UNIMPORTANT}
+    for p in list(held):
+        while p := p.rpartition("/")[0]:
+            held.add(p)
+    return sorted(p for p in tree if p not in held and (p.rpartition("/")[0] in held or p.rpartition("/")[0] not in tree))
 
 
 def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         low, common = [], []
         for nodes in batch.column("nodes").to_pylist():
-            low.append(low_branches([(n["path"], n["kind"], n["entropy"]) for n in nodes if n["value"] is None]))
+            tree = importances([(n["path"], n["kind"], n["importance"], n["seen"]) for n in nodes if n["value"] is None])
+            low.append(unimportant(tree))
             common.append([{"path": n["path"], "value": n["value"]} for n in nodes if n["value"] is not None])
         kind = pa.list_(pa.struct([("path", pa.string()), ("value", pa.int64())]))
         yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(low, pa.list_(pa.string())), pa.array(common, kind)], ["host", "low", "common"])
 
 
+def node_statistics(counted: DataFrame) -> DataFrame:
+    """(host, path, kind, importance, seen) from (host, path, kind, value, c): blended with all hosts."""
+
+    def sums(rows: DataFrame, *by: str) -> DataFrame:
+        return rows.groupBy(*by).agg(F.sum("c").alias("seen"), F.sum(F.col("c") * F.log("c")).alias("s"))
+
+    told = F.when(F.col("pages") > 1, F.greatest(F.lit(0.0), 1 - F.col("s") / (F.col("seen") * F.log("pages"))))
+
+    values = counted.where("kind <> 'page'")
+    pages = counted.where("kind = 'page'").select("host", F.col("c").alias("pages"))
+    own = sums(values, "host", "path", "kind").join(pages, "host").select("host", "path", "kind", "seen", "pages", told.alias("mine"))
+    # one row of totals, held by the driver
+    every = pages.agg(F.coalesce(F.sum("pages"), F.lit(0))).first()[0]
+    shared = sums(values.groupBy("path", "kind", "value").agg(F.sum("c").alias("c")), "path", "kind").withColumn("pages", F.lit(every))
+    shared = shared.where("seen > 1 AND pages > 1").select("path", "kind", told.alias("theirs"))
+    blended = (F.col("pages") * F.coalesce("mine", "theirs") + SHARED * F.col("theirs")) / (F.col("pages") + SHARED)
+    return own.join(shared, ["path", "kind"]).select("host", "path", "kind", blended.alias("importance"), "seen")
+
+
 def style_trees(pages: DataFrame) -> DataFrame:
     """(host, low, common): the branches and the texts at a node to remove, for hosts that have any."""
     seen = pages.select(host_column(F.col("url")).alias("host"), "html").mapInArrow(_style_nodes, "host string, page bigint, path string, kind string, value bigint").distinct()
-    counted = seen.groupBy("host", "path", "kind", "value").agg(F.count("*").alias("c"))
-    spread = counted.where("kind IN ('text', 'shape')").groupBy("host", "path", "kind").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.log("c")).alias("s"))
-    entropy = (F.log("m") - F.col("s") / F.col("m")) / F.log("m")
-    spread = spread.where(F.col("m") >= PAGES).select("host", F.struct("path", "kind", entropy.alias("entropy"), F.lit(None).cast("long").alias("value")).alias("node"))
-    pages_of = counted.where(f"kind = 'page' AND c >= {PAGES}").select("host", F.col("c").alias("pages"))
-    often = counted.where(f"kind IN ('text', 'body') AND c >= {PAGES * SHARE}").join(pages_of, "host").where(f"c >= {SHARE} * pages")
-    often = often.select("host", F.struct("path", "kind", F.lit(0.0).alias("entropy"), "value").alias("node"))
-    hosts = spread.union(often).groupBy("host").agg(F.collect_list("node").alias("nodes"))
+    counted = stored(seen.groupBy("host", "path", "kind", "value").agg(F.count("*").alias("c")), "style-values")
+    node = F.struct("path", "kind", "importance", "seen", F.lit(None).cast("long").alias("value"))
+    tree = node_statistics(counted).select("host", node.alias("node"))
+    pages_of = counted.where("kind = 'page'").select("host", F.col("c").alias("pages"))
+    often = counted.where("kind = 'text' AND c > 1").join(pages_of, "host").where(f"c >= {SHARE} * (pages + {SHARED})")
+    often = often.select("host", F.struct("path", "kind", F.lit(0.0).alias("importance"), F.col("c").alias("seen"), "value").alias("node"))
+    hosts = tree.union(often).groupBy("host").agg(F.collect_list("node").alias("nodes"))
     return hosts.mapInArrow(_trees, "host string, low array<string>, common array<struct<path:string,value:bigint>>").where("size(low) > 0 OR size(common) > 0")
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts, n, removed = [], [], []
+        texts, n, causes = [], [], {"tree": [], "prior": []}
         sides = (batch.column(c).to_pylist() for c in ("low", "common"))
         for html, low, common in zip((h.as_py() for h in batch.column("html")), *sides, strict=True):
-            found, _ = blocks(html)
             often = {(x["path"], x["value"]) for x in common or ()}
-            keep, gone = [], 0
-            for path, text, main in found:
-                if (low and not main and any(path == p or path.startswith(p + "/") for p in low)) or (often and (path, _hash(text)) in often):
-                    gone += 1
+            keep, gone = [], {"tree": 0, "prior": 0}
+            for block in blocks(html)[0]:
+                cause = block.removed(low or [], often)
+                if cause:
+                    gone[cause] += 1
                 else:
-                    keep.append(text)
+                    keep.append(block.kept)
             texts.append(" ".join(keep))
             n.append(len(texts[-1]))
-            removed.append(gone)
+            for cause, count in gone.items():
+                causes[cause].append(count)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array(n, pa.int64()), pa.array(removed, pa.int64())],
-            ["page_id", "url", "text", "n_chars", "n_removed"],
+            [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), *(pa.array(x, pa.int64()) for x in (n, causes["tree"], causes["prior"]))],
+            ["page_id", "url", "text", "n_chars", "by_tree", "by_prior"],
         )
 
 
 def main_text(pages: DataFrame) -> DataFrame:
-    """One row per page: page_id, url, text, n_chars, n_removed (blocks that the style tree took out)."""
+    """One row per page: page_id, url, text, n_chars, by_tree and by_prior (blocks that went, by cause)."""
     trees = stored(style_trees(pages), "style-trees")
-    side = F.broadcast(trees) if trees.count() <= BROADCAST_HOSTS else trees
-    rows = pages.select("page_id", "url", "html").withColumn("host", host_column(F.col("url"))).join(side, "host", "left")
+    held = F.aggregate("low", F.lit(0), lambda n, p: n + F.length(p)) + F.aggregate("common", F.lit(0), lambda n, x: n + F.length(x["path"]) + 8)
+    small = trees.agg(F.coalesce(F.sum(held + F.length("host")), F.lit(0))).first()[0] <= BROADCAST_BYTES
+    rows = pages.select("page_id", "url", "html").withColumn("host", host_column(F.col("url"))).join(F.broadcast(trees) if small else trees, "host", "left")
     kind = dict(pages.dtypes)["page_id"]
-    return rows.select("page_id", "url", "html", "low", "common").mapInArrow(_extracted, f"page_id {kind}, url string, text string, n_chars bigint, n_removed bigint")
+    made = f"page_id {kind}, url string, text string, n_chars bigint, by_tree bigint, by_prior bigint"
+    return rows.select("page_id", "url", "html", "low", "common").mapInArrow(_extracted, made)
 
 
 def op6_html(spark, sf_dir: str) -> DataFrame:

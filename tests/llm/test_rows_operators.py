@@ -82,7 +82,7 @@ def test_style_tree_removes_what_repeats(spark):
     pages += [(60 + i, "http://c.org/x", "<article><p>Copy</p></article>") for i in range(9)]
     got = {r["page_id"]: r["text"] for r in html_text.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
     assert got[3] == "Story number 3 about 21"
-    assert got[50] == "Same words on every page Story number 50 about 350"
+    assert got[50] == "Story number 50 about 350"  # a host of one page borrows the template of the others
     assert {got[60 + i] for i in range(9)} == {"Copy"}
 
 
@@ -93,7 +93,7 @@ def test_html_blocks():
         '<body><header>site</header><main><h1>T &amp; x</h1><script>var a="</p>";</script><p>a<b>b</b>\n c&nbsp;d<br>e<!-- no -->'
         '<ul><li>1<li>2</ul><div id="comments"><p>bad</div><aside>s</aside><form><input>q</form><p>5 &lt; 6 < 7 &am</main><div class="cookie-notice">n</div><style>x'
     )
-    assert [t for _, t, _ in blocks(html)[0]] == ["T & x", "ab c d e", "1", "2", "5 < 6 < 7 &am"]
+    assert [b.kept for b in blocks(html)[0] if b.kept] == ["T & x", "ab c d e", "1", "2", "5 < 6 < 7 &am"]
 
 
 def test_lines_that_most_pages_say_are_removed(spark):
@@ -105,15 +105,56 @@ def test_lines_that_most_pages_say_are_removed(spark):
     assert got == {i: f"Story {i} of {i * 7}" for i in range(12)}
 
 
+def test_style_tree_figures_match_their_definition(spark):
+    import math
+
+    from talweg.llm import html_text as H
+
+    pages = [(f"h{i % 2}", f"<body><div><p>same</p><p>own {i}</p></div><ul>{'<li>x' * (1 + i % 3)}</ul>") for i in range(14)]
+    df = spark.createDataFrame([(i, f"http://{h}/{i}", x) for i, (h, x) in enumerate(pages)], "page_id long, url string, html string")
+    seen = df.select(H.host_column(df.url).alias("host"), "html").mapInArrow(H._style_nodes, "host string, page bigint, path string, kind string, value bigint").distinct()
+    got = {(r["host"], r["path"], r["kind"]): r["importance"] for r in H.node_statistics(seen.groupBy("host", "path", "kind", "value").agg({"*": "count"}).withColumnRenamed("count(1)", "c")).collect()}
+
+    def told(values, n):
+        return max(0.0, 1 - sum(math.log(values.count(v)) for v in values) / len(values) / math.log(n))
+
+    texts = {h: [v for g, x in pages if g == h for v in ("same", x.split("<p>")[2][:7])] for h in ("h0", "h1")}
+    for h in ("h0", "h1"):
+        want = (7 * told(texts[h], 7) + H.SHARED * told(texts["h0"] + texts["h1"], 14)) / (7 + H.SHARED)
+        assert abs(got[h, "/body/div/p", "text"] - want) < 1e-9
+        shapes = {g: [x.count("<li>") for k, x in pages if k == g] for g in ("h0", "h1")}
+        want = (7 * told(shapes[h], 7) + H.SHARED * told(shapes["h0"] + shapes["h1"], 14)) / (7 + H.SHARED)
+        assert abs(got[h, "/body/ul", "shape"] - want) < 1e-9
+    tree = H.importances([("/a", "shape", 0.2, 4), ("/a/b", "text", 0.0, 6), ("/a/c", "text", 1.0, 2), ("/a/c", "shape", 0.5, 2)])
+    assert tree == {"/a/b": 0.0, "/a/c": 0.75, "/a": 0.5 * 0.2 + 0.5 * (0.75 * 4) / 10}
+
+
+def test_html_keeps_the_article_whole(spark):
+    from talweg.llm import html_text
+
+    def made(i):
+        return (
+            f'<body><div><ul><li>Home<li>News<li>Shop</ul></div><article><h1>Head {i}</h1><div class="search-results"><p>Found {i}</p></div>'
+            f'<section id="related-work"><p>Before {i}</p></section><p class="notice">Mind {i}</p><label>Table {i}</label><p class="sharing">Like and share</p>'
+            f'<div class="ad">Buy {i}</div><section class="comments"><article class="comment"><p>Nice {i}</p></article></section><p>Tail {i}</p></article><div class="box"><p>We use files</p></div>'
+        )
+
+    pages = [(i, f"http://h{i % 3}.org/{i}", made(i)) for i in range(30)]
+    got = {r["page_id"]: r for r in html_text.main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    for i in range(30):
+        assert got[i]["text"] == f"Head {i} Found {i} Before {i} Mind {i} Table {i} Tail {i}"
+        assert got[i]["by_tree"] == 5 and got[i]["by_prior"] == 2
+
+
 def test_html_names_of_a_purpose_do_not_take_the_content():
     from talweg.llm.html_text import blocks
 
     story = "a story that is told at length in these words"
     for names in ("content has-sidebar", "no-sidebar", "search-results", "page-with-banner", "post widget", "social-post"):
         html = f'<body><div class="{names}"><article><p>{story}</article></div><div class="widget">w</div>'
-        assert [t for _, t, _ in blocks(html)[0]] == [story], names
+        assert [b.kept for b in blocks(html)[0] if b.kept] == [story], names
         html = f'<body><div class="{names}"><p>{story}</p></div><div class="ad">buy</div><p id="notice-1">n</p>'
-        assert [t for _, t, _ in blocks(html)[0]] == [story, "n"], names
+        assert [b.kept for b in blocks(html)[0] if b.kept] == [story, "n"], names
 
 
 def test_nearest_finds_almost_all(spark):
