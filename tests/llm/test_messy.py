@@ -35,8 +35,11 @@ def test_document_operators(spark, rows, sf_dir):
 
     mixed = mixing.mix(docs)
     assert mixed.columns == [*docs.columns, "mix_"] and mixed.count() == n
-    out = pii.pseudonymised(docs)
-    assert out.columns == [*docs.columns, "pii_"] and out.where("text IS NULL").count() == (1 if rows else 0)
+    out = pii.pseudonymised(docs.withColumn("changes_", F.lit(7)).withColumn("pii_", F.lit(8)), key="k")
+    assert out.columns == [*docs.columns, "changes_", "pii_"] and out.where("changes_ <> 7 OR pii_ <> 8").isEmpty()
+    with pytest.raises(ValueError, match="already"):
+        pii.pseudonymised(docs, key="k", changes="node")
+    assert out.where("text IS NULL").count() == (1 if rows else 0)
     found = {r["id"]: r for r in decontam.scan(docs, items).collect()}
     assert decontam.decontaminated(docs, items).columns == docs.columns
     near = ngram_join.near_duplicates(docs).collect()
