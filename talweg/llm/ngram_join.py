@@ -13,7 +13,9 @@ its partners may reach into the next band, there too.  Allocation by cost:
 * a signature with many holders is dear: each document gives up its dearest ones of a band as long as
   H + 1 units are left there.  Giving up is not to probe; the signature stays indexed, so that of a
   pair the one that comes later in a fixed order finds the other by the H + 1 it still probes.  A
-  bucket in which nobody probes is left out.
+  bucket in which nobody probes is left out;
+* a document of class 0 agrees with a similar one on more signatures than it has units to spare, so
+  one that shares fewer with anybody (a common passage is not enough) is out before anything is compared.
 
 Buckets are not expanded into pairs.  In each bucket the first member leads and is compared with the
 rest; members of one component need no comparison among themselves, so a group of n copies costs
@@ -24,11 +26,10 @@ In a larger one the members are compared by rare elements, of two kinds:
   text.  What counts between two of them is D, their symmetric difference with L, as
   |t ^ u| = |D_t ^ D_u|.  Two similar ones share (|D_t| + |D_u| - (|t| + |u|) / 9) / 2 elements of D,
   and since one of them at least is not similar to L, more than four ninths of the other's D: they
-  meet on the rarest elements of D, not on those that copies merely lost;
+  meet among its first elements in an order that has what is not in L first, and what copies merely
+  lost last;
 * members that differ from L by more than two fifths share a passage with it and no more.  They meet on
-  the rarest fifth of their own elements; from ``WIDE`` shingles on a fixed quarter of the universe is
-  enough, as two similar sets cannot differ on all of it (a set with too little there is compared
-  with all of its group).
+  the first fifth of their own elements, in an order that has those of L last.
 
 Two similar sets are both of the first kind or both of the second.  The buckets of rare elements are
 compared by leaders in turn (1, 16, 256, ...), with the overlap that a pair needs at its places in
@@ -60,7 +61,8 @@ from talweg.storage import stored
 WORDS = 5
 DEAR = 64
 LEADERS = 16
-WIDE = 256
+SURPLUS = 20
+PRUNINGS = 2
 BROADCAST_IDS = 1_000_000
 _U = np.uint64
 
@@ -84,7 +86,7 @@ def node_id(s: np.ndarray) -> int:
 
 def segments_of_band(b: int) -> int:
     h = (2 * (2 ** (b + 1) - 1)) // 9
-    return h + 1 + -(-6 * (h + 1) // 100)
+    return h + 1 + -(-SURPLUS * (h + 1) // 100)
 
 
 def _sums(s: np.ndarray, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -286,39 +288,46 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
-NEAR, WHOLE, QUARTER = 0, 1, 2
+NEAR, FAR = 0, 1
 
 
 def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What each member's set ``y`` is compared by, given its leader's set ``x``: rows of the kinds above.
 
-    ``far`` is the size of the symmetric difference of the two sets.
+    ``far`` is the size of the symmetric difference of the two sets, ``size`` that of the ordered set of
+    which ``items`` are the first ones: of these a row holds the first ``holds`` and, where it probes,
+    probes with the first ``reach``.
     """
-    names = ["lead", "node", "kind", "n", "n_lead", "far", "items"]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+    names = ["lead", "node", "kind", "n", "n_lead", "far", "size", "holds", "reach", "items"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), *[pa.int64()] * 6, pa.list_(pa.int64())]
     for batch in batches:
         rows: list[tuple] = []
-        size = 0
+        held = 0
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
         for i, (x, y) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
             x, y = np.frombuffer(x.as_buffer(), dtype=_U), np.frombuffer(y.as_buffer(), dtype=_U)
-            d = np.setxor1d(x, y, assume_unique=True)
-            n = len(y)
+            known = np.isin(y, x, assume_unique=True)
+            new, n = y[~known], len(y)
+            far = len(new) + len(x) - (n - len(new))
             kept = []
-            if 4 * len(d) <= 3 * n:
-                kept.append((NEAR, d))
-            if 5 * len(d) > 2 * n:
-                if n < WIDE:
-                    kept.append((WHOLE, y))
-                if 5 * n >= 4 * WIDE:
-                    kept.append((QUARTER, y[y < _U(1 << 62)]))
-            for kind, items in kept:
-                rows.append((batch.column("lead")[i].as_py(), batch.column("node")[i].as_py(), kind, n, len(x), len(d), items.view(np.int64)))
-                size += len(items)
-            if size > 500_000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-                rows, size = [], 0
+            if 4 * far <= 3 * n:
+                holds = far - (9 * far + len(x) - n) // 18
+                reach = far - max(1, -((n - 4 * far) // 4)) + 1
+                kept.append((NEAR, far, holds, reach, np.concatenate((new, np.setdiff1d(x, y, assume_unique=True)))))
+            if 5 * far > 2 * n:
+                kept.append((FAR, n, n // 5 + 1, n // 5 + 1, np.concatenate((new, y[known]))))
+            for kind, size, holds, reach, items in kept:
+                items = items[: max(holds, reach)].view(np.int64)
+                rows.append((batch.column("lead")[i].as_py(), batch.column("node")[i].as_py(), kind, n, len(x), far, size, holds, reach, items))
+                held += len(items)
+            if held > 500_000:
+                yield out()
+                rows, held = [], 0
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+            yield out()
 
 
 _PART = ("node", "comp", "n", "size", "pos", "probes", "holds")
@@ -394,6 +403,10 @@ class _Join:
         rows = self.docs.select("text").mapInArrow(_index, "sig bigint, node bigint, spare int")
         dealt = rows.repartition("sig").sortWithinPartitions("sig", "node")
         held = stored(dealt.mapInArrow(_shared, "sig bigint, node bigint, spare int"), "ngram-held")
+        for _ in range(PRUNINGS):
+            enough = held.groupBy("node", "spare").agg(F.count("*").alias("c")).where("c > spare").select("node", "spare")
+            held = held.join(enough, ["node", "spare"], "left_semi")
+            held = stored(held.join(held.groupBy("sig").agg(F.count("*").alias("c")).where("c > 1").select("sig"), "sig", "left_semi"), "ngram-held")
         counted = stored(held.groupBy("sig").agg(F.count("*").alias("holders")), "ngram-counts")
         popular = held.join(counted, "sig").groupBy("node").agg(F.sum("holders").alias("popular"))
         dear = counted.where(f"holders >= {DEAR}")
@@ -474,30 +487,21 @@ class _Join:
         sets = stored(self.sets_of(ends), "ngram-sets")
         both = members.select("lead", "node").join(sets.select("node", F.col("items").alias("y")), "node")
         both = both.join(sets.select(F.col("node").alias("lead"), F.col("items").alias("x")), "lead")
-        fields = "lead bigint, node bigint, kind int, n bigint, n_lead bigint, far bigint, items array<bigint>"
+        fields = "lead bigint, node bigint, kind int, n bigint, n_lead bigint, far bigint, size bigint, holds bigint, reach bigint, items array<bigint>"
         parts = stored(both.select("lead", "node", "x", "y").mapInArrow(_elements, fields), "ngram-elements")
         near = parts.where(f"kind = {NEAR}")
         edges = self.joined(edges, stored(near.where("9 * far <= n + n_lead").select(F.col("lead").alias("a"), F.col("node").alias("b")), "ngram-new"))
         # Of two near members in different components one at least is outside the leader's: that one probes.
-        tagged = self.with_component(self.with_component(parts, "lead", "of_lead")).withColumn("size", F.size("items").cast("long"))
-        outside = (F.col("comp") != F.col("of_lead")) | (F.col("kind") != NEAR)
-        spread = tagged.select("lead", "kind", "node", "n", "n_lead", "size", outside.alias("probes"), F.explode("items").alias("e"))
-        counted = spread.groupBy("lead", "kind", "e").agg(F.count("*").alias("held"), F.max("probes").alias("asked")).where("held > 1 AND asked")
-        shared = spread.join(counted.select("lead", "kind", "e", "held"), ["lead", "kind", "e"])
-        # Elements that meet nobody come first in each order, then the others, rare ones first.
-        own = Window.partitionBy("lead", "kind", "node")
-        shared = shared.withColumn("pos", F.col("size") - F.count("*").over(own) + F.row_number().over(own.orderBy("held", "e")))
-        fifth = F.floor(F.col("n") / 5) + 1
-        least = F.floor((9 * F.col("size") + F.col("n_lead") - F.col("n")) / 18)
-        holds = F.col("pos") <= F.when(F.col("kind") == NEAR, F.col("size") - least).otherwise(fifth)
-        reach = F.when(F.col("kind") == NEAR, F.col("size") - F.greatest(F.lit(1), F.ceil(F.col("size") - F.col("n") / 4)) + 1).otherwise(fifth)
-        shared = shared.withColumn("holds", holds).withColumn("probes", F.col("probes") & (F.col("pos") <= reach)).where("holds OR probes")
-        shared = shared.join(members, ["lead", "node"]).select("lead", "kind", "e", "node", "n", "size", "pos", "probes", "holds", "popular")
-        shared = stored(shared, "ngram-shared")
-        quarters = parts.where(f"kind = {QUARTER}").select("lead", "node", "n", F.size("items").alias("size"))
-        scant = quarters.where("9 * size <= n").select("lead", F.col("node").alias("a"), F.col("n").alias("n_scant"))
-        pairs = scant.join(quarters, "lead").where("node <> a AND 5 * least(n, n_scant) >= 4 * greatest(n, n_scant)").select("a", F.col("node").alias("b"))
-        edges = self.joined(edges, stored(self.check(self.plausible(pairs), sets), "ngram-new"))
+        tagged = self.with_component(self.with_component(parts, "lead", "of_lead"))
+        outside = (F.col("comp") != F.col("of_lead")) | (F.col("kind") == FAR)
+        tagged = tagged.withColumn("asks", outside).withColumn("used", F.when(outside, F.greatest("holds", "reach")).otherwise(F.col("holds")).cast("int"))
+        spread = tagged.select("lead", "kind", "node", "n", "size", "asks", "holds", "reach", F.posexplode(F.slice("items", 1, F.col("used"))).alias("pos", "e"))
+        spread = spread.withColumn("pos", F.col("pos").cast("long") + 1)
+        spread = spread.withColumn("holds", F.col("pos") <= F.col("holds")).withColumn("probes", F.col("asks") & (F.col("pos") <= F.col("reach")))
+        spread = spread.where("holds OR probes").drop("asks", "reach")
+        counted = spread.groupBy("lead", "kind", "e").agg(F.count("*").alias("m"), F.max("probes").alias("p"), F.max("holds").alias("h")).where("m > 1 AND p AND h")
+        shared = spread.join(counted.select("lead", "kind", "e"), ["lead", "kind", "e"], "left_semi").join(members, ["lead", "node"])
+        shared = stored(shared.select("lead", "kind", "e", "node", "n", "size", "pos", "probes", "holds", "popular"), "ngram-shared")
         lo, hi = 0, 1
         while True:
             here = self.with_component(shared)
