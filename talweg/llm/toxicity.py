@@ -1,18 +1,22 @@
 """Toxic passages by maximum-scoring segments over token log-odds.
 
-Log-odds of a token between toxic and clean documents come from document counts with an informative
-Dirichlet prior (``PRIOR`` documents' worth of the pooled frequencies); tokens that toxic documents
-hold more often by ``Z`` standard deviations, as the signed root of the likelihood ratio of the counts
-has it, form the lexicon, every other token costs ``DRIFT``.  The ratio needs no more documents of a
-rare token when the sample grows.  A linear-time scan
-finds all maximal segments of a text.  A segment of score S in a text of n tokens is expected
-K n exp(-lambda S) times by chance, with lambda and K from the clean documents' token frequencies
-(extreme-value statistics); segments expected less than ``EXPECTED`` times are significant passages.
-A document's evidence is the sum of -log10 of the expectations of its significant passages, turned
-into a probability by a logistic curve fitted on the labelled sample.
-
-The sample is bounded: ``SAMPLE`` labelled rows per class in the order of a hash of doc_id; so is the
-lexicon (``LEXICON`` tokens, the most significant ones).  Scoring reads whole texts of all rows.
+Every token of the labelled sample has a score: the log-odds of its occurrences between toxic and
+clean documents with an informative Dirichlet prior (``PRIOR`` tokens' worth of the pooled
+frequencies), shrunk by its own uncertainty, z^2 / (1 + z^2) with z the log-odds over their standard
+deviation; a token of a single document tells nothing and has 0, like one never seen.  Every token
+costs ``DRIFT`` besides, so that a clean text drifts down.  A linear-time scan finds all maximal
+segments of a text.  A segment of score S in a text of n tokens is expected K n exp(-lambda S) times by
+chance (extreme-value statistics): lambda is the positive root of sum p exp(lambda s) = 1 over clean
+tokens, or what the spread of clean texts' best segments says where that is less (texts of several
+languages are not drawn from one distribution), and K fits the mean of these segments.  Segments expected less than ``EXPECTED`` times
+are significant passages.  A document's evidence is the sum of -log10 of the expectations of its
+significant passages, and a logistic curve of its logarithm gives the probability.
+
+The sample is halved by a hash of doc_id: lambda, K and the curve come from either half's texts under
+the scores of the other half, so no text is judged by tokens that were learned from it.
+
+The sample is bounded: ``SAMPLE`` labelled rows per class in the order of a hash of doc_id, and with it
+the number of tokens.  Scoring reads whole texts of all rows.
 
 Defined results: null, empty and wordless texts have no passages and the score of no evidence; null
 labels are not learned from; without labels of both classes no token is toxic and every score is the
@@ -32,10 +36,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SAMPLE = 8000
-LEXICON = 20_000
-PRIOR = 100.0
-Z = 3.5
-DRIFT = 0.1
+PRIOR = 5_000.0
+SPAN = 50
+DRIFT = 0.3
 EXPECTED = 0.05
 THRESHOLD = 0.3
 TOKEN = re.compile(r"[^\W_]+")
@@ -45,22 +48,27 @@ def tokens(text: str | None) -> list[str]:
     return TOKEN.findall((text or "").lower())
 
 
-def maximal_segments(items: list[tuple[int, float]], drift: float) -> list[tuple[int, int, float]]:
-    """All maximal scoring segments (first, last, score) of a text, given its scored positions.
+def fresh(ts: list[str]) -> np.ndarray:
+    """Marks occurrences whose token does not stand among the ``SPAN`` before: repeating a token says nothing new."""
+    last: dict[str, int] = {}
+    out = np.empty(len(ts), dtype=bool)
+    for i, t in enumerate(ts):
+        out[i] = i - last.get(t, -SPAN - 1) > SPAN
+        last[t] = i
+    return out
 
-    Positions that are not listed score ``-drift``.  Candidates keep the sum before them, the sum at
-    their end and the last earlier candidate with a smaller sum before it, so that the scan is linear.
+
+def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
+    """All maximal scoring segments (first, last, score) of a text's token scores.
+
+    Candidates keep the sum before them, the sum at their end and the last earlier candidate with a
+    smaller sum before it, so that the scan is linear.
     """
+    total = np.concatenate(([0.0], np.cumsum(scores)))
+    places = np.flatnonzero(scores > 0)
     found: list[list] = []  # first, last, sum before, sum at the end, link
-    total, at = 0.0, 0
-    for place, score in items:
-        total -= drift * (place - at)
-        at = place + 1
-        if score <= 0:
-            total += score
-            continue
-        new = [place, place, total, total + score, -1]
-        total += score
+    for place, before, end in zip(places.tolist(), total[places].tolist(), total[places + 1].tolist(), strict=True):
+        new = [place, place, before, end, -1]
         while True:
             j = len(found) - 1
             while j >= 0 and found[j][2] >= new[2]:
@@ -75,45 +83,69 @@ def maximal_segments(items: list[tuple[int, float]], drift: float) -> list[tuple
     return [(a, b, end - before) for a, b, before, end, _ in found]
 
 
+def log_odds(toxic: np.ndarray, clean: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Shrunken log-odds of tokens from their occurrences in either class and the number of documents that hold them."""
+    n_t, n_c = toxic.sum(), clean.sum()
+    if not n_t or not n_c:
+        return np.zeros(len(toxic))
+    prior = (toxic + clean) * (PRIOR / (n_t + n_c))
+    t, c = toxic + prior, clean + prior
+    with np.errstate(divide="ignore", invalid="ignore"):
+        odds = np.log(t / (n_t + PRIOR - t)) - np.log(c / (n_c + PRIOR - c))
+        z = odds / np.sqrt(1 / t + 1 / c)
+        out = odds * z * z / (1 + z * z)
+    return np.where((held > 1) & np.isfinite(out), out, 0.0)
+
+
+def _root(share: np.ndarray, scores: np.ndarray) -> float:
+    """The positive root of sum share exp(lambda score) = 1, for scores of negative mean."""
+    lo, hi = 1e-3, 50.0
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if (share * np.exp(np.minimum(mid * scores, 700))).sum() < 1 else (lo, mid)
+    return lo
+
+
 class Lexicon:
     """Token scores with the constants of the extreme-value distribution and the logistic curve."""
 
-    def __init__(self, scores: dict[str, float], background: dict[str, float], drift: float = DRIFT):
+    def __init__(self, scores: dict[str, float], drift: float = DRIFT):
         self.scores, self.drift = scores, drift
-        q = sum(background.values())
-        lo, hi = 1e-6, 50.0
-        for _ in range(100):  # lambda: the positive root of sum p exp(lambda s) = 1
-            mid = (lo + hi) / 2
-            value = (1 - q) * math.exp(-drift * mid) + sum(p * math.exp(min(700.0, mid * scores[w])) for w, p in background.items())
-            lo, hi = (mid, hi) if value < 1 else (lo, mid)
-        self.rate = lo if background else 1.0
-        # a single token of score s is expected n q_s times, which fixes K
-        weight = sum(p for p in background.values()) or 1.0
-        self.log_k = sum(p / weight * (math.log(q) + self.rate * scores[w]) for w, p in background.items()) if background else 0.0
+        self.rate, self.log_k = 1.0, 0.0
         self.a, self.b = -3.0, 0.0
 
+    def token_scores(self, ts: list[str]) -> np.ndarray:
+        get = self.scores.get
+        return np.fromiter((get(t, 0.0) for t in ts), dtype=np.float64, count=len(ts)) * fresh(ts) - self.drift
+
+    def expected(self, n: np.ndarray | int, score: np.ndarray | float):
+        """Log of the number of segments of that score in a clean text of ``n`` tokens."""
+        return self.log_k + np.log(n) - self.rate * score
+
+    def fit_chance(self, n: np.ndarray, best: np.ndarray) -> None:
+        """K and an upper bound of lambda from clean texts' tokens and best segments: the extreme-value
+        distribution has the mean (log(K n) + gamma) / lambda and the deviation pi / (lambda sqrt(6))."""
+        if best.std() > 0:
+            self.rate = min(self.rate, math.pi / (math.sqrt(6) * float(best.std())))
+        self.log_k = float(np.mean(self.rate * best - np.log(n))) - 0.5772
+
     def passages(self, text: str | None) -> tuple[int, list[tuple[int, int, float, float]]]:
         """Number of tokens, and (first, last, score, log of the expectation) of significant passages."""
         ts = tokens(text)
-        get = self.scores.get
-        hits = [(i, s) for i, s in ((i, get(t)) for i, t in enumerate(ts)) if s is not None]
-        if not hits:
+        if not ts or not self.scores:
             return len(ts), []
-        base = self.log_k + math.log(len(ts))
-        out = [(a, b, s, base - self.rate * s) for a, b, s in maximal_segments(hits, self.drift)]
-        return len(ts), [p for p in out if p[3] < math.log(EXPECTED)]
+        least = (self.log_k + math.log(len(ts)) - math.log(EXPECTED)) / self.rate
+        found = [p for p in maximal_segments(self.token_scores(ts)) if p[2] > least]
+        return len(ts), [(a, b, s, float(self.expected(len(ts), s))) for a, b, s in found]
 
     def evidence(self, passages: list[tuple[int, int, float, float]]) -> float:
-        return min(60.0, -sum(p[3] for p in passages) / math.log(10))
-
-    def probability(self, evidence: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.a + self.b * evidence, -500, 500)))
+        return -sum(p[3] for p in passages) / math.log(10)
 
     def calibrate(self, x: np.ndarray, y: np.ndarray) -> None:
-        """Logistic curve by Newton steps with a little shrinkage; it never falls with the evidence."""
+        """Logistic curve of log(1 + evidence) by Newton steps with a little shrinkage; it never falls with the evidence."""
         if len(x) == 0 or y.min() == y.max():
             return
-        design = np.stack((np.ones_like(x), np.minimum(x, 20.0)), axis=1)
+        design = np.stack((np.ones_like(x), np.log1p(x)), axis=1)
         w = np.zeros(2)
         for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
@@ -123,27 +155,42 @@ class Lexicon:
         self.a, self.b = float(w[0]), max(0.0, float(w[1]))
 
 
+#: Occurrences of a token by class and half of the sample, and documents that hold it by half.
+COUNTED = ("toxic_0", "toxic_1", "clean_0", "clean_1", "held_0", "held_1")
+
+
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     by: dict[str, list[int]] = {}
 
     def out() -> pa.RecordBatch:
         rows = list(by.items())
         by.clear()
-        return pa.RecordBatch.from_arrays(
-            [pa.array([w for w, _ in rows], pa.string()), pa.array([c[1] for _, c in rows], pa.int64()), pa.array([c[0] for _, c in rows], pa.int64())],
-            ["word", "toxic", "clean"],
-        )
+        return pa.RecordBatch.from_arrays([pa.array([w for w, _ in rows], pa.string()), *(pa.array([c[i] for _, c in rows], pa.int64()) for i in range(6))], ["word", *COUNTED])
 
     for batch in batches:
-        for text, y in zip(batch.column("t").to_pylist(), batch.column("y").to_pylist(), strict=True):
-            for w in set(tokens(text)):
-                by.setdefault(w, [0, 0])[y] += 1
+        for text, y, half in zip(*(batch.column(c).to_pylist() for c in ("t", "y", "half")), strict=True):
+            ts = tokens(text)
+            for w, n in Counter(t for t, new in zip(ts, fresh(ts), strict=True) if new).items():
+                c = by.setdefault(w, [0] * 6)
+                c[2 * (1 - y) + half] += n
+                c[4 + half] += 1
             if len(by) > 200_000:
                 yield out()
     if by:
         yield out()
 
 
+def _best(batches: Iterator[pa.RecordBatch], models: list[Lexicon]) -> Iterator[pa.RecordBatch]:
+    """(y, half, n, best): a text's tokens and its best segment under the scores of the other half."""
+    for batch in batches:
+        n, best = [], []
+        for text, half in zip(batch.column("t").to_pylist(), batch.column("half").to_pylist(), strict=True):
+            ts = tokens(text)
+            n.append(len(ts))
+            best.append(max((s for _, _, s in maximal_segments(models[1 - half].token_scores(ts))), default=0.0) if ts else 0.0)
+        yield pa.RecordBatch.from_arrays([batch.column("y"), batch.column("half"), pa.array(n, pa.int64()), pa.array(best, pa.float64())], ["y", "half", "n", "best"])
+
+
 def _chosen(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, key: str, text: str, per_class: int) -> DataFrame:
     known = labels.where(allowed).select(F.col(key).alias("k"), F.col(label).cast("int").alias("y"))
     known = known.where(F.col("y").isin(0, 1) & F.col("k").isNotNull()).groupBy("k").agg(F.max("y").alias("y"))
@@ -152,35 +199,43 @@ def _chosen(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, key
     return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(parts[0].union(parts[1])), "k")
 
 
-def deviations(toxic: Column, clean: Column, n_t: int, n_c: int) -> Column:
-    """Signed root of the likelihood ratio of a token's document counts against equal shares in both classes."""
+def learned(words: list[str], count: dict[str, np.ndarray]) -> tuple[Lexicon, list[Lexicon]]:
+    """Scores from the whole sample and from either half, with lambda where it can be known; K and the curve are to come."""
 
-    def part(seen: Column, row: Column, size: int) -> Column:
-        return F.when(seen > 0, seen * F.log(seen * (n_t + n_c) / (row * size))).otherwise(0.0)
+    def made(halves: tuple[int, ...]) -> tuple[Lexicon, np.ndarray]:
+        toxic, clean, held = (sum(count[f"{c}_{h}"] for h in halves) for c in ("toxic", "clean", "held"))
+        scores = log_odds(toxic, clean, held)
+        some = np.flatnonzero(scores)
+        return Lexicon({words[i]: float(scores[i]) for i in some}), scores
 
-    held = toxic + clean
-    rest = F.lit(n_t + n_c) - held
-    ratio = part(toxic, held, n_t) + part(clean, held, n_c) + part(n_t - toxic, rest, n_t) + part(n_c - clean, rest, n_c)
-    return F.signum(toxic * n_c - clean * n_t) * F.sqrt(F.greatest(F.lit(0.0), 2 * ratio))
+    halves = [made((0,)), made((1,))]
+    for h, (model, scores) in enumerate(halves):
+        other = count[f"clean_{1 - h}"]  # frequencies of clean texts that the scores have not seen
+        if other.sum() and len(model.scores):
+            model.rate = _root(other / other.sum(), scores - model.drift)
+    whole = made((0, 1))[0]
+    whole.rate = (halves[0][0].rate + halves[1][0].rate) / 2
+    return whole, [m for m, _ in halves]
 
 
 def fitted(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", allowed: Column | None = None, key: str = "doc_id", text: str = "text", per_class: int = SAMPLE) -> Lexicon:
     rows = _chosen(docs, labels, label, F.lit(True) if allowed is None else allowed, key, text, per_class)
-    n = {r["y"]: (r["n"], r["size"]) for r in rows.groupBy("y").agg(F.count("*").alias("n"), F.sum(F.length("t")).alias("size")).collect()}
-    if set(n) != {0, 1}:
-        return Lexicon({}, {})
-    n_t, n_c = n[1][0], n[0][0]
-    counted = rows.select("t", "y").mapInArrow(_counts, "word string, toxic bigint, clean bigint")
-    counted = counted.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    prior = (F.col("toxic") + F.col("clean")) * (PRIOR / (n_t + n_c))
-    t, c = F.col("toxic") + prior, F.col("clean") + prior
-    odds = F.log(t / (n_t + PRIOR - t)) - F.log(c / (n_c + PRIOR - c))
-    scored = counted.select("word", odds.alias("odds"), deviations(F.col("toxic"), F.col("clean"), n_t, n_c).alias("z"), (c / (n_c + PRIOR)).alias("clean_share"))
-    lexicon = scored.where(F.col("z") >= Z).orderBy(F.desc("z"), "word").limit(LEXICON).collect()
-    tokens_per_text = max(1.0, n[0][1] / n_c / 6)
-    model = Lexicon({r["word"]: float(r["odds"]) for r in lexicon}, {r["word"]: float(r["clean_share"]) / tokens_per_text for r in lexicon})
-    pairs = _evidence(rows.select(F.col("y").alias("k"), "t"), model, "int").collect()
-    model.calibrate(np.array([r["evidence"] for r in pairs]), np.array([float(r["k"]) for r in pairs]))
+    rows = rows.select("k", "t", "y", F.pmod(F.xxhash64("k", F.lit(1)), F.lit(2)).cast("int").alias("half"))
+    counted = rows.select("t", "y", "half").mapInArrow(_counts, f"word string, {', '.join(f'{c} bigint' for c in COUNTED)}")
+    # the sample's size is bounded, and so is the number of its tokens
+    table = counted.groupBy("word").agg(*[F.sum(c).alias(c) for c in COUNTED]).where("held_0 + held_1 > 1").toArrow()
+    model, halves = learned(table.column("word").to_pylist(), {c: table.column(c).to_numpy() for c in COUNTED})
+    shared = docs.sparkSession.sparkContext.broadcast(halves)
+    best = rows.select("t", "y", "half").mapInArrow(lambda batches: _best(batches, shared.value), "y int, half int, n bigint, best double").toArrow()
+    y, half, n, top = (best.column(c).to_numpy() for c in ("y", "half", "n", "best"))
+    known = (y == 0) & (n > 0)
+    if not known.any() or known.all() or not model.scores:
+        return Lexicon({})
+    for m in (model, *halves):
+        m.fit_chance(n[known], top[known])
+    parts = [_evidence(rows.where(F.col("half") == h).select(F.col("y").alias("k"), "t"), halves[1 - h], "int") for h in (0, 1)]
+    pairs = parts[0].union(parts[1]).select("k", "evidence").toArrow()
+    model.calibrate(pairs.column("evidence").to_numpy(), pairs.column("k").to_numpy().astype(float))
     return model
 
 
@@ -210,7 +265,7 @@ def scored(docs: DataFrame, model: Lexicon, *, key: str = "doc_id", text: str =
     """(key, score, n_tokens, passages) of every row; passages are ranges of tokens."""
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
     out = _evidence(rows, model, rows.schema[0].dataType.simpleString())
-    score = F.lit(1.0) / (1 + F.exp(-(F.lit(model.a) + F.lit(model.b) * F.col("evidence"))))
+    score = F.lit(1.0) / (1 + F.exp(-(F.lit(model.a) + F.lit(model.b) * F.log1p("evidence"))))
     return out.select(F.col("k").alias(key), score.alias("score"), "n_tokens", "passages")
 
 
