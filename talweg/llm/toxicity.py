@@ -8,7 +8,8 @@ costs ``DRIFT`` besides, so that a clean text drifts down.  A linear-time scan f
 segments of a text.  A segment of score S in a text of n tokens is expected K n exp(-lambda S) times by
 chance (extreme-value statistics): lambda is the positive root of sum p exp(lambda s) = 1 over clean
 tokens, or what the spread of clean texts' best segments says where that is less (texts of several
-languages are not drawn from one distribution), and K fits the mean of these segments.  Segments expected less than ``EXPECTED`` times
+languages are not drawn from one distribution), and ``STEEP`` at most (1 would be right for exact
+log-odds), and K fits the mean of these segments.  Segments expected less than ``EXPECTED`` times
 are significant passages.  A document's evidence is the sum of -log10 of the expectations of its
 significant passages, and a logistic curve of its logarithm gives the probability.
 
@@ -38,7 +39,8 @@ from pyspark.sql import functions as F
 SAMPLE = 8000
 PRIOR = 5_000.0
 SPAN = 50
-DRIFT = 0.3
+DRIFT = 1.0
+STEEP = 4.0
 EXPECTED = 0.05
 THRESHOLD = 0.3
 TOKEN = re.compile(r"[^\W_]+")
@@ -99,7 +101,7 @@ def log_odds(toxic: np.ndarray, clean: np.ndarray, held: np.ndarray) -> np.ndarr
 
 def _root(share: np.ndarray, scores: np.ndarray) -> float:
     """The positive root of sum share exp(lambda score) = 1, for scores of negative mean."""
-    lo, hi = 1e-3, 50.0
+    lo, hi = 1e-3, STEEP
     for _ in range(60):
         mid = (lo + hi) / 2
         lo, hi = (mid, hi) if (share * np.exp(np.minimum(mid * scores, 700))).sum() < 1 else (lo, mid)
