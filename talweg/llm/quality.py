@@ -1,13 +1,13 @@
 """Quality classifier: a byte-level convolutional network in numpy.
 
 Bytes are embedded, learned filters of eight bytes run over the whole text at every second byte, and
-their outputs are max-pooled over chunks of 512 bytes (filters reach six bytes into the next chunk,
-so chunks overlap).  The mean and the maximum of the chunks' pooled outputs, over all chunks of the
-text, give one probability through a logistic layer.
+their outputs are max-pooled over chunks of 512 bytes that begin at every 256th, so every stretch of up
+to 256 bytes lies whole within a chunk.  The mean and the maximum of the chunks' pooled outputs, over
+all chunks of the text, give one probability through a logistic layer.
 
 It is fitted on the driver from a bounded sample of labelled rows: ``SAMPLE`` per class, taken in the
-order of a hash of doc_id among the rows that the caller allows, with ``FIT_CHARS`` characters of a
-text at most.  Scoring reads whole texts, in pieces of bounded size whatever the text's length.
+order of a hash of doc_id among the rows that the caller allows; that is a fixed cost, whatever the
+size of the table.  Fitting and scoring read whole texts, in pieces of bounded size.
 
 Defined results: null and empty texts are scored as an empty text (one chunk of padding); labels that
 are null are not learned from; without labels of both classes every score is 0.5; repeated rows get
@@ -26,11 +26,12 @@ from pyspark.sql import functions as F
 from talweg.llm.words import text_blocks
 
 SAMPLE = 2500
-FIT_CHARS = 20_000
 THRESHOLD = 0.3
 DIM, WIDTH, STRIDE, CHUNK, FILTERS = 8, 8, 2, 512, 24
 TAIL = WIDTH - STRIDE
-PER_CHUNK = CHUNK // STRIDE
+CELL = CHUNK // 2
+PER_CELL = CELL // STRIDE
+ROWS = 4096
 PIECE = 1 << 18
 BLOCK = 1 << 19
 EPOCHS, BATCH, RATE, SEED = 10, 32, 0.01, 7
@@ -61,8 +62,8 @@ class Net:
         self.trained = False
 
     def _layout(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Padded bytes, first position of each chunk (with one stop per piece) and chunks per piece."""
-        places = [max(1, -(-min(len(t), PIECE) // STRIDE)) for t in pieces]
+        """Padded bytes, first position of each cell (half a chunk; with one stop per piece) and cells per piece."""
+        places = [max(1, -(-min(len(t), PIECE + CELL) // STRIDE)) for t in pieces]
         size = [n * STRIDE + TAIL for n in places]
         begin = np.concatenate(([0], np.cumsum(size)))
         data = np.zeros(begin[-1], dtype=np.uint8)
@@ -71,8 +72,8 @@ class Net:
             part = t[: n * STRIDE + TAIL]
             data[at : at + len(part)] = np.frombuffer(part, dtype=np.uint8)
             first = at // STRIDE
-            cuts.append(np.append(np.arange(first, first + n, PER_CHUNK), first + n))
-            count.append(-(-n // PER_CHUNK))
+            cuts.append(np.append(np.arange(first, first + n, PER_CELL), first + n))
+            count.append(-(-n // PER_CELL))
         return data, np.concatenate(cuts), np.array(count)
 
     def _convolved(self, data: np.ndarray) -> np.ndarray:
@@ -85,39 +86,53 @@ class Net:
             z += x[j : j + n] @ w[j]
         return z
 
+    @staticmethod
+    def _chunks(count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First and second cell of each chunk, and its piece; a single cell is a chunk."""
+        begin = np.concatenate(([0], np.cumsum(count)[:-1]))
+        chunks = np.maximum(count - 1, 1)
+        piece = np.repeat(np.arange(len(count)), chunks)
+        inner = np.arange(chunks.sum()) - np.repeat(np.concatenate(([0], np.cumsum(chunks)[:-1])), chunks)
+        first = begin[piece] + inner
+        return first, first + (count[piece] > 1), piece
+
+    @staticmethod
+    def _pieces(texts: list[bytes]) -> Iterator[tuple[list[bytes], np.ndarray]]:
+        """Groups of pieces of about ``BLOCK`` bytes with their texts' numbers; pieces overlap by a cell."""
+        group, owner, size = [], [], 0
+        for i, t in enumerate(texts):
+            for k in range(0, max(1, len(t)), PIECE):
+                if k and len(t) - k <= CELL:
+                    continue  # the piece before has it
+                group.append(t[k : k + PIECE + CELL + TAIL])
+                owner.append(i)
+                size += len(group[-1])
+                if size > BLOCK:
+                    yield group, np.array(owner)
+                    group, owner, size = [], [], 0
+        if group:
+            yield group, np.array(owner)
+
     def _pooled(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Largest output per chunk, and the piece of each chunk."""
         data, cuts, count = self._layout(pieces)
         z = self._convolved(data)
         z = np.concatenate((z, np.full((1, FILTERS), _LOWEST, dtype=np.float32)))
         top = np.maximum.reduceat(z, np.minimum(cuts, len(z) - 1), axis=0)
-        stops = np.cumsum(count + 1) - 1
-        return np.maximum(np.delete(top, stops, axis=0) + self.p["b"], 0), np.repeat(np.arange(len(pieces)), count)
+        cells = np.delete(top, np.cumsum(count + 1) - 1, axis=0)
+        first, second, piece = self._chunks(count)
+        return np.maximum(np.maximum(cells[first], cells[second]) + self.p["b"], 0), piece
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
         best = np.zeros((len(texts), FILTERS), dtype=np.float32)
         total = np.zeros((len(texts), FILTERS))
         chunks = np.zeros(len(texts))
-        group, owner, size = [], [], 0
-
-        def flush() -> None:
-            nonlocal group, owner, size
+        for group, owner in self._pieces(texts):
             h, piece = self._pooled(group)
-            doc = np.array(owner)[piece]
+            doc = owner[piece]
             np.maximum.at(best, doc, h)
             np.add.at(total, doc, h)
             np.add.at(chunks, doc, 1)
-            group, owner, size = [], [], 0
-
-        for i, t in enumerate(texts):
-            for k in range(0, max(1, len(t)), PIECE):
-                group.append(t[k : k + PIECE + TAIL])
-                owner.append(i)
-                size += len(group[-1])
-                if size > BLOCK:
-                    flush()
-        if group:
-            flush()
         mean = total / np.maximum(chunks, 1)[:, None]
         return self._out(np.concatenate((mean, best), axis=1))
 
@@ -149,16 +164,25 @@ class Net:
                 self.p["e"][0] = 0
         return self
 
-    def _gradients(self, texts: list[bytes], y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
-        data, cuts, count = self._layout(texts)
+    def _peaks(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Largest output per chunk, the bytes under the filter there, and the piece of each chunk."""
+        data, cuts, count = self._layout(pieces)
         z = self._convolved(data)
-        doc = np.repeat(np.arange(len(texts)), count)
         inner = np.delete(np.arange(len(cuts)), np.cumsum(count + 1) - 1)
-        where = np.empty((len(doc), FILTERS), dtype=np.int64)
+        where = np.empty((len(inner), FILTERS), dtype=np.int64)
         for i, c in enumerate(inner):
             where[i] = cuts[c] + z[cuts[c] : min(cuts[c + 1], len(z))].argmax(axis=0)
+        first, second, piece = self._chunks(count)
         columns = np.arange(FILTERS)
-        h = np.maximum(z[where, columns] + self.p["b"], 0)
+        later = z[where[second], columns] > z[where[first], columns]
+        where = np.where(later, where[second], where[first])
+        return z[where, columns], data[where[..., None] * STRIDE + np.arange(WIDTH)], piece
+
+    def _gradients(self, texts: list[bytes], y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+        parts = [(z, under, owner[piece]) for group, owner in self._pieces(texts) for z, under, piece in [self._peaks(group)]]
+        z, under, doc = (np.concatenate(c) for c in zip(*parts, strict=True))
+        h = np.maximum(z + self.p["b"], 0)
+        count = np.bincount(doc, minlength=len(texts))
         mean = np.zeros((len(texts), FILTERS), dtype=np.float32)
         np.add.at(mean, doc, h)
         mean /= count[:, None]
@@ -167,26 +191,31 @@ class Net:
         feats = np.concatenate((mean, best), axis=1)
         d = ((self._out(feats) - y) * weight / len(texts)).astype(np.float32)
         dh = d[doc, None] * self.p["v"][:FILTERS] / count[doc, None]
-        dh = dh + np.where(h == best[doc], d[doc, None] * self.p["v"][FILTERS:], 0)
+        # the maximum passes its share on to the first chunk that reaches it
+        order = np.arange(len(doc))[:, None]
+        top = np.full((len(texts), FILTERS), len(doc))
+        np.minimum.at(top, doc, np.where(h == best[doc], order, len(doc)))
+        dh = dh + np.where(order == top[doc], d[doc, None] * self.p["v"][FILTERS:], 0)
         dh = np.where(h > 0, dh, 0).astype(np.float32)
-        bytes_at = data[where[..., None] * STRIDE + np.arange(WIDTH)]
-        window = self.p["e"][bytes_at].reshape(len(doc), FILTERS, WIDTH * DIM)
-        dw = np.einsum("cf,cfk->kf", dh, window)
-        de = np.zeros_like(self.p["e"])
-        back = dh[..., None] * self.p["w"].T[None]
-        np.add.at(de, bytes_at.reshape(-1), back.reshape(-1, DIM))
+        dw, de = np.zeros_like(self.p["w"]), np.zeros_like(self.p["e"])
+        for at in range(0, len(doc), ROWS):
+            some = slice(at, at + ROWS)
+            window = self.p["e"][under[some]].reshape(-1, FILTERS, WIDTH * DIM)
+            dw += np.einsum("cf,cfk->kf", dh[some], window)
+            back = dh[some][..., None] * self.p["w"].T[None]
+            np.add.at(de, under[some].reshape(-1), back.reshape(-1, DIM))
         decay = 1e-4 * self.p["v"]
         return {"e": de, "w": dw, "b": dh.sum(axis=0), "v": d @ feats + decay, "c": np.array([d.sum()], dtype=np.float32)}
 
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, *, key: str = "doc_id", text: str = "text", per_class: int = SAMPLE, chars: int = FIT_CHARS) -> list[tuple[str, int]]:
+def sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, *, key: str = "doc_id", text: str = "text", per_class: int = SAMPLE) -> list[tuple[str, int]]:
     """At most ``per_class`` labelled texts of either class, in the order of a hash of the key."""
     known = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("k").isNotNull())
     known = known.withColumnRenamed("k", key).where(allowed).withColumnRenamed(key, "k")
     rows: list[tuple[str, int]] = []
     for y in (0, 1):
         some = known.where(F.col("y") == y).select("k").distinct().orderBy(F.xxhash64("k"), "k").limit(per_class)
-        texts = docs.select(F.col(key).alias("k"), F.substring(F.coalesce(F.col(text), F.lit("")), 1, chars).alias("t"))
+        texts = docs.select(F.col(key).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
         # a bounded number of ids, so this side is small by definition
         found = texts.join(F.broadcast(some), "k").orderBy(F.xxhash64("k"), "k", "t").limit(per_class)
         rows += [(r["t"], y) for r in found.select("t").toLocalIterator()]
