@@ -1,7 +1,8 @@
 """Approximate nearest neighbours by robust-pruned directed graphs, one per shard.
 
-Equal vectors are one class with its ``KEEP`` smallest ids (no more can be among the 5 nearest of
-anything), classes are dealt to shards of about ``SHARD`` by hash.  A shard's graph is built in
+Equal vectors are one class with its k + 1 smallest ids (no more can be among the k nearest of
+anything), classes are dealt to shards of about ``SHARD`` by hash: as many as a task's memory allows
+(some 25 MB for 64 components), since every query goes to every shard.  A shard's graph is built in
 batches: a greedy beam search for each new point proposes neighbours, relaxed pruning keeps a
 candidate unless one already kept is closer to it by the factor ``ALPHA``, and reverse edges are
 added and pruned likewise.  Queries go to every shard in blocks, a beam search proposes candidates,
@@ -12,8 +13,9 @@ Every vector is indexed.  A task holds one shard and one block of queries, both
 
 Defined results: vectors that are null, zero or hold null or non-finite components take no part, nor
 do rows without an id; vectors of another length are never neighbours; repeated rows with one id are
-one vector each of which stands once in the candidates; fewer candidates than k give fewer rows; an
-empty table gives no rows; further columns are not read.
+one vector each of which stands once in the candidates, and a query's is the smallest of them; equal
+scores go by the smaller id; components of any finite size are scaled before norms; fewer candidates
+than k give fewer rows; an empty table gives no rows; further columns are not read.
 """
 
 from __future__ import annotations
@@ -26,17 +28,17 @@ from pyspark.sql import functions as F
 from talweg.storage import stored
 
 K = 5
-KEEP = K + 1
-SHARD = 8192
+SHARD = 32_768
 BLOCK = 4096
 DEGREE, BEAM, ALPHA, WIDE, SEED = 32, 64, 1.2, 4, 11
 QUERY_BEAM = 128
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
+    """Vectors of length 1 in double precision, scaled first so that no square overflows or vanishes."""
     x = x.astype(np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True)
-    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def _without_repeats(ids: np.ndarray) -> np.ndarray:
@@ -155,30 +157,27 @@ def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-def _graph_of(key: tuple, table: pa.Table) -> pa.Table:
-    dim = table.column("dim")[0].as_py()
-    table = table.sort_by("id")
-    x = _matrix(table.column("v"), dim)
-    g = Graph.build(_unit(x))
-    ids = table.column("ids").to_pylist()
-    members = np.full((len(ids), KEEP), -1, dtype=np.int64)
-    for i, m in enumerate(ids):
-        members[i, : len(m)] = m
-    held = np.zeros((len(ids), KEEP), dtype=bool)
-    for i, m in enumerate(ids):
-        held[i, : len(m)] = True
-    return pa.table(
-        {
-            "shard": [table.column("shard")[0].as_py()],
-            "dim": pa.array([dim], pa.int32()),
-            "x": [x.tobytes()],
-            "edges": [g.edges.astype(np.int32).tobytes()],
-            "start": pa.array([g.start], pa.int32()),
-            "ids": [members.tobytes()],
-            "held": [held.tobytes()],
-        },
-        schema=pa.schema([("shard", pa.int64()), ("dim", pa.int32()), ("x", pa.binary()), ("edges", pa.binary()), ("start", pa.int32()), ("ids", pa.binary()), ("held", pa.binary())]),
-    )
+INDEX = pa.schema([("shard", pa.int64()), ("dim", pa.int32()), ("x", pa.binary()), ("edges", pa.binary()), ("start", pa.int32()), ("ids", pa.binary()), ("held", pa.binary())])
+
+
+def _graph_of(keep: int):
+    """One row per shard: unit vectors, edges, and up to ``keep`` ids of each class."""
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        dim = table.column("dim")[0].as_py()
+        table = table.sort_by("id")
+        x = _unit(_matrix(table.column("v"), dim))
+        g = Graph.build(x.astype(np.float32))
+        ids = table.column("ids").to_pylist()
+        members = np.full((len(ids), keep), -1, dtype=np.int64)
+        held = np.zeros((len(ids), keep), dtype=bool)
+        for i, m in enumerate(ids):
+            members[i, : len(m)] = m
+            held[i, : len(m)] = True
+        row = (table.column("shard")[0].as_py(), dim, x.tobytes(), g.edges.astype(np.int32).tobytes(), g.start, members.tobytes(), held.tobytes())
+        return pa.Table.from_arrays([pa.array([v], f.type) for v, f in zip(row, INDEX, strict=True)], schema=INDEX)
+
+    return run
 
 
 def _answers(k: int, beam: int):
@@ -189,18 +188,17 @@ def _answers(k: int, beam: int):
             return schema.empty_table()
         row = {c: index.column(c)[0].as_py() for c in ("dim", "x", "edges", "start", "ids", "held")}
         x = np.frombuffer(row["x"]).reshape(-1, row["dim"])
-        ids = np.frombuffer(row["ids"], dtype=np.int64).reshape(-1, KEEP)
-        held = np.frombuffer(row["held"], dtype=bool).reshape(-1, KEEP)
-        g = Graph(_unit(x), np.frombuffer(row["edges"], dtype=np.int32).reshape(len(x), -1), row["start"])
+        ids = np.frombuffer(row["ids"], dtype=np.int64).reshape(-1, k + 1)
+        held = np.frombuffer(row["held"], dtype=bool).reshape(-1, k + 1)
+        g = Graph(x.astype(np.float32), np.frombuffer(row["edges"], dtype=np.int32).reshape(len(x), -1), row["start"])
         own = queries.column("query_id").to_numpy()
-        q = _matrix(queries.column("v"), row["dim"])
-        scale = np.linalg.norm(x, axis=1)
+        q = _unit(_matrix(queries.column("v"), row["dim"]))
         out: list[tuple] = []
         for at in range(0, len(q), 256):
             part = q[at : at + 256]
-            found, _ = g.search(_unit(part), beam)
+            found, _ = g.search(part.astype(np.float32), beam)
             found = found[:, : 4 * (k + 1)]
-            exact = np.einsum("bpd,bd->bp", x[found], part) / (scale[found] * np.linalg.norm(part, axis=1)[:, None])
+            exact = np.einsum("bpd,bd->bp", x[found], part)
             for i, me in enumerate(own[at : at + 256].tolist()):
                 rows = [(-s, v) for c, s in zip(found[i], exact[i].tolist(), strict=True) if c >= 0 for v, h in zip(ids[c].tolist(), held[c], strict=True) if h and v != me]
                 rows.sort()
@@ -221,19 +219,18 @@ def valid_vectors(vectors: DataFrame, key: str, column: str) -> DataFrame:
 
 def nearest(vectors: DataFrame, queries: DataFrame, *, key: str = "vec_id", column: str = "embedding", k: int = K, shard: int = SHARD, beam: int = QUERY_BEAM) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest by cosine that beam search finds, own id excepted."""
-    if k > K:
-        raise ValueError(f"classes keep ids for {K} neighbours at most")
     rows = valid_vectors(vectors, key, column).dropDuplicates(["id", "v"])
     by = Window.partitionBy("v").orderBy("id")
-    few = rows.withColumn("i", F.row_number().over(by)).where(F.col("i") <= KEEP)
+    few = rows.withColumn("i", F.row_number().over(by)).where(F.col("i") <= k + 1)
     classes = few.groupBy("v", "dim").agg(F.array_sort(F.collect_list("id")).alias("ids")).withColumn("id", F.col("ids")[0])
     classes = stored(classes, "ann-classes")
-    asked = stored(valid_vectors(queries, key, column).dropDuplicates(["id"]), "ann-queries")
+    asked = valid_vectors(queries, key, column).groupBy("id").agg(F.min(F.struct("dim", "v")).alias("one"))
+    asked = stored(asked.select("id", "one.v", "one.dim"), "ann-queries")
     shards = max(1, -(-classes.count() // shard))
     parts = max(1, -(-asked.count() // BLOCK))
     keyed = classes.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)) * 100_003 + F.col("dim"))
     graph_rows = "shard long, dim int, x binary, edges binary, start int, ids binary, held binary"
-    index = stored(keyed.groupBy("shard").applyInArrow(_graph_of, graph_rows), "ann-index")
+    index = stored(keyed.groupBy("shard").applyInArrow(_graph_of(k + 1), graph_rows), "ann-index")
     index = index.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
     asked = asked.select(F.col("id").alias("query_id"), "v", "dim", F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part"))
     asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))

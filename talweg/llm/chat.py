@@ -2,18 +2,21 @@
 
 A finite-state machine over roles validates the order of turns; each turn becomes segments of text
 with a loss flag: the opening mark, the body and the closing mark, of which only bodies of trained
-roles count for the loss.  Control strings inside bodies get one more ``%`` after their first
-character, so ``<|`` becomes ``<%|`` and ``<%|`` becomes ``<%%|``; taking one away restores the text.
+roles count for the loss.  Inside bodies the template's control strings and its own marks get one more
+``%`` after their first character, so ``<|`` becomes ``<%|`` and ``<%|`` becomes ``<%%|``; taking one away
+restores the text.
 
 Defined results: a null text is empty, a null role is the empty role (which no transition takes),
-null turns come first, equal turns stand by role and text, rows without a conv_id form one
-conversation, an unknown role or a wrong order gives ``valid = false`` and still a formatted text,
+null turns come first, equal turns stand by role and text, rows without a conv_id belong to no common
+conversation (each different one is its own), an unknown role or a wrong order gives ``valid = false`` and still a formatted text,
 an empty table gives an empty table; further columns are not read.  A conversation is one output
 row, as its text is one string, so it must fit a row.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +25,7 @@ TEMPLATE = {
     "open": "<|im_start|>",
     "after_role": "\n",
     "close": "<|im_end|>\n",
+    "controls": ["<|", "<s>", "</s>", "<<SYS>>", "<</SYS>>", "[INST]", "[/INST]"],
     "loss_roles": ["assistant"],
     "start": "start",
     "accept": ["assistant"],
@@ -32,19 +36,31 @@ TEMPLATE = {
         "assistant": {"user": "user"},
     },
 }
-# What must not occur inside a body: first character, then the rest.
-CONTROL = r"(?:\||/?s>|</?SYS>>|/?INST\])"
-ESCAPE = (rf"([<\[])(%*)(?={CONTROL})", "$1%$2")
-UNESCAPE = (rf"([<\[])%(%*)(?={CONTROL})", "$1$2")
-TURN = r"(?s)<\|im_start\|>([^\n]*)\n(.*?)<\|im_end\|>\n"
 
 
-def escaped(text: Column) -> Column:
-    return F.regexp_replace(text, *ESCAPE)
+def _marks(template: dict) -> tuple[str, str]:
+    """Patterns of the first characters and of the rests of what must not occur inside a body."""
+    marks = [*template["controls"], template["open"], template["close"]]
+    close = template["close"]
+    nested = any(x in m[1:] for m in marks if len(m) > 1 for x in marks)
+    if min(map(len, marks)) < 2 or nested or any(close[:i] == close[-i:] for i in range(1, len(close))) or any(m[1] == "%" for m in marks):
+        raise ValueError("marks need two characters, the second no %, none within another, and the closing mark must not begin as it ends")
+    return "[" + "".join(sorted({re.escape(m[0]) for m in marks})) + "]", "|".join(sorted({re.escape(m[1:]) for m in marks}))
+
+
+def escaped(text: Column, template: dict = TEMPLATE) -> Column:
+    first, rest = _marks(template)
+    return F.regexp_replace(text, f"({first})(%*)(?={rest})", "$1%$2")
+
+
+def unescaped(text: Column, template: dict = TEMPLATE) -> Column:
+    first, rest = _marks(template)
+    return F.regexp_replace(text, f"({first})%(%*)(?={rest})", "$1$2")
 
 
-def unescaped(text: Column) -> Column:
-    return F.regexp_replace(text, *UNESCAPE)
+def turn_pattern(template: dict = TEMPLATE) -> str:
+    """Role (url-encoded) and body of a formatted turn."""
+    return f"(?s){re.escape(template['open'])}([A-Za-z0-9%+*._-]*){re.escape(template['after_role'])}(.*?){re.escape(template['close'])}"
 
 
 def end_state(roles: Column, template: dict = TEMPLATE) -> Column:
@@ -61,14 +77,15 @@ def end_state(roles: Column, template: dict = TEMPLATE) -> Column:
 def format_chats(turns: DataFrame, template: dict = TEMPLATE) -> DataFrame:
     """One row per conv_id: n_turns, valid, end_state, segments array<struct<text,loss>>, formatted."""
     row = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    chats = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(row)).alias("turns"))
+    own = F.when(F.col("conv_id").isNull(), F.xxhash64("turn", "role", "text"))  # no group of all that lack an id
+    chats = turns.groupBy("conv_id", own).agg(F.array_sort(F.collect_list(row)).alias("turns"))
     trained = [F.lit(r) for r in template["loss_roles"]]
 
     def parts(t: Column) -> Column:
         opened = F.concat(F.lit(template["open"]), F.url_encode(t["role"]), F.lit(template["after_role"]))
         return F.array(
             F.struct(opened.alias("text"), F.lit(False).alias("loss")),
-            F.struct(escaped(t["text"]).alias("text"), t["role"].isin(*trained).alias("loss")),
+            F.struct(escaped(t["text"], template).alias("text"), t["role"].isin(*trained).alias("loss")),
             F.struct(F.lit(template["close"]).alias("text"), F.lit(False).alias("loss")),
         )
 
@@ -88,12 +105,13 @@ def format_chats(turns: DataFrame, template: dict = TEMPLATE) -> DataFrame:
     )
 
 
-def read_back(chats: DataFrame) -> DataFrame:
+def read_back(chats: DataFrame, template: dict = TEMPLATE) -> DataFrame:
     """Turns parsed from ``formatted`` and the text under the loss mask, both unescaped."""
-    roles = F.regexp_extract_all("formatted", F.lit(TURN), F.lit(1))
-    bodies = F.regexp_extract_all("formatted", F.lit(TURN), F.lit(2))
-    turns = F.zip_with(roles, bodies, lambda r, b: F.struct(F.url_decode(r).alias("role"), unescaped(b).alias("text")))
-    lost = F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescaped(s["text"]))
+    turn = turn_pattern(template)
+    roles = F.regexp_extract_all("formatted", F.lit(turn), F.lit(1))
+    bodies = F.regexp_extract_all("formatted", F.lit(turn), F.lit(2))
+    turns = F.zip_with(roles, bodies, lambda r, b: F.struct(F.url_decode(r).alias("role"), unescaped(b, template).alias("text")))
+    lost = F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescaped(s["text"], template))
     return chats.select("*", turns.alias("turns"), F.array_join(lost, "").alias("loss_text"))
 
 

@@ -5,18 +5,20 @@ words).  A window is 10 consecutive words of an item, or all words of a shorter
 into one automaton, each text is run through it once, and hits are mapped to words and to byte
 offsets of the original text.
 
-The automaton is built once per Python worker from a broadcast of the items' windows.  Items are
-taken in groups of at most ``GROUP_BYTES`` of normalised text (one group for the tables here), so
-what a worker holds at a time is bounded; with several groups a text is run through each in turn.
+The automaton is built once per Python worker from a broadcast of the items.  Items are taken in groups
+of at most ``GROUP_BYTES`` of text (one group for the tables here), and each group is a pass of its own
+over what the pass before wrote, so the driver, a broadcast and a worker hold one group at a time.
 
 Defined results: a null or empty text has no words and no hits; a null item or one without words has
-no window; repeated items count by item_id once; repeated documents are rows of their own; further
-columns pass through ``decontaminated`` and are not read by ``scan``.
+no window; items without an id are left out; repeated items count by item_id once; repeated documents
+are rows of their own; further columns pass through ``decontaminated`` whatever their names and are
+not read by ``scan``.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -26,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from talweg.storage import stored
+
 WINDOW = 10
 GROUP_BYTES = 8_000_000
 # Bytes that make words, A-Z lowered; the rest separates.
@@ -98,84 +102,107 @@ def _offsets(text: bytes, runs: list[tuple[int, int]]) -> list[dict]:
     return [{"start": int(start[a]), "end": int(stop[b - 1])} for a, b in runs]
 
 
-def _scan(groups, n: int):
+_BUILT: dict[tuple, Matcher] = {}
+
+
+def _matcher(group: tuple, n: int) -> Matcher:
+    """The automaton of a group (its name, its broadcast); a worker keeps the last one it built."""
+    name, items = group
+    if (name, n) not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name, n] = Matcher(items.value, n)
+    return _BUILT[name, n]
+
+
+def _groups(items: DataFrame, limit: int = GROUP_BYTES) -> Iterator[list[tuple[object, str]]]:
+    """Items with an id and a text in groups of about ``limit`` characters; one empty group where there are none."""
+    group: list[tuple[object, str]] = []
+    size, any_ = 0, False
+    for r in items.select("item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL").orderBy("item_id", "text").toLocalIterator():
+        if group and size + len(r[1]) > limit:
+            yield group
+            group, size, any_ = [], 0, True
+        group.append((r[0], r[1]))
+        size += len(r[1])
+    if group or not any_:
+        yield group
+
+
+def _passes(rows: DataFrame, items: DataFrame, one_pass) -> DataFrame:
+    """``one_pass(rows, group)`` for every group, the results of all but the last written."""
+    groups, run = _groups(items), uuid.uuid4().hex
+    now = next(groups)
+    for i, later in enumerate(groups):
+        shared = rows.sparkSession.sparkContext.broadcast(now)
+        rows = stored(one_pass(rows, (f"{run}-{i}", shared)), "decontam-pass")
+        shared.unpersist()
+        now = later
+    return one_pass(rows, (run, rows.sparkSession.sparkContext.broadcast(now)))
+
+
+_HITS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+
+def _matched(group, n: int):
+    """Adds the group's hits (ranges of words) and items to each row (id, text, hits, items)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items_by_group = groups.value
-        only = Matcher(items_by_group[0], n) if len(items_by_group) == 1 else None
+        m = _matcher(group, n)
         for batch in batches:
-            column = batch.column("text")
-            spans: list[list] = [[] for _ in range(len(column))]
-            found: list[set] = [set() for _ in spans]
-            count = [0] * len(spans)
-            for items in items_by_group:
-                m = only or Matcher(items, n)
-                for i, text in enumerate(column):
-                    w = words_of(text.as_py())
-                    count[i] = len(w)
-                    s, ids = m.hits(w)
-                    spans[i] += s
-                    found[i] |= ids
-            merged = [_merged(s) for s in spans]
-            ids = [sorted(str(x) for x in f) for f in found]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("id"),
-                    pa.array(count, pa.int64()),
-                    pa.array([sum(b - a for a, b in m) for m in merged], pa.int64()),
-                    pa.array([len(x) for x in ids], pa.int64()),
-                    pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in ids]),
-                    pa.array(ids, pa.list_(pa.string())),
-                    pa.array([_offsets((t.as_py() or "").encode("utf-8", "surrogatepass"), m) if m else [] for t, m in zip(column, merged, strict=True)], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))),
-                ],
-                ["id", "n_words", "n_hit", "n_items", "items_sha256", "items", "spans"],
-            )
+            hits, items = [], []
+            for text, before, known in zip(batch.column("text"), batch.column("hits").to_pylist(), batch.column("items").to_pylist(), strict=True):
+                spans, ids = m.hits(words_of(text.as_py()))
+                spans += [(x["start"], x["end"] - x["start"]) for x in before or ()]
+                hits.append([{"start": a, "end": b} for a, b in _merged(spans)])
+                items.append(sorted({*(known or ()), *map(str, ids)}))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text"), pa.array(hits, _HITS), pa.array(items, pa.list_(pa.string()))], ["id", "text", "hits", "items"])
 
     return run
 
 
-def grouped(items: list[tuple[object, str]], limit: int = GROUP_BYTES) -> list[list[tuple[object, str]]]:
-    out: list[list] = [[]]
-    size = 0
-    for item in items:
-        size += len(item[1])
-        if size > limit and out[-1]:
-            out.append([])
-            size = len(item[1])
-        out[-1].append(item)
-    return out
+def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        hits, ids = batch.column("hits").to_pylist(), batch.column("items").to_pylist()
+        texts = [(t.as_py() or "").encode("utf-8", "surrogatepass") if h else b"" for t, h in zip(batch.column("text"), hits, strict=True)]
+        yield pa.RecordBatch.from_arrays(
+            [
+                batch.column("id"),
+                pa.array([len(words_of(t.as_py())) for t in batch.column("text")], pa.int64()),
+                pa.array([sum(x["end"] - x["start"] for x in h) for h in hits], pa.int64()),
+                pa.array([len(x) for x in ids], pa.int64()),
+                pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in ids]),
+                pa.array(ids, pa.list_(pa.string())),
+                pa.array([_offsets(t, [(x["start"], x["end"]) for x in h]) if h else [] for t, h in zip(texts, hits, strict=True)], _HITS),
+            ],
+            ["id", "n_words", "n_hit", "n_items", "items_sha256", "items", "spans"],
+        )
 
 
 def scan(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", n: int = WINDOW) -> DataFrame:
     """One row per document: id, n_words, n_hit, n_items, items_sha256, items, spans (byte offsets).
 
-    ``items`` (item_id, text) is the test set; its size is that of the test sets, not of the corpus.
+    ``items`` (item_id, text) is the test set.
     """
-    rows = [(r[0], r[1]) for r in items.select("item_id", "text").where("text IS NOT NULL").orderBy("item_id", "text").toLocalIterator()]
-    groups = docs.sparkSession.sparkContext.broadcast(grouped(rows))
     kind = dict(docs.dtypes)[key]
-    schema = f"id {kind}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, items array<string>, spans {SPANS}"
-    return docs.select(F.col(key).alias("id"), F.col(text).alias("text")).mapInArrow(_scan(groups, n), schema)
-
+    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), F.lit(None).cast(SPANS).alias("hits"), F.lit(None).cast("array<string>").alias("items"))
+    state = f"id {kind}, text string, hits {SPANS}, items array<string>"
+    rows = _passes(rows, items, lambda rows, group: rows.mapInArrow(_matched(group, n), state))
+    return rows.mapInArrow(_described, f"id {kind}, n_words bigint, n_hit bigint, n_items bigint, items_sha256 string, items array<string>, spans {SPANS}")
 
-def contaminated_ids(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    return scan(docs, items, key=key, text=text).where("n_hit > 0").select(F.col("id").alias(key)).distinct()
 
-
-def decontaminated(docs: DataFrame, items: DataFrame, *, text: str = "text") -> DataFrame:
+def decontaminated(docs: DataFrame, items: DataFrame, *, text: str = "text", n: int = WINDOW) -> DataFrame:
     """``docs`` without the rows whose text holds a window of an item; all columns pass through."""
-    rows = [(r[0], r[1]) for r in items.select("item_id", "text").where("text IS NOT NULL").orderBy("item_id", "text").toLocalIterator()]
-    groups = docs.sparkSession.sparkContext.broadcast(grouped(rows))
     at = docs.columns.index(text)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        built = [Matcher(g) for g in groups.value] if len(groups.value) == 1 else None
-        for batch in batches:
-            clean = np.ones(batch.num_rows, dtype=bool)
-            for m in built or (Matcher(g) for g in groups.value):
-                clean &= np.array([not m.hits(words_of(t.as_py()))[0] for t in batch.column(at)], dtype=bool)
-            yield batch.filter(pa.array(clean))
+    def one_pass(rows: DataFrame, group) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            m = _matcher(group, n)
+            for batch in batches:
+                yield batch.filter(pa.array([not m.hits(words_of(t.as_py()))[0] for t in batch.column(at)], pa.bool_()))
+
+        return rows.mapInArrow(run, docs.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return _passes(docs, items, one_pass)
 
 
 def op3_decontamination(spark, sf_dir: str) -> DataFrame:

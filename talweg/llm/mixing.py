@@ -12,7 +12,8 @@ offsets of buckets from those, and row numbers within buckets last, so no source
 
 Defined results: a null text has size 0 and takes 0 words; a null source is a source of its own,
 last in the order; repeated rows are rows of their own; an empty table gives an empty table; all
-further columns of the input pass through ``mix`` whatever their names.
+further columns of the input pass through ``mix`` whatever their names, and a name for a new column
+that the table has already is refused.
 """
 
 from __future__ import annotations
@@ -82,11 +83,14 @@ def mix(
     weights: Sequence[int] = WEIGHTS,
     cap: float = CAP,
     seed: str = SEED,
+    name: str = "mix_",
 ) -> DataFrame:
-    """The rows of ``docs`` with one struct ``mix_``: size, source_size, target, copies, taken.
+    """The rows of ``docs`` with one struct ``name``: size, source_size, target, copies, taken.
 
     ``size`` replaces the word count of ``text`` where it is known already.
     """
+    if name in docs.columns:
+        raise ValueError(f"the table has a column {name} already")
     n = (n_words(F.col(text)) if size is None else size).cast("long")
     rows = docs.select(F.struct("*").alias("row"), n.alias("n"))
     rows = rows.withColumn("at", _ordered(F.col(f"row.`{source}`"), F.col(f"row.`{key}`"), F.col("n"), seed))
@@ -105,13 +109,15 @@ def mix(
     copies = (F.floor(rate * place + unit) - F.floor(rate * (place - 1) + unit)).cast("int")
     rows = rows.withColumn("copies", copies)
     made = F.struct(F.col("n").alias("size"), "source_size", "target", "copies", (F.col("copies") * F.col("n")).alias("taken"))
-    return rows.select("row.*", made.alias("mix_"))
+    return rows.select("row.*", made.alias(name))
 
 
-def emitted(mixed: DataFrame, copy: str = "copy") -> DataFrame:
-    """The sample itself: each row of ``mix`` once per copy, numbered from 1."""
-    kept = mixed.where("mix_.copies > 0")
-    return kept.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col("mix_.copies")))).drop("mix_")
+def emitted(mixed: DataFrame, copy: str = "copy", name: str = "mix_") -> DataFrame:
+    """The sample itself: each row of ``mix`` once per copy, numbered from 1 in column ``copy``."""
+    if copy in mixed.columns:
+        raise ValueError(f"the table has a column {copy} already")
+    copies = F.col(f"`{name}`.copies")
+    return mixed.where(copies > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), copies))).drop(name)
 
 
 def op7_mixing(spark, sf_dir: str) -> DataFrame:

@@ -168,8 +168,8 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n.append(len(s))
             marks.append(sketch(s) if len(s) else None)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("id"), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(marks, pa.binary())],
-            ["id", "node", "n", "sketch"],
+            [batch.column("id"), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(marks, pa.binary()), batch.column("text_hash")],
+            ["id", "node", "n", "sketch", "text_hash"],
         )
 
 
@@ -387,11 +387,13 @@ def _compare_parts(lo: int, hi: int):
 
 
 class _Join:
-    def __init__(self, docs: DataFrame, key: str, text: str):
+    def __init__(self, docs: DataFrame, key: str, text: str, with_text_hash: bool = False):
         self.spark = docs.sparkSession
         self.docs = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).where("id IS NOT NULL")
+        hashed = F.coalesce(F.sha2("text", 256), F.lit("")) if with_text_hash else F.lit(None).cast("string")
         kind = self.docs.schema["id"].dataType.simpleString()
-        self.known = stored(self.docs.mapInArrow(_describe, f"id {kind}, node bigint, n bigint, sketch binary"), "ngram-docs")
+        rows = self.docs.select("id", "text", hashed.alias("text_hash"))
+        self.known = stored(rows.mapInArrow(_describe, f"id {kind}, node bigint, n bigint, sketch binary, text_hash string"), "ngram-docs")
         first = F.min(F.struct("id", "n", "sketch")).alias("f")
         self.nodes = self.known.where("n > 0").groupBy("node").agg(first)
         self.nodes = stored(self.nodes.select("node", F.col("f.id").alias("id"), F.col("f.n").alias("n"), F.col("f.sketch").alias("sketch")), "ngram-nodes")
@@ -516,16 +518,20 @@ class _Join:
             lo, hi = hi, LEADERS * hi + 1
 
 
-def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs`` with an id: key, n_shingles, component_id (smallest linked key)."""
-    join = _Join(docs, key, text)
+def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", with_text_hash: bool = False) -> DataFrame:
+    """One row per row of ``docs`` with an id: key, n_shingles, component_id (smallest linked key).
+
+    ``with_text_hash`` adds text_hash, SHA-256 of the text ("" for a null one), where one id may have several texts.
+    """
+    join = _Join(docs, key, text, with_text_hash)
     join.links()
     named = join.nodes.join(join.parts, "node", "left").select("node", F.coalesce("component", "node").alias("class"), "id")
     smallest = named.groupBy("class").agg(F.min("id").alias("component_id"))
     named = named.join(smallest, "class").select("node", "component_id")
-    out = join.known.where("n > 0").join(named, "node").select("id", "n", "component_id")
-    alone = join.known.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
-    return out.union(alone).select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id")
+    out = join.known.where("n > 0").join(named, "node").select("id", "n", "component_id", "text_hash")
+    alone = join.known.where("n = 0").select("id", "n", F.col("id").alias("component_id"), "text_hash")
+    more = ["text_hash"] if with_text_hash else []
+    return out.union(alone).select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id", *more)
 
 
 def op10_ngram_join(spark, sf_dir: str) -> DataFrame:

@@ -33,6 +33,10 @@ def test_document_operators(spark, rows, sf_dir):
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
 
+    with pytest.raises(ValueError, match="already"):
+        mixing.mix(docs, name="node")
+    with pytest.raises(ValueError, match="already"):
+        mixing.emitted(mixing.mix(docs), copy="node")
     mixed = mixing.mix(docs)
     assert mixed.columns == [*docs.columns, "mix_"] and mixed.count() == n
     out = pii.pseudonymised(docs.withColumn("changes_", F.lit(7)).withColumn("pii_", F.lit(8)), key="k")
@@ -68,6 +72,8 @@ def test_stages(spark, rows, sf_dir):
     import corpus_pipeline
 
     docs = documents(spark, rows).select("doc_id", "text", "lang", "source", "n_chars", "id", "node")
+    for name in ("mix_", "copy", "changes_", "text_", "pii_"):
+        docs = docs.withColumn(name, docs["node"])
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, sf_dir)
         if name != "mixing":
@@ -89,6 +95,9 @@ def test_other_tables(spark, rows):
     got = html_text.main_text(spark.createDataFrame(pages if rows else [], "page_id long, url string, html string, host string")).collect()
     assert sorted(r["text"] for r in got) == (["", "", "a b", "x"] if rows else [])
     vectors = [(0, [1.0, 0.0], 1), (1, [2.0, 0.0], 1), (2, None, 1), (3, [0.0, 0.0], 1), (4, [float("nan"), 1.0], 1), (5, [None, 1.0], 1), (None, [1.0, 1.0], 1), (50, [1.0, 1.0], 1), (50, [1.0, 1.0], 1), (7, [1.0, 2.0, 3.0], 1)]
+    large = spark.createDataFrame([(0, [1e200, 0.0]), (1, [1e200, 1e199]), (2, [1e-200, 1e-201]), (3, [-1e300, 0.0])], "vec_id long, embedding array<double>")
+    got = [(r["vec_id"], r["score"]) for r in ann.nearest(large, large.where("vec_id = 0")).orderBy("rank").collect()] if rows else []
+    assert [v for v, _ in got] == ([1, 2, 3] if rows else []) and all(abs(s - x) < 1e-12 for (_, s), x in zip(got, [1.01**-0.5] * 2 + [-1.0], strict=False))
     df = spark.createDataFrame(vectors if rows else [], "vec_id long, embedding array<float>, id int")
     got = [(r["query_id"], r["rank"], r["vec_id"]) for r in ann.nearest(df, df.where("vec_id % 50 = 0")).orderBy("query_id", "rank").collect()]
     assert got == ([(0, 1, 1), (0, 2, 50), (50, 1, 0), (50, 2, 1)] if rows else [])

@@ -74,7 +74,7 @@ def test_pipeline_matches_plain_python(spark, tmp_path):
     left = [d for d in left if not any(f" {w} " in f" {' '.join(re.findall(r'[a-z0-9]+', d[1].lower()))} " for w in windows)]
     kept = {d[0] for d in left}
     assert 2000 not in kept
-    hidden = {x["doc_id"]: x["text"] for x in pii.pseudonymised(spark.createDataFrame(left, df.schema)).collect()}
+    hidden = {x["doc_id"]: x["text"] for x in pii.pseudonymised(spark.createDataFrame(left, df.schema), key=pii.key_of(spark)).collect()}
     copies = plain_mix([(d[0], d[3], len(re.findall(r"[^\x20\x09-\x0D]+", d[1]))) for d in left], mixing.SEED)
     want = sorted((d[0], hidden[d[0]], k) for d in left for k in range(1, copies[d[0]] + 1))
     got = sorted((x["doc_id"], x["text"], x["copy"]) for x in corpus_pipeline.run(spark, str(tmp_path)).collect())

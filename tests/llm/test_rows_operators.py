@@ -142,6 +142,21 @@ def test_chat_round_trip(spark):
     assert got[1]["formatted"].count("<|im_start|>") == 7
 
 
+def test_chat_template_decides_what_is_escaped(spark):
+    import pytest
+
+    from talweg.llm import chat
+
+    template = chat.TEMPLATE | {"open": "### ", "after_role": ":", "close": "~~END\n", "controls": ["{{", "<|"]}
+    odd = ["### user:", "~~END\n", "a ~~", "{{x}} <| #%## ", "~%~END\n"]
+    rows = [(1, i, "user" if i % 2 == 0 else "assistant", t) for i, t in enumerate(odd)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    (got,) = chat.read_back(chat.format_chats(df, template), template).collect()
+    assert [(t["role"], t["text"]) for t in got["turns"]] == [r[2:] for r in rows] and got["loss_text"] == odd[1] + odd[3]
+    with pytest.raises(ValueError, match="marks"):
+        chat.escaped(df.text, template | {"close": "abab"})
+
+
 def page(i, article="", more=""):
     return f'<html><head><title>t</title></head><body><nav><a>m{i}</a></nav><div class="lead"><p>Same words on every page</p></div>{article or f"<div class=story><p>Story number {i} about {i * 7}</p></div>"}{more}<footer>f</footer>'
 

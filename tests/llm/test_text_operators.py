@@ -190,7 +190,7 @@ def test_sorted_streams_keep_groups_across_batches(size):
     assert sorted(out) == sorted({(k, t) for k, t, _ in want})
 
 
-def test_decontamination_maps_to_the_original(spark):
+def test_decontamination_maps_to_the_original(spark, monkeypatch):
     from talweg.llm import decontam
 
     item = "What is the Capital, of-France and why? Tell me all of it now"
@@ -202,7 +202,11 @@ def test_decontamination_maps_to_the_original(spark):
     assert text.encode()[span["start"] : span["end"]].decode() == "what IS the capital of france -- and why tell me all of it now"
     assert (got[1]["n_hit"], got[1]["items"]) == (14, ["10"]) and got[2]["n_hit"] == 0
     assert (got[3]["n_hit"], got[3]["items"]) == (2, ["11"])
-    assert len(decontam.grouped([(1, "a" * 6), (2, "b" * 6), (3, "c")], 10)) == 2
+    items = items.union(spark.createDataFrame([(None, "x yes"), (12, None)], items.schema))
+    assert [len(g) for g in decontam._groups(items)] == [2] and [len(g) for g in decontam._groups(items, 10)] == [1, 1]
+    monkeypatch.setattr(decontam, "_groups", lambda items, f=decontam._groups: f(items, 10))
+    assert {r["id"]: r for r in decontam.scan(df, items).collect()} == got
+    assert [r["doc_id"] for r in decontam.decontaminated(df, items).collect()] == [2]
 
 
 def test_maximal_segments_match_definition():
