@@ -478,9 +478,29 @@ class _Join:
         found = stored(self.plausible(few.mapInArrow(_compare(1, LEADERS), "a bigint, b bigint")), "ngram-pairs")
         edges = self.joined(edges, stored(self.check(found), "ngram-new"))
         many = left.where(F.col("n") > LEADERS + 1)
-        members = buckets.join(many.select("sig", "lead"), "sig").where("node <> lead").groupBy("lead", "node").agg(F.max("popular").alias("popular"))
+        held = stored(buckets.select("sig", "node", "popular").join(many.select("sig", "lead"), "sig"), "ngram-many")
+        members = held.join(self.common_leads(held), "lead").where("node <> root").groupBy(F.col("root").alias("lead"), "node").agg(F.max("popular").alias("popular"))
         return self.links_by_rare_elements(edges, stored(members, "ngram-members"))
 
+    def common_leads(self, held: DataFrame) -> DataFrame:
+        """(lead, root): what leads a bucket may be any set, so buckets share the most popular one near their own.
+
+        That is the most popular leader of the own leader's component or, two steps on, of a bucket in
+        which the leader is a member.
+        """
+        known = held.where("node = lead").select("lead", "popular").distinct()
+        root = Window.partitionBy("comp").orderBy(F.desc("popular"), "lead")
+        hubs = self.with_component(known, "lead").withColumn("hub", F.first("lead").over(root))
+        hubs = stored(hubs.select("lead", "hub"), "ngram-hubs")
+        of = known.select(F.col("lead").alias("hub"), F.col("popular").alias("rank"))
+        above = held.select("node", "lead").join(hubs, "lead").join(known.select(F.col("lead").alias("node")), "node", "left_semi").join(of, "hub")
+        above = above.groupBy("node").agg(F.max(F.struct("rank", -F.col("hub"), "hub")).alias("m")).select(F.col("node").alias("hub"), F.col("m.hub").alias("next"))
+        above = stored(above, "ngram-above")
+        roots = hubs
+        for _ in range(2):
+            roots = roots.join(above, "hub", "left").select("lead", F.coalesce("next", "hub").alias("hub"))
+        return roots.withColumnRenamed("hub", "root")
+
     def links_by_rare_elements(self, edges: DataFrame, members: DataFrame) -> DataFrame:
         """``edges`` and those between members (lead, node, popular) of one leader in different components."""
         if members.isEmpty():
