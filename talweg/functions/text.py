@@ -93,6 +93,12 @@ def iso_timestamp_ok(s: Column) -> Column:
     return F.coalesce(s.rlike(shape) & F.try_to_timestamp(s).isNotNull(), F.lit(False))
 
 
+def iso_date_or_time_ok(s: Column) -> Column:
+    """A date, or a date and a time with or without an offset."""
+    shape = r"^\d{4}-\d{2}-\d{2}([T ]([01]\d|2[0-3])(:[0-5]\d(:[0-5]\d([.,]\d{1,9})?)?)?(Z|[+-]([01]\d|2[0-3])(:?[0-5]\d)?)?)?$"
+    return F.coalesce(s.rlike(shape) & F.try_to_timestamp(F.substring(s, 1, 10), F.lit("yyyy-MM-dd")).isNotNull(), F.lit(False))
+
+
 def portable_path_ok(s: Column) -> Column:
     return s.rlike(r"^[^/\\][^\\]*$") & ~s.rlike(r"(^|/)\.{1,2}(/|$)") & ~s.rlike("//")
 

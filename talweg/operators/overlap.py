@@ -126,7 +126,16 @@ def test_isolation(df: DataFrame, test: str, order: str, fields: Sequence[str],
 
 
 def route_exposure(candidate: DataFrame, history: DataFrame, route: Sequence[str], alias: Column | None = None) -> DataFrame:
-    """Distinct candidate routes with ``novel`` (not in the history) and ``family_known``."""
+    """Distinct candidate routes with ``novel`` (not in the history) and ``family_known``.
+
+    With ``alias`` (an expression over a row) also ``alias_known``: one of the route's aliases is one of the
+    history's, under whatever route it stands there.
+    """
+    if alias is not None:
+        known = history.select(alias.alias("_a")).where("_a IS NOT NULL").distinct().withColumn("_hit", F.lit(True))
+        seen = candidate.select(*route, alias.alias("_a")).distinct().join(known, "_a", "left")
+        seen = seen.groupBy(*route).agg(F.coalesce(F.bool_or("_hit"), F.lit(False)).alias("alias_known"))
+        return route_exposure(candidate, history, route).join(seen, list(route))
     mine = candidate.select(*route).distinct()
     past = history.select(*route).distinct().withColumn("_seen", F.lit(True))
     families = history.select(route[0]).distinct().withColumn("_family", F.lit(True))

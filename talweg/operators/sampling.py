@@ -124,6 +124,14 @@ def balanced_batches(df: DataFrame, cell: Sequence[str], order: Sequence[Column
     return numbered(df, cell, order, "_i").withColumn("batch", F.floor((F.col("_i") - 1) / per_cell).cast("long")).drop("_i")
 
 
+def uneven_cells(df: DataFrame, cell: Sequence[str], per_cell: int) -> DataFrame:
+    """(cell..., n_rows) of cells that are not of one size or not a whole number of batches; a balanced plan has none."""
+    n = df.groupBy(*cell).agg(F.count("*").alias("n_rows"))
+    least = n.agg(F.min("n_rows").alias("_least"), F.max("n_rows").alias("_most"))
+    # one row of totals
+    return n.join(F.broadcast(least), (F.col("_least") != F.col("_most")) | (F.col("n_rows") % per_cell != 0)).select(*cell, "n_rows")
+
+
 def first_reason(rules: Sequence[tuple[Column, str]]) -> Column:
     """The first rule that holds, or null."""
     out = F.lit(None).cast("string")

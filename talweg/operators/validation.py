@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talweg import schema as S
-from talweg.functions.text import iso_timestamp_ok, portable_path_ok
+from talweg.functions.text import iso_date_or_time_ok, iso_timestamp_ok, portable_path_ok
 
 
 def blank(c: Column) -> Column:
@@ -64,36 +64,53 @@ def manifest_issues(languages: Sequence[str] = S.LANGUAGES, mandatory: Sequence[
     return stepwise(blanks, sha, path, rest)
 
 
+def _value(name: str) -> Column:
+    return F.trim(F.coalesce(F.col(name), F.lit("")))
+
+
+def _one_of(name: str, allowed: Sequence[str]) -> tuple[Column, str]:
+    return ~F.lower(_value(name)).isin(*allowed), f"{name}: not allowed"
+
+
 def ledger_issues() -> Column:
-    size = F.col("expected_size_bytes").try_cast("long")
-    approved = F.col("status") == "approved"
+    """``array<string>`` of a ledger row's issues; values are trimmed, enumerations and digests lower-cased."""
+    size, sha = _value("expected_size_bytes").try_cast("long"), F.lower(_value("sha256"))
     return listed(
-        *[(blank(F.col(c)), f"{c}: blank") for c in ("source_id", "usage_scope", "license", "source_url", "rights_basis", "status")],
-        (size.isNull() | (size <= 0), "expected_size_bytes: not positive"),
-        (approved & blank(F.col("sha256")), "sha256: approved without digest"),
-        (~blank(F.col("sha256")) & ~F.col("sha256").rlike("^[0-9a-f]{64}$"), "sha256: not a digest"),
+        *[(_value(c) == "", f"{c}: blank") for c in S.LEDGER.names if c not in ("last_modified_utc", "sha256")],
+        (size.isNull(), "expected_size_bytes: not an integer"),
+        (size <= 0, "expected_size_bytes: not positive"),
+        ((_value("last_modified_utc") != "") & ~iso_date_or_time_ok(_value("last_modified_utc")), "last_modified_utc: not ISO-8601"),
+        ((sha != "") & ~sha.rlike("^[0-9a-f]{64}$"), "sha256: not a digest"),
+        _one_of("train_dev_test_use", S.PROTOCOL_USES),
+        _one_of("ood_evaluation_use", S.PROTOCOL_USES),
+        _one_of("bonafide_group_provenance", S.GROUP_PROVENANCES),
+        _one_of("spoof_voice_group_provenance", S.GROUP_PROVENANCES),
+        (F.lower(_value("status")).isin(*S.APPROVED_STATUSES) & (sha == ""), "sha256: approved without digest"),
     )
 
 
 def consent_issues() -> Column:
-    flags = [c for c in S.CONSENT.names if c.endswith("_authorized")]
-    active = F.col("status") == "active"
+    """``array<string>`` of a consent row's issues; values are trimmed, enumerations and booleans lower-cased."""
+    status = F.lower(_value("status"))
+    opaque = "^[a-z0-9][a-z0-9._:-]{2,127}$"
     return listed(
-        *[(blank(F.col(c)), f"{c}: blank") for c in ("consent_record_id", "speaker_pseudo_id", "status", "signed_at")],
-        *[(~F.coalesce(F.col(c).isin("true", "false"), F.lit(False)), f"{c}: not boolean") for c in flags],
-        (~F.coalesce(F.col("status").isin("active", "revoked"), F.lit(False)), "status: not allowed"),
-        (active & ~blank(F.col("revoked_at")), "revoked_at: set on active"),
-        ((F.col("status") == "revoked") & blank(F.col("revoked_at")), "revoked_at: missing"),
+        *[(_value(c) == "", f"{c}: blank") for c in S.CONSENT.names if c != "revoked_at"],
+        *[((_value(c) != "") & ~_value(c).rlike(opaque), f"{c}: not opaque") for c in ("consent_record_id", "speaker_pseudo_id")],
+        _one_of("language", S.CONSENT_LANGUAGES),
+        _one_of("status", S.CONSENT_STATUSES),
+        *[(~F.lower(_value(c)).isin("true", "false"), f"{c}: not boolean") for c in S.CONSENT_SCOPES],
+        *[((_value(c) != "") & ~iso_date_or_time_ok(_value(c)), f"{c}: not ISO-8601") for c in ("signed_at", "revoked_at")],
+        ((status == "active") & (_value("revoked_at") != ""), "revoked_at: set on active"),
+        ((status == "revoked") & (_value("revoked_at") == ""), "revoked_at: missing"),
     )
 
 
 def eligible_speakers(consents: DataFrame) -> DataFrame:
-    """(speaker_pseudo_id, eligible): active consents; eligible if all three scopes are granted."""
-    flags = [c for c in S.CONSENT.names if c.endswith("_authorized")]
-    every = F.lit(True)
-    for c in flags:
-        every = every & (F.col(c) == "true")
-    return consents.where("status = 'active'").groupBy("speaker_pseudo_id").agg(F.bool_and(every).alias("eligible"))
+    """(speaker_pseudo_id, eligible, missing, n_active): active consents, the scopes that one of them lacks."""
+    lacks = F.array_compact(F.array(*[F.when(F.lower(_value(c)) != "true", F.lit(c)) for c in S.CONSENT_SCOPES]))
+    active = consents.where(F.lower(_value("status")) == "active").select(_value("speaker_pseudo_id").alias("speaker_pseudo_id"), lacks.alias("lacks"))
+    out = active.groupBy("speaker_pseudo_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("lacks")))).alias("m"), F.count("*").alias("n_active"))
+    return out.select("speaker_pseudo_id", (F.size("m") == 0).alias("eligible"), F.array_join("m", ",").alias("missing"), "n_active")
 
 
 def issues_of(df: DataFrame, issues: Column, key: str) -> DataFrame:
@@ -131,24 +148,61 @@ def ood_families(df: DataFrame, family: str = "generator_family", split: str = "
 def ledger_coverage(df: DataFrame, ledger: DataFrame, source: str = "source_name") -> DataFrame:
     """(source, problem) of distinct sources that the ledger lacks or has not approved."""
     used = df.select(F.col(source).alias("source")).distinct()
-    known = ledger.select(F.col("source_id").alias("source"), "status")
-    problem = F.when(F.col("status").isNull(), "missing").when(F.col("status") != "approved", "not_approved")
+    known = ledger.select(F.col("source_id").alias("source"), F.lower(F.trim("status")).alias("status"))
+    problem = F.when(F.col("status").isNull(), "missing").when(~F.col("status").isin(*S.APPROVED_STATUSES), "not_approved")
     return used.join(known, "source", "left").select("source", problem.alias("problem")).where("problem IS NOT NULL")
 
 
 def training_protocol_issues(df: DataFrame, ledger: DataFrame, purpose: str = "research") -> DataFrame:
-    """(rule, value): ledger approval, scope for the split, consent for cloned voices, all distinct."""
-    known = ledger.select(F.col("source_id").alias("source_name"), "status", "usage_scope", "train_dev_test_use", "ood_evaluation_use")
-    rows = df.join(known, "source_name", "left")
-    scope = F.when(F.col("split") == "ood", F.col("ood_evaluation_use")).otherwise(F.col("train_dev_test_use"))
-    found = listed(
-        (F.col("status").isNull(), "source not in ledger"),
-        (F.col("status") != "approved", "source not approved"),
-        (F.coalesce(scope, F.lit("")) != "allowed", "split not allowed for source"),
-        ((F.lit(purpose) == "product") & (F.col("usage_scope") != "product"), "source not for products"),
-        ((F.lit(purpose) == "product") & (F.col("label") == "spoof") & blank(F.col("clone_consent_id")), "clone without consent"),
-    )
-    return rows.select(F.explode(found).alias("rule"), F.col("source_name").alias("value")).distinct()
+    """(rule, value) of what a training protocol breaks.
+
+    Research reads train, dev and test, and needs sources that allow it there; a product reads ood too, and
+    needs product-allowed, verified, commercially clean sources with verified groups, and generator families
+    and voices that keep apart.  The ledger must cover and approve every source of the table.
+    """
+    if purpose not in ("research", "product"):
+        raise ValueError(f"purpose: {purpose}")
+    product = purpose == "product"
+    splits = df.sparkSession.createDataFrame([(s,) for s in S.SPLITS if product or s != "ood"], "split string")
+    names = ("status", "usage_scope", "train_dev_test_use", "ood_evaluation_use", "bonafide_group_provenance", "spoof_voice_group_provenance")
+    known = ledger.select(F.col("source_id").alias("source_name"), *[(F.trim(n) if n == "usage_scope" else F.lower(F.trim(n))).alias(n) for n in names])
+    rows = df.join(F.broadcast(splits), "split")  # three or four rows
+    covered = rows.join(known, "source_name")
+
+    def found(rule: str, of: DataFrame, value: Column) -> DataFrame:
+        return of.select(F.lit(rule).alias("rule"), value.alias("value")).distinct()
+
+    held = splits.join(rows.groupBy("split").agg(F.collect_set("label").alias("labels")), "split", "left")
+    licence = ledger_coverage(df, ledger)
+    use_field = F.when(F.col("split") == "ood", "ood_evaluation_use").otherwise("train_dev_test_use")
+    use = F.when(F.col("split") == "ood", F.col("ood_evaluation_use")).otherwise(F.col("train_dev_test_use"))
+    by_use = F.concat_ws(":", "source_name", use_field)
+    out = [
+        found("source missing from the ledger", licence.where("problem = 'missing'"), F.col("source")),
+        found("source not approved", licence.where("problem = 'not_approved'"), F.col("source")),
+        found("split empty", held.where("labels IS NULL"), F.col("split")),
+        found("split lacks a label", held.where("array_sort(labels) <> array('bonafide', 'spoof')"), F.col("split")),
+    ]
+    if not product:
+        out.append(found("use prohibited", covered.where(~use.isin("research_only", "product_allowed")), by_use))
+    else:
+        provenance = F.when(F.col("label") == "bonafide", F.col("bonafide_group_provenance")).otherwise(F.col("spoof_voice_group_provenance"))
+        spoof = rows.where("label = 'spoof'")
+        families = spoof.groupBy("generator_family").agg(F.bool_or(F.col("split") == "ood").alias("o"), F.bool_or(F.col("split") != "ood").alias("r"))
+        voices = covered.where("label = 'spoof' AND spoof_voice_group_provenance = 'verified'").groupBy("voice_id").agg(F.countDistinct("split").alias("n"))
+        out += [
+            found("use not for products", covered.where(use != "product_allowed"), by_use),
+            found("status not verified", covered.where("status <> 'verified'"), F.col("source_name")),
+            found("scope not commercial", covered.where("usage_scope <> 'commercial_clean'"), F.col("source_name")),
+            found("groups not verified", covered.where(provenance != "verified"), F.concat_ws(":", "source_name", "label")),
+            found("no generator family in ood", families.agg(F.bool_or("o").alias("any")).where("NOT coalesce(any, false)"), F.lit("ood")),
+            found("generator family in ood and elsewhere", families.where("o AND r"), F.col("generator_family")),
+            found("voice in several splits", voices.where("n > 1"), F.col("voice_id")),
+        ]
+    every = out[0]
+    for part in out[1:]:
+        every = every.unionByName(part)
+    return every
 
 
 def functional_violations(df: DataFrame, key: str, value: str) -> DataFrame:

@@ -126,36 +126,36 @@ def raw_exact_eligibility(spark: S, sf_dir: str) -> DataFrame:
 
 
 def _prints(spark: S, sf_dir: str) -> DataFrame:
-    """Sign bits of the first 32 dimensions as 8 hex digits; blocks of 4 bits are exact up to 7 differing bits."""
-    bits = F.transform(F.slice("embedding", 1, 32), lambda x: F.when(x > 0, "1").otherwise("0"))
+    """Sign bits of all 64 dimensions as 16 hex digits; blocks of 8 bits are exact up to 7 differing bits."""
+    bits = F.transform("embedding", lambda x: F.when(x > 0, "1").otherwise("0"))
     e = table(spark, sf_dir, "embeddings").where("embedding IS NOT NULL")
-    hexed = F.lpad(F.lower(F.conv(F.array_join(bits, ""), 2, 16)), 8, "0")
+    hexed = F.lpad(F.lower(F.conv(F.array_join(bits, ""), 2, 16)), 16, "0")
     return e.select(F.col("vec_id").alias("identity"), hexed.alias("fingerprint"), (F.lit(3.0) + F.col("vec_id") % 10 / 10.0).alias("speech_seconds"))
 
 
-PRINTS = """e AS (SELECT vec_id AS identity, list_reduce(list_prepend(0::UBIGINT, list_transform(embedding[1:32], lambda x: (x > 0)::UBIGINT)), lambda s, x: s * 2 + x) AS f, 3.0::DOUBLE + vec_id % 10 / 10.0::DOUBLE AS s FROM embeddings WHERE embedding IS NOT NULL)"""
+PRINTS = """e AS (SELECT vec_id AS identity, list_reduce(list_prepend(0::UBIGINT, list_transform(embedding, lambda x: (x > 0)::UBIGINT)), lambda s, x: s * 2 + x) AS f, 3.0::DOUBLE + vec_id % 10 / 10.0::DOUBLE AS s FROM embeddings WHERE embedding IS NOT NULL)"""
 
 
 @query(
     f"""WITH {PRINTS} SELECT x.identity AS candidate, y.identity AS reference, bit_count(xor(x.f, y.f))::INT AS distance FROM e x JOIN e y ON x.identity <> y.identity
-WHERE x.identity % 5 = 0 AND y.identity % 5 <> 0 AND bit_count(xor(x.f, y.f)) <= 4 AND greatest(x.s, y.s) - least(x.s, y.s) <= 0.15 * greatest(x.s, y.s)"""
+WHERE bit_count(xor(x.f, y.f)) <= 7 AND greatest(x.s, y.s) - least(x.s, y.s) <= 0.15 * greatest(x.s, y.s)"""
 )
 def near_dup_blocks(spark: S, sf_dir: str) -> DataFrame:
-    """Candidates (a fifth) against the references (the rest), as the operator takes two frames."""
+    """All rows against all."""
     p = _prints(spark, sf_dir)
-    return dedupe.near_matches(p.where("identity % 5 = 0"), p.where("identity % 5 <> 0"), block=1, threshold=4)
+    return dedupe.near_matches(p, p, block=2, threshold=7)
 
 
 @query(
     f"""WITH {PRINTS}, d AS (SELECT *, 'd' || (identity % 97) AS digest, identity % 23 <> 0 AS ready FROM e), h AS (SELECT 'd' || (i * 10) AS digest FROM range(3) t(i)),
 w AS (SELECT digest, min(identity) AS owner FROM d WHERE ready GROUP BY 1),
-n AS (SELECT x.identity, count(*) AS n FROM d x JOIN d y ON x.identity <> y.identity AND x.digest <> y.digest WHERE x.identity % 5 = 0 AND y.identity % 5 <> 0 AND bit_count(xor(x.f, y.f)) <= 4 AND greatest(x.s, y.s) - least(x.s, y.s) <= 0.15 * greatest(x.s, y.s) GROUP BY 1)
+n AS (SELECT x.identity, count(*) AS n FROM d x JOIN d y ON x.identity <> y.identity AND x.digest <> y.digest WHERE bit_count(xor(x.f, y.f)) <= 7 AND greatest(x.s, y.s) - least(x.s, y.s) <= 0.15 * greatest(x.s, y.s) GROUP BY 1)
 SELECT d.identity, CASE WHEN NOT ready THEN 'not_ready' WHEN h.digest IS NOT NULL THEN 'historical_exact' WHEN owner <> d.identity THEN 'pool_exact' WHEN coalesce(n.n, 0) > 0 THEN 'near_pending' ELSE 'eligible' END AS decision, coalesce(n.n, 0)::BIGINT AS n_near
 FROM d LEFT JOIN h USING (digest) LEFT JOIN w ON w.digest = d.digest LEFT JOIN n ON n.identity = d.identity"""
 )
 def dedupe_cascade(spark: S, sf_dir: str) -> DataFrame:
     p = _prints(spark, sf_dir).withColumns({"digest": F.concat(F.lit("d"), F.col("identity") % 97)})
-    near = dedupe.near_matches(p.where("identity % 5 = 0"), p.where("identity % 5 <> 0"), block=1, threshold=4)
+    near = dedupe.near_matches(p, p, block=2, threshold=7)
     history = spark.range(3).select(F.concat(F.lit("d"), F.col("id") * 10).alias("digest"))
     return dedupe.decision(p, history, near, key="identity", digest="digest", ready=F.col("identity") % 23 != 0, order=["identity"])
 

@@ -85,24 +85,24 @@ def ood_family_isolation(spark: S, sf_dir: str) -> DataFrame:
 
 def _ledger(spark: S) -> DataFrame:
     ids = spark.range(14)
-    return ids.select(F.concat(F.lit("src"), "id").alias("source_id"), F.when(F.col("id") % 3 == 0, "pending").otherwise("approved").alias("status"))
+    return ids.select(F.concat(F.lit("src"), "id").alias("source_id"), F.when(F.col("id") % 3 == 0, "pending").when(F.col("id") % 3 == 1, "verified").otherwise("owner_authorized_personal_research").alias("status"))
 
 
 @query(
-    """WITH l AS (SELECT 'src' || i AS source, CASE WHEN i % 3 = 0 THEN 'pending' ELSE 'approved' END AS status FROM range(14) t(i)),
+    """WITH l AS (SELECT 'src' || i AS source, CASE WHEN i % 3 = 0 THEN 'pending' WHEN i % 3 = 1 THEN 'verified' ELSE 'owner_authorized_personal_research' END AS status FROM range(14) t(i)),
 u AS (SELECT DISTINCT source FROM documents)
-SELECT u.source, CASE WHEN status IS NULL THEN 'missing' ELSE 'not_approved' END AS problem FROM u LEFT JOIN l USING (source) WHERE status IS NULL OR status <> 'approved'"""
+SELECT u.source, CASE WHEN status IS NULL THEN 'missing' ELSE 'not_approved' END AS problem FROM u LEFT JOIN l USING (source) WHERE status IS NULL OR status NOT IN ('verified', 'owner_authorized_personal_research')"""
 )
 def ledger_coverage(spark: S, sf_dir: str) -> DataFrame:
     return validation.ledger_coverage(table(spark, sf_dir, "documents").select(F.col("source").alias("source_name")), _ledger(spark))
 
 
 @query(
-    """WITH r AS (SELECT source AS value, lang AS role FROM documents WHERE n_chars > 4000)
+    """WITH r AS (SELECT source AS value, lang AS role FROM documents)
 SELECT value, count(DISTINCT role)::BIGINT AS n_roles, string_agg(DISTINCT role, ',' ORDER BY role) AS roles FROM r GROUP BY value HAVING count(DISTINCT role) > 1"""
 )
 def role_source_disjoint(spark: S, sf_dir: str) -> DataFrame:
-    return validation.shared_by_roles(table(spark, sf_dir, "documents").where("n_chars > 4000"), "source", "lang")
+    return validation.shared_by_roles(table(spark, sf_dir, "documents"), "source", "lang")
 
 
 @query(
@@ -227,11 +227,11 @@ def substring_match(spark: S, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH r AS (SELECT source AS test, lang AS value, 'lang' AS field FROM documents WHERE n_chars > 3000), s AS (SELECT field, value, test FROM r WHERE test <> 'src0')
+    """WITH r AS (SELECT source AS test, lang AS value, 'lang' AS field FROM documents), s AS (SELECT field, value, test FROM r WHERE test <> 'src0')
 SELECT field, value, min(test) AS first_test, string_agg(DISTINCT test, ',' ORDER BY test) AS tests FROM s GROUP BY 1, 2 HAVING count(DISTINCT test) > 1"""
 )
 def test_isolation(spark: S, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("n_chars > 3000").select(F.col("source").alias("test"), F.col("source").alias("ord"), "lang")
+    d = table(spark, sf_dir, "documents").select(F.col("source").alias("test"), F.col("source").alias("ord"), "lang")
     return overlap.test_isolation(d, "test", "ord", ("lang",), F.col("test") == "src0")
 
 
@@ -555,12 +555,12 @@ def bipartite_matching(spark: S, sf_dir: str) -> DataFrame:
   FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL AND (source <> 'src3' OR quality = 1)
   UNION ALL SELECT 'src1', 'train', 'spoof'),
 p AS (SELECT 'dev' AS role, 'src' || i AS source_name FROM range(1, 5) t(i) UNION ALL SELECT 'train', 'src' || i FROM range(5, 20) t(i) UNION ALL SELECT 'train', 'src0'),
-l AS (SELECT 'src' || i AS source, CASE WHEN i % 3 = 0 THEN 'pending' ELSE 'approved' END AS status FROM range(14) t(i)),
+l AS (SELECT 'src' || i AS source, CASE WHEN i % 3 = 0 THEN 'pending' WHEN i % 3 = 1 THEN 'verified' ELSE 'owner_authorized_personal_research' END AS status FROM range(14) t(i)),
 h AS (SELECT DISTINCT role, source_name FROM r)
 SELECT 'sources' AS rule, coalesce(h.role, p.role) AS key, coalesce(h.source_name, p.source_name) || CASE WHEN h.role IS NULL THEN ': absent' ELSE ': not planned' END AS detail FROM h FULL JOIN p ON h.role = p.role AND h.source_name = p.source_name WHERE h.role IS NULL OR p.role IS NULL
 UNION ALL SELECT 'labels', role, string_agg(DISTINCT label, ',' ORDER BY label) FROM r GROUP BY role HAVING count(DISTINCT label) < 2
 UNION ALL SELECT 'source in several roles', source_name, string_agg(DISTINCT role, ',' ORDER BY role) FROM r GROUP BY source_name HAVING count(DISTINCT role) > 1
-UNION ALL SELECT 'licence', u.source_name, CASE WHEN status IS NULL THEN 'missing' ELSE 'not_approved' END FROM (SELECT DISTINCT source_name FROM r) u LEFT JOIN l ON l.source = u.source_name WHERE status IS NULL OR status <> 'approved'"""
+UNION ALL SELECT 'licence', u.source_name, CASE WHEN status IS NULL THEN 'missing' ELSE 'not_approved' END FROM (SELECT DISTINCT source_name FROM r) u LEFT JOIN l ON l.source = u.source_name WHERE status IS NULL OR status NOT IN ('verified', 'owner_authorized_personal_research')"""
 )
 def source_matrix_protocol(spark: S, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").where("quality IS NOT NULL"), "doc_id").where("source <> 'src3' OR quality = 1")

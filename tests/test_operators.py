@@ -55,20 +55,46 @@ def test_ledger_and_consents(spark):
     from talweg import schema as S
     from talweg.operators import validation as V
 
-    good = dict(zip(S.LEDGER.names, ["s1", "product", "allowed", "denied", "p", "p", "cc", "u", "a", "10", "", "b" * 64, "r", "approved", ""], strict=True))
+    good = dict(zip(S.LEDGER.names, ["s1", "commercial_clean", "Product_allowed ", "prohibited", "verified", "verified", "cc", "u", "a", "10", "2026-08-08", "B" * 64, "r", "verified", "n"], strict=True))
     bad = {**good, "source_id": "s2", "expected_size_bytes": "0", "sha256": ""}
     ledger = spark.createDataFrame([tuple(x[n] for n in S.LEDGER.names) for x in (good, bad)], S.LEDGER)
     got = {r["source_id"]: r["i"] for r in ledger.select("source_id", V.ledger_issues().alias("i")).collect()}
     assert got == {"s1": [], "s2": ["expected_size_bytes: not positive", "sha256: approved without digest"]}
     df = manifest(spark, {"source_name": "s1"}, {"source_name": "s1", "split": "ood"}, {"source_name": "zz"})
     found = {(r["rule"], r["value"]) for r in V.training_protocol_issues(df, ledger).collect()}
-    assert found == {("source not in ledger", "zz"), ("split not allowed for source", "zz"), ("split not allowed for source", "s1")}
-    consent = ["c1", "sp", "ru", "1", "true", "true", "true", "active", "2026", ""]
-    other = ["c2", "sq", "ru", "1", "true", "no", "true", "active", "2026", "2027"]
+    assert found == {("source missing from the ledger", "zz"), ("split empty", "dev"), ("split empty", "test"), ("split lacks a label", "train")}
+    consent = ["c1:x", "spk", "ru", "1", "true", "TRUE", "true", "active", "2026-01-01", ""]
+    other = ["c2:x", "sqk", "ru", "1", "true", "no", "true", "active", "2026-01-01", "2027-01-01T10:00"]
     df = spark.createDataFrame([tuple(consent), tuple(other)], S.CONSENT)
     got = {r["consent_record_id"]: r["i"] for r in df.select("consent_record_id", V.consent_issues().alias("i")).collect()}
-    assert got == {"c1": [], "c2": ["synthetic_derivatives_authorized: not boolean", "revoked_at: set on active"]}
-    assert {r[0]: r[1] for r in V.eligible_speakers(df).collect()} == {"sp": True, "sq": False}
+    assert got == {"c1:x": [], "c2:x": ["synthetic_derivatives_authorized: not boolean", "revoked_at: set on active"]}
+    assert {r[0]: (r[1], r[2]) for r in V.eligible_speakers(df).collect()} == {"spk": (True, ""), "sqk": (False, "synthetic_derivatives_authorized")}
+
+
+def test_training_protocol_scenarios(spark):
+    from talweg import schema as S
+    from talweg.operators import validation as V
+
+    good = dict(zip(S.LEDGER.names, ["s1", "commercial_clean", "product_allowed", "product_allowed", "verified", "verified", "cc", "u", "a", "10", "", "b" * 64, "r", "verified", "n"], strict=True))
+    changes = []
+    for i, split in enumerate(S.SPLITS):
+        changes += [{"split": split, "label": "bonafide"}, {"split": split, "label": "spoof", "generator_family": f"f{split == 'ood'}", "voice_id": f"v{i}"}]
+    frame = manifest(spark, *[c | {"source_name": "s1", "sample_id": str(i)} for i, c in enumerate(changes)])
+
+    def found(ledger, purpose, rows=frame):
+        table = spark.createDataFrame([tuple(ledger[n] for n in S.LEDGER.names)], S.LEDGER)
+        return {(r["rule"], r["value"]) for r in V.training_protocol_issues(rows, table, purpose).collect()}
+
+    assert found(good, "product") == set() == found(good | {"train_dev_test_use": "research_only"}, "research")
+    assert found(good | {"train_dev_test_use": "prohibited"}, "research") == {("use prohibited", "s1:train_dev_test_use")}
+    weak = good | {"status": "owner_authorized_personal_research", "usage_scope": "x", "ood_evaluation_use": "research_only", "spoof_voice_group_provenance": "unknown"}
+    assert found(weak, "product") == {("use not for products", "s1:ood_evaluation_use"), ("status not verified", "s1"), ("scope not commercial", "s1"), ("groups not verified", "s1:spoof")}
+    assert found(good, "product", frame.where("split <> 'ood'")) == {("split empty", "ood"), ("no generator family in ood", "ood")}
+    from pyspark.sql import functions as F
+
+    one = frame.withColumn("generator_family", F.when(F.col("label") == "spoof", "f").otherwise("")).withColumn("voice_id", F.lit("v"))
+    assert found(good, "product", one) == {("generator family in ood and elsewhere", "f"), ("voice in several splits", "v")}
+    assert S.MANIFEST.names[14:16] == ["duration_s", "generator_family"] and set(S.MANDATORY) | set(S.OPTIONAL) == set(S.MANIFEST.names)
 
 
 def test_anti_join_scenario(spark):
