@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from talweg.operators.prefix import running_sums
+from talweg.storage import stored
 
 BINS = 15
 
@@ -103,16 +104,19 @@ def macro_mean(df: DataFrame, by: str, value: str, name: str = "macro") -> DataF
 
 
 def temperature(df: DataFrame, logit: str, label: Column, steps: int = 30) -> float:
-    """Temperature that minimises the log loss: Newton steps on log T, one aggregation each; T in [1e-3, 1e3]."""
+    """Temperature that minimises the log loss: Newton steps on log T over counts of distinct (logit, label); T in [1e-3, 1e3]."""
     import math
 
-    x, y = F.col(logit).cast("double"), label.cast("double")
+    counted = df.select(F.col(logit).cast("double").alias("x"), label.cast("double").alias("y")).groupBy("x", "y").agg(F.count("*").alias("n"))
+    counted = stored(counted, "temperature")
+    x, y = F.col("x"), F.col("y")
     log_t = 0.0
     for _ in range(steps):
         s = math.exp(-log_t)
         z = x * s
         p = sigmoid(z)
-        row = df.agg(F.avg((p - y) * -z).alias("g"), F.avg(p * (1 - p) * z * z + (p - y) * z).alias("h")).first()
+        mean = [F.sum(F.col("n") * v) / F.sum(F.when(v.isNotNull(), F.col("n"))) for v in ((p - y) * -z, p * (1 - p) * z * z + (p - y) * z)]
+        row = counted.agg(mean[0].alias("g"), mean[1].alias("h")).first()
         if row is None or row["g"] is None:
             return 1.0
         g, h = row["g"], row["h"]

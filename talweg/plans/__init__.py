@@ -1,6 +1,6 @@
 """Registered queries over the given tables."""
 
-from talweg.plans import evaluation, governance, rules
+from talweg.plans import composed, evaluation, governance, rules
 from talweg.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "evaluation", "governance", "rules"]
+__all__ = ["ORACLES", "QUERIES", "composed", "evaluation", "governance", "rules"]

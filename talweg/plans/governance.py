@@ -523,7 +523,14 @@ def text_group_inventory(spark: S, sf_dir: str) -> DataFrame:
     return pairs.join(used, "text_hash", "left").groupBy("language").agg(F.count("*").alias("n_texts"), F.count_if(F.col("_u").isNull()).alias("n_fresh"))
 
 
-@query()
+@query(
+    """WITH RECURSIVE {ASSETS}, k AS (SELECT sample_id, unnest(['parent_group_id:' || parent_group_id, 'speaker_pseudo_id:' || speaker_pseudo_id, 'text_hash:' || text_hash]) AS key FROM a),
+e AS (SELECT DISTINCT x.key AS p, y.key AS q FROM k x JOIN k y USING (sample_id)),
+r AS (SELECT DISTINCT key, key AS root FROM k UNION SELECT e.q, r.root FROM r JOIN e ON e.p = r.key),
+c AS (SELECT key, min(root) AS component FROM r GROUP BY 1), s AS (SELECT DISTINCT sample_id, component FROM k JOIN c USING (key)),
+v AS (SELECT *, ('0x' || substr(sha256('20260808:' || component), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616.0::DOUBLE AS u FROM s)
+SELECT sample_id, component, CASE WHEN u < 0.8 THEN 'train' WHEN u < 0.9 THEN 'dev' ELSE 'test' END AS split FROM v"""
+)
 def component_split_assignment(spark: S, sf_dir: str) -> DataFrame:
     """Splits of whole components over group, speaker and text; no key crosses splits afterwards."""
     a = assets(spark, sf_dir).select("sample_id", *FIELDS).withColumn("split", F.lit(None).cast("string"))
@@ -538,7 +545,14 @@ def component_split_leakage(spark: S, sf_dir: str) -> DataFrame:
     return validation.cross_split_leakage(a.join(out.select("sample_id", "split"), "sample_id"), FIELDS)
 
 
-@query()
+@query(
+    """WITH RECURSIVE o AS (SELECT row_number() OVER (ORDER BY sha256('20260808:' || o_orderkey)) AS i, o_orderkey, o_custkey, o_orderdate AS day FROM orders),
+g AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS f, []::VARCHAR[] AS d, false AS taken
+  UNION ALL SELECT o.i, CASE WHEN list_contains(f, o_custkey) OR list_contains(d, day::VARCHAR) THEN f ELSE list_append(f, o_custkey) END,
+    CASE WHEN list_contains(f, o_custkey) OR list_contains(d, day::VARCHAR) THEN d ELSE list_append(d, day::VARCHAR) END, NOT (list_contains(f, o_custkey) OR list_contains(d, day::VARCHAR))
+  FROM g JOIN o ON o.i = g.i + 1 WHERE len(f) < 200)
+SELECT o_orderkey, o_custkey, day FROM g JOIN o USING (i) WHERE taken"""
+)
 def greedy_two_key_distinct(spark: S, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select(rank_hex(SEED, F.col("o_orderkey"), sep=":").alias("rank"), "o_orderkey", "o_custkey", F.col("o_orderdate").alias("day"))
     return graph.greedy_distinct(o, "rank", "o_custkey", "day", 200).select("o_orderkey", "o_custkey", "day")
