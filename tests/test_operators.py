@@ -360,3 +360,77 @@ def test_running_sums_equal_windows(spark):
     for g in ("a", "b", None):
         mine = sorted((x, i) for h, x, _, i in data if h == g)
         assert [got[i] for _, i in mine] == list(range(1, len(mine) + 1))
+
+
+def test_manifests_and_ledgers_round_trip(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from talweg import schema as S
+    from talweg.sources import tables as T
+
+    frame = manifest(spark, {"sample_id": "2", "label": "bonafide", "text_id": 'a "b", c'}, {"sample_id": "1", "label": "bonafide", "augmentation_chain": ""})
+    digest = T.write_manifest(frame, f"{tmp_path}/m.csv")
+    raw = (tmp_path / "m.csv").read_bytes()
+    import hashlib
+
+    assert hashlib.sha256(raw).hexdigest() == digest and raw.decode().splitlines()[0] == ",".join(S.MANIFEST.names)
+    back = T.read_manifest(spark, f"{tmp_path}/m.csv")
+    assert back.exceptAll(frame).count() == 0 and [r["sample_id"] for r in back.collect()] == ["1", "2"]
+    with pytest.raises(FileExistsError):
+        T.write_manifest(frame, f"{tmp_path}/m.csv")
+    with pytest.raises(ValueError, match="not allowed"):
+        T.write_manifest(frame.withColumn("split", F.lit("odd")), f"{tmp_path}/n.csv")
+    lines = raw.decode().splitlines()
+    (tmp_path / "bad.csv").write_text("\n".join([lines[0], lines[1], lines[1], lines[2].replace("train", "odd")]) + "\n")
+    assert {(r["row_number"], r["issue"]) for r in T.manifest_report(spark, f"{tmp_path}/bad.csv").collect()} == {(3, "sample_id: repeated"), (4, "split: not allowed")}
+    ledger = spark.createDataFrame([tuple([s] + ["x"] * 14) for s in ("b", "a", "c")], S.LEDGER)
+    assert T.write_ledger_snapshot(ledger, ["b", "a", "b"], f"{tmp_path}/l.csv") == ["a", "b"]
+    assert [r["source_id"] for r in T.read_ledger(spark, f"{tmp_path}/l.csv").collect()] == ["a", "b"]
+    with pytest.raises(ValueError, match="missing"):
+        T.write_ledger_snapshot(ledger, ["z"], f"{tmp_path}/z.csv")
+    assert not [p.name for p in tmp_path.iterdir() if "stage" in p.name or p.name in ("n.csv", "z.csv")]
+    assert T.write_once_json(spark, f"{tmp_path}/x.json", {"b": 1, "a": "é"}) == hashlib.sha256('{"a":"é","b":1}'.encode()).hexdigest()
+    with pytest.raises(FileExistsError):
+        T.write_once_json(spark, f"{tmp_path}/x.json", {})
+
+
+def test_publication_is_all_or_nothing(spark, tmp_path, monkeypatch):
+    from talweg.sources import tables as T
+
+    a, b = rows(spark, "a int", (1,), (2,)), rows(spark, "b string", ("x",))
+    T.published_together({f"{tmp_path}/a": a, f"{tmp_path}/b": b})
+    assert spark.read.parquet(f"{tmp_path}/a/data").count() == 2 and (tmp_path / "b" / "_receipt").is_dir()
+    wrong = a.select((a.a / (a.a - 1)).alias("a"))
+    spark.conf.set("spark.sql.ansi.enabled", "true")
+    with pytest.raises(Exception, match="(?i)zero"):
+        T.published_together({f"{tmp_path}/c": b, f"{tmp_path}/d": wrong})
+    real = T._file_system
+
+    class Stuck:
+        def __init__(self, fs):
+            self.fs = fs
+
+        def __getattr__(self, name):
+            return getattr(self.fs, name)
+
+        def rename(self, *paths):
+            return False
+
+    def patched(spark, path):
+        fs, hadoop = real(spark, path)
+        return (Stuck(fs) if path == f"{tmp_path}/f" else fs), hadoop
+
+    monkeypatch.setattr(T, "_file_system", patched)
+    with pytest.raises(OSError, match="cannot publish"):
+        T.published_together({f"{tmp_path}/e": b, f"{tmp_path}/f": a})
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["a", "b"]
+
+
+def test_scorers_must_answer_once(spark):
+    from talweg.operators import composed as C
+
+    df = rows(spark, "k int, x double", *[(i, float(i)) for i in range(10)])
+    assert {r["k"]: r["logit"] for r in C.scored_once(df, "k", ["x"], lambda f: f["x"] * 2, batch=3).collect()} == {i: 2.0 * i for i in range(10)}
+    for bad in (lambda f: f["x"].iloc[1:], lambda f: f["x"] / 0):
+        with pytest.raises(Exception, match="logits"):
+            C.scored_once(df, "k", ["x"], bad).collect()
