@@ -68,21 +68,32 @@ def array_quality(samples: Column) -> Column:
     )
 
 
-def quality_flags(peak: Column, rms: Column, clipped: Column, dc: Column, speech_seconds: Column) -> Column:
+# The quality policy.
+QUIET_DBFS, CLIPPED_SHARE, LEAST_SPEECH = -55.0, 0.02, 2.5
+
+
+def quality_flags(rms_dbfs: Column, clipped_fraction: Column) -> Column:
     """Ordered array of flags."""
     return F.array_compact(
         F.array(
-            F.when(peak < 0.02, "low_level"),
-            F.when(rms < -50, "quiet"),
-            F.when(clipped > 0.01, "clipped"),
-            F.when(F.abs(dc) > 0.05, "dc_offset"),
-            F.when(F.coalesce(speech_seconds, F.lit(0.0)) < 1.0, "little_speech"),
+            F.when(rms_dbfs < QUIET_DBFS, "signal_too_quiet"),
+            F.when(clipped_fraction > CLIPPED_SHARE, "excessive_clipping"),
         )
     )
 
 
-def readiness(flags: Column, error: Column) -> Column:
-    return F.when(error.isNotNull(), "failed").when(F.array_contains(flags, "little_speech"), "rejected").when(F.size(flags) > 0, "review").otherwise("ready")
+def readiness(flags: Column, speech_seconds: Column) -> Column:
+    """struct<status, flags>: bad quality rejects, then too little speech, which is a flag of its own."""
+    little = F.coalesce(speech_seconds, F.lit(0.0)) < LEAST_SPEECH
+    status = F.when(F.size(flags) > 0, "rejected_quality").when(little, "insufficient_speech").otherwise("ready")
+    return F.struct(status.alias("status"), F.when(status == "insufficient_speech", F.array(F.lit("insufficient_speech"))).otherwise(flags).alias("flags"))
+
+
+def prepared_results(df: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """Reported results: status, flags, seconds and decibels to 3 places, shares to 6, ties to even."""
+    done = readiness(quality_flags(F.col("rms_dbfs"), F.col("clipped_fraction")), F.col("speech_seconds"))
+    rounded = [F.bround(c, d).alias(c) for c, d in (("speech_seconds", 3), ("rms_dbfs", 3), ("peak", 6), ("clipped_fraction", 6), ("dc_offset", 6))]
+    return df.withColumn("_done", done).select(*keep, F.col("_done.status").alias("status"), F.array_join("_done.flags", ",").alias("flags"), *rounded)
 
 
 def energy_active(rms_dbfs: Column, threshold: float = -45.0) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talweg.functions.keys import rank_hex
-from talweg.operators import composed, metrics
+from talweg.operators import composed, metrics, timeseries
 from talweg.plans.registry import query
 from talweg.plans.tables import SCORED, SEED, assets, scored_orders, table
 
@@ -191,3 +191,18 @@ def parsed_keys(spark: S, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     name = F.concat(F.when(F.col("doc_id") % 2 == 0, "doc:").otherwise(""), F.concat_ws(":", "lang", F.when(F.col("doc_id") % 3 > 0, F.col("source")), F.when(F.col("doc_id") % 3 == 2, F.col("doc_id").cast("string"))))
     return d.select("doc_id", composed.key_parts(name, "doc:").alias("k")).select("doc_id", "k.head", "k.tail", "k.last")
+
+
+@query(
+    """WITH s AS (SELECT user_id, least(32767, greatest(-32768, (value * CASE WHEN user_id % 3 = 0 THEN 0.4 WHEN user_id % 3 = 1 THEN 40 ELSE 900 END)::BIGINT)) AS v FROM events WHERE value IS NOT NULL),
+q AS (SELECT user_id, count(*) / 4.0::DOUBLE AS sec, max(abs(v)) / 32768.0::DOUBLE AS peak, 20 * log10(greatest(sqrt(avg((v / 32768.0::DOUBLE) ** 2)), 1e-12)) AS db, avg(CASE WHEN abs(v) >= 32700 THEN 1.0 ELSE 0.0 END) AS clip, avg(v / 32768.0::DOUBLE) AS dc FROM s GROUP BY 1),
+f AS (SELECT *, list_filter([CASE WHEN db < -55 THEN 'signal_too_quiet' END, CASE WHEN clip > 0.02 THEN 'excessive_clipping' END], lambda x: x IS NOT NULL) AS l FROM q)
+SELECT user_id, CASE WHEN len(l) > 0 THEN 'rejected_quality' WHEN sec < 2.5 THEN 'insufficient_speech' ELSE 'ready' END AS status,
+  CASE WHEN len(l) > 0 THEN array_to_string(l, ',') WHEN sec < 2.5 THEN 'insufficient_speech' ELSE '' END AS flags,
+  round_even(sec, 3) AS speech_seconds, round_even(db, 3) AS rms_dbfs, round_even(peak, 6) AS peak, round_even(clip, 6) AS clipped_fraction, round_even(dc, 6) AS dc_offset FROM f"""
+)
+def preparation_results(spark: S, sf_dir: str) -> DataFrame:
+    gain = F.when(F.col("user_id") % 3 == 0, 0.4).when(F.col("user_id") % 3 == 1, 40.0).otherwise(900.0)
+    e = table(spark, sf_dir, "events").where("value IS NOT NULL").select("user_id", F.bround(F.col("value") * gain).cast("long").alias("v"))
+    q = timeseries.quality(e.select("user_id", F.least(F.lit(32767), F.greatest(F.lit(-32768), F.col("v"))).alias("v")), ["user_id"], "v")
+    return timeseries.prepared_results(q.withColumn("speech_seconds", F.col("n") / 4.0), ["user_id"])
