@@ -445,7 +445,9 @@ class _Join:
         return both.select("a", "b", "shared", "n_a", "n_b", "s_a", "s_b").mapInArrow(_bounded, "a bigint, b bigint, shared bigint")
 
     def joined(self, edges: DataFrame, new: DataFrame) -> DataFrame:
-        """``edges`` with new ones, and the components of all in ``self.parts``."""
+        """``edges`` with new ones (a written table), and the components of all in ``self.parts``."""
+        if new.isEmpty():
+            return edges
         edges = edges.union(new.select("a", "b"))
         self.parts = stored(connected_components(edges), "ngram-parts")
         return edges
