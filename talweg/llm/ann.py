@@ -2,7 +2,7 @@
 
 Equal vectors are one class with its k + 1 smallest ids (no more can be among the k nearest of
 anything), classes are dealt to shards of about ``SHARD`` by hash: as many as a task's memory allows
-(some 25 MB for 64 components), since every query goes to every shard.  A shard's graph is built in
+(some 15 MB for 64 components), since every query goes to every shard.  A shard's graph is built in
 batches: a greedy beam search for each new point proposes neighbours, relaxed pruning keeps a
 candidate unless one already kept is closer to it by the factor ``ALPHA``, and reverse edges are
 added and pruned likewise.  Queries go to every shard in blocks, a beam search proposes candidates,
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from talweg.storage import stored
 
 K = 5
-SHARD = 32_768
+SHARD = 16_384
 BLOCK = 4096
 DEGREE, BEAM, ALPHA, WIDE, SEED = 32, 64, 1.2, 4, 11
 QUERY_BEAM = 128
