@@ -9,7 +9,7 @@ import tarfile
 import uuid
 import wave
 import zipfile
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -224,9 +224,29 @@ def paired_members(members: DataFrame, left: str = ".json", right: str = ".wav")
     return n.select("archive", "stem", ((F.col("l") == 1) & (F.col("r") == 1)).alias("complete"))
 
 
-def multipart(parts: Sequence[bytes]) -> io.BytesIO:
-    """Parts of one archive as one stream; compressed archives are read in order by nature."""
-    return io.BytesIO(b"".join(parts))
+class multipart(io.RawIOBase):
+    """Parts of one archive as one stream, a part at a time; ``digest`` is the SHA-256 of what has been read."""
+
+    def __init__(self, parts: Iterable[bytes]):
+        self.parts, self.now, self.hash = iter(parts), memoryview(b""), hashlib.sha256()
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, buffer) -> int:
+        while not self.now:
+            part = next(self.parts, None)
+            if part is None:
+                return 0
+            self.now = memoryview(part)
+        n = min(len(buffer), len(self.now))
+        buffer[:n], self.now = self.now[:n], self.now[n:]
+        self.hash.update(buffer[:n])
+        return n
+
+    @property
+    def digest(self) -> str:
+        return self.hash.hexdigest()
 
 
 @F.pandas_udf(T.StructType([T.StructField("samples", T.ArrayType(T.ShortType())), T.StructField("rate", T.IntegerType()), T.StructField("error", T.StringType())]))

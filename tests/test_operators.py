@@ -434,3 +434,25 @@ def test_scorers_must_answer_once(spark):
     for bad in (lambda f: f["x"].iloc[1:], lambda f: f["x"] / 0):
         with pytest.raises(Exception, match="logits"):
             C.scored_once(df, "k", ["x"], bad).collect()
+
+
+def test_multipart_archives_are_one_stream():
+    import hashlib
+    import io
+    import tarfile
+
+    from talweg.sources import tables as T
+
+    raw = io.BytesIO()
+    with tarfile.open(fileobj=raw, mode="w:gz") as t:
+        for i in range(5):
+            info = tarfile.TarInfo(f"{i}.txt")
+            info.size = 3000
+            t.addfile(info, io.BytesIO(bytes([i]) * 3000))
+    data = raw.getvalue()
+    stream = T.multipart(data[i : i + 37] for i in range(0, len(data), 37))
+    with tarfile.open(fileobj=io.BufferedReader(stream), mode="r|gz") as t:
+        assert [t.extractfile(m).read()[:1] for m in t] == [bytes([i]) for i in range(5)]
+    while stream.read(1000):
+        pass
+    assert stream.digest == hashlib.sha256(data).hexdigest()
