@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("mixing", "chat", "pii", "ngram_join", "decontam", "quality", "toxicity", "html_text", "ann", "passages", "align", "token_store")
+MODULES = ("mixing", "chat", "pii", "ngram_join", "decontam", "quality", "toxicity", "html_text", "ann", "passages", "align", "token_store", "prefix_trie")
 
 
 def _gathered(what: str) -> dict:
