@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +32,7 @@ from talweg.llm.tokens import ByteTokens, PieceTokens, Units, ragged, text_block
 from talweg.storage import stored
 
 LOW_BITS = np.uint64(63)
+CHUNK = 4_000_000  # bytes of texts whose links are held at a time
 
 
 class Bits:
@@ -64,6 +66,7 @@ class Alignment:
 
     def __init__(self, units: list[bytes], a: ByteTokens, b: PieceTokens):
         (self.a, self.a_at), (self.b, self.b_at) = a.encode(units), b.encode(units)
+        self.names = a.names if a.size > b.size else b.names
         whole = b"".join(units)
         size = np.array([len(u) for u in units], dtype=np.int64)
         self.bad = self._differs(whole, units, size, a, self.a, self.a_at) | self._differs(whole, units, size, b, self.b, self.b_at)
@@ -100,7 +103,7 @@ class Alignment:
 
     def groups(self) -> list[str]:
         """Text of each unit's groups: ``a1,a2|b1;a3|b2,b3``."""
-        a, b = list(map(str, self.a.tolist())), list(map(str, self.b.tolist()))
+        a, b = [self.names[i] for i in self.a.tolist()], [self.names[i] for i in self.b.tolist()]
         out, i, j = [], 0, 0
         for x, y in zip(self.upto_a.tolist(), self.upto_b.tolist(), strict=True):
             out.append(f"{a[i]}|{b[j]}" if x - i == 1 == y - j else f"{','.join(a[i:x])}|{','.join(b[j:y])}")
@@ -168,9 +171,9 @@ def aligned(docs: DataFrame, byte_path: str, piece_path: str, key: str = "doc_id
         a, b = ByteTokens(byte_path, literal=True), PieceTokens(piece_path)
         for batch in batches:
             column, begin = batch.column(1), 0
-            size = np.cumsum(np.array([len(x) if x else 0 for x in column.to_pylist()], dtype=np.int64))
+            size = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
             while begin < batch.num_rows:  # few texts at a time, so that only their links are held
-                end = max(begin + 1, int(np.searchsorted(size, (size[begin - 1] if begin else 0) + 6_000_000, side="right")))
+                end = max(begin + 1, int(np.searchsorted(size, (size[begin - 1] if begin else 0) + CHUNK, side="right")))
                 rows = aligned_batch(column.slice(begin, end - begin).to_pylist(), a, b)
                 n_a, n_b, n_groups, digest, pairs, counts = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays(

@@ -108,6 +108,7 @@ class ByteTokens:
                 self.bytes[i] = token.content.encode()
                 self.whole |= " " in token.content
         self.lengths = np.array([len(b) for b in self.bytes], dtype=np.int64)
+        self.names = list(map(str, range(self.size)))
 
     def encode(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all units after another, and where each unit's begin (with an end)."""
@@ -153,6 +154,7 @@ class PieceTokens:
         self.whole = any(MARK in p.lstrip(MARK) for p in pieces)
         self.bytes = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
         self.lengths = np.array([len(b) for b in self.bytes], dtype=np.int64)
+        self.names = list(map(str, range(self.size)))
 
     def encode(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """As ``ByteTokens.encode``, for units that begin with a space, which is left to the model to put."""
