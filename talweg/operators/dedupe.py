@@ -1,14 +1,11 @@
-"""Exact ownership, perceptual-hash near duplicates and the decision cascade."""
+"""Exact ownership, the decision cascade and closures over digests."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
 
 def owners(df: DataFrame, digest: str, key: str, order: Sequence[str]) -> DataFrame:
@@ -26,53 +23,20 @@ def raw_eligibility(df: DataFrame, history: DataFrame, digest: str, key: str, or
     return out.select(key, state.alias("state"))
 
 
-def hamming(a: Column, b: Column) -> Column:
-    """Differing bits of two arrays of 64-bit words."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-
-
-def near_matches(
-    candidates: DataFrame, references: DataFrame, *, key: str = "identity", fingerprint: str = "fingerprint", seconds: str = "speech_seconds",
-    block: int = 4, threshold: int = 12, ratio: float = 0.15,
-) -> DataFrame:
-    """(candidate, reference, distance): fingerprints within ``threshold`` bits and durations within ``ratio``.
-
-    Blocks of ``block`` hex digits are joined by position and value; with more blocks than
-    ``threshold`` differing bits one block is equal, so nothing is missed.  Equal fingerprints are one
-    node, so copies do not multiply within blocks."""
-    def nodes(df: DataFrame, name: str) -> DataFrame:
-        return df.select(F.col(key).alias(name), F.col(fingerprint).alias(f"f_{name}"), F.col(seconds).alias(f"s_{name}"))
-
-    def blocked(df: DataFrame, name: str) -> DataFrame:
-        prints = df.select(F.col(fingerprint).alias(f"f_{name}")).distinct()
-        count = F.ceil(F.length(f"f_{name}") / block).cast("int")
-        parts = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring(F.col(f"f_{name}"), i * block + 1, F.lit(block)))
-        return prints.select(f"f_{name}", F.posexplode(parts).alias("pos", "part"))
-
-    pairs = blocked(candidates, "candidate").join(blocked(references, "reference"), ["pos", "part"]).select("f_candidate", "f_reference").distinct()
-    gap = hamming(words_of_hex(F.col("f_candidate")), words_of_hex(F.col("f_reference")))
-    pairs = pairs.withColumn("distance", gap).where(F.col("distance") <= threshold)
-    out = nodes(candidates, "candidate").join(pairs, "f_candidate").join(nodes(references, "reference"), "f_reference")
-    longer, shorter = F.greatest("s_candidate", "s_reference"), F.least("s_candidate", "s_reference")
-    return out.where((F.col("candidate") != F.col("reference")) & (longer - shorter <= ratio * longer)).select("candidate", "reference", "distance")
-
-
-def words_of_hex(hexed: Column) -> Column:
-    """Signed 64-bit words of a hexadecimal fingerprint of any length, the last one short."""
-    count = F.ceil(F.length(hexed) / 16).cast("int")
-    return F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.conv(F.substring(hexed, i * 16 + 1, F.lit(16)), 16, -10).cast("long"))
+def near_of_other_digests(near: DataFrame, df: DataFrame, *, key: str, digest: str) -> DataFrame:
+    """(key, n_near) of matched pairs (candidate, reference) whose digests differ; references beyond ``df`` count."""
+    digests = df.select(F.col(key).alias("reference"), F.col(digest).alias("_other"))
+    hits = near.join(df.select(F.col(key).alias("candidate"), F.col(digest).alias("_own")), "candidate").join(digests, "reference", "left")
+    return hits.where("_other IS NULL OR _own <> _other").groupBy(F.col("candidate").alias(key)).agg(F.count("*").alias("n_near"))
 
 
-def decision(df: DataFrame, history_digests: DataFrame, near: DataFrame, *, key: str, digest: str, ready: Column, order: Sequence[str]) -> DataFrame:
+def decision(df: DataFrame, history_digests: DataFrame, n_near: DataFrame, *, key: str, digest: str, ready: Column, order: Sequence[str]) -> DataFrame:
     """(key, decision, n_near) in fixed order: not_ready, historical_exact, pool_exact, near_pending, eligible.
 
-    Near matches of the same digest do not count; owners are taken among ready rows."""
+    ``n_near`` (key, n_near) counts near matches of other digests; owners are taken among ready rows."""
     known = history_digests.select(digest).distinct().withColumn("_seen", F.lit(True))
     good = owners(df.where(ready), digest, key, order).select(key, "owner")
-    digests = df.select(F.col(key).alias("reference"), F.col(digest).alias("_other"))
-    hits = near.join(df.select(F.col(key).alias("candidate"), F.col(digest).alias("_own")), "candidate").join(digests, "reference", "left")
-    hits = hits.where("_other IS NULL OR _own <> _other").groupBy(F.col("candidate").alias(key)).agg(F.count("*").alias("n_near"))
-    out = df.withColumn("_ready", ready).join(good, key, "left").join(known, digest, "left").join(hits, key, "left")
+    out = df.withColumn("_ready", ready).join(good, key, "left").join(known, digest, "left").join(n_near, key, "left")
     n = F.coalesce("n_near", F.lit(0))
     state = (
         F.when(~F.coalesce("_ready", F.lit(False)), "not_ready")
@@ -92,22 +56,5 @@ def history_gaps(manifest: DataFrame, inventories: DataFrame, digest: str) -> Da
     return out.select(digest, problem.alias("problem")).where("problem IS NOT NULL")
 
 
-def spectral_fingerprint(samples: np.ndarray, bands: int = 16, frames: int = 17) -> str:
-    """256-bit hash of a waveform: signs of energy changes between neighbouring bands and frames."""
-    if len(samples) < frames * 2 * bands:
-        samples = np.pad(samples, (0, frames * 2 * bands - len(samples)))
-    parts = np.array_split(samples.astype(np.float64), frames)
-    energy = np.array([[b.sum() for b in np.array_split(np.abs(np.fft.rfft(p)) ** 2, bands + 1)] for p in parts])
-    level = np.log1p(energy)
-    change = np.diff(np.diff(level, axis=1), axis=0) > 0
-    bits = "".join("1" if x else "0" for x in change.reshape(-1))
-    return f"{int(bits, 2):0{bands * (frames - 1) // 4}x}"
-
-
-@F.pandas_udf(StringType())
-def fingerprint_udf(samples: pd.Series) -> pd.Series:
-    return samples.map(lambda x: None if x is None else spectral_fingerprint(np.asarray(x)))
-
-
 def earliest(df: DataFrame, by: str, order: Sequence[str]) -> DataFrame:
     return df.withColumn("first", F.row_number().over(Window.partitionBy(by).orderBy(*order)) == 1)

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talweg.functions import keys, text
-from talweg.operators import dedupe, metrics, timeseries
+from talweg.operators import dedupe, metrics, perceptual, timeseries
 from talweg.operators.sampling import top_per_stratum
 from talweg.plans.registry import query
 from talweg.plans.tables import SCORED, assets, scored_orders, table
+from talweg.storage import stored
 from talweg.streaming import journal
 
 S = SparkSession
@@ -126,7 +127,7 @@ def raw_exact_eligibility(spark: S, sf_dir: str) -> DataFrame:
 
 
 def _prints(spark: S, sf_dir: str) -> DataFrame:
-    """Sign bits of all 64 dimensions as 16 hex digits; blocks of 8 bits are exact up to 7 differing bits."""
+    """Sign bits of all 64 dimensions as 16 hex digits."""
     bits = F.transform("embedding", lambda x: F.when(x > 0, "1").otherwise("0"))
     e = table(spark, sf_dir, "embeddings").where("embedding IS NOT NULL")
     hexed = F.lpad(F.lower(F.conv(F.array_join(bits, ""), 2, 16)), 16, "0")
@@ -143,7 +144,7 @@ WHERE bit_count(xor(x.f, y.f)) <= 7 AND greatest(x.s, y.s) - least(x.s, y.s) <=
 def near_dup_blocks(spark: S, sf_dir: str) -> DataFrame:
     """All rows against all."""
     p = _prints(spark, sf_dir)
-    return dedupe.near_matches(p, p, block=2, threshold=7)
+    return perceptual.near_matches(p, p, threshold=7)
 
 
 @query(
@@ -155,11 +156,41 @@ FROM d LEFT JOIN h USING (digest) LEFT JOIN w ON w.digest = d.digest LEFT JOIN n
 )
 def dedupe_cascade(spark: S, sf_dir: str) -> DataFrame:
     p = _prints(spark, sf_dir).withColumns({"digest": F.concat(F.lit("d"), F.col("identity") % 97)})
-    near = dedupe.near_matches(p, p, block=2, threshold=7)
+    near = perceptual.near_counts(p, p, threshold=7)
     history = spark.range(3).select(F.concat(F.lit("d"), F.col("id") * 10).alias("digest"))
     return dedupe.decision(p, history, near, key="identity", digest="digest", ready=F.col("identity") % 23 != 0, order=["identity"])
 
 
+def _waveforms(spark: S, sf_dir: str) -> DataFrame:
+    """A waveform for each user and day: 480 samples an event, in order, of a tone that its kind and value choose.
+
+    Segments of speech are all events but errors.
+    """
+    day = F.to_date("ts").alias("day")
+    e = table(spark, sf_dir, "events").select("user_id", day, F.struct("ts", "event_id", "event_type", (F.lit(90.0) + F.crc32("event_type") % 700 + F.col("value") * 10.0).alias("hz")).alias("e"))
+    g = e.groupBy("user_id", "day").agg(F.array_sort(F.collect_list("e")).alias("e"))
+    tone = lambda x: F.transform(F.sequence(F.lit(0), F.lit(479)), lambda i: F.round(F.sin(i * x["hz"] * 3.926990816987241e-4) * 8000.0).cast("int"))
+    spans = F.filter(F.transform("e", lambda x, i: F.struct((i * 480).alias("start"), (i * 480 + 480).alias("end"), x["event_type"].alias("kind"))), lambda s: s["kind"] != "error")
+    g = g.select("user_id", "day", F.flatten(F.transform("e", tone)).alias("samples"), spans.alias("segments"))
+    return g.select("user_id", "day", perceptual.active_samples(F.col("samples"), F.col("segments")).alias("active"))
+
+
+@query()
+def spectral_prints(spark: S, sf_dir: str) -> DataFrame:
+    """The print of every user's day (no SQL for a Fourier transform: tested against plain numpy)."""
+    w = _waveforms(spark, sf_dir)
+    return w.select("user_id", F.date_format("day", "yyyy-MM-dd").alias("day"), F.size("active").alias("n_samples"), perceptual.fingerprint_udf("active").alias("fingerprint"))
+
+
+@query()
+def spectral_near_dups(spark: S, sf_dir: str) -> DataFrame:
+    """For every user's day, how many others sound alike: 16 blocks of 16 bits, at most 12 differing bits, durations within 15 %."""
+    p = stored(spectral_prints(spark, sf_dir), "prints")
+    p = p.select(F.concat_ws("/", "user_id", "day").alias("identity"), "fingerprint", (F.col("n_samples") / 16000.0).alias("speech_seconds"), F.concat_ws("/", "user_id", "day").alias("digest"))
+    n = perceptual.near_counts(p, p, blocks=16)
+    return p.select("identity", "fingerprint").join(n, "identity", "left").fillna(0, ["n_near"])
+
+
 @query(
     """WITH {ASSETS}, i AS (SELECT sha256, 'f' || (doc_id % 2) AS fingerprint FROM a WHERE doc_id % 3 <> 0), g AS (SELECT sha256, count(DISTINCT fingerprint) AS n FROM i GROUP BY 1)
 SELECT d.sha256, CASE WHEN n IS NULL THEN 'uncovered' ELSE 'conflicting' END AS problem FROM (SELECT DISTINCT sha256 FROM a) d LEFT JOIN g USING (sha256) WHERE n IS NULL OR n > 1"""
