@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from talweg.llm.tokens import ByteTokens, PieceTokens, Units, ragged, text_blocks
+from talweg.llm.tokens import ByteTokens, PieceTokens, Units, bytes_of, ragged, text_blocks
 from talweg.storage import stored
 
 LOW_BITS = np.uint64(63)
@@ -64,12 +64,12 @@ class Bits:
 class Alignment:
     """Groups and links of the distinct units of a block."""
 
-    def __init__(self, units: list[bytes], a: ByteTokens, b: PieceTokens):
+    def __init__(self, units: pa.LargeBinaryArray, a: ByteTokens, b: PieceTokens):
         (self.a, self.a_at), (self.b, self.b_at) = a.encode(units), b.encode(units)
         self.names = a.names if a.size > b.size else b.names
-        whole = b"".join(units)
-        size = np.array([len(u) for u in units], dtype=np.int64)
-        self.bad = self._differs(whole, units, size, a, self.a, self.a_at) | self._differs(whole, units, size, b, self.b, self.b_at)
+        whole, unit_at = bytes_of(units)
+        size = np.diff(unit_at)
+        self.bad = self._differs(whole, unit_at, a, self.a, self.a_at) | self._differs(whole, unit_at, b, self.b, self.b_at)
         # tokens of units that do not agree take no part, so that both sides cover the same bytes
         good = np.flatnonzero(~self.bad)
         self.a, self.a_at = self._only(self.a, self.a_at, good, len(units))
@@ -85,13 +85,11 @@ class Alignment:
         self.cut_at = np.concatenate(([0], np.searchsorted(cuts, upto - 1, side="right")))
 
     @staticmethod
-    def _differs(whole: bytes, units: list[bytes], size: np.ndarray, t: ByteTokens | PieceTokens, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
+    def _differs(whole: memoryview, unit_at: np.ndarray, t: ByteTokens | PieceTokens, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
         joined = [t.bytes[i] for i in ids.tolist()]
-        if b"".join(joined) == whole:
-            lengths = np.concatenate(([0], np.cumsum(t.lengths[ids])))[at]
-            if np.array_equal(np.diff(lengths), size):
-                return np.zeros(len(units), dtype=bool)
-        return np.array([b"".join(joined[at[i] : at[i + 1]]) != u for i, u in enumerate(units)], dtype=bool)
+        if b"".join(joined) == whole and np.array_equal(np.concatenate(([0], np.cumsum(t.lengths[ids])))[at], unit_at):
+            return np.zeros(len(at) - 1, dtype=bool)
+        return np.array([b"".join(joined[at[i] : at[i + 1]]) != whole[unit_at[i] : unit_at[i + 1]] for i in range(len(at) - 1)], dtype=bool)
 
     @staticmethod
     def _only(ids: np.ndarray, at: np.ndarray, good: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -101,15 +99,17 @@ class Alignment:
         sizes[good] = np.diff(at)[good]
         return ragged(ids, at, good)[0], np.concatenate(([0], np.cumsum(sizes)))
 
-    def groups(self) -> list[str]:
+    def groups(self) -> pa.StringArray:
         """Text of each unit's groups: ``a1,a2|b1;a3|b2,b3``."""
-        a, b = [self.names[i] for i in self.a.tolist()], [self.names[i] for i in self.b.tolist()]
-        out, i, j = [], 0, 0
-        for x, y in zip(self.upto_a.tolist(), self.upto_b.tolist(), strict=True):
-            out.append(f"{a[i]}|{b[j]}" if x - i == 1 == y - j else f"{','.join(a[i:x])}|{','.join(b[j:y])}")
-            i, j = x, y
-        at = self.cut_at.tolist()
-        return [";".join(out[s:e]) for s, e in zip(at[:-1], at[1:], strict=True)]
+        sides = []
+        for ids, upto in ((self.a, self.upto_a), (self.b, self.upto_b)):
+            offsets = pa.array(np.concatenate(([0], upto)), pa.int32())
+            sides.append(pc.binary_join(pa.ListArray.from_arrays(offsets, self.names.take(pa.array(ids))), ","))
+        return _joined(pc.binary_join_element_wise(*sides, "|"), self.cut_at)
+
+
+def _joined(texts: pa.StringArray, at: np.ndarray) -> pa.StringArray:
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(at, pa.int32()), texts), ";")
 
 
 class _Text:
@@ -126,23 +126,23 @@ def _sums(values: np.ndarray, first: np.ndarray) -> list[int]:
     return np.diff(total[first]).tolist()
 
 
-def aligned_batch(texts: list[str | None], a: ByteTokens, b: PieceTokens) -> list[tuple]:
+def aligned_batch(texts: pa.Array, a: ByteTokens, b: PieceTokens) -> list[tuple]:
     """(n_a, n_b, n_groups, groups_sha256, linked pairs ascending, their counts) of each text."""
-    held = [_Text() for _ in texts]
-    some = [(i, t) for i, t in enumerate(texts) if t]
-    for at, parts in text_blocks([t for _, t in some], whole=a.whole or b.whole, prefix=b" "):
-        u = Units(parts, whole=a.whole or b.whole)
-        al = Alignment(u.units, a, b)
+    held = [_Text() for _ in range(len(texts))]
+    some = np.flatnonzero(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    for at, raw, ends in text_blocks(texts.take(pa.array(some)), whole=a.whole or b.whole, prefix=b" "):
+        u = Units(raw, ends, whole=a.whole or b.whole)
+        al = Alignment(u.dictionary, a, b)
         words = al.groups()
         n_a, n_b, n_g, bad = (_sums(x[u.codes], u.first) for x in (np.diff(al.a_at), np.diff(al.b_at), np.diff(al.cut_at), al.bad.astype(np.int64)))
         links, begin = ragged(al.links, al.cut_at, u.codes)
-        codes = u.codes.tolist()
+        codes = pa.array(u.codes)
         for k, i in enumerate(at):
-            d, s, e = held[some[i][0]], int(u.first[k]), int(u.first[k + 1])
+            d, s, e = held[some[i]], int(u.first[k]), int(u.first[k + 1])
             d.bad |= bad[k] > 0
             if d.bad:
                 continue
-            d.hash.update((";" * bool(d.n_groups) + ";".join([words[c] for c in codes[s:e]])).encode())
+            d.hash.update(b";" * bool(d.n_groups) + _joined(words.take(codes.slice(s, e - s)), np.array([0, e - s]))[0].as_buffer().to_pybytes())
             d.n_a, d.n_b, d.n_groups = d.n_a + n_a[k], d.n_b + n_b[k], d.n_groups + n_g[k]
             d.links.append(links[begin[s] : begin[e]])
     out, none = [], np.empty(0, dtype=np.int64)
@@ -174,7 +174,7 @@ def aligned(docs: DataFrame, byte_path: str, piece_path: str, key: str = "doc_id
             size = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
             while begin < batch.num_rows:  # few texts at a time, so that only their links are held
                 end = max(begin + 1, int(np.searchsorted(size, (size[begin - 1] if begin else 0) + CHUNK, side="right")))
-                rows = aligned_batch(column.slice(begin, end - begin).to_pylist(), a, b)
+                rows = aligned_batch(column.slice(begin, end - begin), a, b)
                 n_a, n_b, n_groups, digest, pairs, counts = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(begin, end - begin), *(pa.array(x, pa.int64()) for x in (n_a, n_b, n_groups)), pa.array(digest), _lists(pairs, kind), _lists(counts, pa.int32())],

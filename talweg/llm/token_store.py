@@ -41,6 +41,8 @@ from talweg.storage import folder
 HEAD = 64
 PART_KEYS = 1 << 20
 GAMMA = 2.0
+BLOCK = 6_000_000
+READ_IDS = 1_000_000
 SLOT = np.dtype([("fingerprint", "<u8"), ("shard", "<u4"), ("offset", "<u8"), ("n_tokens", "<u8")])
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -183,15 +185,15 @@ def written(docs: DataFrame, address: str, tokenizer: str, key: str = "doc_id",
         offset, last, seen = 0, object(), 0
         end = np.array([end_id], dtype=dtype).tobytes()
         for batch in batches:
-            texts, column = batch.column(1).to_pylist(), batch.column(0).to_pylist()
-            if out is None and texts:
+            texts, column = batch.column(1), batch.column(0).to_pylist()
+            if out is None and len(texts):
                 out, name = _create(shards_at, f"shard-{shard:07d}")
                 out.write(json.dumps({"ids": dtype, "end": end_id, "shard": shard}).encode().ljust(HEAD - 1) + b"\n")
             sizes = np.zeros(len(texts), dtype=np.int64)
             open_text = 0  # its ids are being written; those before it are ended
-            for at, parts in text_blocks(texts, whole=tokens.whole):
-                u = Units(parts, whole=tokens.whole)
-                ids, begin = ragged(*tokens.encode(u.units), u.codes)
+            for at, block, ends in text_blocks(texts, BLOCK, tokens.whole):
+                u = Units(block, ends, tokens.whole, fine=True)
+                ids, begin = ragged(*tokens.encode(u.dictionary), u.codes)
                 cut, raw = begin[u.first], ids.astype(dtype)
                 for k, i in enumerate(at):
                     while open_text < i:
@@ -320,7 +322,7 @@ def payloads(store: Store, places: DataFrame) -> DataFrame:
             files, offsets, sizes, begin = b.column(5).to_pylist(), b.column(4).to_pylist(), b.column(3).to_pylist(), 0
             while begin < b.num_rows:  # few payloads at a time
                 ids, end, held = [], begin, 0
-                while end < b.num_rows and (not ids or held < 4_000_000):
+                while end < b.num_rows and (not ids or held < READ_IDS):
                     if files[end] != name:
                         if f is not None:
                             f.close()

@@ -2,35 +2,64 @@
 
 Invented and natural prose alike repeat their words, so a block is cut into units, each distinct unit is
 encoded once and the ids are dealt back to all its places.  A cut lies before a space that stands
-between two printable ASCII characters.  Both kinds of tokenizer always end a token there: the byte
-tokenizer because no pre-token of its pattern holds a space after anything else, the piece tokenizer
-because none of its pieces holds the space mark after anything else (both are looked up in the
-vocabulary, and texts stay whole where it does not hold).  So ids are those of the whole text.
+between two characters that are surely none (printable ASCII, Latin or Cyrillic letters).  Both kinds of
+tokenizer always end a token there: the byte tokenizer because no pre-token of its pattern holds a space
+after anything else, the piece tokenizer because none of its pieces holds the space mark after anything
+else (both are looked up in the tokenizer, and texts stay whole where it does not hold).  ``fine`` cuts,
+for the byte tokenizer alone, lie before such a line break too and between a letter and a point.  So ids
+are those of the whole text.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from tokenizers import Tokenizer
 
 BLOCK_BYTES = 8_000_000
-JOINED = 500
+JOINED, AT_ONCE = 1_000, 20
 MARK = "▁"
-_PRINTABLE = np.zeros(256, dtype=bool)
-_PRINTABLE[0x21:0x7F] = True
 
 
-def cuts_of(raw: bytes) -> np.ndarray:
-    """Offsets inside ``raw`` where a new unit begins."""
-    b = np.frombuffer(raw, dtype=np.uint8)
+def _set(values: Iterable[int]) -> np.ndarray:
+    out = np.zeros(256, dtype=bool)
+    out[list(values)] = True
+    return out
+
+
+_PRINTABLE = _set(range(0x21, 0x7F))
+# First of two bytes of a Latin or Cyrillic letter (U+00C0-U+017F, U+0400-U+047F): no white space among them.
+_LEAD = _set([0xC3, 0xC4, 0xC5, 0xD0, 0xD1])
+_LETTER = _set([*range(65, 91), *range(97, 123)])
+_POINT = _set(b".,;:!?")
+_GAP = _set(b" \n")
+
+
+def _cut(raw: bytes, fine: bool = False) -> np.ndarray:
+    """For each byte of ``raw`` whether a new unit begins there (never at the first)."""
+    b, out = np.frombuffer(raw, dtype=np.uint8), np.zeros(len(raw), dtype=bool)
     if len(b) < 3:
-        return np.empty(0, dtype=np.int64)
-    return np.flatnonzero((b[1:-1] == 32) & _PRINTABLE[b[:-2]] & _PRINTABLE[b[2:]]) + 1
+        return out
+    lead = _LEAD[b]
+    ends = _PRINTABLE[b]  # bytes that end a character that is no white space
+    ends[1:] |= lead[:-1]
+    begins = _PRINTABLE[b] | lead
+    gap = (b == 32) | (b == 10) if fine else b == 32
+    out[1:-1] = gap[1:-1] & ends[:-2] & begins[2:]
+    if fine:
+        out[1:] |= _POINT[b[1:]] & _LETTER[b[:-1]]
+    return out
+
+
+def cuts_of(raw: bytes, fine: bool = False) -> np.ndarray:
+    """Offsets inside ``raw`` where a new unit begins."""
+    return np.flatnonzero(_cut(raw, fine))
 
 
 def fragments(text: bytes, whole: bool = False, limit: int = BLOCK_BYTES) -> Iterator[bytes]:
@@ -49,20 +78,24 @@ def fragments(text: bytes, whole: bool = False, limit: int = BLOCK_BYTES) -> Ite
 
 
 class Units:
-    """Distinct units of a block of texts: ``units[codes[first[i]:first[i + 1]]]`` joined is text ``i``."""
-
-    def __init__(self, texts: list[bytes], whole: bool = False):
-        raw = b"".join(texts)
-        ends = np.cumsum([0, *map(len, texts)])
-        begins = ends[:-1] if whole else np.union1d(ends[:-1], cuts_of(raw))
-        begins = begins[begins < len(raw)]
-        if len(begins):
-            at = np.append(begins, len(raw)).astype(np.int64)
-            coded = pa.Array.from_buffers(pa.large_binary(), len(begins), [None, pa.py_buffer(at), pa.py_buffer(raw)]).dictionary_encode()
-            self.units, self.codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
-        else:
-            self.units, self.codes = [], np.empty(0, dtype=np.int32)
-        self.first = np.searchsorted(begins, ends)
+    """Distinct units of a block: those of ``dictionary`` at ``codes[first[i]:first[i + 1]]`` joined are text ``i``."""
+
+    def __init__(self, raw: bytes, ends: np.ndarray, whole: bool = False, fine: bool = False):
+        starts = np.concatenate(([0], ends[:-1])).astype(np.int64)
+        cut = np.zeros(len(raw), dtype=bool) if whole else _cut(raw, fine)
+        cut[starts[starts < len(raw)]] = True
+        begins = np.flatnonzero(cut)
+        at = np.append(begins, len(raw)).astype(np.int64)
+        coded = pa.Array.from_buffers(pa.large_binary(), len(begins), [None, pa.py_buffer(at), pa.py_buffer(raw)]).dictionary_encode()
+        self.dictionary, self.codes = coded.dictionary, coded.indices.to_numpy()
+        self.first = np.searchsorted(begins, np.append(starts, len(raw)))
+
+
+def bytes_of(units: pa.LargeBinaryArray) -> tuple[memoryview, np.ndarray]:
+    """All bytes of an array without nulls, and where each value begins (with an end)."""
+    _, at, data = units.buffers()
+    offsets = np.frombuffer(at, dtype=np.int64)[units.offset : units.offset + len(units) + 1] if len(units) else np.zeros(1, dtype=np.int64)
+    return memoryview(data or b"").cast("B")[int(offsets[0]) : int(offsets[-1])], offsets - offsets[0]
 
 
 def ragged(values: np.ndarray, offsets: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -75,7 +108,55 @@ def ragged(values: np.ndarray, offsets: np.ndarray, codes: np.ndarray) -> tuple[
 
 def _flat(lists: list) -> tuple[np.ndarray, np.ndarray]:
     offsets = np.concatenate(([0], np.cumsum([len(x) for x in lists], dtype=np.int64)))
-    return np.fromiter((i for x in lists for i in x), dtype=np.uint32, count=int(offsets[-1])), offsets
+    return np.fromiter(chain.from_iterable(lists), dtype=np.uint32, count=int(offsets[-1])), offsets
+
+
+def _encoded(units: pa.LargeBinaryArray, lengths: np.ndarray, lead: int, together: Callable[[list[str]], list], alone: Callable[[list[str]], list]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of every unit, encoded many in a row where both neighbours are sure to be cut apart.
+
+    ``lengths`` are the bytes of each id; they tell the units' ids apart again.  ``lead`` bytes before a
+    text are left to the model to put.
+    """
+    data, at = bytes_of(units)
+    raw, size, last = np.frombuffer(data, dtype=np.uint8), np.diff(at), at[1:] - 1
+    if not len(units):
+        return np.empty(0, dtype=np.uint32), at
+    second = raw[np.minimum(at[:-1] + 1, len(raw) - 1)]
+    ended = _PRINTABLE[raw[last]] | _LEAD[raw[np.maximum(last - 1, 0)]] & (size > 2)
+    joins = (size > 1) & _GAP[raw[at[:-1]]] & (_PRINTABLE[second] | _LEAD[second]) & ended
+    row, apart = np.flatnonzero(joins), np.flatnonzero(~joins)
+    some, some_at = bytes_of(units.take(pa.array(row)).cast(pa.large_binary())) if len(apart) else (data, at)
+    held, counts, odd = [], np.zeros(len(units), dtype=np.int64), []
+    for begin in range(0, len(row), JOINED * AT_ONCE):
+        groups = [(g, min(g + JOINED, len(row))) for g in range(begin, min(begin + JOINED * AT_ONCE, len(row)), JOINED)]
+        lists = together([str(some[some_at[g] + lead : some_at[e]], "utf-8", "replace") for g, e in groups])
+        for (g, e), ids in zip(groups, lists, strict=True):
+            own = np.array(ids, dtype=np.uint32)
+            ends = np.cumsum(lengths[own])
+            if not len(own) or ends[-1] != some_at[e] - some_at[g]:  # the model writes some of it otherwise
+                odd.append(row[g:e])
+                continue
+            held.append((row[g:e], own))
+            counts[row[g:e]] = np.diff(np.searchsorted(ends, some_at[g + 1 : e + 1] - some_at[g], side="right"), prepend=0)
+    rest = np.concatenate((*odd, apart)).astype(np.int64)
+    lists = []
+    for begin in range(0, len(rest), 2000):
+        lists += alone([str(data[at[k] + lead : at[k + 1]], "utf-8", "replace") for k in rest[begin : begin + 2000]])
+    own, upto = _flat(lists)
+    counts[rest] = np.diff(upto)
+    # back into the order of the units
+    order = np.concatenate((*[k for k, _ in held], rest)).astype(np.int64)
+    ids = np.concatenate((*[x for _, x in held], own))
+    if np.array_equal(order, np.arange(len(units))):
+        return ids, np.concatenate(([0], np.cumsum(counts)))
+    starts = np.zeros(len(units), dtype=np.int64)
+    starts[order] = np.cumsum(counts[order]) - counts[order]
+    return _gathered(ids, starts, counts)
+
+
+def _gathered(ids: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    offsets = np.concatenate(([0], np.cumsum(counts)))
+    return ids[np.arange(offsets[-1]) + np.repeat(starts - offsets[:-1], counts)], offsets
 
 
 def _byte_characters() -> dict[str, int]:
@@ -106,42 +187,19 @@ class ByteTokens:
                 self.bytes[i] = bytes(table[c] for c in token) if all(c in table for c in token) else token.encode()
             for i, token in self.model.get_added_tokens_decoder().items():
                 self.bytes[i] = token.content.encode()
-                self.whole |= " " in token.content
+                self.whole |= any(c in token.content for c in " \n.,;:!?")
         self.lengths = np.array([len(b) for b in self.bytes], dtype=np.int64)
-        self.names = list(map(str, range(self.size)))
+        self.names = pa.array(map(str, range(self.size)))
 
-    def encode(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, units: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all units after another, and where each unit's begin (with an end)."""
-        texts = [u.decode("utf-8", "replace") for u in units]
         if self.whole:
-            return self._alone(texts)
-        joins = np.array([len(u) > 1 and u[0] == 32 and bool(_PRINTABLE[u[1]]) and bool(_PRINTABLE[u[-1]]) for u in units], dtype=bool)
-        ids, sizes = [np.empty(0, dtype=np.uint32)], np.zeros(len(units), dtype=np.int64)
-        together, apart = np.flatnonzero(joins), np.flatnonzero(~joins)
-        groups = [together[i : i + JOINED] for i in range(0, len(together), JOINED)]
-        for some in (groups[i : i + 40] for i in range(0, len(groups), 40)):
-            encoded = self.model.encode_batch_fast(["".join(texts[k] for k in g) for g in some], add_special_tokens=False)
-            for g, e in zip(some, encoded, strict=True):
-                own = np.array(e.ids, dtype=np.uint32)
-                ends = np.cumsum([len(units[k]) for k in g])
-                upto = np.searchsorted(np.cumsum(self.lengths[own]), ends, side="right")
-                sizes[g] = np.diff(upto, prepend=0)
-                ids.append(own)
-        alone, begin = self._alone([texts[k] for k in apart])
-        sizes[apart] = np.diff(begin)
-        # back into the order of the units
-        order = np.concatenate((together, apart))
-        held = np.concatenate((*ids, alone))
-        starts = np.zeros(len(units), dtype=np.int64)
-        starts[order] = np.cumsum(sizes[order]) - sizes[order]
-        offsets = np.concatenate(([0], np.cumsum(sizes)))
-        return held[np.arange(offsets[-1]) + np.repeat(starts - offsets[:-1], sizes)], offsets
-
-    def _alone(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        out: list = []
-        for i in range(0, len(texts), 1000):
-            out += [e.ids for e in self.model.encode_batch_fast(texts[i : i + 1000], add_special_tokens=False)]
-        return _flat(out)
+            data, at = bytes_of(units)
+            return _flat(self._lists([str(data[s:e], "utf-8", "replace") for s, e in zip(at[:-1], at[1:], strict=True)]))
+        return _encoded(units, self.lengths, 0, self._lists, self._lists)
+
+    def _lists(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 class PieceTokens:
@@ -154,28 +212,46 @@ class PieceTokens:
         self.whole = any(MARK in p.lstrip(MARK) for p in pieces)
         self.bytes = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
         self.lengths = np.array([len(b) for b in self.bytes], dtype=np.int64)
-        self.names = list(map(str, range(self.size)))
+        self.names = pa.array(map(str, range(self.size)))
 
-    def encode(self, units: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, units: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
         """As ``ByteTokens.encode``, for units that begin with a space, which is left to the model to put."""
-        texts, out = [u[1:].decode("utf-8", "replace") for u in units], []
-        for i in range(0, len(texts), 20_000):
-            out += self.model.encode(texts[i : i + 20_000], num_threads=1)
-        return _flat(out)
+        if self.whole:
+            data, at = bytes_of(units)
+            return _flat(self._lists([str(data[s + 1 : e], "utf-8", "replace") for s, e in zip(at[:-1], at[1:], strict=True)]))
+        return _encoded(units, self.lengths, 1, lambda texts: [[] if MARK in t else x for t, x in zip(texts, self._lists(texts), strict=True)], self._lists)
+
+    def _lists(self, texts: list[str]) -> list[list[int]]:
+        return self.model.encode(texts, num_threads=1)
+
 
+def text_blocks(column: pa.Array, limit: int = BLOCK_BYTES, whole: bool = False, prefix: bytes = b"") -> Iterator[tuple[list[int], bytes, np.ndarray]]:
+    """(numbers of the texts, their bytes after another, their ends) in blocks of about ``limit`` bytes.
 
-def text_blocks(texts: list[str | None], limit: int = BLOCK_BYTES, whole: bool = False, prefix: bytes = b"") -> Iterator[tuple[list[int], list[bytes]]]:
-    """(numbers of texts, their fragments) in blocks of about ``limit`` bytes; a long text stands in several."""
-    at: list[int] = []
-    parts: list[bytes] = []
+    Nulls are empty; a text longer than a block stands in several.
+    """
+    data, at = bytes_of(pc.fill_null(column, "").cast(pa.large_binary()))
+    numbers: list[int] = []
+    parts: list[bytes | memoryview] = []
     size = 0
-    for i, text in enumerate(texts):
-        for part in fragments(prefix + (text or "").encode("utf-8", "replace"), whole, limit):
+
+    def block() -> tuple[list[int], bytes, np.ndarray]:
+        lengths = [len(p) for p in parts]
+        if prefix:  # each prefix is a part of its own
+            lengths = [a + b for a, b in zip(lengths[::2], lengths[1::2], strict=True)]
+        return numbers, b"".join(parts), np.cumsum(lengths)
+
+    for i in range(len(column)):
+        text = data[at[i] : at[i + 1]]
+        pieces = [text] if len(text) <= limit else fragments(bytes(text), whole, limit)
+        for k, part in enumerate(pieces):
             if parts and size + len(part) > limit:
-                yield at, parts
-                at, parts, size = [], [], 0
-            at.append(i)
+                yield block()
+                numbers, parts, size = [], [], 0
+            numbers.append(i)
+            if prefix:
+                parts.append(b"" if k else prefix)
             parts.append(part)
             size += len(part)
     if parts:
-        yield at, parts
+        yield block()
