@@ -42,14 +42,6 @@ def canonical_json(columns: Sequence[str]) -> Column:
     return F.to_json(F.struct(*[F.col(c) for c in sorted(columns)]), {"ignoreNullFields": "false"})
 
 
-def fingerprint(df: DataFrame, columns: Sequence[str], by: str, group: Sequence[str] = ()) -> DataFrame:
-    """SHA-256 of the JSON array of all rows of a group, sorted by ``by``; string and integer columns only."""
-    row = F.struct(F.col(by).cast("string").alias("k"), canonical_json(columns).alias("j"))
-    rows = F.array_sort(F.collect_list(row))
-    text = F.concat(F.lit("["), F.array_join(rows["j"], ","), F.lit("]"))
-    return df.groupBy(*group).agg(F.count("*").alias("n_rows"), F.sha2(text, 256).alias("fingerprint"))
-
-
 def file_sha256(content: Column) -> Column:
     return F.sha2(content, 256)
 

@@ -1,9 +1,7 @@
-"""Text scalars: whitespace, hashes, character tests, normalisers with an operation log."""
+"""Text scalars: whitespace, hashes, character tests, alphabet normalisers."""
 
 from __future__ import annotations
 
-import hashlib
-import re
 import unicodedata
 
 import pandas as pd
@@ -11,16 +9,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-NORMALISED = T.StructType(
-    [
-        T.StructField("normalized", T.StringType()),
-        T.StructField("sha256", T.StringType()),
-        T.StructField("operations", T.ArrayType(T.StringType())),
-        T.StructField("error", T.StringType()),
-    ]
-)
-
-
 def collapsed(s: Column) -> Column:
     """All runs of Unicode white space as one space, ends trimmed (as Python's split and join)."""
     return F.trim(F.regexp_replace(s, r"(?U)[\s\x1c-\x1f]+", " "))
@@ -101,77 +89,3 @@ def iso_date_or_time_ok(s: Column) -> Column:
 
 def portable_path_ok(s: Column) -> Column:
     return s.rlike(r"^[^/\\][^\\]*$") & ~s.rlike(r"(^|/)\.{1,2}(/|$)") & ~s.rlike("//")
-
-
-_ONES = {
-    "ru": "ноль один два три четыре пять шесть семь восемь девять десять одиннадцать двенадцать тринадцать четырнадцать пятнадцать шестнадцать семнадцать восемнадцать девятнадцать".split(),
-    "kk": "нөл бір екі үш төрт бес алты жеті сегіз тоғыз".split(),
-}
-_TENS = {
-    "ru": "- - двадцать тридцать сорок пятьдесят шестьдесят семьдесят восемьдесят девяносто".split(),
-    "kk": "- он жиырма отыз қырық елу алпыс жетпіс сексен тоқсан".split(),
-}
-_HUNDREDS = "- сто двести триста четыреста пятьсот шестьсот семьсот восемьсот девятьсот".split()
-
-
-def number_words(n: int, language: str) -> str:
-    """0 to 999,999 in Russian or Kazakh words."""
-    if not 0 <= n <= 999_999:
-        raise ValueError("numbers from 0 to 999999")
-    if n == 0:
-        return _ONES[language][0]
-    return " ".join(_kazakh(n) if language == "kk" else _russian(n))
-
-
-def _kazakh(n: int) -> list[str]:
-    out: list[str] = []
-    for unit, word in ((1000, "мың"), (100, "жүз")):
-        if n >= unit:
-            if n // unit > 1:
-                out += _kazakh(n // unit)
-            out.append(word)
-            n %= unit
-    if n >= 10:
-        out.append(_TENS["kk"][n // 10])
-    return out + ([_ONES["kk"][n % 10]] if n % 10 else [])
-
-
-def _russian(n: int, feminine: bool = False) -> list[str]:
-    if n >= 1000:
-        k = n // 1000
-        form = "тысяч" if k % 100 in range(11, 20) or k % 10 in (0, 5, 6, 7, 8, 9) else "тысяча" if k % 10 == 1 else "тысячи"
-        return [*_russian(k, True), form, *(_russian(n % 1000) if n % 1000 else [])]
-    out = [_HUNDREDS[n // 100]] if n >= 100 else []
-    n %= 100
-    if n >= 20:
-        out.append(_TENS["ru"][n // 10])
-        n %= 10
-    if n:
-        out.append({1: "одна", 2: "две"}.get(n, _ONES["ru"][n]) if feminine else _ONES["ru"][n])
-    return out
-
-
-def normalised_with_log(text: str, language: str) -> dict:
-    """Steps: NFKC, white space, numbers to words, lower case; a Latin token is an error."""
-    ops: list[str] = []
-    now = text
-
-    def step(name: str, new: str) -> None:
-        nonlocal now
-        if new != now:
-            ops.append(name)
-            now = new
-
-    step("nfkc", unicodedata.normalize("NFKC", now))
-    step("whitespace", " ".join(now.split()))
-    step("numbers", re.sub(r"(?<!\d)\d{1,6}(?!\d)", lambda m: number_words(int(m[0]), language), now))
-    step("lowercase", now.lower())
-    latin = re.search(r"[a-z]+", now)
-    error = f"latin_token:{latin[0]}" if latin else "digits" if re.search(r"\d", now) else None
-    return {"normalized": None if error else now, "sha256": None if error else hashlib.sha256(now.encode()).hexdigest(), "operations": ops, "error": error}
-
-
-@F.pandas_udf(NORMALISED)
-def normalised_text(text: pd.Series, language: pd.Series) -> pd.DataFrame:
-    rows = [normalised_with_log(t or "", lang) for t, lang in zip(text, language, strict=True)]
-    return pd.DataFrame(rows, columns=["normalized", "sha256", "operations", "error"])

@@ -17,6 +17,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from talweg.functions.keys import canonical_json
+
 PIECE = 1 << 20
 
 
@@ -100,3 +102,9 @@ def sequential_sha256(df: DataFrame, by: Sequence[str], order: Sequence[Column |
     streamed = pieces.repartition(*groups).sortWithinPartitions(*groups, "part", "piece").select(*groups, "rows", "bytes")
     done = streamed.mapInArrow(hashed, ", ".join([*kinds, "n_rows bigint, sha256 string"]))
     return done.select(*[F.col(f"b{i}").alias(b) for i, b in enumerate(by)], "n_rows", "sha256")
+
+
+def fingerprint(df: DataFrame, columns: Sequence[str], by: str, group: Sequence[str] = ()) -> DataFrame:
+    """(group, n_rows, fingerprint): SHA-256 of the JSON array of all rows of a group, sorted by ``by``; string and integer columns only."""
+    one = df.select(*group, F.col(by).cast("string").alias("k_"), canonical_json(columns).alias("j_"))
+    return sequential_sha256(one, group, ["k_", "j_"], F.col("j_"), ",", "[", "]").withColumnRenamed("sha256", "fingerprint")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talweg.functions import keys, text
+from talweg.functions import keys, normaliser, text
 from talweg.operators import dedupe, metrics, perceptual, timeseries
+from talweg.operators.digest import fingerprint
 from talweg.operators.sampling import top_per_stratum
 from talweg.plans.registry import query
 from talweg.plans.tables import SCORED, assets, scored_orders, table
@@ -319,14 +320,66 @@ def completed_trace(spark: S, sf_dir: str) -> DataFrame:
     return journal.trace_faults(base, j, listing, "k", F.concat(F.lit("out/"), "k"))
 
 
-@query()
+# Words of 0 to 999 in both languages as lists, and with thousands as a function of a column.
+NUMBER_WORDS = """q AS (SELECT i, i // 100 AS h, i % 100 // 10 AS t, i % 10 AS o FROM range(1000) r(i)),
+ones AS (SELECT ['бір', 'екі', 'үш', 'төрт', 'бес', 'алты', 'жеті', 'сегіз', 'тоғыз'] AS kk, ['один', 'два', 'три', 'четыре', 'пять', 'шесть', 'семь', 'восемь', 'девять'] AS ru,
+  ['он', 'жиырма', 'отыз', 'қырық', 'елу', 'алпыс', 'жетпіс', 'сексен', 'тоқсан'] AS kk10, ['', 'двадцать', 'тридцать', 'сорок', 'пятьдесят', 'шестьдесят', 'семьдесят', 'восемьдесят', 'девяносто'] AS ru10,
+  ['сто', 'двести', 'триста', 'четыреста', 'пятьсот', 'шестьсот', 'семьсот', 'восемьсот', 'девятьсот'] AS ru100,
+  ['десять', 'одиннадцать', 'двенадцать', 'тринадцать', 'четырнадцать', 'пятнадцать', 'шестнадцать', 'семнадцать', 'восемнадцать', 'девятнадцать'] AS teens),
+below AS MATERIALIZED (SELECT list(concat_ws(' ', CASE WHEN h > 1 THEN kk[h] END, CASE WHEN h > 0 THEN 'жүз' END, CASE WHEN t > 0 THEN kk10[t] END, CASE WHEN o > 0 THEN kk[o] END) ORDER BY i) AS kk,
+  list(concat_ws(' ', CASE WHEN h > 0 THEN ru100[h] END, CASE WHEN t = 1 THEN teens[o + 1] WHEN t > 1 THEN ru10[t] END, CASE WHEN t <> 1 AND o > 0 THEN ru[o] END) ORDER BY i) AS ru FROM q, ones)"""
+
+
+def _kk(n: str) -> str:
+    return f"""CASE WHEN {n} = 0 THEN 'нөл' ELSE concat_ws(' ', CASE WHEN {n} >= 1000 THEN below.kk[{n} // 1000 + 1] || ' мың' END, CASE WHEN {n} % 1000 > 0 THEN below.kk[{n} % 1000 + 1] END) END"""
+
+
+def _ru(n: str) -> str:
+    many = f"""CASE WHEN {n} // 1000 = 1 THEN 'одна тысяча' WHEN {n} // 1000 = 2 THEN 'две тысячи' WHEN {n} // 1000 IN (3, 4) THEN below.ru[{n} // 1000 + 1] || ' тысячи' ELSE below.ru[{n} // 1000 + 1] || ' тысяч' END"""
+    return f"""CASE WHEN {n} = 0 THEN 'ноль' ELSE concat_ws(' ', CASE WHEN {n} >= 1000 THEN {many} END, CASE WHEN {n} % 1000 > 0 THEN below.ru[{n} % 1000 + 1] END) END"""
+
+
+@query(
+    f"""WITH {NUMBER_WORDS}, w AS (SELECT c_custkey, CASE WHEN c_custkey % 5 <> 0 AND c_custkey < 1000000 THEN 'нөмір ' || {_kk("c_custkey")} END AS normalized FROM customer, below)
+SELECT c_custkey, normalized, sha256(normalized) AS sha256, CASE WHEN normalized IS NOT NULL THEN 'unicode_lower_and_space_canonicalization,locale_cardinal_number_expansion' END AS operations,
+  CASE WHEN c_custkey % 5 = 0 THEN 'latin abc' WHEN c_custkey >= 1000000 THEN 'number' END AS error FROM w"""
+)
 def text_normalise_ops(spark: S, sf_dir: str) -> DataFrame:
     """Normalised names with their operation log; Latin tokens are rejected."""
     c = table(spark, sf_dir, "customer").select("c_custkey", F.concat(F.lit("Нөмір  "), F.col("c_custkey").cast("string"), F.when(F.col("c_custkey") % 5 == 0, " abc").otherwise("")).alias("t"))
-    out = c.withColumn("r", text.normalised_text(F.col("t"), F.lit("kk")))
+    out = c.withColumn("r", normaliser.normalised_text(F.col("t"), F.lit("kk")))
     return out.select("c_custkey", "r.normalized", "r.sha256", F.array_join("r.operations", ",").alias("operations"), "r.error")
 
 
+@query(
+    f"""WITH {NUMBER_WORDS}, d AS (SELECT below, ['нөл', 'бір', 'екі', 'үш', 'төрт', 'бес', 'алты', 'жеті', 'сегіз', 'тоғыз'] AS kk, ['ноль', 'один', 'два', 'три', 'четыре', 'пять', 'шесть', 'семь', 'восемь', 'девять'] AS ru FROM below),
+w AS (SELECT o_orderkey, o_orderkey % 2 = 0 AS is_kk, CASE WHEN o_orderkey >= 1000000 THEN NULL WHEN o_orderkey % 2 = 0
+  THEN 'мети ' || {_kk("o_orderkey")} || ' - ' || {_kk("o_custkey % 1000")} || ' доллар ' || d.kk[1] || ' ' || d.kk[o_orderkey % 10 + 1] || ' эф. ' || {_kk("o_orderkey % 100")} || 'тен бес миллиметр'
+  ELSE 'мети ' || {_ru("o_orderkey")} || ' - ' || {_ru("o_custkey % 1000")} || ' доллар ' || d.ru[1] || ' ' || d.ru[o_orderkey % 10 + 1] || ' эф. тридцать пять миллиметров' END AS normalized FROM orders, d, below)
+SELECT o_orderkey, normalized, sha256(normalized) AS sha256, CASE WHEN normalized IS NULL THEN NULL WHEN is_kk THEN 'unicode_lower_and_space_canonicalization,kk_abbreviation_expansion,usd_amount_expansion,explicit_latin_token_map,locale_cardinal_number_expansion,kk_numeric_suffix_join,unsupported_punctuation_canonicalization'
+  ELSE 'unicode_lower_and_space_canonicalization,ru_exact_inflected_quantity_map,usd_amount_expansion,explicit_latin_token_map,locale_cardinal_number_expansion,unsupported_punctuation_canonicalization' END AS operations,
+  CASE WHEN normalized IS NULL THEN 'number' END AS error FROM w"""
+)
+def stage_text_numbers(spark: S, sf_dir: str) -> DataFrame:
+    """Every rule of the stage normaliser on a text made of each order: amounts, digits, phrases, readings, suffixes, punctuation."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    kk = F.col("o_orderkey") % 2 == 0
+    tail = F.when(kk, F.concat(F.col("o_orderkey") % 100, F.lit("-тен 5 мм"))).otherwise("35 ММ")
+    t = F.concat(F.lit(" METI «"), F.col("o_orderkey"), F.lit("»  — $"), F.col("o_custkey") % 1000, F.lit(" / 0"), F.col("o_orderkey") % 10, F.lit("\tF . "), tail)
+    out = o.withColumn("r", normaliser.normalised_text(t, F.when(kk, "kk").otherwise("ru")))
+    return out.select("o_orderkey", "r.normalized", "r.sha256", F.array_join("r.operations", ",").alias("operations"), "r.error")
+
+
+@query(
+    f"""WITH u AS (SELECT doc_id, list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z]+'), lambda x: x NOT IN ({", ".join(f"'{x}'" for x in normaliser.LATIN_TOKENS)})))) AS words FROM documents)
+SELECT doc_id, len(words)::BIGINT AS n_unmapped, sha256('latin ' || array_to_string(words, ' ')) AS rejection FROM u WHERE len(words) > 0"""
+)
+def stage_text_rejections(spark: S, sf_dir: str) -> DataFrame:
+    """Documents that the stage normaliser rejects for Latin tokens without a reading, and the digest of its message."""
+    d = table(spark, sf_dir, "documents").select("doc_id", normaliser.normalised_text(F.col("text"), F.lit("mixed"))["error"].alias("error")).where("error LIKE 'latin %'")
+    return d.select("doc_id", (F.size(F.split("error", " ")) - 1).cast("long").alias("n_unmapped"), F.sha2("error", 256).alias("rejection"))
+
+
 @query("SELECT doc_id, sha256(trim(regexp_replace(nfc_normalize(text), '[ \\t\\n\\r]+', ' ', 'g'))) AS nfkc_sha256 FROM documents")
 def nfkc_text_hash(spark: S, sf_dir: str) -> DataFrame:
     """The given texts are in composed form without compatibility characters, so NFC is NFKC on them."""
@@ -339,7 +392,7 @@ SELECT source_name, count(*)::BIGINT AS n_rows, sha256('[' || string_agg(j, ','
 )
 def canonical_fingerprint(spark: S, sf_dir: str) -> DataFrame:
     a = assets(spark, sf_dir).select("source_name", "sample_id", "sha256", "language")
-    return keys.fingerprint(a, ["sample_id", "sha256", "language"], "sample_id", ["source_name"])
+    return fingerprint(a, ["sample_id", "sha256", "language"], "sample_id", ["source_name"])
 
 
 @query(
@@ -362,12 +415,12 @@ def scalar_keys(spark: S, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-zäöüßàâçéèêëîïôûùñáíóú]+') AS ws FROM documents WHERE lang = 'de')
+    """WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-zäöüßàâçéèêëîïôûùñáíóú]+') AS ws FROM documents)
 SELECT doc_id, array_to_string(list_transform(list_filter(list_zip(ws, range(1, len(ws) + 1)), lambda x: regexp_matches(x[1], '[äöüß]')), lambda x: x[2]::VARCHAR), ',') AS positions FROM w"""
 )
 def evidence_tokens(spark: S, sf_dir: str) -> DataFrame:
-    """1-based numbers of the words with a letter that only German uses here."""
-    d = table(spark, sf_dir, "documents").where("lang = 'de'")
+    """1-based numbers of the words with a letter that only German uses here, in every document."""
+    d = table(spark, sf_dir, "documents")
     found = text.evidence_positions(F.col("text"), "äöüß", "[a-zäöüßàâçéèêëîïôûùñáíóú]+")
     return d.select("doc_id", F.array_join(F.transform(found, lambda i: i.cast("string")), ",").alias("positions"))
 
