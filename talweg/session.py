@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import SparkSession
 
 
@@ -23,3 +26,15 @@ def session(app: str = "talweg", master: str | None = None, partitions: int = 8,
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     } | conf
     return b.config(map=settings).getOrCreate()
+
+
+@contextmanager
+def arrow_rows(spark: SparkSession, most: int) -> Iterator[None]:
+    """At most so many rows in an Arrow batch for the jobs started inside: for rows that are whole texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = int(spark.conf.get(key))
+    spark.conf.set(key, str(min(most, before) if before > 0 else most))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, str(before))
