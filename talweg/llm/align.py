@@ -29,10 +29,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from talweg.llm.tokens import ByteTokens, PieceTokens, Units, bytes_of, ragged, text_blocks
+from talweg.session import arrow_rows
 from talweg.storage import stored
 
 LOW_BITS = np.uint64(63)
 CHUNK = 4_000_000  # bytes of texts whose links are held at a time
+ROWS = 1_000  # texts in an Arrow batch
 
 
 class Bits:
@@ -211,7 +213,8 @@ def op11_align(spark, sf_dir: str) -> DataFrame:
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     a, b = path("byte_bpe_50k.json"), path("piece_bpe_32k.model")
-    texts = stored(aligned(docs, a, b).withColumn("row_", F.monotonically_increasing_id()), "align-texts")
+    with arrow_rows(spark, ROWS):
+        texts = stored(aligned(docs, a, b).withColumn("row_", F.monotonically_increasing_id()), "align-texts")
     out = link_figures(texts, PieceTokens(b).size)
     return out.select(F.col("doc_id").cast("long").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 

@@ -36,13 +36,15 @@ from pyspark.sql import functions as F
 
 from talweg.llm.tokens import ByteTokens, Units, ragged, text_blocks
 from talweg.llm.words import mixed
+from talweg.session import arrow_rows
 from talweg.storage import folder
 
 HEAD = 64
 PART_KEYS = 1 << 20
 GAMMA = 2.0
-BLOCK = 6_000_000
+BLOCK = 4_000_000
 READ_IDS = 1_000_000
+ROWS = 1_000  # texts in an Arrow batch
 SLOT = np.dtype([("fingerprint", "<u8"), ("shard", "<u4"), ("offset", "<u8"), ("n_tokens", "<u8")])
 STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -222,7 +224,8 @@ def written(docs: DataFrame, address: str, tokenizer: str, key: str = "doc_id",
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("by_text"), F.monotonically_increasing_id().alias("by_place"))
     rows = rows.repartitionByRange("key", "by_text", "by_place").sortWithinPartitions("key", "by_text", "by_place").select("key", "text")
     one = rows.mapInArrow(run, f"key {kind}, seen bigint, shard int, file string, offset bigint, n_tokens bigint")
-    one.write.parquet(f"{address}/streamed")
+    with arrow_rows(spark, ROWS):
+        one.write.parquet(f"{address}/streamed")
     one = spark.read.parquet(f"{address}/streamed")
 
     # one row a shard: where it begins among all ids
