@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talweg.functions import keys, normaliser, text
-from talweg.operators import dedupe, metrics, perceptual, timeseries
+from talweg.operators import augment, dedupe, metrics, perceptual, timeseries
 from talweg.operators.digest import fingerprint
 from talweg.operators.sampling import top_per_stratum
 from talweg.plans.registry import query
@@ -192,6 +192,35 @@ def spectral_near_dups(spark: S, sf_dir: str) -> DataFrame:
     return p.select("identity", "fingerprint").join(n, "identity", "left").fillna(0, ["n_near"])
 
 
+POLICY = augment.Policy("chain-v1", "events", codec_rates=(6_000, 8_000, 11_025), bits=8)
+
+
+def _drawn(step: str) -> str:
+    return f"('0x' || substr(sha256('events:chain-v1:' || epoch || ':' || sample || ':{step}'), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616.0::DOUBLE"
+
+
+@query(
+    f"""WITH s AS (SELECT DISTINCT user_id || '/' || strftime(ts, '%Y-%m-%d') AS sample FROM events), e AS (SELECT sample, epoch FROM s, (VALUES (0), (1), (2)) t(epoch))
+SELECT sample, epoch::INT AS epoch, round(-6.0 + 12.0 * ({_drawn("channel_gain_db")}), 9) AS gain_db, [6000, 8000, 11025][least(2, floor(3 * ({_drawn("codec_resample_rate")})))::INT + 1]::INT AS codec_rate,
+  round(10.0 + 40.0 * ({_drawn("replay_delay_ms")}), 9) AS delay_ms, round(0.05 + 0.25 * ({_drawn("replay_attenuation")}), 9) AS echo FROM e"""
+)
+def augmentation_parameters(spark: S, sf_dir: str) -> DataFrame:
+    """What each of three epochs does to every user's day: by hash alone."""
+    e = table(spark, sf_dir, "events").select(F.concat_ws("/", "user_id", F.date_format("ts", "yyyy-MM-dd")).alias("sample")).distinct()
+    e = e.select("sample", F.explode(F.array(*[F.lit(i) for i in range(3)])).alias("epoch"))
+    return _rounded(e.withColumn("p", augment.parameters(POLICY, F.col("sample"), F.col("epoch"))).select("sample", "epoch", "p.*"), "gain_db", "delay_ms", "echo")
+
+
+@query()
+def augmented_waveforms(spark: S, sf_dir: str) -> DataFrame:
+    """Every user's day after the chain, as 16-bit values in a digest with their mean square (no SQL: tested against loops)."""
+    w = _waveforms(spark, sf_dir).select(F.concat_ws("/", "user_id", F.date_format("day", "yyyy-MM-dd")).alias("sample"), F.transform("active", lambda x: (x / 32768.0).cast("float")).alias("x"))
+    w = w.withColumn("y", augment.augment(POLICY, F.col("x"), F.col("sample"), F.lit(0)))
+    ints = F.transform("y", lambda v: F.round(v * 32767.0).cast("int"))
+    power = F.aggregate("y", F.lit(0.0), lambda s, v: s + v * v) / F.size("y")
+    return w.select("sample", F.size("y").alias("n_samples"), F.round(power, 6).alias("power"), F.sha2(F.array_join(ints, ","), 256).alias("digest"))
+
+
 @query(
     """WITH {ASSETS}, i AS (SELECT sha256, 'f' || (doc_id % 2) AS fingerprint FROM a WHERE doc_id % 3 <> 0), g AS (SELECT sha256, count(DISTINCT fingerprint) AS n FROM i GROUP BY 1)
 SELECT d.sha256, CASE WHEN n IS NULL THEN 'uncovered' ELSE 'conflicting' END AS problem FROM (SELECT DISTINCT sha256 FROM a) d LEFT JOIN g USING (sha256) WHERE n IS NULL OR n > 1"""

@@ -1,14 +1,11 @@
-"""Source records as manifest rows, derived synthetic rows, audits of durations, waveform augmentation."""
+"""Source records as manifest rows, derived synthetic rows, audits of durations."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from talweg import schema as S
 
@@ -43,22 +40,3 @@ def duration_audit(df: DataFrame, by: Sequence[str], seconds: str, digest: str,
 def selected_members(names: DataFrame, chosen: DataFrame, key: str = "member") -> DataFrame:
     """Archive members whose metadata was chosen; join this before any content is read."""
     return names.join(chosen.select(key).distinct(), key, "left_semi")
-
-
-def augmented(x: np.ndarray, seed: int, rate: int = 16000) -> np.ndarray:
-    """Gain, resampling down and up with quantisation, an echo, clamped; the same for every label."""
-    r = np.random.default_rng(seed)
-    y = x.astype(np.float64) / 32768.0 * 10 ** (r.uniform(-6, 6) / 20)
-    if r.random() < 0.5 and len(y) > 8:
-        small = np.interp(np.linspace(0, len(y) - 1, max(2, len(y) // 2)), np.arange(len(y)), y)
-        small = np.round(small * 127) / 127
-        y = np.interp(np.linspace(0, len(small) - 1, len(y)), np.arange(len(small)), small)
-    lag = int(rate * r.uniform(0.01, 0.05))
-    if r.random() < 0.5 and lag < len(y):
-        y[lag:] = y[lag:] + 0.2 * y[:-lag]
-    return (np.clip(y, -1, 32767 / 32768) * 32768).astype(np.int16)
-
-
-@F.pandas_udf(T.ArrayType(T.ShortType()))
-def augmented_udf(samples: pd.Series, seed: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None else augmented(np.asarray(x), int(k) & 0x7FFFFFFF) for x, k in zip(samples, seed, strict=True)])
