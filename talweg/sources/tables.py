@@ -1,15 +1,13 @@
-"""Explicit-schema readers, archive readers and write-once publication."""
+"""Explicit-schema readers and write-once publication."""
 
 from __future__ import annotations
 
 import hashlib
 import io
 import json
-import tarfile
 import uuid
 import wave
-import zipfile
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -185,70 +183,6 @@ def verified_assets(rows: DataFrame, assets: DataFrame, relative: Column, verify
     return both.select("sample_id", issue.alias("issue")).where("issue IS NOT NULL")
 
 
-MEMBERS = "archive string, member string, size long, content binary"
-
-
-def archive_members(archives: DataFrame, wanted: Sequence[str] | None = None) -> DataFrame:
-    """Members of TAR (gzip too) and ZIP archives from ``files``; one task reads one archive in order.
-
-    ``wanted`` suffixes decide by name before a member's bytes are read."""
-    suffixes = tuple(wanted) if wanted else None
-
-    def members(name: str, data: bytes) -> Iterator[tuple[str, int, bytes]]:
-        if zipfile.is_zipfile(io.BytesIO(data)):
-            with zipfile.ZipFile(io.BytesIO(data)) as z:
-                for info in z.infolist():
-                    if not info.is_dir() and (suffixes is None or info.filename.endswith(suffixes)):
-                        yield info.filename, info.file_size, z.read(info)
-        else:
-            with tarfile.open(fileobj=io.BytesIO(data), mode="r|*") as t:
-                for m in t:
-                    if m.isfile() and (suffixes is None or m.name.endswith(suffixes)):
-                        yield m.name, m.size, t.extractfile(m).read()
-                    t.members = []
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for path, content in zip(frame["path"], frame["content"], strict=True):
-                for m, n, b in members(path, content):
-                    yield pd.DataFrame({"archive": [path], "member": [m], "size": [n], "content": [b]})
-
-    return archives.select("path", "content").mapInPandas(run, MEMBERS)
-
-
-def paired_members(members: DataFrame, left: str = ".json", right: str = ".wav") -> DataFrame:
-    """(archive, stem, complete): members by stem; complete with exactly one of either kind."""
-    stem, kind = F.regexp_replace("member", r"\.[^./]+$", ""), F.concat(F.lit("."), F.substring_index("member", ".", -1))
-    rows = members.select("archive", stem.alias("stem"), kind.alias("kind")).where(F.col("kind").isin(left, right))
-    n = rows.groupBy("archive", "stem").agg(F.count_if(F.col("kind") == left).alias("l"), F.count_if(F.col("kind") == right).alias("r"))
-    return n.select("archive", "stem", ((F.col("l") == 1) & (F.col("r") == 1)).alias("complete"))
-
-
-class multipart(io.RawIOBase):
-    """Parts of one archive as one stream, a part at a time; ``digest`` is the SHA-256 of what has been read."""
-
-    def __init__(self, parts: Iterable[bytes]):
-        self.parts, self.now, self.hash = iter(parts), memoryview(b""), hashlib.sha256()
-
-    def readable(self) -> bool:
-        return True
-
-    def readinto(self, buffer) -> int:
-        while not self.now:
-            part = next(self.parts, None)
-            if part is None:
-                return 0
-            self.now = memoryview(part)
-        n = min(len(buffer), len(self.now))
-        buffer[:n], self.now = self.now[:n], self.now[n:]
-        self.hash.update(buffer[:n])
-        return n
-
-    @property
-    def digest(self) -> str:
-        return self.hash.hexdigest()
-
-
 @F.pandas_udf(T.StructType([T.StructField("samples", T.ArrayType(T.ShortType())), T.StructField("rate", T.IntegerType()), T.StructField("error", T.StringType())]))
 def pcm16_mono(content: pd.Series) -> pd.DataFrame:
     """Samples of canonical WAV bytes; anything else gives an error."""
