@@ -1,10 +1,9 @@
-"""Component-safe splits, greedy two-key selection and seeded bipartite matching."""
+"""Component-safe splits, greedy two-key selection and bipartite matching."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,8 +12,6 @@ from talweg.operators.components import connected_components
 from talweg.operators.validation import unpivoted
 from talweg.storage import stored
 
-MAX_ROUNDS = 500
-
 
 def row_components(df: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
     """(key, component): rows that share any value of a field, over any number of steps.
@@ -51,65 +48,106 @@ def greedy_distinct(df: DataFrame, rank: str, first: str, second: str, target: i
 
     Same result as the one-by-one loop: a row that is the least of both its keys is always taken,
     and whatever shares a key with it is not; the rest is looked at again.  Every round takes at
-    least the least row that is left."""
+    least the least row that is left, so it ends; with ranks by hash the rounds are few.  Once enough
+    rows are taken, only ranks below the last of them are looked at further."""
     rest = stored(df.select(rank, first, second), "greedy-rest")
     taken = None
-    for _ in range(MAX_ROUNDS):
+    while True:
         a = rest.groupBy(first).agg(F.min(rank).alias("_a"))
         b = rest.groupBy(second).agg(F.min(rank).alias("_b"))
         now = rest.join(a, first).join(b, second).where((F.col(rank) == F.col("_a")) & (F.col(rank) == F.col("_b"))).select(rank, first, second)
         now = stored(now, "greedy-now")
         if now.isEmpty():
             break
-        taken = now if taken is None else taken.union(now)
-        rest = stored(rest.join(now.select(first), first, "left_anti").join(now.select(second), second, "left_anti").select(rank, first, second), "greedy-rest")
-    else:
-        raise RuntimeError(f"greedy selection did not settle in {MAX_ROUNDS} rounds")
+        taken = now if taken is None else stored(taken.union(now), "greedy-taken")
+        last = taken.orderBy(rank).limit(target).agg(F.count("*").alias("n"), F.max(rank).alias("k")).first()
+        rest = rest.join(now.select(first), first, "left_anti").join(now.select(second), second, "left_anti").select(rank, first, second)
+        rest = stored(rest.where(F.col(rank) < F.lit(last.k)) if last.n >= target else rest, "greedy-rest")
     if taken is None:
         return df.limit(0)
     return df.join(taken.orderBy(rank).limit(target).select(rank), rank, "left_semi")
 
 
-def matching(edges: list[tuple[str, str, str]]) -> list[tuple[str, str]]:
-    """Maximum matching left to right by augmenting paths; lefts and their partners in rank order.
-
-    ``edges`` holds (left, right, rank).  The order of tries makes the result deterministic."""
-    partners: dict[str, list[str]] = {}
-    first: dict[str, str] = {}
-    for left, right, rank in sorted(edges, key=lambda e: (e[2], e[0], e[1])):
-        partners.setdefault(left, []).append(right)
-        first.setdefault(left, rank)
-    holder: dict[str, str] = {}  # right -> left
-    held: dict[str, str] = {}  # left -> right
-    for start in sorted(partners, key=lambda x: (first[x], x)):
-        came: dict[str, str] = {}
-        queue, end = [start], None
-        while queue and end is None:
-            left = queue.pop(0)
-            for right in partners[left]:
-                if right in came:
-                    continue
-                came[right] = left
-                if right not in holder:
-                    end = right
-                    break
-                queue.append(holder[right])
-        while end is not None:
-            left = came[end]
-            before = held.get(left)
-            holder[end], held[left] = left, end
-            end = before
-    return sorted((left, right) for right, left in holder.items())
-
-
-def matched(edges: DataFrame, left: str, right: str, rank: str) -> DataFrame:
-    """(left, right) of a maximum matching; each component of the graph is solved by itself.
-
-    Matching is sequential within a component, so components are the unit of parallel work."""
-    rows = edges.select(F.concat(F.lit("l:"), F.col(left)).alias("a"), F.concat(F.lit("r:"), F.col(right)).alias("b"), F.col(left).cast("string").alias("l"), F.col(right).cast("string").alias("r"), F.col(rank).cast("string").alias("k"))
-    parts = connected_components(rows).select(F.col("node").alias("a"), "component")
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(matching(list(zip(pdf.l, pdf.r, pdf.k, strict=True))), columns=["left", "right"])
-
-    return rows.join(parts, "a").groupBy("component").applyInPandas(solve, "left string, right string").select(F.col("left").alias(left), F.col("right").alias(right))
+# ---- maximum matching --------------------------------------------------------------------------------
+
+
+def _greedy_pairs(edges: DataFrame, rounds: int) -> DataFrame:
+    """A matching to begin with: every free left asks one right, every asked right takes one."""
+    pairs = edges.select("l", "r").limit(0)
+    free = edges
+    for i in range(rounds):
+        asked = free.groupBy("l").agg(F.min(F.struct(F.xxhash64("r", F.lit(i)).alias("h"), "r")).alias("x")).select("l", "x.r")
+        now = stored(asked.groupBy("r").agg(F.min(F.struct(F.xxhash64("l").alias("h"), "l")).alias("x")).select("x.l", "r"), "match-now")
+        if now.isEmpty():
+            break
+        pairs = stored(pairs.unionByName(now), "match-pairs")
+        free = stored(free.join(now.select("l"), "l", "left_anti").join(now.select("r"), "r", "left_anti"), "match-free")
+    return pairs
+
+
+def _search(edges: DataFrame, pairs: DataFrame) -> tuple[DataFrame, list[DataFrame], DataFrame]:
+    """(ends, layers, lefts): alternating layers from all free lefts up to the first with a free right.
+
+    Every right is reached from one left of one root, so paths of different roots do not meet; ``ends``
+    has one free right a root, and is empty where the pairs are as many as can be.  ``lefts`` are all that
+    were reached.
+    """
+    front = stored(edges.select("l").distinct().join(pairs, "l", "left_anti").select("l", F.col("l").alias("root")), "match-front")
+    lefts, layers, seen = front.select("l"), [], None
+    while True:
+        reach = front.join(edges, "l")
+        if seen is not None:
+            reach = reach.join(seen, "r", "left_anti")
+        layer = reach.groupBy("r").agg(F.min(F.struct(F.xxhash64("r", "root").alias("h"), "root", "l")).alias("x")).select("r", "x.root", "x.l")
+        layer = stored(layer, "match-layer")
+        layers.append(layer)
+        ends = stored(layer.join(pairs.select("r"), "r", "left_anti").groupBy("root").agg(F.min("r").alias("r")), "match-ends")
+        if not ends.isEmpty() or layer.isEmpty():
+            return ends, layers, lefts
+        seen = layer.select("r") if seen is None else stored(seen.unionByName(layer.select("r")), "match-seen")
+        front = stored(layer.select("r", "root").join(pairs, "r").select("l", "root"), "match-front")
+        lefts = lefts.unionByName(front.select("l"))
+
+
+def _augmented(pairs: DataFrame, ends: DataFrame, layers: list[DataFrame]) -> DataFrame:
+    """The pairs after every path has been turned over, from its end back to its root."""
+    at, turned = ends, None
+    for layer in reversed(layers):
+        new = stored(at.join(layer, ["r", "root"]).select("l", "r", "root"), "match-turned")
+        turned = new if turned is None else turned.unionByName(new)
+        at = new.select("l", "root").join(pairs, "l").select("r", "root")
+    turned = stored(turned.select("l", "r"), "match-paths")
+    return stored(pairs.join(turned.select("l"), "l", "left_anti").unionByName(turned), "match-pairs")
+
+
+def matched(edges: DataFrame, left: str, right: str, greedy_rounds: int = 4) -> DataFrame:
+    """(left, right) of a maximum matching of the graph of ``edges``.
+
+    Pairs found greedily are augmented in phases, each along disjoint shortest paths from all free lefts
+    at once; every step is a join, so one giant component is as good as many.  Rows with a null on either
+    side are no edges, repeated edges are one, an empty table has an empty matching.
+    """
+    e = edges.select(F.col(left).alias("l"), F.col(right).alias("r")).where("l IS NOT NULL AND r IS NOT NULL").distinct()
+    e = stored(e, "match-edges")
+    pairs = _greedy_pairs(e, greedy_rounds)
+    while True:
+        ends, layers, _ = _search(e, pairs)
+        if ends.isEmpty():
+            return pairs.select(F.col("l").alias(left), F.col("r").alias(right))
+        pairs = _augmented(pairs, ends, layers)
+
+
+def vertex_cover(edges: DataFrame, pairs: DataFrame, left: str, right: str) -> tuple[DataFrame, DataFrame]:
+    """(lefts, rights) that touch every edge, as many together as ``pairs`` if those are a maximum matching.
+
+    By alternating search: lefts it does not reach, and rights it does.  So it proves that no larger
+    matching exists.
+    """
+    e = stored(edges.select(F.col(left).alias("l"), F.col(right).alias("r")).where("l IS NOT NULL AND r IS NOT NULL").distinct(), "cover-edges")
+    p = pairs.select(F.col(left).alias("l"), F.col(right).alias("r"))
+    _, layers, reached = _search(e, p)
+    lefts = e.select("l").distinct().join(reached.distinct(), "l", "left_anti").select(F.col("l").alias(left))
+    rights = layers[0].select("r")
+    for layer in layers[1:]:
+        rights = rights.unionByName(layer.select("r"))
+    return lefts, rights.distinct().select(F.col("r").alias(right))

@@ -10,6 +10,7 @@ from talweg.operators import graph, overlap, pairing, protocols, sampling, valid
 from talweg.plans.registry import query
 from talweg.plans.tables import SEED, assets, table
 from talweg.sources import projection
+from talweg.storage import stored
 
 FIELDS = ("parent_group_id", "speaker_pseudo_id", "text_hash")
 S = SparkSession
@@ -560,8 +561,28 @@ def greedy_two_key_distinct(spark: S, sf_dir: str) -> DataFrame:
 
 @query()
 def bipartite_matching(spark: S, sf_dir: str) -> DataFrame:
-    a = assets(spark, sf_dir).select("text_hash", "speaker_pseudo_id", rank_hex(SEED, F.col("sample_id"), sep=":").alias("rank"))
-    return graph.matched(a, "text_hash", "speaker_pseudo_id", "rank")
+    """Texts and speakers, each at most once (which of the largest matchings is not fixed; ``matching_certificate`` has SQL)."""
+    a = assets(spark, sf_dir).select("text_hash", "speaker_pseudo_id")
+    return graph.matched(a, "text_hash", "speaker_pseudo_id")
+
+
+@query(
+    """WITH e AS (SELECT DISTINCT o_custkey // 10 AS l, o_orderdate::DATE AS r FROM orders WHERE o_orderkey % 3 = 0)
+SELECT (SELECT count(*) FROM e)::BIGINT AS n_edges, (SELECT count(DISTINCT l) FROM e)::BIGINT AS n_lefts, (SELECT count(DISTINCT r) FROM e)::BIGINT AS n_rights,
+  0::BIGINT AS repeated, 0::BIGINT AS foreign_pairs, 0::BIGINT AS uncovered_edges, 0::BIGINT AS gap"""
+)
+def matching_certificate(spark: S, sf_dir: str) -> DataFrame:
+    """A largest matching of groups of customers with days, proved: pairs are edges, none shares an end, and a cover of all edges is as small as the matching is large."""
+    o = table(spark, sf_dir, "orders").where("o_orderkey % 3 = 0")
+    e = stored(o.select(F.floor(F.col("o_custkey") / 10).alias("l"), F.to_date("o_orderdate").alias("r")).distinct(), "certificate-edges")
+    pairs = graph.matched(e, "l", "r")
+    lefts, rights = graph.vertex_cover(e, pairs, "l", "r")
+    n = lambda df, name: df.agg(F.count("*").alias(name))
+    counts = e.agg(F.count("*").alias("n_edges"), F.countDistinct("l").alias("n_lefts"), F.countDistinct("r").alias("n_rights"))
+    ends = pairs.agg((2 * F.count("*") - F.countDistinct("l") - F.countDistinct("r")).alias("repeated"), F.count("*").alias("n_pairs"))
+    bare = n(e.join(lefts, "l", "left_anti").join(rights, "r", "left_anti"), "uncovered_edges")
+    one = counts.crossJoin(ends).crossJoin(n(pairs.join(e, ["l", "r"], "left_anti"), "foreign_pairs")).crossJoin(bare).crossJoin(n(lefts, "a")).crossJoin(n(rights, "b"))
+    return one.select("n_edges", "n_lefts", "n_rights", "repeated", "foreign_pairs", "uncovered_edges", (F.col("a") + F.col("b") - F.col("n_pairs")).alias("gap"))
 
 
 @query(

@@ -238,11 +238,51 @@ def test_greedy_and_matching(spark):
             seen_b.add(b)
     out = G.greedy_distinct(rows(spark, "k string, a int, b int", *data), "k", "a", "b", 12)
     assert sorted(x["k"] for x in out.collect()) == want
-    edges = [("a", "1", "0"), ("b", "1", "1"), ("b", "2", "2"), ("c", "2", "3"), ("c", "3", "4"), ("d", "3", "5")]
-    pairs = G.matching(edges)
-    assert len(pairs) == 3 and len({x for x, _ in pairs}) == len({y for _, y in pairs}) == 3
-    got = G.matched(rows(spark, "l string, r string, k string", *edges, ("z", "9", "0")), "l", "r", "k").collect()
-    assert sorted(map(tuple, got)) == sorted([*pairs, ("z", "9")])
+    chain = [(f"{i:04d}", i // 2, (i + 1) // 2) for i in range(12)]  # a round a row where nothing is random
+    out = G.greedy_distinct(rows(spark, "k string, a int, b int", *chain), "k", "a", "b", 3)
+    assert sorted(x["k"] for x in out.collect()) == loop(chain, 3)
+
+
+def loop(data: list, target: int) -> list:
+    a, b, out = set(), set(), []
+    for k, x, y in sorted(data):
+        if x not in a and y not in b and len(out) < target:
+            a.add(x)
+            b.add(y)
+            out.append(k)
+    return out
+
+
+def largest(edges: set) -> int:
+    """Size of a maximum matching, by recursion over the lefts."""
+    partner: dict = {}
+
+    def found(x, seen: set) -> bool:
+        for a, b in edges:
+            if a == x and b not in seen:
+                seen.add(b)
+                if b not in partner or found(partner[b], seen):
+                    partner[b] = x
+                    return True
+        return False
+
+    return sum(found(x, set()) for x in sorted({a for a, _ in edges}))
+
+
+def test_matching_is_maximum(spark):
+    from talweg.operators import graph as G
+
+    r = random.Random(11)
+    ladder = {(i, i) for i in range(6)} | {(i, i + 1) for i in range(5)}  # long augmenting paths
+    graphs = [set(), ladder, {(r.randrange(30), r.randrange(25)) for _ in range(60)} | {(100 + i, 0) for i in range(5)}]
+    for g in graphs:
+        df = rows(spark, "l int, r int", *g, *list(g)[:3], (None, 1), (1, None)) if g else rows(spark, "l int, r int", (None, 1))
+        for greedy in (0, 3) if g == ladder else (2,):
+            pairs = {tuple(x) for x in G.matched(df, "l", "r", greedy).collect()}
+            assert pairs <= g and len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs}) == largest(g)
+        lefts, rights = G.vertex_cover(df, rows(spark, "l int, r int", *pairs), "l", "r")
+        a, b = {x[0] for x in lefts.collect()}, {x[0] for x in rights.collect()}
+        assert len(a) + len(b) == len(pairs) and all(x in a or y in b for x, y in g)
 
 
 def test_journal_batch_and_stream(spark, tmp_path):
