@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from talweg.llm.tokens import ByteTokens, PieceTokens, Units, bytes_of, ragged, text_blocks
+from talweg.llm.tokens import ByteTokens, PieceTokens, Units, byte_tokens, bytes_of, piece_tokens, ragged, text_blocks
 from talweg.session import arrow_rows
 from talweg.storage import stored
 
@@ -165,12 +165,12 @@ def _lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
 
 def aligned(docs: DataFrame, byte_path: str, piece_path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: ``key``, n_a, n_b, n_groups, groups_sha256, pairs (id of A x size of B + id of B) and their counts."""
-    size_a, size_b = ByteTokens(byte_path, literal=True).size, PieceTokens(piece_path).size
+    size_a, size_b = byte_tokens(byte_path, True).size, piece_tokens(piece_path).size
     narrow = size_a * size_b < 1 << 31
     kind = pa.int32() if narrow else pa.int64()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = ByteTokens(byte_path, literal=True), PieceTokens(piece_path)
+        a, b = byte_tokens(byte_path, True), piece_tokens(piece_path)
         for batch in batches:
             column, begin = batch.column(1), 0
             size = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -215,7 +215,7 @@ def op11_align(spark, sf_dir: str) -> DataFrame:
     a, b = path("byte_bpe_50k.json"), path("piece_bpe_32k.model")
     with arrow_rows(spark, ROWS):
         texts = stored(aligned(docs, a, b).withColumn("row_", F.monotonically_increasing_id()), "align-texts")
-    out = link_figures(texts, PieceTokens(b).size)
+    out = link_figures(texts, piece_tokens(b).size)
     return out.select(F.col("doc_id").cast("long").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 

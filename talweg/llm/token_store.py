@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from talweg.llm.tokens import ByteTokens, Units, ragged, text_blocks
+from talweg.llm.tokens import Units, byte_tokens, ragged, text_blocks
 from talweg.llm.words import mixed
 from talweg.session import arrow_rows
 from talweg.storage import folder
@@ -177,13 +177,13 @@ class Store:
 def written(docs: DataFrame, address: str, tokenizer: str, key: str = "doc_id", text: str = "text", end_id: int = 0) -> Store:
     """Write the shards in ascending order of ``key`` below ``address`` and return the store, without its index."""
     spark = docs.sparkSession
-    vocabulary = ByteTokens(tokenizer).size
+    vocabulary = byte_tokens(tokenizer).size
     dtype = "<u2" if max(vocabulary - 1, end_id) < 1 << 16 else "<u4"
     shards_at = f"{address}/shards"
     _fresh(shards_at)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, out, name, tokens = TaskContext.get().partitionId(), None, "", ByteTokens(tokenizer)
+        shard, out, name, tokens = TaskContext.get().partitionId(), None, "", byte_tokens(tokenizer)
         offset, last, seen = 0, object(), 0
         end = np.array([end_id], dtype=dtype).tobytes()
         for batch in batches:

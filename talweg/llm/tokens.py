@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -225,6 +226,17 @@ class PieceTokens:
         return self.model.encode(texts, num_threads=1)
 
 
+@lru_cache(maxsize=4)
+def byte_tokens(path: str, literal: bool = False) -> ByteTokens:
+    """The tokenizer of this process: a worker runs many tasks and loads it once."""
+    return ByteTokens(path, literal)
+
+
+@lru_cache(maxsize=4)
+def piece_tokens(path: str) -> PieceTokens:
+    return PieceTokens(path)
+
+
 def text_blocks(column: pa.Array, limit: int = BLOCK_BYTES, whole: bool = False, prefix: bytes = b"") -> Iterator[tuple[list[int], bytes, np.ndarray]]:
     """(numbers of the texts, their bytes after another, their ends) in blocks of about ``limit`` bytes.
 
