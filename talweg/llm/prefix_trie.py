@@ -164,7 +164,7 @@ def rebuilt(turns: DataFrame, every: int = 100, heads: int = 6) -> tuple[DataFra
     """(turns, conversations) in which each conversation begins as the first one of its hundred does.
 
     The first h turns come from conversation c - c % ``every``, with h = crc32(c) % ``heads``, the others
-    are those of c after its own first h.
+    are those of c after its own first h.  Remainders have the sign of c, as in SQL.
     """
     clean = turns.where("conv_id IS NOT NULL").select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     placed = stored(numbered(clean, ["conv_id"], ["turn", "role", "text"], "place").drop("turn"), "trie-numbered")
