@@ -38,7 +38,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import xxhash
@@ -299,9 +299,12 @@ def importances(nodes: list[tuple[str, str, float, int]]) -> dict[str, float]:
     return out
 
 
-def unimportant(tree: dict[str, float]) -> list[str]:
-    """Highest nodes of ``tree`` that are of low importance with everything below them."""
-    held = {p for p, x in tree.items() if x >= UNIMPORTANT}
+def unimportant(tree: dict[str, float], untold: Iterable[str] = ()) -> list[str]:
+    """Highest nodes of ``tree`` that are of low importance with everything below them.
+
+    ``untold`` are nodes above others of which nothing is known, which therefore may be content: they stay.
+    """
+    held = {p for p, x in tree.items() if x >= UNIMPORTANT} | set(untold)
     for p in list(held):
         while p := p.rpartition("/")[0]:
             held.add(p)
@@ -312,15 +315,18 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         low, common = [], []
         for nodes in batch.column("nodes").to_pylist():
-            tree = importances([(n["path"], n["kind"], n["importance"], n["seen"]) for n in nodes if n["value"] is None])
-            low.append(unimportant(tree))
+            tree = importances([(n["path"], n["kind"], n["importance"], n["seen"]) for n in nodes if n["value"] is None and n["importance"] is not None])
+            low.append(unimportant(tree, [n["path"] for n in nodes if n["importance"] is None]))
             common.append([{"path": n["path"], "value": n["value"]} for n in nodes if n["value"] is not None])
         kind = pa.list_(pa.struct([("path", pa.string()), ("value", pa.int64())]))
         yield pa.RecordBatch.from_arrays([batch.column("host"), pa.array(low, pa.list_(pa.string())), pa.array(common, kind)], ["host", "low", "common"])
 
 
 def node_statistics(counted: DataFrame) -> DataFrame:
-    """(host, path, kind, importance, seen) from (host, path, kind, value, c): blended with all hosts."""
+    """(host, path, kind, importance, seen) from (host, path, kind, value, c): blended with all hosts.
+
+    A node that no second page of any host has keeps a null importance.
+    """
 
     def sums(rows: DataFrame, *by: str) -> DataFrame:
         return rows.groupBy(*by).agg(F.sum("c").alias("seen"), F.sum(F.col("c") * F.log("c")).alias("s"))
@@ -335,7 +341,7 @@ def node_statistics(counted: DataFrame) -> DataFrame:
     shared = sums(values.groupBy("path", "kind", "value").agg(F.sum("c").alias("c")), "path", "kind").withColumn("pages", F.lit(every))
     shared = shared.where("seen > 1 AND pages > 1").select("path", "kind", told.alias("theirs"))
     blended = (F.col("pages") * F.coalesce("mine", "theirs") + SHARED * F.col("theirs")) / (F.col("pages") + SHARED)
-    return own.join(shared, ["path", "kind"]).select("host", "path", "kind", blended.alias("importance"), "seen")
+    return own.join(shared, ["path", "kind"], "left").select("host", "path", "kind", blended.alias("importance"), "seen")
 
 
 def style_trees(pages: DataFrame) -> DataFrame:
@@ -343,11 +349,14 @@ def style_trees(pages: DataFrame) -> DataFrame:
     seen = pages.select(host_column(F.col("url")).alias("host"), "html").mapInArrow(_style_nodes, "host string, page bigint, path string, kind string, value bigint").distinct()
     counted = stored(seen.groupBy("host", "path", "kind", "value").agg(F.count("*").alias("c")), "style-values")
     node = F.struct("path", "kind", "importance", "seen", F.lit(None).cast("long").alias("value"))
-    tree = node_statistics(counted).select("host", node.alias("node"))
+    told = stored(node_statistics(counted), "style-nodes")
+    tree = told.where("importance IS NOT NULL").select("host", node.alias("node"))
+    above = told.where("importance IS NULL").select("host", F.regexp_replace("path", "/[^/]*$", "").alias("path")).distinct()
+    untold = above.select("host", F.struct("path", F.lit("untold").alias("kind"), F.lit(None).cast("double").alias("importance"), F.lit(0).cast("long").alias("seen"), F.lit(None).cast("long").alias("value")).alias("node"))
     pages_of = counted.where("kind = 'page'").select("host", F.col("c").alias("pages"))
     often = counted.where("kind = 'text' AND c > 1").join(pages_of, "host").where(f"c >= {SHARE} * (pages + {SHARED})")
     often = often.select("host", F.struct("path", "kind", F.lit(0.0).alias("importance"), F.col("c").alias("seen"), "value").alias("node"))
-    hosts = tree.union(often).groupBy("host").agg(F.collect_list("node").alias("nodes"))
+    hosts = tree.union(often).union(untold).groupBy("host").agg(F.collect_list("node").alias("nodes"))
     return hosts.mapInArrow(_trees, "host string, low array<string>, common array<struct<path:string,value:bigint>>").where("size(low) > 0 OR size(common) > 0")
 
 

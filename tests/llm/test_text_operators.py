@@ -203,7 +203,9 @@ def test_decontamination_maps_to_the_original(spark, monkeypatch):
     assert (got[1]["n_hit"], got[1]["items"]) == (14, ["10"]) and got[2]["n_hit"] == 0
     assert (got[3]["n_hit"], got[3]["items"]) == (2, ["11"])
     items = items.union(spark.createDataFrame([(None, "x yes"), (12, None)], items.schema))
-    assert [len(g) for g in decontam._groups(items)] == [2] and [len(g) for g in decontam._groups(items, 10)] == [1, 1]
+    assert [len(g) for g in decontam._groups(items)] == [3] and [len(g) for g in decontam._groups(items, 10)] == [1, 1, 1]
+    got = {r["id"]: r for r in decontam.scan(df, items).collect()}
+    assert (got[3]["n_hit"], got[3]["n_items"], got[3]["items"]) == (3, 2, ["11", None])  # an item without an id hits as well
     monkeypatch.setattr(decontam, "_groups", lambda items, f=decontam._groups: f(items, 10))
     assert {r["id"]: r for r in decontam.scan(df, items).collect()} == got
     assert [r["doc_id"] for r in decontam.decontaminated(df, items).collect()] == [2]
