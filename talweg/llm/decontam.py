@@ -115,10 +115,10 @@ def _matcher(group: tuple, n: int) -> Matcher:
 
 
 def _groups(items: DataFrame, limit: int = GROUP_BYTES) -> Iterator[list[tuple[object, str]]]:
-    """Items with an id and a text in groups of about ``limit`` characters; one empty group where there are none."""
+    """Items with a text in groups of about ``limit`` characters; one empty group where there are none."""
     group: list[tuple[object, str]] = []
     size, any_ = 0, False
-    for r in items.select("item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL").orderBy("item_id", "text").toLocalIterator():
+    for r in items.select("item_id", "text").where("text IS NOT NULL").orderBy("item_id", "text").toLocalIterator():
         if group and size + len(r[1]) > limit:
             yield group
             group, size, any_ = [], 0, True
@@ -154,7 +154,8 @@ def _matched(group, n: int):
                 spans, ids = m.hits(words_of(text.as_py()))
                 spans += [(x["start"], x["end"] - x["start"]) for x in before or ()]
                 hits.append([{"start": a, "end": b} for a, b in _merged(spans)])
-                items.append(sorted({*(known or ()), *map(str, ids)}))
+                named = {*(known or ()), *(None if i is None else str(i) for i in ids)}
+                items.append(sorted(named - {None}) + [None] * (None in named))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text"), pa.array(hits, _HITS), pa.array(items, pa.list_(pa.string()))], ["id", "text", "hits", "items"])
 
     return run
@@ -170,7 +171,7 @@ def _described(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array([len(words_of(t.as_py())) for t in batch.column("text")], pa.int64()),
                 pa.array([sum(x["end"] - x["start"] for x in h) for h in hits], pa.int64()),
                 pa.array([len(x) for x in ids], pa.int64()),
-                pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in ids]),
+                pa.array([hashlib.sha256(",".join(i for i in x if i is not None).encode()).hexdigest() for x in ids]),
                 pa.array(ids, pa.list_(pa.string())),
                 pa.array([_offsets(t, [(x["start"], x["end"]) for x in h]) if h else [] for t, h in zip(texts, hits, strict=True)], _HITS),
             ],
