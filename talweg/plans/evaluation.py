@@ -11,7 +11,7 @@ from talweg.operators.digest import fingerprint
 from talweg.operators.sampling import top_per_stratum
 from talweg.plans.registry import query
 from talweg.plans.tables import SCORED, assets, scored_orders, table
-from talweg.storage import stored
+from talweg.storage import folder, stored
 from talweg.streaming import journal
 
 S = SparkSession
@@ -331,6 +331,25 @@ def journal_task_binding(spark: S, sf_dir: str) -> DataFrame:
     return journal.unmatched(j, n.unionByName(n.where("n > 3")).select("candidate_id"))
 
 
+@query(
+    """WITH j AS (SELECT 'o' || o_orderkey AS id, o_custkey AS cust, o_orderkey AS k FROM orders UNION ALL SELECT 'o' || o_orderkey, o_custkey, o_orderkey FROM orders WHERE o_orderkey % 50 = 1),
+t AS (SELECT 'o' || o_orderkey AS id, o_custkey + (o_orderkey % 70 = 2)::INT AS cust, o_orderkey AS k FROM orders WHERE o_orderkey % 90 <> 3 UNION ALL SELECT 'o' || o_orderkey, o_custkey, o_orderkey FROM orders WHERE o_orderkey % 110 = 4),
+n AS (SELECT id, count(*) AS tasks, min(cust) AS cust FROM t GROUP BY id), r AS (SELECT id, count(*) AS n_rows, min(cust) AS cust FROM j GROUP BY id)
+SELECT r.id, unnest(list_filter([CASE WHEN coalesce(tasks, 0) <> 1 THEN 'task' END, CASE WHEN n_rows > 1 THEN 'repeated' END, CASE WHEN tasks = 1 AND r.cust <> n.cust THEN 'cust' END], lambda x: x IS NOT NULL)) AS fault
+FROM r LEFT JOIN n USING (id)"""
+)
+def journal_appended(spark: S, sf_dir: str) -> DataFrame:
+    """A journal written in batches, one of them twice, read back and bound to its tasks: exactly one each, one row each, fields alike."""
+    at = folder(spark, "journal")
+    o = table(spark, sf_dir, "orders").select(F.concat(F.lit("o"), "o_orderkey").alias("id"), F.col("o_custkey").alias("cust"), F.col("o_orderkey").alias("k"))
+    for batch in (0, 1, 1, 2):  # the second run of a batch changes nothing
+        journal.append_once(o.where(F.col("k") % 3 == batch), at, batch)
+    journal.append_once(o.where("k % 50 = 1"), at, 3)
+    written = spark.read.schema("id string, cust bigint, k bigint").json(at).drop("batch")
+    tasks = o.where("k % 90 <> 3").withColumn("cust", F.col("cust") + F.when(F.col("k") % 70 == 2, 1).otherwise(0)).unionByName(o.where("k % 110 = 4"))
+    return journal.replay_faults(written, tasks, "id", ["cust"])
+
+
 @query(
     """WITH b AS (SELECT o_orderkey AS k, 'out/' || o_orderkey AS path FROM orders WHERE o_orderkey % 2 = 0),
 j AS (SELECT o_orderkey AS k, 1 AS p, CASE WHEN o_orderkey % 10 = 0 THEN 0 ELSE 1 END AS g FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 101 = 0),
