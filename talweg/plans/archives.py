@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from talweg.plans.registry import query
 from talweg.plans.tables import table
-from talweg.sources import archives
-from talweg.storage import folder
+from talweg.sources import archives, files
+from talweg.storage import folder, stored
 
 S = SparkSession
 
@@ -58,3 +58,33 @@ def archive_streams(spark: S, sf_dir: str) -> DataFrame:
     kind, in_folder = F.substring_index("name", ".", -1).alias("kind"), F.substring_index("name", "/", 1).cast("long").alias("folder")
     members = rows.where("kind = 'member' OR fault IS NOT NULL")
     return members.groupBy(in_folder, kind).agg(F.count("*").alias("n_members"), F.sum("size").alias("n_bytes"), F.countDistinct("sha256").alias("n_digests"))
+
+
+@query(
+    """SELECT count(*)::BIGINT AS n_rows, 'doc_id:int64,text:string,lang:string,source:string,n_chars:int64' AS columns, 0::BIGINT AS n_faults,
+  'columns missing: item_id:int64|columns not expected: doc_id:int64,source:string,n_chars:int64' AS as_another FROM documents"""
+)
+def parquet_release(spark: S, sf_dir: str) -> DataFrame:
+    """The documents written as a release of parts: rows and columns from the footers alone, no fault as itself, the right ones as another release."""
+    at = f"{folder(spark, 'release')}/parts"
+    table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars").write.parquet(at)
+    found = stored(files.footers(spark, at), "footers")
+    columns = ["doc_id:int64", "text:string", "lang:string", "source:string", "n_chars:int64"]
+    own = files.release_faults(found, columns).agg(F.count("*").alias("n_faults"))
+    other = files.release_faults(found, ["item_id:int64", "text:string", "lang:string"]).agg(F.array_join(F.array_sort(F.collect_set("fault")), "|").alias("as_another"))
+    kinds = F.array_join(F.array_sort(F.collect_set(F.array_join("columns", ","))), "|")
+    return found.agg(F.sum("rows").alias("n_rows"), kinds.alias("columns")).crossJoin(own).crossJoin(other)
+
+
+@query("""SELECT source AS name, count(*)::BIGINT AS n_rows, 0::BIGINT AS n_faults FROM documents WHERE source IS NOT NULL GROUP BY ALL""")
+def discovered_tables(spark: S, sf_dir: str) -> DataFrame:
+    """The documents written as CSV files by source, next to files without their columns: found by header, counted by record, whatever line breaks texts hold."""
+    at = folder(spark, "csv")
+    d = table(spark, sf_dir, "documents").where("source IS NOT NULL").select("doc_id", "text", F.col("source").alias("name"), "source")
+    write = lambda df, name: df.write.partitionBy("source").option("header", True).option("escape", '"').option("emptyValue", "").csv(f"{at}/{name}")
+    write(d, "texts")
+    write(d.select("doc_id", "source"), "others")
+    name = F.url_decode(F.regexp_extract("path", "/source=([^/]*)/", 1)).alias("name")
+    found = files.discovered(spark, at, ["doc_id", "text", "name"]).groupBy(name).agg(F.sum("rows").alias("n_rows"))
+    faults = files.structural_faults(spark, f"{at}/texts", pattern="*.csv").groupBy(name).agg(F.count("*").alias("n_faults"))
+    return found.join(faults, "name", "left").fillna(0, ["n_faults"])

@@ -43,8 +43,17 @@ def read_manifest(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return read_csv(spark, path, S.MANIFEST, exact=False)
 
 
+def unique_rows(df: DataFrame, key: str, what: str) -> DataFrame:
+    """``df`` if no key stands twice; else an error that names some."""
+    again = [r[key] for r in df.groupBy(key).count().where("count > 1").orderBy(key).limit(5).collect()]
+    if again:
+        raise ValueError(f"{what}: repeated {key}: {again}")
+    return df
+
+
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    return read_csv(spark, path, S.LEDGER)
+    """The ledger's rows; every source stands once."""
+    return unique_rows(read_csv(spark, path, S.LEDGER), "source_id", path)
 
 
 def read_consents(spark: SparkSession, path: str) -> DataFrame:
@@ -129,21 +138,6 @@ def read_tsv(spark: SparkSession, path: str, schema: T.StructType, *, header: bo
     return _strings_filled(r.option("escape", '"' if quoted else "").csv(path))
 
 
-def structural_faults(spark: SparkSession, path: str, names: Sequence[str], sep: str = ",") -> DataFrame:
-    """(line, n_fields) of lines whose number of fields is not the header's; quoted separators are understood."""
-    outside = F.regexp_replace("value", '"(?:[^"]|"")*"', "")
-    n = F.length(outside) - F.length(F.replace(outside, F.lit(sep), F.lit(""))) + 1
-    return spark.read.text(path).select(F.col("value").alias("line"), n.cast("long").alias("n_fields")).where(F.col("n_fields") != len(names))
-
-
-def discovered(spark: SparkSession, folder: str, required: Sequence[str], pattern: str = "*.csv") -> DataFrame:
-    """(path, sha256, length) of files whose header has all required columns; other files are not read further."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder)
-    head = F.split(F.regexp_replace(F.substring_index(F.decode("content", "utf-8"), "\n", 1), "[﻿\r\"]", ""), ",")
-    need = F.array(*[F.lit(r) for r in required])
-    return files.where(F.size(F.array_except(need, head)) == 0).select("path", F.sha2("content", 256).alias("sha256"), "length")
-
-
 def referenced_manifests(document: str, key: str = "manifest") -> list[str]:
     """Values under a key anywhere in a JSON document, in order, each once."""
     out: list[str] = []

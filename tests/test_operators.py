@@ -310,6 +310,7 @@ def test_sources(spark, tmp_path):
     import wave
 
     from talweg import schema as S
+    from talweg.sources import files as L
     from talweg.sources import tables as T
 
     (tmp_path / "m").mkdir()
@@ -318,8 +319,8 @@ def test_sources(spark, tmp_path):
     (tmp_path / "m" / "b.csv").write_text("other,columns\n1,2\n1,2,3\n")
     df = T.read_manifest(spark, f"{tmp_path}/m/a.csv")
     assert df.first()["created_at"] == 'a "b", c' and T.numbered(df).first()["row_number"] == 2
-    assert [r["path"].rpartition("/")[2] for r in T.discovered(spark, f"{tmp_path}/m", S.MANIFEST.names).collect()] == ["a.csv"]
-    assert [r["n_fields"] for r in T.structural_faults(spark, f"{tmp_path}/m/b.csv", ["other", "columns"]).collect()] == [3]
+    assert [r["path"].rpartition("/")[2] for r in L.discovered(spark, f"{tmp_path}/m", S.MANIFEST.names).collect()] == ["a.csv"]
+    assert [(r["record"], r["n_fields"]) for r in L.structural_faults(spark, f"{tmp_path}/m", pattern="b.csv").collect()] == [(3, 3)]
     with pytest.raises(ValueError, match="header"):
         T.read_ledger(spark, f"{tmp_path}/m/b.csv")
     (tmp_path / "t.tsv").write_text('a\t"b\n')
