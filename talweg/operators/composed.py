@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from talweg.operators import metrics
 from talweg.operators.prefix import numbered
 from talweg.operators.sampling import ranked, top_per_stratum
 
@@ -63,6 +65,26 @@ def route_tasks(rows: DataFrame, route: str, rank: str, profiles: dict[str, Sequ
     return out.withColumn("profile", F.when(F.col("_p").isNotNull(), F.try_element_at("_p", turn))).drop("_p")
 
 
+def target_faults(tasks: DataFrame, route: str, targets: dict[str, int]) -> DataFrame:
+    """(route, n_tasks, target) of routes whose tasks are not as many as planned, planned ones without tasks included."""
+    plan = F.create_map(*[F.lit(x) for pair in targets.items() for x in pair])
+    names = tasks.sparkSession.createDataFrame([(r,) for r in targets], f"{route} string")
+    n = tasks.groupBy(route).agg(F.count("*").alias("n_tasks")).join(names, route, "full")
+    out = n.select(route, F.coalesce("n_tasks", F.lit(0)).cast("long").alias("n_tasks"), F.coalesce(F.try_element_at(plan, F.col(route)), F.lit(0)).cast("long").alias("target"))
+    return out.where("n_tasks <> target")
+
+
+def eligible_records(df: DataFrame, allowed: Column, labels: dict[str, str], label: str, text: Column, text_hash: Column, surrogate: Sequence[Column | str]) -> DataFrame:
+    """Rows that may be used: ``allowed`` and of a known label, which is recoded; ``text_hash`` falls back to the
+    hash of the text, and where there is none to that of what identifies the record, marked in ``surrogate``."""
+    table = F.create_map(*[F.lit(x) for pair in labels.items() for x in pair])
+    own = F.sha2(F.concat_ws("\0", *[F.lit(p) if isinstance(p, str) else p.cast("string") for p in surrogate]), 256)
+    blank = F.coalesce(F.trim(text), F.lit("")) == ""
+    known = F.coalesce(F.nullif(F.trim(text_hash), F.lit("")), F.when(~blank, F.sha2(F.trim(text), 256)))
+    out = df.where(F.coalesce(allowed, F.lit(False))).withColumn(label, F.try_element_at(table, F.col(label))).where(F.col(label).isNotNull())
+    return out.withColumn("surrogate", known.isNull()).withColumn("text_hash", F.coalesce(known, own))
+
+
 def order_breaks(subset: DataFrame, full: DataFrame, key: str, rank: str) -> DataFrame:
     """(key, fault) where ``subset`` is not ``full`` less some rows, in the same order: foreign, repeated or out of order."""
     both = subset.select(key, F.col(rank).alias("_r")).join(full.select(key, F.col(rank).alias("_f")), key, "left")
@@ -109,6 +131,21 @@ def field_strata(df: DataFrame, fields: Sequence[str], score: str, threshold: fl
     return out.select("field", "value", "n", "n_bonafide", "n_spoof", accuracy.alias("balanced_accuracy"))
 
 
+def full_strata(df: DataFrame, fields: Sequence[str], score: str) -> DataFrame:
+    """(field, value, n, n_bonafide, n_spoof, accuracy with its interval; recalls, balanced accuracy and EER where both labels occur)."""
+    blank = lambda f: F.trim(F.coalesce(F.col(f).cast("string"), F.lit(""))) == ""
+    pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.when(blank(f), "not_applicable").otherwise(F.col(f).cast("string")).alias("value")) for f in fields])
+    rows = df.select("label", F.col(score).alias("s"), F.explode(pairs).alias("p")).select("p.*", "label", "s")
+    spoof, by = F.col("label") == "spoof", ["field", "value"]
+    n = F.col("tp") + F.col("fp") + F.col("tn") + F.col("fn")
+    m = metrics.confusion(rows, by, "s", spoof).withColumn("n", n).withColumn("interval", metrics.wilson(F.col("tp") + F.col("tn"), n))
+    out = m.join(metrics.eer(rows, by, "s", spoof), by, "left")
+    return out.select(
+        *by, "n", (F.col("tn") + F.col("fp")).alias("n_bonafide"), (F.col("tp") + F.col("fn")).alias("n_spoof"), "accuracy", F.col("interval.low").alias("low"), F.col("interval.high").alias("high"),
+        *[F.when(F.col("balanced_accuracy").isNotNull(), F.col(c)).alias(c) for c in ("spoof_recall", "bonafide_recall", "balanced_accuracy", "eer")],
+    )
+
+
 def review_packet(pairs: DataFrame, assets: DataFrame, evidence: DataFrame, protocol: str) -> DataFrame:
     """One row per asset of each exact pair that has evidence, with an annotation id that tells nothing of the label.
 
@@ -157,3 +194,42 @@ def key_parts(c: Column, prefix: str, sep: str = ":") -> Column:
     rest = F.when(c.startswith(prefix), F.substring(c, len(prefix) + 1, 1 << 30)).otherwise(c)
     head = F.substring_index(rest, sep, 1)
     return F.struct(head.alias("head"), F.when(rest.contains(sep), F.substring(rest, F.length(head) + len(sep) + 1, F.lit(1 << 30))).alias("tail"), F.substring_index(rest, sep, -1).alias("last"))
+
+
+Preparer = Callable[[np.ndarray], tuple[np.ndarray, str]]
+Detector = Callable[[np.ndarray], Sequence[tuple[int, int]]]
+
+
+def prepared(df: DataFrame, key: str, samples: str, preparer: Preparer) -> DataFrame:
+    """(key, samples, status): what a given ``preparer`` makes of each waveform; its errors are a status, not the job's end."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for x in frame[samples]:
+                try:
+                    made, status = preparer(np.asarray([] if x is None else x))
+                    out.append((list(map(int, made)), status))
+                except Exception as e:  # noqa: BLE001  whatever the given code raises
+                    out.append((None, f"error: {type(e).__name__}"))
+            yield pd.DataFrame({key: frame[key].to_numpy(), "samples": [o[0] for o in out], "status": [o[1] for o in out]})
+
+    return df.select(key, samples).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, samples array<int>, status string")
+
+
+def detected(df: DataFrame, key: str, samples: str, detector: Detector) -> DataFrame:
+    """(key, segments, fault): spans of samples that a given ``detector`` finds; they must ascend, not meet and lie inside."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            spans, faults = [], []
+            for x in frame[samples]:
+                x = np.asarray([] if x is None else x)
+                found = [(int(a), int(b)) for a, b in detector(x)]
+                edges = [e for span in found for e in span]
+                wrong = edges != sorted(set(edges)) or edges and (edges[0] < 0 or edges[-1] > len(x))
+                spans.append([{"start": a, "end": b} for a, b in found])
+                faults.append("segments" if wrong else None)
+            yield pd.DataFrame({key: frame[key].to_numpy(), "segments": spans, "fault": faults})
+
+    return df.select(key, samples).mapInPandas(run, f"{key} {dict(df.dtypes)[key]}, segments array<struct<start:bigint,end:bigint>>, fault string")

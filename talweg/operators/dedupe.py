@@ -58,3 +58,17 @@ def history_gaps(manifest: DataFrame, inventories: DataFrame, digest: str) -> Da
 
 def earliest(df: DataFrame, by: str, order: Sequence[str]) -> DataFrame:
     return df.withColumn("first", F.row_number().over(Window.partitionBy(by).orderBy(*order)) == 1)
+
+
+def decision_inventory(decisions: DataFrame, assets: DataFrame, *, key: str, digest: str, history: DataFrame, near_history: DataFrame, near_pool: DataFrame) -> DataFrame:
+    """Every asset with its decision and what it matched: n_historical_exact, n_pool_exact, n_historical_near, n_pool_near.
+
+    ``history`` has the digests of former assets, the two others (key, n_near) counts; exact matches within
+    the pool are the other assets of the same digest.
+    """
+    known = history.groupBy(digest).agg(F.count("*").alias("n_historical_exact"))
+    same = assets.groupBy(digest).agg((F.count("*") - 1).alias("n_pool_exact"))
+    out = assets.join(decisions.select(key, "decision"), key, "left").join(known, digest, "left").join(same, digest, "left")
+    out = out.join(near_history.withColumnRenamed("n_near", "n_historical_near"), key, "left").join(near_pool.withColumnRenamed("n_near", "n_pool_near"), key, "left")
+    zero = {c: F.coalesce(F.col(c), F.lit(0)).cast("long") for c in ("n_historical_exact", "n_pool_exact", "n_historical_near", "n_pool_near")}
+    return out.withColumns(zero)

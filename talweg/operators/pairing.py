@@ -123,3 +123,19 @@ def set_equality(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     b = right.select(key).distinct().withColumn("_r", F.lit(1))
     both = a.join(b, key, "full_outer").where("_l IS NULL OR _r IS NULL")
     return both.select(key, F.when(F.col("_l").isNull(), "right").otherwise("left").alias("only_in"))
+
+
+def path_set_audit(rows: DataFrame, split: str, path: str, metadata: DataFrame) -> DataFrame:
+    """(a, b, n): paths that two splits share, splits in order; and paths of ``metadata`` in no split (``missing``) or the reverse (``foreign``).
+
+    Nothing is returned where the splits are disjoint and their union is the metadata's.
+    """
+    own = rows.select(F.col(split).alias("s"), F.col(path).alias("p")).distinct()
+    held = own.groupBy("p").agg(F.array_sort(F.collect_set("s")).alias("in_"))  # at most as many as there are splits
+    i = F.explode(F.sequence(F.lit(0), F.size("in_") - 2)).alias("i")
+    first = held.where(F.size("in_") > 1).select("in_", i)
+    shared = first.select(F.get("in_", F.col("i")).alias("a"), F.explode(F.slice("in_", F.col("i") + 2, F.size("in_"))).alias("b")).groupBy("a", "b").agg(F.count("*").alias("n"))
+    listed = metadata.select(F.col(path).alias("p")).distinct().withColumn("_m", F.lit(True))
+    odd = held.join(listed, "p", "full").where("in_ IS NULL OR _m IS NULL")
+    kinds = odd.groupBy(F.when(F.col("in_").isNull(), "missing").otherwise("foreign").alias("a")).agg(F.count("*").alias("n"))
+    return shared.unionByName(kinds.select("a", F.lit("").alias("b"), "n"))

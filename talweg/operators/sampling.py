@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from talweg.functions.keys import rank_hex
 from talweg.operators.prefix import numbered
 
 
@@ -138,3 +139,26 @@ def first_reason(rules: Sequence[tuple[Column, str]]) -> Column:
     for cond, reason in reversed(rules):
         out = F.when(cond, reason).otherwise(out)
     return out
+
+
+def balanced_slice(df: DataFrame, by: str, stratum: str, key: str, limit: int, low: int, seed: str) -> DataFrame:
+    """``limit`` rows of each ``by``: quotas of its strata by largest remainder, then the first by hash of each.
+
+    A first pass counts the strata, a second keeps the lowest hashes of each; ``by`` with fewer than
+    ``limit`` rows or strata of fewer than ``low`` gives all or what there is (see ``slice_faults``).
+    """
+    counts = df.groupBy(by, stratum).agg(F.count("*").alias("n"))
+    total = F.least(F.lit(limit), F.sum("n").over(Window.partitionBy(by)))
+    counts = counts.withColumn("total", total).withColumn("low", F.lit(low))
+    quota = largest_remainder(counts, by, stratum, "n", F.col("total"), low).withColumnRenamed("quota", "_quota")
+    best = top_per_stratum(df, [by, stratum], [rank_hex(seed, F.col(key), sep=":"), key], limit, "_rank")
+    return best.join(quota, [by, stratum]).where("_rank <= _quota").select(*df.columns)
+
+
+def slice_faults(df: DataFrame, chosen: DataFrame, by: str, stratum: str, limit: int, low: int) -> DataFrame:
+    """(by, fault): too few rows or too small a stratum in ``df``, or not ``limit`` rows in ``chosen``."""
+    n = df.groupBy(by, stratum).agg(F.count("*").alias("n")).groupBy(by).agg(F.sum("n").alias("n"), F.min("n").alias("least"), F.count("*").alias("strata"))
+    got = chosen.groupBy(by).agg(F.count("*").alias("got"))
+    both = n.join(got, by, "left")
+    tests = [(F.col("n") < limit, "too few rows"), (F.col("least") < low, "small stratum"), (F.col("strata") * low > limit, "minima above the limit"), (F.coalesce("got", F.lit(0)) != limit, "not the limit")]
+    return both.select(by, F.explode(F.filter(F.array(*[F.when(c, m) for c, m in tests]), lambda x: x.isNotNull())).alias("fault"))

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from talweg.functions.keys import rank_hex
-from talweg.operators import composed, metrics, timeseries
+from talweg.operators import composed, dedupe, metrics, pairing, perceptual, sampling, timeseries
+from talweg.plans.evaluation import PRINTS, _prints
 from talweg.plans.registry import query
 from talweg.plans.tables import SCORED, SEED, assets, scored_orders, table
 
@@ -206,3 +207,101 @@ def preparation_results(spark: S, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events").where("value IS NOT NULL").select("user_id", F.bround(F.col("value") * gain).cast("long").alias("v"))
     q = timeseries.quality(e.select("user_id", F.least(F.lit(32767), F.greatest(F.lit(-32768), F.col("v"))).alias("v")), ["user_id"], "v")
     return timeseries.prepared_results(q.withColumn("speech_seconds", F.col("n") / 4.0), ["user_id"])
+
+
+_STRATA = "SELECT label, logit, unnest(['family', 'source']) AS field, unnest([CASE WHEN family = 'fam1' THEN 'not_applicable' ELSE family END, source || CASE WHEN label = 'spoof' OR source = 'src0' THEN 's' ELSE '' END]) AS value FROM o"
+
+
+@query(
+    f"""WITH {SCORED}, g AS ({_STRATA}),
+m AS (SELECT field, value, count(*)::BIGINT AS n, count(*) FILTER (label = 'bonafide')::BIGINT AS n_bonafide, count(*) FILTER (label = 'spoof')::BIGINT AS n_spoof,
+  count(*) FILTER (label = 'spoof' AND logit >= 0) AS tp, count(*) FILTER (label = 'bonafide' AND logit < 0) AS tn FROM g GROUP BY ALL),
+t AS (SELECT field, value, logit AS t, count(*) FILTER (label = 'spoof') AS p, count(*) FILTER (label <> 'spoof') AS q FROM g GROUP BY ALL),
+c AS (SELECT field, value, t, sum(p) OVER d AS tp, sum(q) OVER d AS fp, sum(p) OVER w AS ap, sum(q) OVER w AS an FROM t WINDOW w AS (PARTITION BY field, value), d AS (PARTITION BY field, value ORDER BY t DESC)),
+u AS (SELECT * FROM c UNION ALL SELECT DISTINCT field, value, 'infinity'::DOUBLE, 0, 0, ap, an FROM c), e AS (SELECT field, value, min_by((fp / an + (ap - tp) / ap) / 2, (abs(fp / an - (ap - tp) / ap), -t)) AS eer FROM u WHERE ap > 0 AND an > 0 GROUP BY ALL),
+z AS (SELECT *, (tp + tn) / n AS acc, 1.959963984540054::DOUBLE AS z FROM m)
+SELECT field, value, n, n_bonafide, n_spoof, round(acc, 9) AS accuracy,
+  round(greatest(0, (acc + z * z / (2 * n) - z * sqrt(acc * (1 - acc) / n + z * z / (4.0 * n * n))) / (1 + z * z / n)), 9) AS low, round(least(1, (acc + z * z / (2 * n) + z * sqrt(acc * (1 - acc) / n + z * z / (4.0 * n * n))) / (1 + z * z / n)), 9) AS high,
+  CASE WHEN n_bonafide > 0 AND n_spoof > 0 THEN round(tp / n_spoof, 9) END AS spoof_recall, CASE WHEN n_bonafide > 0 AND n_spoof > 0 THEN round(tn / n_bonafide, 9) END AS bonafide_recall,
+  CASE WHEN n_bonafide > 0 AND n_spoof > 0 THEN round((tp / n_spoof + tn / n_bonafide) / 2, 9) END AS balanced_accuracy, round(eer, 9) AS eer FROM z LEFT JOIN e USING (field, value)"""
+)
+def full_strata(spark: S, sf_dir: str) -> DataFrame:
+    o = scored_orders(spark, sf_dir)
+    marked = F.concat("source", F.when((F.col("label") == "spoof") | (F.col("source") == "src0"), "s").otherwise(""))
+    o = o.withColumn("family", F.when(F.col("family") == "fam1", "  ").otherwise(F.col("family"))).withColumn("source", marked)
+    out = composed.full_strata(o, ["family", "source"], "logit")
+    return out.withColumns({c: F.round(c, 9) for c in ("accuracy", "low", "high", "spoof_recall", "bonafide_recall", "balanced_accuracy", "eer")})
+
+
+@query(
+    f"""WITH {SCORED}, k AS (SELECT label, language || '/' || source AS stratum, o_orderkey FROM o), c AS (SELECT label, stratum, count(*) AS n FROM k GROUP BY ALL),
+b AS (SELECT *, (n - 2)::DOUBLE AS spare, least(150, sum(n) OVER w) AS total, (least(150, sum(n) OVER w) - 2 * count(*) OVER w)::DOUBLE AS rest, sum((n - 2)::DOUBLE) OVER w AS all_spare FROM c WINDOW w AS (PARTITION BY label)),
+e AS (SELECT *, CASE WHEN all_spare > 0 THEN rest * spare / all_spare ELSE 0 END AS exact FROM b), q AS (SELECT *, 2 + least(spare, floor(exact)) AS q0 FROM e),
+m AS (SELECT *, total - sum(q0) OVER (PARTITION BY label) AS missing, CASE WHEN q0 < n THEN 1 ELSE 0 END AS open FROM q),
+r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY open DESC, exact - floor(exact) DESC, stratum) AS i FROM m),
+t AS (SELECT label, stratum, q0 + CASE WHEN i <= missing AND open = 1 THEN 1 ELSE 0 END AS quota FROM r),
+h AS (SELECT *, row_number() OVER (PARTITION BY label, stratum ORDER BY sha256('{SEED}:' || o_orderkey), o_orderkey) AS rank FROM k)
+SELECT label, stratum, o_orderkey FROM h JOIN t USING (label, stratum) WHERE rank <= quota"""
+)
+def balanced_slice(spark: S, sf_dir: str) -> DataFrame:
+    """A slice of 150 orders a label, over strata of language and source by largest remainder, then by hash."""
+    o = scored_orders(spark, sf_dir).select("label", F.concat_ws("/", "language", "source").alias("stratum"), "o_orderkey")
+    return sampling.balanced_slice(o, "label", "stratum", "o_orderkey", 150, 2, SEED)
+
+
+@query(
+    """WITH r AS (SELECT lang AS split, doc_id AS path FROM documents WHERE doc_id % 7 <> 3 UNION ALL SELECT 'zz', doc_id FROM documents WHERE doc_id % 11 = 0 UNION ALL SELECT 'zz', -doc_id - 1 FROM documents WHERE doc_id % 13 = 0),
+m AS (SELECT doc_id AS path FROM documents WHERE doc_id % 5 <> 2), d AS (SELECT DISTINCT split, path FROM r WHERE split IS NOT NULL)
+SELECT x.split AS a, y.split AS b, count(*)::BIGINT AS n FROM d x JOIN d y ON x.path = y.path AND x.split < y.split GROUP BY ALL
+UNION ALL SELECT 'missing', '', count(*)::BIGINT FROM m WHERE path NOT IN (SELECT path FROM d) HAVING count(*) > 0 UNION ALL SELECT 'foreign', '', count(DISTINCT path)::BIGINT FROM d WHERE path NOT IN (SELECT path FROM m) HAVING count(*) > 0"""
+)
+def path_set_audit(spark: S, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    part = d.where("doc_id % 7 <> 3 AND lang IS NOT NULL").select(F.col("lang").alias("split"), F.col("doc_id").alias("path"))
+    more = d.where("doc_id % 11 = 0").select(F.lit("zz").alias("split"), F.col("doc_id").alias("path")).unionByName(d.where("doc_id % 13 = 0").select(F.lit("zz").alias("split"), (-F.col("doc_id") - 1).alias("path")))
+    return pairing.path_set_audit(part.unionByName(more), "split", "path", d.where("doc_id % 5 <> 2").select(F.col("doc_id").alias("path")))
+
+
+@query(
+    """WITH n AS (SELECT o_orderpriority AS route, count(*) AS n_tasks FROM orders GROUP BY 1), t AS (SELECT * FROM (VALUES ('1-URGENT', 300), ('2-HIGH', 0), ('none', 5)) v(route, target))
+SELECT coalesce(n.route, t.route) AS route, coalesce(n_tasks, 0)::BIGINT AS n_tasks, coalesce(target, 0)::BIGINT AS target FROM n FULL JOIN t ON n.route = t.route WHERE coalesce(n_tasks, 0) <> coalesce(target, 0)"""
+)
+def route_targets(spark: S, sf_dir: str) -> DataFrame:
+    tasks = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("route"), "o_orderkey")
+    return composed.target_faults(tasks, "route", {"1-URGENT": 300, "2-HIGH": 0, "none": 5})
+
+
+@query(
+    """WITH l AS (SELECT doc_id, quality FROM labels),
+r AS (SELECT d.doc_id, d.source, CASE quality WHEN 1 THEN 'real' WHEN 0 THEN 'fake' ELSE 'unknown' END AS label, CASE WHEN d.doc_id % 4 = 0 THEN sha256(trim(text, ' ')) ELSE ' ' END AS given, CASE WHEN d.doc_id % 3 = 0 THEN '  ' ELSE text END AS text
+  FROM documents d LEFT JOIN l ON l.doc_id = d.doc_id WHERE n_chars BETWEEN 20 AND 5000)
+SELECT doc_id, CASE label WHEN 'real' THEN 'bonafide' ELSE 'spoof' END AS label, nullif(trim(given, ' '), '') IS NULL AND trim(coalesce(text, ''), ' ') = '' AS surrogate,
+  coalesce(nullif(trim(given, ' '), ''), CASE WHEN trim(coalesce(text, ''), ' ') <> '' THEN sha256(trim(text, ' ')) END, sha256('record' || chr(0) || source || chr(0) || doc_id)) AS text_hash FROM r WHERE label <> 'unknown'"""
+)
+def eligible_records(spark: S, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
+    label = F.when(F.col("quality") == 1, "real").when(F.col("quality") == 0, "fake").otherwise("unknown")
+    rows = d.select("doc_id", "source", "n_chars", label.alias("label"), F.when(F.col("doc_id") % 4 == 0, F.sha2(F.trim("text"), 256)).otherwise(" ").alias("given"), F.when(F.col("doc_id") % 3 == 0, "  ").otherwise(F.col("text")).alias("text"))
+    out = composed.eligible_records(rows, F.col("n_chars").between(20, 5000), {"real": "bonafide", "fake": "spoof"}, "label", F.col("text"), F.col("given"), ["record", F.col("source"), F.col("doc_id")])
+    return out.select("doc_id", "label", "surrogate", "text_hash")
+
+
+@query(
+    f"""WITH {PRINTS}, d AS (SELECT *, 'd' || (identity % 97) AS digest FROM e), h AS (SELECT 'd' || (identity % 50) AS digest FROM e WHERE identity % 5 = 0), p AS (SELECT * FROM d WHERE identity % 5 <> 0), q AS (SELECT * FROM d WHERE identity % 5 = 0),
+near AS (SELECT x.identity, count(*) FILTER (y.identity % 5 = 0) AS nh, count(*) FILTER (y.identity % 5 <> 0) AS np FROM p x JOIN d y ON x.identity <> y.identity AND x.digest <> y.digest
+  WHERE bit_count(xor(x.f, y.f)) <= 7 AND greatest(x.s, y.s) - least(x.s, y.s) <= 0.15 * greatest(x.s, y.s) GROUP BY 1),
+nh AS (SELECT digest, count(*) AS n FROM h GROUP BY 1), np AS (SELECT digest, count(*) - 1 AS n FROM p GROUP BY 1)
+SELECT p.identity, CASE WHEN nh.n IS NOT NULL THEN 'historical_exact' WHEN p.identity <> min(p.identity) OVER (PARTITION BY p.digest) THEN 'pool_exact' WHEN coalesce(near.nh, 0) + coalesce(near.np, 0) > 0 THEN 'near_pending' ELSE 'eligible' END AS decision,
+  coalesce(nh.n, 0)::BIGINT AS n_historical_exact, np.n::BIGINT AS n_pool_exact, coalesce(near.nh, 0)::BIGINT AS n_historical_near, coalesce(near.np, 0)::BIGINT AS n_pool_near
+FROM p LEFT JOIN nh USING (digest) LEFT JOIN np ON np.digest = p.digest LEFT JOIN near ON near.identity = p.identity"""
+)
+def decision_inventory(spark: S, sf_dir: str) -> DataFrame:
+    """Every candidate with its decision and its exact and near matches, historical and within the pool."""
+    d = _prints(spark, sf_dir).withColumn("digest", F.concat(F.lit("d"), F.col("identity") % 97))
+    pool, old = d.where("identity % 5 <> 0"), d.where("identity % 5 = 0")
+    history = old.select(F.concat(F.lit("d"), F.col("identity") % 50).alias("digest"))
+    by_history, by_pool = (perceptual.near_counts(pool, x, threshold=7) for x in (old, pool))
+    n = by_history.unionByName(by_pool).groupBy("identity").agg(F.sum("n_near").alias("n_near"))
+    made = dedupe.decision(pool, history.distinct(), n, key="identity", digest="digest", ready=F.lit(True), order=["identity"])
+    out = dedupe.decision_inventory(made, pool, key="identity", digest="digest", history=history, near_history=by_history, near_pool=by_pool)
+    return out.select("identity", "decision", "n_historical_exact", "n_pool_exact", "n_historical_near", "n_pool_near")

@@ -459,3 +459,30 @@ def test_scorers_must_answer_once(spark):
     for bad in (lambda f: f["x"].iloc[1:], lambda f: f["x"] / 0):
         with pytest.raises(Exception, match="logits"):
             C.scored_once(df, "k", ["x"], bad).collect()
+
+
+def test_injected_preparers_and_detectors(spark):
+    from talweg.operators import composed as C
+
+    df = spark.createDataFrame([(1, [0, 5, 9, 0, 7]), (2, []), (3, None), (4, [13])], "k long, x array<int>")
+
+    def preparer(x):
+        if len(x) and x[0] == 13:
+            raise ValueError("bad")
+        return x * 2, "ready" if len(x) else "no_speech"
+
+    got = {r["k"]: (r["samples"], r["status"]) for r in C.prepared(df, "k", "x", preparer).collect()}
+    assert got == {1: ([0, 10, 18, 0, 14], "ready"), 2: ([], "no_speech"), 3: ([], "no_speech"), 4: (None, "error: ValueError")}
+    loud = lambda x: [(i, i + 1) for i, v in enumerate(x) if v > 4 and v != 9] if len(x) > 1 else [(0, 5)] * len(x)
+    spans = {r["k"]: ([tuple(s) for s in r["segments"]], r["fault"]) for r in C.detected(df, "k", "x", loud).collect()}
+    assert spans == {1: ([(1, 2), (4, 5)], None), 2: ([], None), 3: ([], None), 4: ([(0, 5)], "segments")}
+
+
+def test_slices_say_where_they_fall_short(spark):
+    from talweg.operators import sampling as Q
+
+    df = rows(spark, "l string, s string, k int", *[("a", f"s{i % 3}", i) for i in range(30)], *[("b", "t", i) for i in range(4)])
+    chosen = Q.balanced_slice(df, "l", "s", "k", 10, 2, "seed")
+    n = {(r["l"], r["s"]): r["n"] for r in chosen.groupBy("l", "s").agg(F.count("*").alias("n")).collect()}
+    assert sum(v for (a, _), v in n.items() if a == "a") == 10 and min(n.values()) >= 3 and n["b", "t"] == 4
+    assert {tuple(r) for r in Q.slice_faults(df, chosen, "l", "s", 10, 2).collect()} == {("b", "too few rows"), ("b", "not the limit")}
