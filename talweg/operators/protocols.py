@@ -93,3 +93,103 @@ def route_history(rows: DataFrame, key: Sequence[str], label: str) -> DataFrame:
     """(source_name, n_rows, n_conflicts): distinct history by key, keys with two labels counted apart."""
     one = rows.groupBy(*key).agg(F.countDistinct(label).alias("_k"))
     return one.groupBy("source_name").agg(F.count("*").alias("n_rows"), F.count_if(F.col("_k") > 1).alias("n_conflicts"))
+
+
+def _against_plan(rows: DataFrame, plan: DataFrame, by: str, name: str) -> DataFrame:
+    """(by, detail) of names that a role holds and the plan does not, or the reverse."""
+    have = rows.select(by, name).distinct().withColumn("_h", F.lit(1))
+    both = have.join(plan.select(by, name).distinct().withColumn("_p", F.lit(1)), [by, name], "full_outer").where("_h IS NULL OR _p IS NULL")
+    return both.select(by, F.concat(F.col(name), F.when(F.col("_h").isNull(), ": absent").otherwise(": not planned")).alias("detail"))
+
+
+def _use_issues(rows: DataFrame, ledger: DataFrame, uses: Sequence[str]) -> DataFrame:
+    """Sources that the ledger does not allow for this use; those that it lacks are the licence's issue."""
+    have = rows.select(F.col("source_name").alias("source_id")).distinct().join(ledger.select("source_id", "train_dev_test_use"), "source_id")
+    odd = have.where(~F.coalesce(F.col("train_dev_test_use").isin(*uses), F.lit(False)))
+    return _issue(odd, "use", "source_id", F.coalesce("train_dev_test_use", F.lit("")))
+
+
+def training_selection_issues(rows: DataFrame, sources: DataFrame, cells: DataFrame, ledger: DataFrame, fields: Sequence[str], languages: Sequence[str]) -> DataFrame:
+    """Roles train and dev as planned and apart from each other.
+
+    ``rows`` have a role; ``sources`` lists (role, source_name) and ``cells`` (role, cell, n_expected), a cell
+    being language/label.  Each role holds its sources and cells, sources are licensed for research, the
+    roles share no value of ``fields`` and no source, and dev has all ``languages``.
+    """
+    found = _against_plan(rows, sources, "role", "source_name")
+    counted = rows.groupBy("role", F.concat_ws("/", "language", "label").alias("cell")).agg(F.count("*").alias("n")).join(cells, ["role", "cell"], "full_outer")
+    wrong = counted.where("coalesce(n, 0) <> coalesce(n_expected, 0)")
+    numbers = F.concat_ws("/", F.coalesce("n", F.lit(0)).cast("string"), F.coalesce("n_expected", F.lit(0)).cast("string"))
+    train, dev = rows.where("role = 'train'"), rows.where("role = 'dev'")
+    shared = overlap.overlap_by_field(train, dev, [*fields, "source_name"])
+    spark = rows.sparkSession
+    need = spark.createDataFrame([(x,) for x in languages], "language string").join(dev.select("language").distinct(), "language", "left_anti")
+    return combined(
+        _issue(found, "sources", "role", "detail"),
+        _issue(wrong, "cell", F.concat_ws(":", "role", "cell"), numbers),
+        _issue(ledger_coverage(rows, ledger), "licence", "source", "problem"),
+        _use_issues(rows, ledger, ("research_only", "product_allowed")),
+        _issue(shared, "overlap", "field", "n_overlap"),
+        _issue(need, "dev lacks", "language", F.lit("language")),
+    )
+
+
+def calibration_input_issues(rows: DataFrame, plan: dict, ledger: DataFrame, others: dict[str, DataFrame], fields: Sequence[str]) -> DataFrame:
+    """A calibration set is a lock of exact pairs, as planned, of licensed sources and apart from every other role.
+
+    ``plan`` has rows, labels (label to number), sources, pairs, split and language.
+    """
+    spark = rows.sparkSession
+    n = rows.agg(F.count("*").alias("n")).where(F.col("n") != plan["rows"])
+    labels = spark.createDataFrame(list(plan["labels"].items()), "label string, want long")
+    counted = rows.groupBy("label").agg(F.count("*").alias("n")).join(labels, "label", "full_outer").where("coalesce(n, 0) <> coalesce(want, 0)")
+    scope = rows.where(~(F.col("split").eqNullSafe(plan["split"]) & F.col("language").eqNullSafe(plan["language"]))).groupBy("split", "language").agg(F.count("*").alias("n"))
+    planned = spark.createDataFrame([("calibration", x) for x in plan["sources"]], "role string, source_name string")
+    found = _against_plan(rows.withColumn("role", F.lit("calibration")), planned, "role", "source_name")
+    pairs = rows.groupBy("text_id").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("label")), ",").alias("l"), F.countDistinct("text_hash").alias("h"))
+    broken = pairs.where("n <> 2 OR l <> 'bonafide,spoof' OR h <> 1")
+    number = pairs.agg(F.count("*").alias("n")).where(F.col("n") != plan["pairs"])
+    parts = [
+        _issue(n, "rows", F.lit("calibration"), "n"),
+        _issue(counted, "label", "label", F.coalesce("n", F.lit(0))),
+        _issue(scope, "scope", F.concat_ws("/", "split", "language"), "n"),
+        _issue(found, "sources", "role", "detail"),
+        _issue(ledger_coverage(rows, ledger), "licence", "source", "problem"),
+        _use_issues(rows, ledger, ("research_only",)),
+        _issue(number, "pairs", F.lit("calibration"), "n"),
+        _issue(broken, "pair", "text_id", "l"),
+    ]
+    parts += [_issue(overlap.overlap_by_field(rows, o, fields), f"overlap with {name}", "field", "n_overlap") for name, o in others.items()]
+    return combined(*parts)
+
+
+def final_layer_issues(layers: DataFrame, observed: DataFrame, plan: DataFrame, fields: Sequence[str]) -> DataFrame:
+    """Final layers are balanced exact pairs of their own language, of sources and spoof families never observed before.
+
+    ``layers`` have a layer, ``observed`` a role; ``plan`` lists (layer, n_rows, n_pairs, language, code_switch).
+    """
+    spoof, bona = F.count_if(F.col("label") == "spoof"), F.count_if(F.col("label") == "bonafide")
+    g = layers.groupBy("layer").agg(F.count("*").alias("n"), spoof.alias("s"), bona.alias("b"), F.countDistinct("text_hash").alias("t"))
+    both = plan.join(g, "layer", "full_outer")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    unplanned = both.where("n_rows IS NULL")
+    known = both.where("n_rows IS NOT NULL")
+    again = layers.groupBy("layer", "text_hash", "label").agg(F.count("*").alias("n")).where("n > 1").groupBy("layer").agg(F.count("*").alias("n"))
+    scoped = layers.join(plan.select("layer", F.col("language").alias("_l"), F.col("code_switch").alias("_c")), "layer")
+    odd = scoped.where(~((F.col("split") == "test") & (F.col("language") == F.col("_l")) & (F.col("code_switch") == F.col("_c")))).groupBy("layer").agg(F.count("*").alias("n"))
+    reused = layers.select("layer", "source_name").distinct().join(observed.select("source_name").distinct(), "source_name", "left_semi")
+    families = lambda df, *by: df.where("label = 'spoof' AND generator_family <> ''").select(*by, "generator_family").distinct()
+    old = families(layers, "layer").join(families(observed), "generator_family", "left_semi")
+    roles = layers.select(F.col("layer").alias("role"), *fields).unionByName(observed.select("role", *fields))
+    shared = overlap.pairwise_role_overlap(roles, "role", fields)
+    return combined(
+        _issue(unplanned, "not planned", "layer", "n"),
+        _issue(known.where(zero("n") != F.col("n_rows")), "rows", "layer", zero("n")),
+        _issue(known.where((zero("s") != F.col("n_pairs")) | (zero("b") != F.col("n_pairs"))), "balance", "layer", F.concat_ws("/", zero("b").cast("string"), zero("s").cast("string"))),
+        _issue(known.where(zero("t") != F.col("n_pairs")), "texts", "layer", zero("t")),
+        _issue(again, "repeated text and label", "layer", "n"),
+        _issue(odd, "scope", "layer", "n"),
+        _issue(reused, "observed source", "layer", "source_name"),
+        _issue(old, "observed family", "layer", "generator_family"),
+        _issue(shared, "overlap", F.concat_ws("/", "role_a", "role_b", "field"), "n_values"),
+    )

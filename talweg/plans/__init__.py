@@ -1,6 +1,6 @@
 """Registered queries over the given tables."""
 
-from talweg.plans import archives, composed, evaluation, governance, rules
+from talweg.plans import archives, composed, evaluation, governance, roles, rules
 from talweg.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "archives", "composed", "evaluation", "governance", "rules"]
+__all__ = ["ORACLES", "QUERIES", "archives", "composed", "evaluation", "governance", "roles", "rules"]
