@@ -9,9 +9,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from talweg.operators import metrics
+from talweg.operators import dedupe, metrics, perceptual, timeseries
 from talweg.operators.prefix import numbered
 from talweg.operators.sampling import ranked, top_per_stratum
+from talweg.storage import stored
 
 
 def missing_by_speaker(rows: DataFrame, assets: DataFrame, path: str = "relative_path", speaker: str = "speaker_pseudo_id") -> DataFrame:
@@ -156,6 +157,37 @@ def review_packet(pairs: DataFrame, assets: DataFrame, evidence: DataFrame, prot
     return ids.join(assets, "sample_id").select(F.lit(protocol).alias("protocol_id"), note.alias("annotation_id"), "pair", "label", "sample_id", "relative_path", "audio_sha256", "text_hash", "tokens")
 
 
+def decoded_and_frozen(waves: DataFrame, history: DataFrame, *, key: str, route: str, rank: str, target: int, threshold: int = perceptual.THRESHOLD, blocks: int | None = None) -> DataFrame:
+    """From waveforms to a frozen selection: quality, print, exact and near duplicates, decision, first ``target`` of each route.
+
+    ``waves`` have the key, route, rank, ``samples`` (16-bit), ``segments`` of speech and ``speech_seconds``;
+    ``history`` the digest, fingerprint and speech_seconds of former assets.  Every wave comes out with its
+    status, flags, digest, fingerprint, decision, n_near (near matches of other digests, former or in the
+    pool) and, where it is frozen, its position.  Waves without samples are not ready.
+    """
+    q = timeseries.array_quality(F.col("samples"))
+    flags = timeseries.quality_flags(F.col("_q.rms_dbfs"), F.col("_q.clipped_fraction"))
+    some = F.coalesce(F.size("samples"), F.lit(0)) > 0
+    done = waves.withColumn("_q", F.when(some, q))
+    done = done.withColumn("_r", timeseries.readiness(flags, F.col("speech_seconds")))
+    active = perceptual.active_samples(F.col("samples"), F.col("segments"))
+    done = done.select(
+        key, route, rank, "speech_seconds",
+        F.when(some, F.col("_r.status")).otherwise("rejected_quality").alias("status"),
+        F.array_join("_r.flags", ",").alias("flags"),
+        F.when(some, F.sha2(F.array_join(F.transform("samples", lambda v: v.cast("string")), ","), 256)).alias("digest"),
+        F.when(some, perceptual.fingerprint_udf(active)).alias("fingerprint"),
+    )
+    done = stored(done, "decoded")
+    every = history.select("digest", "fingerprint", "speech_seconds").unionByName(done.select("digest", "fingerprint", "speech_seconds"))
+    n = perceptual.near_counts(done, every, key=key, threshold=threshold, blocks=blocks)
+    ready = F.col("status") == "ready"
+    made = dedupe.decision(done, history, n, key=key, digest="digest", ready=ready, order=[rank, key])
+    out = stored(done.join(made, key), "decided")
+    frozen = top_per_stratum(out.where("decision = 'eligible'"), [route], [rank, key], target, "position").select(key, "position")
+    return out.join(frozen, key, "left")
+
+
 Scorer = Callable[[pd.DataFrame], pd.Series]
 
 

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from talweg.functions.keys import rank_hex
 from talweg.operators import composed, dedupe, metrics, pairing, perceptual, sampling, timeseries
-from talweg.plans.evaluation import PRINTS, _prints
+from talweg.plans.evaluation import PRINTS, _prints, _waveforms
 from talweg.plans.registry import query
 from talweg.plans.tables import SCORED, SEED, assets, scored_orders, table
+from talweg.storage import stored
 
 S = SparkSession
 
@@ -305,3 +306,18 @@ def decision_inventory(spark: S, sf_dir: str) -> DataFrame:
     made = dedupe.decision(pool, history.distinct(), n, key="identity", digest="digest", ready=F.lit(True), order=["identity"])
     out = dedupe.decision_inventory(made, pool, key="identity", digest="digest", history=history, near_history=by_history, near_pool=by_pool)
     return out.select("identity", "decision", "n_historical_exact", "n_pool_exact", "n_historical_near", "n_pool_near")
+
+
+@query()
+def decode_to_freeze(spark: S, sf_dir: str) -> DataFrame:
+    """Every user's day from waveform to frozen selection, days of every tenth user being history (prints have no SQL: tested against plain Python)."""
+    w = _waveforms(spark, sf_dir)
+    loud = F.transform("samples", lambda v: F.when(F.col("user_id") % 13 == 3, v * 0).otherwise(v).cast("int"))
+    name = F.concat_ws("/", "user_id", "day")
+    w = w.select(name.alias("sample"), "user_id", (F.col("user_id") % 3).alias("route"), F.sha2(name, 256).alias("rank"), loud.alias("samples"), "segments", (F.col("n_events") * 1.25).alias("speech_seconds"))
+    w = stored(w, "waves")
+    old = w.where("user_id % 10 = 0")
+    text = F.array_join(F.transform("samples", lambda v: v.cast("string")), ",")
+    history = old.select(F.sha2(text, 256).alias("digest"), perceptual.fingerprint_udf(perceptual.active_samples(F.col("samples"), F.col("segments"))).alias("fingerprint"), "speech_seconds")
+    out = composed.decoded_and_frozen(w.where("user_id % 10 <> 0"), stored(history, "history"), key="sample", route="route", rank="rank", target=20, blocks=16)
+    return out.select("sample", "route", "status", "flags", "digest", "fingerprint", "decision", "n_near", "position")

@@ -173,7 +173,8 @@ def _waveforms(spark: S, sf_dir: str) -> DataFrame:
     tone = lambda x: F.transform(F.sequence(F.lit(0), F.lit(479)), lambda i: F.round(F.sin(i * x["hz"] * 3.926990816987241e-4) * 8000.0).cast("int"))
     spans = F.filter(F.transform("e", lambda x, i: F.struct((i * 480).alias("start"), (i * 480 + 480).alias("end"), x["event_type"].alias("kind"))), lambda s: s["kind"] != "error")
     g = g.select("user_id", "day", F.flatten(F.transform("e", tone)).alias("samples"), spans.alias("segments"))
-    return g.select("user_id", "day", perceptual.active_samples(F.col("samples"), F.col("segments")).alias("active"))
+    g = g.withColumn("n_events", F.size("segments"))
+    return g.select("user_id", "day", "samples", "segments", "n_events", perceptual.active_samples(F.col("samples"), F.col("segments")).alias("active"))
 
 
 @query()

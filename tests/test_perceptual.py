@@ -129,3 +129,43 @@ def test_registered_prints_are_those_of_numpy(spark):
     want = {x: sum(near(x, y) for y in ints if y != x) for x in ints}
     got = {r["identity"]: r["n_near"] for r in QUERIES["spectral_near_dups"](spark, d).collect()}
     assert got == want
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the given tables")
+def test_decode_to_freeze_is_that_of_plain_python(spark):
+    import hashlib
+
+    from talweg.operators.perceptual import spectral_fingerprint
+    from talweg.plans import QUERIES
+    from talweg.plans.evaluation import _waveforms
+
+    d = "/root/testdata/sf0.001"
+    pool, old = {}, []
+    for w in _waveforms(spark, d).collect():
+        samples = [0 if w["user_id"] % 13 == 3 else v for v in w["samples"]]
+        inside = [v for s in w["segments"] for v in samples[s["start"] : s["end"]]]
+        active = inside if len(inside) >= 400 else samples
+        row = (hashlib.sha256(",".join(map(str, samples)).encode()).hexdigest(), int(spectral_fingerprint(np.array(active)), 16), w["n_events"] * 1.25, not any(samples))
+        if w["user_id"] % 10 == 0:
+            old.append(row)
+        else:
+            pool[f"{w['user_id']}/{w['day']}"] = (w["user_id"] % 3, *row)
+    every = [(g, f, s) for g, f, s, _ in old] + [(g, f, s) for _, g, f, s, _ in pool.values()]
+    status = {k: "rejected_quality" if quiet else "insufficient_speech" if s < 2.5 else "ready" for k, (_, _, _, s, quiet) in pool.items()}
+    rank = lambda k: (hashlib.sha256(k.encode()).hexdigest(), k)
+    owner: dict = {}
+    for k in sorted((k for k in pool if status[k] == "ready"), key=rank):
+        owner.setdefault(pool[k][1], k)
+    want, taken = {}, Counter()
+    for k in sorted(pool, key=rank):
+        route, g, f, s, _ = pool[k]
+        near = sum(h != g and (f ^ p).bit_count() <= 12 and abs(s - t) <= 0.15 * max(s, t) for h, p, t in every)
+        known = g in {x[0] for x in old}
+        made = "not_ready" if status[k] != "ready" else "historical_exact" if known else "pool_exact" if owner[g] != k else "near_pending" if near else "eligible"
+        position = None
+        if made == "eligible" and taken[route] < 20:
+            taken[route] += 1
+            position = taken[route]
+        want[k] = (route, status[k], made, near, position)
+    got = {r["sample"]: (r["route"], r["status"], r["decision"], r["n_near"], r["position"]) for r in QUERIES["decode_to_freeze"](spark, d).collect()}
+    assert got == want and {w[2] for w in want.values()} >= {"not_ready", "eligible"}
