@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talweg.operators.validation import unpivoted
@@ -60,9 +60,9 @@ def group_taint_exclusion(rows: DataFrame, exposed: DataFrame, key: str, groups:
 
 
 def group_screen(rows: DataFrame, flags: dict[str, Column], group: str) -> DataFrame:
-    """Rows with ``group_<flag>``: whether any row of the group has the flag."""
-    by = Window.partitionBy(group)
-    return rows.select("*", *[F.max(f).over(by).alias(f"group_{name}") for name, f in flags.items()])
+    """Rows with ``group_<flag>``: whether any row of the group has the flag; rows without a group are one."""
+    any_ = rows.groupBy(F.col(group).alias("_g")).agg(*[F.max(f).alias(f"group_{name}") for name, f in flags.items()])
+    return rows.join(any_, F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
 
 
 def screened_groups(rows: DataFrame, scopes: dict[str, DataFrame], fields: Sequence[str], group: str) -> DataFrame:

@@ -7,8 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from talweg.operators import overlap, validation
+from talweg.functions import normaliser
+from talweg.functions.keys import rank_hex
+from talweg.operators import graph, overlap, sampling, validation
 from talweg.operators.validation import ledger_coverage, unpivoted
+from talweg.storage import stored
 
 ISSUE = "rule string, key string, detail string"
 
@@ -193,3 +196,27 @@ def final_layer_issues(layers: DataFrame, observed: DataFrame, plan: DataFrame,
         _issue(old, "observed family", "layer", "generator_family"),
         _issue(shared, "overlap", F.concat_ws("/", "role_a", "role_b", "field"), "n_values"),
     )
+
+
+def final_inputs(records: DataFrame, scopes: dict[str, DataFrame], *, key: str, group: str, text: str, language: str, fields: Sequence[str], seed: str, targets: dict[str, int]) -> DataFrame:
+    """(key, language, group, text_sha256, position): final inputs by metadata alone.
+
+    Groups of which any row has a value of ``fields`` in a scope are out, texts that the stage normaliser
+    rejects too; then each language takes records in the order of their hash, no group and no text twice,
+    ``targets`` at most.  ``final_input_shortages`` says where that is fewer.
+    """
+    clean = overlap.screened_groups(records, scopes, fields, group).where("clean").select(group)
+    rows = records.join(clean, group).withColumn("_n", normaliser.normalised_text(F.col(text), F.col(language))).where("_n.error IS NULL")
+    rows = stored(rows.select(key, language, group, F.col("_n.sha256").alias("text_sha256"), rank_hex(seed, F.col(language), F.col(key), sep=":").alias("_rank")), "final-pool")
+    out = None
+    for name, target in targets.items():  # a few routes
+        own = graph.greedy_distinct(rows.where(F.col(language) == name), "_rank", group, "text_sha256", target)
+        out = own if out is None else out.unionByName(own)
+    return sampling.ranked(out, [language], ["_rank"], "position").drop("_rank")
+
+
+def final_input_shortages(chosen: DataFrame, language: str, targets: dict[str, int]) -> DataFrame:
+    """(rule, key, detail) of languages with fewer inputs than their target."""
+    want = chosen.sparkSession.createDataFrame(list(targets.items()), f"{language} string, want long")
+    got = want.join(chosen.groupBy(language).agg(F.count("*").alias("n")), language, "left").where("coalesce(n, 0) < want")
+    return _issue(got, "shortage", language, F.concat_ws("/", F.coalesce("n", F.lit(0)).cast("string"), F.col("want").cast("string")))

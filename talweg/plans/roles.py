@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from talweg.operators import protocols
 from talweg.plans.registry import query
-from talweg.plans.tables import assets
+from talweg.plans.tables import SEED, assets, table
 
 S = SparkSession
 FIELDS = ("sample_id", "sha256", "text_hash", "parent_group_id")
@@ -104,3 +104,23 @@ def final_layers(spark: S, sf_dir: str) -> DataFrame:
     observed = a.where("split <> 'test' AND doc_id % 9 < 5 AND source_name <> 'src3'").withColumn("role", F.col("split"))
     plan = spark.createDataFrame([("layer-de", 10, 5, "de", "false"), ("layer-en", 1_000_000, 500_000, "en", "false"), ("layer-none", 2, 1, "kk", "false")], "layer string, n_rows long, n_pairs long, language string, code_switch string")
     return protocols.final_layer_issues(layers, observed, plan, FIELDS)
+
+
+@query(
+    f"""WITH RECURSIVE o AS (SELECT o_orderkey, 'g' || o_custkey AS grp, CASE WHEN o_orderkey % 2 = 0 THEN 'kk' ELSE 'ru' END AS lang, o_orderkey % 40 AS t FROM orders),
+bad AS (SELECT DISTINCT grp FROM o WHERE o_orderkey % 503 = 0 OR substr(grp, 2)::BIGINT % 7 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY sha256('{SEED}:' || lang || ':' || o_orderkey)) AS i FROM o WHERE grp NOT IN (SELECT grp FROM bad) AND t <> 13),
+w AS (SELECT lang, 0::BIGINT AS i, []::VARCHAR[] AS f, []::BIGINT[] AS d, false AS taken, target FROM (VALUES ('kk', 15), ('ru', 18)) v(lang, target)
+  UNION ALL SELECT r.lang, r.i, CASE WHEN list_contains(f, grp) OR list_contains(d, t) THEN f ELSE list_append(f, grp) END, CASE WHEN list_contains(f, grp) OR list_contains(d, t) THEN d ELSE list_append(d, t) END,
+    NOT (list_contains(f, grp) OR list_contains(d, t)), target FROM w JOIN r ON r.lang = w.lang AND r.i = w.i + 1 WHERE len(f) < target)
+SELECT o_orderkey, r.lang, grp, row_number() OVER (PARTITION BY r.lang ORDER BY r.i)::INT AS position FROM w JOIN r ON r.lang = w.lang AND r.i = w.i WHERE taken"""
+)
+def final_inputs(spark: S, sf_dir: str) -> DataFrame:
+    """Orders as candidate records: exposed groups screened out whole, texts normalised (one is rejected), then distinct in group and text."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.lit("g"), "o_custkey").alias("grp"), F.when(F.col("o_orderkey") % 2 == 0, "kk").otherwise("ru").alias("lang"))
+    n = F.col("o_orderkey") % 40
+    o = o.withColumns({"text": F.when(n == 13, "zzz").otherwise(F.concat(F.lit("METI "), n, F.when(F.col("lang") == "kk", "-тен").otherwise(" лет"))), "name": F.concat(F.lit("n"), "o_orderkey")})
+    seen = o.where("o_orderkey % 503 = 0").select("name", F.lit("").alias("grp"))
+    used = table(spark, sf_dir, "customer").where("c_custkey % 7 = 0").select(F.lit(None).cast("string").alias("name"), F.concat(F.lit("g"), "c_custkey").alias("grp"))
+    out = protocols.final_inputs(o, {"seen": seen, "used": used}, key="o_orderkey", group="grp", text="text", language="lang", fields=["name", "grp"], seed=SEED, targets={"kk": 15, "ru": 18})
+    return out.select("o_orderkey", "lang", "grp", "position")

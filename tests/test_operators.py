@@ -486,3 +486,14 @@ def test_slices_say_where_they_fall_short(spark):
     n = {(r["l"], r["s"]): r["n"] for r in chosen.groupBy("l", "s").agg(F.count("*").alias("n")).collect()}
     assert sum(v for (a, _), v in n.items() if a == "a") == 10 and min(n.values()) >= 3 and n["b", "t"] == 4
     assert {tuple(r) for r in Q.slice_faults(df, chosen, "l", "s", 10, 2).collect()} == {("b", "too few rows"), ("b", "not the limit")}
+
+
+def test_final_inputs_fall_short_openly(spark):
+    from talweg.operators import protocols as P
+
+    df = rows(spark, "k string, g string, t string, l string", ("a", "g1", "бір 5", "kk"), ("b", "g1", "екі", "kk"), ("c", "g2", "бір 5", "kk"), ("d", "g3", "latin", "kk"), ("e", "g4", "три", "ru"), ("f", "g5", "x", "ru"))
+    scopes = {"seen": rows(spark, "g string", ("g4",))}
+    out = P.final_inputs(df, scopes, key="k", group="g", text="t", language="l", fields=["g"], seed="s", targets={"kk": 3, "ru": 1})
+    got = out.collect()
+    assert {r["k"] for r in got} in ({"a"}, {"b", "c"}) and all(r["l"] == "kk" for r in got) and sorted(r["position"] for r in got) == list(range(1, len(got) + 1))
+    assert {(r["rule"], r["key"]) for r in P.final_input_shortages(out, "l", {"kk": 3, "ru": 1}).collect()} == {("shortage", "kk"), ("shortage", "ru")}
