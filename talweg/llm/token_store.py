@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 import uuid
 from collections.abc import Iterator
 
@@ -34,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from talweg.llm.tokens import Units, byte_tokens, ragged, text_blocks
+from talweg.llm.tokens import Units, byte_tokens, ragged, remembered, text_blocks
 from talweg.llm.words import mixed
 from talweg.session import arrow_rows
 from talweg.storage import folder
@@ -183,7 +184,8 @@ def written(docs: DataFrame, address: str, tokenizer: str, key: str = "doc_id",
     _fresh(shards_at)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, out, name, tokens = TaskContext.get().partitionId(), None, "", byte_tokens(tokenizer)
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+        shard, out, name, tokens, known = TaskContext.get().partitionId(), None, "", byte_tokens(tokenizer), remembered(tokenizer)
         offset, last, seen = 0, object(), 0
         end = np.array([end_id], dtype=dtype).tobytes()
         for batch in batches:
@@ -195,7 +197,7 @@ def written(docs: DataFrame, address: str, tokenizer: str, key: str = "doc_id",
             open_text = 0  # its ids are being written; those before it are ended
             for at, block, ends in text_blocks(texts, BLOCK, tokens.whole):
                 u = Units(block, ends, tokens.whole, fine=True)
-                ids, begin = ragged(*tokens.encode(u.dictionary), u.codes)
+                ids, begin = ragged(*known.encode(u.dictionary), u.codes)
                 cut, raw = begin[u.first], ids.astype(dtype)
                 for k, i in enumerate(at):
                     while open_text < i:

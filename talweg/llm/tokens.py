@@ -15,7 +15,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +25,7 @@ from tokenizers import Tokenizer
 
 BLOCK_BYTES = 8_000_000
 JOINED, AT_ONCE = 1_000, 20
+REMEMBER, REMEMBER_BYTES = 1 << 18, 64
 MARK = "▁"
 
 
@@ -226,12 +227,53 @@ class PieceTokens:
         return self.model.encode(texts, num_threads=1)
 
 
+class Remembered:
+    """Ids of units by ``model``, which encodes a unit only where it is not remembered from earlier blocks.
+
+    Units of at most ``REMEMBER_BYTES`` are kept in two generations of at most ``most`` each: a full younger
+    one becomes the older one at the next block, and what was not asked for meanwhile is forgotten.
+    """
+
+    def __init__(self, model: ByteTokens, most: int = REMEMBER):
+        self.model, self.most = model, most
+        self.younger: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+
+    def encode(self, units: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
+        """As ``ByteTokens.encode``."""
+        if self.model.whole:  # whole texts seldom repeat
+            return self.model.encode(units)
+        words = units.to_numpy(zero_copy_only=False).tolist()
+        held = list(map(self.younger.get, words))
+        left = [i for i, ids in enumerate(held) if ids is None]
+        asked = [words[i] for i in left]
+        found = list(map(self.older.get, asked))
+        new = [k for k, ids in enumerate(found) if ids is None]
+        ids, at = self.model.encode(units.take(pa.array([left[k] for k in new], pa.int64())))
+        raw, at = ids.astype(np.uint32).tobytes(), (at * 4).tolist()
+        for k, begin, end in zip(new, at[:-1], at[1:], strict=True):
+            found[k] = raw[begin:end]
+        for i, ids in zip(left, found, strict=True):
+            held[i] = ids
+        if len(self.younger) >= self.most:
+            self.older, self.younger = self.younger, {}
+        short = ((w, ids) for w, ids in zip(asked, found, strict=True) if len(w) <= REMEMBER_BYTES)
+        self.younger.update(islice(short, self.most - len(self.younger)))
+        return np.frombuffer(b"".join(held), dtype=np.uint32), np.concatenate(([0], np.cumsum([len(x) for x in held], dtype=np.int64) // 4))
+
+
 @lru_cache(maxsize=4)
 def byte_tokens(path: str, literal: bool = False) -> ByteTokens:
     """The tokenizer of this process: a worker runs many tasks and loads it once."""
     return ByteTokens(path, literal)
 
 
+@lru_cache(maxsize=1)
+def remembered(path: str) -> Remembered:
+    """The same with the units of this process's earlier tasks."""
+    return Remembered(byte_tokens(path))
+
+
 @lru_cache(maxsize=4)
 def piece_tokens(path: str) -> PieceTokens:
     return PieceTokens(path)

@@ -57,6 +57,52 @@ def test_a_tokenizer_that_may_not_be_cut_sees_whole_texts():
         assert [ids[begin[u.first[k]] : begin[u.first[k + 1]]].tolist() for k in range(len(texts))] == want
 
 
+@pytest.mark.parametrize("most", [1, 20, 1 << 18])
+def test_units_of_earlier_blocks_are_not_encoded_again(most):
+    from talweg.llm.tokens import REMEMBER_BYTES, ByteTokens, Remembered, Units, ragged, text_blocks
+
+    model = ByteTokens(BYTES)
+    known, plain, asked = Remembered(model, most), model.encode, []
+
+    def counted(units):
+        asked.extend(units.to_pylist())
+        return plain(units)
+
+    model.encode = counted
+    long = "x" * (REMEMBER_BYTES + 1)
+    texts = [None, "", "", *odd_texts(500, 3), long]
+    want = [e.ids for e in model.model.encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    for again in range(3):
+        for rows in ([None, ""], texts[:200], texts):
+            asked.clear()
+            for at, raw, ends in text_blocks(pa.array(rows, pa.string())):
+                u = Units(raw, ends, fine=True)
+                ids, begin = ragged(*known.encode(u.dictionary), u.codes)
+                for k, i in enumerate(at):
+                    assert ids[begin[u.first[k]] : begin[u.first[k + 1]]].tolist() == (want[texts.index(rows[i])] if rows[i] else [])
+            assert len(known.younger) <= most and len(known.older) <= most
+            assert all(len(w) <= REMEMBER_BYTES for w in known.younger)
+        if most == 1 << 18 and again:
+            assert asked and all(len(w) > REMEMBER_BYTES for w in asked)  # all else is remembered
+    words = pa.array([b" one", b" two", b" three"], pa.large_binary())
+    if most == 20:  # forgotten only after two generations without a use
+        known.younger, known.older = {}, {}
+        for n in range(100):
+            asked.clear()
+            known.encode(words)
+            assert bool(asked) == (n == 0)
+            known.encode(pa.array([f" w{n}".encode()], pa.large_binary()))
+
+
+def test_a_tokenizer_that_sees_whole_texts_remembers_none():
+    from talweg.llm.tokens import ByteTokens, Remembered
+
+    known = Remembered(ByteTokens(tokenizer_path("word_bpe_49k.json")))
+    units = pa.array([t.encode() for t in odd_texts(50)], pa.large_binary())
+    got, want = known.encode(units), known.model.encode(units)
+    assert all(np.array_equal(a, b) for a, b in zip(got, want, strict=True)) and not known.younger
+
+
 def test_bits():
     from talweg.llm.align import Bits
 
