@@ -98,6 +98,47 @@ def test_near_counts_are_those_of_pairs(spark):
     assert D.near_of_other_digests(P.near_matches(df, df, threshold=7), df, key="identity", digest="digest").count() > 0
 
 
+def operators(df):
+    """(name, rows out) of the operators of a plan that has run."""
+    todo = [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.getClass().getSimpleName()
+        metrics = node.metrics()
+        yield name, metrics.get("numOutputRows").get().value() if metrics.contains("numOutputRows") else 0
+        if name == "AdaptiveSparkPlanExec":
+            todo.append(node.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            todo.append(node.plan())
+        else:
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+
+
+def test_equal_sounds_of_many_digests_are_counted_not_paired(spark):
+    from talweg.operators.perceptual import near_counts, near_prints
+
+    n, hexed = 1500, F.when(F.col("id") % 3 == 0, F.lit("0" * 64)).when(F.col("id") % 3 == 1, F.lit("0" * 63 + "1")).otherwise(F.sha2(F.col("id").cast("string"), 256))
+    df = spark.range(n).select(F.col("id").alias("identity"), hexed.alias("fingerprint"), F.lit(3.0).alias("speech_seconds"), F.col("id").alias("digest"))
+    counts = near_counts(df, df, blocks=16)
+    assert {tuple(r) for r in counts.collect()} == {(i, n * 2 // 3 - 1) for i in range(n) if i % 3 < 2}
+    ran = list(operators(counts))
+    assert max(rows for _, rows in ran) <= 20 * n and not any("Broadcast" in name and "Join" in name for name, _ in ran)
+    pairs = near_prints(df, df, blocks=16)
+    assert pairs.count() == n // 3 + 2 + 2
+    assert "BroadcastHashJoin" not in pairs._jdf.queryExecution().executedPlan().toString()  # what explodes can't be estimated
+
+
+def test_same_digests_are_no_near_ones(spark):
+    from talweg.operators import perceptual as P
+
+    r = random.Random(3)
+    data = [(i, f"{flipped(r, 0, 64, 4):016x}", r.choice([3.0, 3.1, None]), r.choice(["all", None, str(i % 40)])) for i in range(400)]  # digests of few and of many classes
+    df = spark.createDataFrame(data, "identity long, fingerprint string, speech_seconds double, digest string")
+    gap = lambda x, y: (int(x, 16) ^ int(y, 16)).bit_count()
+    want = {a[0]: sum(gap(a[1], b[1]) <= 7 and None not in (a[2], b[2]) and a[3] != b[3] for b in data) for a in data}
+    assert {x["identity"]: x["n_near"] for x in P.near_counts(df, df, threshold=7).collect()} == {k: v for k, v in want.items() if v}
+
+
 def test_plan_keeps_pairs_in_proportion():
     from talweg.operators.perceptual import _masks, block_plan
 
