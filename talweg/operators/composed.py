@@ -6,14 +6,20 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from talweg.operators import dedupe, metrics, perceptual, timeseries
+from talweg.operators.digest import joined_digest
 from talweg.operators.prefix import numbered
 from talweg.operators.sampling import ranked, top_per_stratum
+from talweg.session import arrow_rows
 from talweg.storage import stored
 
+WAVES_AT_ONCE = 256
+
 
 def missing_by_speaker(rows: DataFrame, assets: DataFrame, path: str = "relative_path", speaker: str = "speaker_pseudo_id") -> DataFrame:
     """(speaker, n_rows, n_missing): rows whose file is not among ``assets``."""
@@ -157,6 +163,41 @@ def review_packet(pairs: DataFrame, assets: DataFrame, evidence: DataFrame, prot
     return ids.join(assets, "sample_id").select(F.lit(protocol).alias("protocol_id"), note.alias("annotation_id"), "pair", "label", "sample_id", "relative_path", "audio_sha256", "text_hash", "tokens")
 
 
+def _arrays(column: pa.ListArray) -> Iterator[np.ndarray | None]:
+    """Lists as arrays, missing values in them as NaN."""
+    flat, edges = column.values.to_numpy(zero_copy_only=False), column.offsets.to_pylist()
+    for there, begin, end in zip(column.is_valid().to_pylist(), edges, edges[1:], strict=False):
+        yield flat[begin:end] if there else None
+
+
+def _measured(samples: np.ndarray | None, active: np.ndarray | None) -> tuple[float | None, float | None, str | None, str | None]:
+    if samples is None or not len(samples):
+        return None, None, None, None
+    x = samples.astype(np.float64)
+    known = np.isfinite(x)
+    power = float(np.add.accumulate(np.square(x / 32768.0))[-1]) / len(x) if known.all() else None
+    clipped = np.count_nonzero(np.abs(x) >= timeseries.CLIPPED) / len(x)
+    return power, clipped, joined_digest(x[known].astype(np.int64)), None if active is None else perceptual.spectral_fingerprint(active)
+
+
+def measured(waves: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """(keep..., power, clipped_fraction, digest, fingerprint) of each wave in one pass; all null without samples.
+
+    The digest is the SHA-256 of the samples in decimal with commas between, the print is that of the segments of speech.
+    """
+    df = waves.select(*keep, "samples", perceptual.active_samples(F.col("samples"), F.col("segments")).alias("active"))
+    kind = T.StructType([df.schema[c] for c in keep]).add("power", "double").add("clipped_fraction", "double").add("digest", "string").add("fingerprint", "string")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [_measured(x, a) for x, a in zip(_arrays(batch.column("samples")), _arrays(batch.column("active")), strict=True)]
+            types = (pa.float64(), pa.float64(), pa.string(), pa.string())
+            columns = [pa.array([m[i] for m in made], t) for i, t in enumerate(types)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *columns], names=kind.names)
+
+    return df.mapInArrow(run, kind)
+
+
 def decoded_and_frozen(waves: DataFrame, history: DataFrame, *, key: str, route: str, rank: str, target: int, threshold: int = perceptual.THRESHOLD, blocks: int | None = None) -> DataFrame:
     """From waveforms to a frozen selection: quality, print, exact and near duplicates, decision, first ``target`` of each route.
 
@@ -165,20 +206,15 @@ def decoded_and_frozen(waves: DataFrame, history: DataFrame, *, key: str, route:
     status, flags, digest, fingerprint, decision, n_near (near matches of other digests, former or in the
     pool) and, where it is frozen, its position.  Waves without samples are not ready.
     """
-    q = timeseries.array_quality(F.col("samples"))
-    flags = timeseries.quality_flags(F.col("_q.rms_dbfs"), F.col("_q.clipped_fraction"))
-    some = F.coalesce(F.size("samples"), F.lit(0)) > 0
-    done = waves.withColumn("_q", F.when(some, q))
-    done = done.withColumn("_r", timeseries.readiness(flags, F.col("speech_seconds")))
-    active = perceptual.active_samples(F.col("samples"), F.col("segments"))
-    done = done.select(
+    done = measured(waves, [key, route, rank, "speech_seconds"])
+    flags = timeseries.quality_flags(timeseries.decibels(F.col("power")), F.col("clipped_fraction"))
+    done = done.withColumn("_r", timeseries.readiness(flags, F.col("speech_seconds"))).select(
         key, route, rank, "speech_seconds",
-        F.when(some, F.col("_r.status")).otherwise("rejected_quality").alias("status"),
-        F.array_join("_r.flags", ",").alias("flags"),
-        F.when(some, F.sha2(F.array_join(F.transform("samples", lambda v: v.cast("string")), ","), 256)).alias("digest"),
-        F.when(some, perceptual.fingerprint_udf(active)).alias("fingerprint"),
+        F.when(F.col("digest").isNotNull(), F.col("_r.status")).otherwise("rejected_quality").alias("status"),
+        F.array_join("_r.flags", ",").alias("flags"), "digest", "fingerprint",
     )
-    done = stored(done, "decoded")
+    with arrow_rows(waves.sparkSession, WAVES_AT_ONCE):
+        done = stored(done, "decoded")
     every = history.select("digest", "fingerprint", "speech_seconds").unionByName(done.select("digest", "fingerprint", "speech_seconds"))
     n = perceptual.near_counts(done, every, key=key, threshold=threshold, blocks=blocks)
     ready = F.col("status") == "ready"

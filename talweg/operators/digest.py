@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -108,3 +109,13 @@ def fingerprint(df: DataFrame, columns: Sequence[str], by: str, group: Sequence[
     """(group, n_rows, fingerprint): SHA-256 of the JSON array of all rows of a group, sorted by ``by``; string and integer columns only."""
     one = df.select(*group, F.col(by).cast("string").alias("k_"), canonical_json(columns).alias("j_"))
     return sequential_sha256(one, group, ["k_", "j_"], F.col("j_"), ",", "[", "]").withColumnRenamed("sha256", "fingerprint")
+
+
+_NUMBERS = np.array([b"%d," % i for i in range(-32768, 32768)], dtype="S7")
+
+
+def joined_digest(values: np.ndarray) -> str:
+    """SHA-256 of whole numbers in decimal with commas between."""
+    if len(values) and (values.min() < -32768 or values.max() > 32767):
+        return hashlib.sha256(",".join(map(str, values.tolist())).encode()).hexdigest()
+    return hashlib.sha256(_NUMBERS[values + 32768].tobytes().translate(None, b"\0")[:-1]).hexdigest()

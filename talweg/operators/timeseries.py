@@ -54,6 +54,11 @@ def quality(samples: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     )
 
 
+def decibels(power: Column) -> Column:
+    """Of full scale, from a mean square."""
+    return F.log10(F.greatest(F.sqrt(power), F.lit(FLOOR))) * 20
+
+
 def array_quality(samples: Column) -> Column:
     """The same of one array column, as a struct."""
     x = F.transform(samples, lambda v: v.cast("double") / 32768.0)

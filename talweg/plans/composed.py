@@ -10,6 +10,7 @@ from talweg.operators import composed, dedupe, metrics, pairing, perceptual, sam
 from talweg.plans.evaluation import PRINTS, _prints, _waveforms
 from talweg.plans.registry import query
 from talweg.plans.tables import SCORED, SEED, assets, scored_orders, table
+from talweg.session import arrow_rows
 from talweg.storage import stored
 
 S = SparkSession
@@ -315,9 +316,9 @@ def decode_to_freeze(spark: S, sf_dir: str) -> DataFrame:
     loud = F.transform("samples", lambda v: F.when(F.col("user_id") % 13 == 3, v * 0).otherwise(v).cast("int"))
     name = F.concat_ws("/", "user_id", "day")
     w = w.select(name.alias("sample"), "user_id", (F.col("user_id") % 3).alias("route"), F.sha2(name, 256).alias("rank"), loud.alias("samples"), "segments", (F.col("n_events") * 1.25).alias("speech_seconds"))
-    w = stored(w, "waves")
     old = w.where("user_id % 10 = 0")
-    text = F.array_join(F.transform("samples", lambda v: v.cast("string")), ",")
-    history = old.select(F.sha2(text, 256).alias("digest"), perceptual.fingerprint_udf(perceptual.active_samples(F.col("samples"), F.col("segments"))).alias("fingerprint"), "speech_seconds")
-    out = composed.decoded_and_frozen(w.where("user_id % 10 <> 0"), stored(history, "history"), key="sample", route="route", rank="rank", target=20, blocks=16)
+    history = composed.measured(old, ["speech_seconds"]).select("digest", "fingerprint", "speech_seconds")
+    with arrow_rows(spark, composed.WAVES_AT_ONCE):
+        history = stored(history, "history")
+    out = composed.decoded_and_frozen(w.where("user_id % 10 <> 0"), history, key="sample", route="route", rank="rank", target=20, blocks=16)
     return out.select("sample", "route", "status", "flags", "digest", "fingerprint", "decision", "n_near", "position")

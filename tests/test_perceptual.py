@@ -139,6 +139,23 @@ def test_same_digests_are_no_near_ones(spark):
     assert {x["identity"]: x["n_near"] for x in P.near_counts(df, df, threshold=7).collect()} == {k: v for k, v in want.items() if v}
 
 
+def test_waves_are_measured_as_columns_were(spark):
+    from talweg.operators import composed, timeseries
+    from talweg.operators.perceptual import spectral_fingerprint
+
+    r = random.Random(5)
+    waves = [[int(r.gauss(0, 9000)) for _ in range(1500)], [32767, -32768] * 300, [], None, [5, None, 40000, -7] * 200]
+    data = [(i, w, [(100, 700)] if i == 0 else []) for i, w in enumerate(waves)]
+    df = spark.createDataFrame(data, "k long, samples array<int>, segments array<struct<start:int,end:int>>")
+    q, text = timeseries.array_quality(F.col("samples")), F.array_join(F.transform("samples", lambda v: v.cast("string")), ",")
+    want = {x["k"]: x for x in df.where("size(samples) > 0").select("k", q.alias("q"), F.sha2(text, 256).alias("digest")).collect()}
+    got = {x["k"]: x for x in composed.measured(df, ["k"]).withColumn("rms", timeseries.decibels(F.col("power"))).collect()}
+    assert [got[k]["digest"] for k in (2, 3)] == [None, None] == [got[k]["fingerprint"] for k in (2, 3)]
+    assert all(got[k]["digest"] == w["digest"] and got[k]["clipped_fraction"] == w["q"]["clipped_fraction"] for k, w in want.items())
+    assert all(got[k]["rms"] == want[k]["q"]["rms_dbfs"] for k in (0, 1)) and got[4]["power"] is None
+    assert [got[0]["fingerprint"], got[1]["fingerprint"]] == [spectral_fingerprint(np.array(w)) for w in (waves[0][100:700], waves[1])]
+
+
 def test_plan_keeps_pairs_in_proportion():
     from talweg.operators.perceptual import _masks, block_plan
 
