@@ -15,7 +15,7 @@ EVENTS = """SELECT (row_number() OVER ())::BIGINT AS event_id, ts, user_id::BIGI
   UNION ALL SELECT * FROM (VALUES (31, NULL), (31, TIMESTAMP '2024-01-03'), (NULL, TIMESTAMP '2024-01-03'), (NULL, NULL)) v)"""
 
 
-@pytest.mark.parametrize("name", ["activity_islands", "gap_merge_segments"])
+@pytest.mark.parametrize("name", ["activity_islands", "gap_merge_segments", "right_aligned_windows"])
 def test_frames_are_those_of_sql(spark, tmp_path, name):
     db = duckdb.connect()
     db.sql(f"COPY ({EVENTS}) TO '{tmp_path}/events.parquet' (FORMAT parquet)")
