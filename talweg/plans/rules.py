@@ -258,10 +258,11 @@ def journal_event_issues(spark: S, sf_dir: str) -> DataFrame:
 FROM (SELECT vec_id, list_transform(embedding, lambda x: round(x * 100)::INT) AS embedding FROM embeddings WHERE len(embedding) = 64)"""
 )
 def fixed_crops(spark: S, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "embeddings").where("size(embedding) = 64").select("vec_id", F.transform("embedding", lambda x: F.round(x * 100).cast("int")).alias("e"))
+    hundred = F.lit(100).cast("float")  # in single precision, as the SQL multiplies
+    e = table(spark, sf_dir, "embeddings").where("size(embedding) = 64").select("vec_id", F.transform("embedding", lambda x: F.round(x * hundred).cast("int")).alias("e"))
 
     def shown(values):
-        return F.concat(F.lit("["), F.array_join(F.transform(values, lambda x: F.concat(x.cast("string"), F.lit(".0"))), ", "), F.lit("]"))
+        return F.concat(F.lit("["), F.array_join(F.transform(values, lambda x: F.concat(x.cast("string"), F.lit(".0"))), ", ", "NULL"), F.lit("]"))
 
     return e.select("vec_id", shown(timeseries.cropped(F.col("e"), 40, 10)).alias("cut"), shown(timeseries.cropped(F.col("e"), 100)).alias("filled"))
 

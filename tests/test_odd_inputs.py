@@ -23,3 +23,14 @@ def test_frames_are_those_of_sql(spark, tmp_path, name):
     rel = db.sql(ORACLES[name])
     got = QUERIES[name](spark, str(tmp_path)).select(*rel.columns)
     assert sorted(map(tuple, got.collect()), key=str) == sorted(rel.fetchall(), key=str)
+
+
+def test_crops_are_those_of_sql(spark, tmp_path):
+    db = duckdb.connect()
+    # hundredths and a half, whose product with 100 is a half in single precision only or in double precision only
+    db.sql(f"""COPY (SELECT k AS vec_id, list_transform(range(64), lambda i: ((CASE i % 2 WHEN 0 THEN 1 ELSE -1 END) * (k * 64 + i + 0.5) / 100)::FLOAT) AS embedding, 0 AS label FROM range(40) t(k)
+      UNION ALL SELECT 40, list_transform(range(64), lambda i: CASE WHEN i % 9 > 0 THEN i::FLOAT END), 0 UNION ALL SELECT 41, [1.0::FLOAT], 0 UNION ALL SELECT 42, NULL, 0) TO '{tmp_path}/embeddings.parquet' (FORMAT parquet)""")
+    db.sql(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
+    rel = db.sql(ORACLES["fixed_crops"])
+    got = QUERIES["fixed_crops"](spark, str(tmp_path)).select(*rel.columns)
+    assert sorted(map(tuple, got.collect())) == sorted(rel.fetchall())
