@@ -7,6 +7,7 @@ is fixed: gain, linear resampling down and up with quantisation, one echo, clamp
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -15,9 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from talweg.functions.keys import unit_hash
+from talweg.operators.digest import joined_digest
 
 # The steps' names inside the hashed identity.
 GAIN, CODEC, DELAY, ECHO = "channel_gain_db", "codec_resample_rate", "replay_delay_ms", "replay_attenuation"
+KEPT = 16_384
 
 
 @dataclass(frozen=True)
@@ -64,12 +67,21 @@ def parameters(policy: Policy, sample: Column, epoch: Column) -> Column:
     return F.when((F.length(sample.cast("string")) > 0) & (epoch >= 0), drawn)
 
 
+def _between(n: int, size: int) -> tuple[np.ndarray, ...]:
+    """Left and right neighbours of the middles of ``size`` equal parts of ``n`` samples, and their shares."""
+    at = np.maximum((np.arange(size, dtype=np.float32) + np.float32(0.5)) * np.float32(n / size) - np.float32(0.5), np.float32(0))
+    left = np.minimum(at.astype(np.int64), n - 1)
+    part = (at - left).astype(np.float32)
+    return left, np.minimum(left + 1, n - 1), 1 - part, part
+
+
+_between_often = lru_cache(64)(_between)
+
+
 def resampled(x: np.ndarray, size: int) -> np.ndarray:
     """Linear interpolation at the middles of ``size`` equal parts; beyond the first and last middle the end value holds."""
-    at = np.maximum((np.arange(size, dtype=np.float32) + np.float32(0.5)) * np.float32(len(x) / size) - np.float32(0.5), np.float32(0))
-    left = np.minimum(at.astype(np.int64), len(x) - 1)
-    part = (at - left).astype(np.float32)
-    return x[left] * (1 - part) + x[np.minimum(left + 1, len(x) - 1)] * part
+    left, right, less, part = (_between_often if max(len(x), size) <= KEPT else _between)(len(x), size)
+    return x[left] * less + x[right] * part
 
 
 def augmented(x: np.ndarray, gain_db: float, codec_rate: int, delay_ms: float, echo: float, *, rate: int, bits: int) -> np.ndarray:
@@ -84,6 +96,18 @@ def augmented(x: np.ndarray, gain_db: float, codec_rate: int, delay_ms: float, e
     return np.clip(y, -1, 1).astype(np.float32)
 
 
+def power(y: np.ndarray) -> float:
+    """Mean of the squares (each in single precision), added in order."""
+    return float(np.add.accumulate(np.square(y), dtype=np.float64)[-1]) / len(y)
+
+
+def digest(y: np.ndarray) -> str:
+    """SHA-256 of the samples as 16-bit numbers (a half rounded away from zero) with commas between."""
+    x = y.astype(np.float64) * 32767.0
+    whole = np.trunc(x)
+    return joined_digest((whole + np.copysign(np.abs(x - whole) >= 0.5, x)).astype(np.int64))
+
+
 def augment(policy: Policy, samples: Column, sample: Column, epoch: Column, rate: int = 16_000) -> Column:
     """Augmented samples (array<float>, from -1 to 1); null where there are none or no parameters."""
     bits = policy.bits

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os
 import random
 
 import numpy as np
@@ -78,3 +79,38 @@ def test_wrong_policies():
     for wrong in ({"policy_id": ""}, {"gain_db": (1.0, 0.0)}, {"codec_rates": (8000, 4000)}, {"codec_rates": ()}, {"bits": 1}, {"delay_ms": (0.0, 1.0)}, {"echo": (0.1, 1.0)}):
         with pytest.raises(ValueError, match="a policy needs"):
             Policy(**{"policy_id": "p", "namespace": "n"} | wrong)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the given tables")
+def test_augmented_days_are_those_of_loops(spark):
+    from talweg.operators import augment
+    from talweg.plans import QUERIES
+    from talweg.plans.evaluation import POLICY, _waveforms
+
+    d = "/root/testdata/sf0.001"
+    half_up = lambda v: int(math.copysign(math.floor(abs(v) + 0.5), v))
+    days = QUERIES["augmented_waveforms"](spark, d)
+    got = {r["sample"]: r for r in days.collect()}
+    waves = {f"{w['user_id']}/{w['day']}": w["active"] for w in _waveforms(spark, d).collect()}
+    params = {r["s"]: r["p"] for r in spark.createDataFrame([(k,) for k in waves], "s string").select("s", augment.parameters(POLICY, F.col("s"), F.lit(0)).alias("p")).collect()}
+    assert got.keys() == waves.keys()
+    for k in sorted(waves)[::7]:
+        y = augment.augmented(np.array(waves[k]) / 32768.0, *params[k], rate=16000, bits=8).tolist()
+        text = ",".join(str(half_up(v * 32767.0)) for v in y)
+        square = 0.0
+        for v in y:
+            square += float(np.float32(v) * np.float32(v))
+        assert got[k]["digest"] == hashlib.sha256(text.encode()).hexdigest() and got[k]["n_samples"] == len(y) and got[k]["power"] == pytest.approx(square / len(y), abs=6e-7)
+    plan = days._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan and "REPARTITION_BY_NUM" in plan  # sound is made and used up in one pass, by a fixed number of tasks
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the given tables")
+def test_tones_are_those_of_the_engine(spark):
+    from talweg.plans.evaluation import _tones
+
+    hz = [90.0 + 37.31 * i for i in range(150)]
+    df = spark.createDataFrame([(h,) for h in hz], "hz double")
+    wave = F.transform(F.sequence(F.lit(0), F.lit(479)), lambda i: F.round(F.sin(i * F.col("hz") * 3.926990816987241e-4) * 8000.0).cast("int"))
+    assert [v for r in df.select(wave).collect() for v in r[0]] == _tones(np.array(hz)).tolist()
+    assert _tones(np.array([0.0])).tolist() == [0] * 480
