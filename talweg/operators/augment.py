@@ -6,6 +6,7 @@ is fixed: gain, linear resampling down and up with quantisation, one echo, clamp
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -80,32 +81,41 @@ _between_often = lru_cache(64)(_between)
 
 def resampled(x: np.ndarray, size: int) -> np.ndarray:
     """Linear interpolation at the middles of ``size`` equal parts; beyond the first and last middle the end value holds."""
-    left, right, less, part = (_between_often if max(len(x), size) <= KEPT else _between)(len(x), size)
-    return x[left] * less + x[right] * part
+    n = x.shape[-1]
+    left, right, less, part = (_between_often if max(n, size) <= KEPT else _between)(n, size)
+    return x.take(left, axis=-1) * less + x.take(right, axis=-1) * part
 
 
 def augmented(x: np.ndarray, gain_db: float, codec_rate: int, delay_ms: float, echo: float, *, rate: int, bits: int) -> np.ndarray:
     """The chain on samples from -1 to 1, in single precision; the length stays."""
-    y = np.asarray(x, dtype=np.float32) * np.float32(10.0 ** (gain_db / 20.0))
-    y = resampled(resampled(y, max(1, round(len(y) * codec_rate / rate))), len(y))
+    return augmented_alike(np.asarray(x, dtype=np.float32)[None], [gain_db], codec_rate, [delay_ms], [echo], rate=rate, bits=bits)[0]
+
+
+def augmented_alike(x: np.ndarray, gain_db: Sequence[float], codec_rate: int, delay_ms: Sequence[float], echo: Sequence[float], *, rate: int, bits: int) -> np.ndarray:
+    """The chain on waveforms of one length and codec rate, a row each."""
+    n = x.shape[1]
+    y = x * np.array([10.0 ** (g / 20.0) for g in gain_db], dtype=np.float32)[:, None]
+    y = resampled(resampled(y, max(1, round(n * codec_rate / rate))), n)
     levels = np.float32((1 << bits) - 1)
     y = np.round((np.clip(y, -1, 1) + 1) * levels / 2) * 2 / levels - 1
-    lag = max(1, round(delay_ms * rate / 1000.0))
-    if lag < len(y):
-        y = y + np.concatenate((np.zeros(lag, dtype=np.float32), np.float32(echo) * y[:-lag]))
-    return np.clip(y, -1, 1).astype(np.float32)
+    out = y.copy()
+    for row, dry, ms, strength in zip(out, y, delay_ms, echo, strict=True):
+        lag = max(1, round(ms * rate / 1000.0))
+        if lag < n:
+            row[lag:] += np.float32(strength) * dry[:-lag]
+    return np.clip(out, -1, 1)
 
 
-def power(y: np.ndarray) -> float:
-    """Mean of the squares (each in single precision), added in order."""
-    return float(np.add.accumulate(np.square(y), dtype=np.float64)[-1]) / len(y)
+def powers(y: np.ndarray) -> list[float]:
+    """Mean of the squares of each row (each square in single precision), added in order."""
+    return (np.add.accumulate(np.square(y), axis=1, dtype=np.float64)[:, -1] / y.shape[1]).tolist()
 
 
-def digest(y: np.ndarray) -> str:
-    """SHA-256 of the samples as 16-bit numbers (a half rounded away from zero) with commas between."""
+def digests(y: np.ndarray) -> list[str]:
+    """SHA-256 of each row's samples as 16-bit numbers (a half rounded away from zero) with commas between."""
     x = y.astype(np.float64) * 32767.0
     whole = np.trunc(x)
-    return joined_digest((whole + np.copysign(np.abs(x - whole) >= 0.5, x)).astype(np.int64))
+    return [joined_digest(ints) for ints in (whole + np.copysign(np.abs(x - whole) >= 0.5, x)).astype(np.int64)]
 
 
 def augment(policy: Policy, samples: Column, sample: Column, epoch: Column, rate: int = 16_000) -> Column:
